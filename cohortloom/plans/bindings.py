@@ -159,7 +159,7 @@ def slot_model_ctes(
     """The slot model in SQL over CTE `rows`(entity, cohort, slot, y): `{p}_pred`(fold, slot, grid)."""
     fold_values = ", ".join(f"({f})" for f in folds)
     kx = f"least({k}, greatest(10, CAST(round_even(n_train * 0.2, 0) AS INT)))" if adaptive else str(k)
-    keep = "CASE WHEN n_asof >= {m} THEN asof ELSE {r} END".format(
+    keep = "CASE WHEN n_asof >= {m} THEN known ELSE {r} END".format(
         m=max(min_training, 1), r="cohort <> fold" if retro else "FALSE"
     )
     base = {
@@ -169,7 +169,7 @@ def slot_model_ctes(
                      AND row_number() OVER (PARTITION BY fold ORDER BY cohort DESC) <= {calib}
                      THEN 'calib' ELSE 'fit' END AS role
             FROM (SELECT *, n_asof < {max(min_training, 1)} AS retro FROM (
-                SELECT fold, cohort, n, cohort + {lag} <= fold AS asof,
+                SELECT fold, cohort, n, cohort + {lag} <= fold AS known,
                   sum(CASE WHEN cohort + {lag} <= fold THEN n ELSE 0 END) OVER (PARTITION BY fold) AS n_asof
                 FROM (SELECT cohort, count(*) AS n FROM {rows} WHERE y IS NOT NULL GROUP BY 1),
                      (VALUES {fold_values}) f(fold)))

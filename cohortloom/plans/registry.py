@@ -13,7 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, ctes: str = "", rnd: str = "", ints: str = "", places: int = 6):
+def query(name: str, sql: str | None = None, ctes: str = "", rnd: str = "", ints: str = "", places: int = 9):
     """Register a plan under `name`.
 
     `rnd` and `ints` list the columns both sides round or cast, so two engines that add in a
