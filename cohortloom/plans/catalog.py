@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import cleaning, linking, relational  # noqa: F401
-from .registry import ORACLES, QUERIES  # noqa: F401
+from . import cleaning, linking, relational, statistics  # noqa: F401
+from .registry import QUERIES, oracles  # noqa: F401

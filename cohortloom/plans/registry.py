@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .bindings import Tables, with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[str, list[str]]] = {}
 
 
 def query(name: str, sql: str | None = None, ctes: str = "", rnd: str = "", ints: str = "", places: int = 9):
@@ -34,7 +34,12 @@ def query(name: str, sql: str | None = None, ctes: str = "", rnd: str = "", ints
             fixed = [f"round(CAST({c} AS DOUBLE), {places}) + 0.0 AS {c}" for c in rnd.split()]
             fixed += [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
             body = f"SELECT * REPLACE ({', '.join(fixed)}) FROM ({sql})" if fixed else sql
-            ORACLES[name] = with_ctes(body, ctes.split())
+            _SQL[name] = (body, ctes.split())
         return plan
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """SQL per query, with the CTEs it needs."""
+    return {name: with_ctes(body, ctes) for name, (body, ctes) in _SQL.items()}
