@@ -40,7 +40,11 @@ def clamp_below(grid: ColumnOrName, low: Column) -> Column:
 def blend(grids: list[ColumnOrName], weights: list[float]) -> Column:
     """Weighted mean of sorted grids, level by level."""
     total = sum(weights)
-    parts = [F.transform(monotone(g), lambda v, w=w: v * (w / total)) for g, w in zip(grids, weights)]
+
+    def scaled(grid: ColumnOrName, factor: float) -> Column:
+        return F.transform(monotone(grid), lambda v: v * factor)
+
+    parts = [scaled(g, w / total) for g, w in zip(grids, weights)]
     out = parts[0]
     for p in parts[1:]:
         out = shift(out, p)

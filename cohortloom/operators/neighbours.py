@@ -83,6 +83,8 @@ class Space:
     within        (column, width): a known difference above width adds `penalty`
     cosine        vectors are scaled to unit length first; distance is 1 - cosine
     exclude_self  a row is never its own neighbour
+    parts         (start, stop, factor, space): distance is the sum of factor * distance in the
+                  slice; spaces of slices carry their own weights, penalties and guards
     """
 
     features: list[str] = field(default_factory=list)
@@ -93,6 +95,7 @@ class Space:
     within: tuple[str, float] | None = None
     cosine: bool = False
     exclude_self: bool = True
+    parts: list[tuple[int, int, float, "Space"]] = field(default_factory=list)
 
 
 def _matrix(vectors: pd.Series, space: Space) -> np.ndarray:
@@ -112,8 +115,17 @@ def _used(x: np.ndarray, space: Space) -> np.ndarray:
     return has
 
 
+def _sliced(rows: pd.DataFrame, start: int, stop: int) -> pd.DataFrame:
+    return rows.assign(vec=[np.asarray(v, dtype=float)[start:stop] for v in rows["vec"]])
+
+
 def _tile_distances(s: pd.DataFrame, p: pd.DataFrame, space: Space) -> np.ndarray:
     """Distances of every subject of a tile to every row of it."""
+    if space.parts:
+        d = 0.0
+        for start, stop, factor, sub in space.parts:
+            d = d + factor * _tile_distances(_sliced(s, start, stop), _sliced(p, start, stop), sub)
+        return d
     a, b = _matrix(s["vec"], space), _matrix(p["vec"], space)
     ha, hb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
     za, zb = np.where(ha > 0, a, 0.0), np.where(hb > 0, b, 0.0)
@@ -148,6 +160,13 @@ def _box_bounds(s: pd.DataFrame, cells: pd.DataFrame, space: Space) -> tuple[np.
     Valid with missing features: dimensions always present in the cell bound from below,
     dimensions present at least once bound from above.
     """
+    if space.parts:
+        low = high = 0.0
+        for start, stop, factor, sub in space.parts:
+            cut = cells.assign(**{c: [np.asarray(v)[start:stop] for v in cells[c]] for c in ("lo", "hi", "always")})
+            lo, hi = _box_bounds(_sliced(s, start, stop), cut, sub)
+            low, high = low + factor * lo, high + factor * hi
+        return low, high
     a = _matrix(s["vec"], space)
     lo = np.array([np.asarray(v, dtype=float) for v in cells["lo"]])
     hi = np.array([np.asarray(v, dtype=float) for v in cells["hi"]])
@@ -183,6 +202,109 @@ def _box_bounds(s: pd.DataFrame, cells: pd.DataFrame, space: Space) -> tuple[np.
     return low - slack, high + (space.penalty if guarded else 0.0) + 1e-9
 
 
+def _guards(space: Space) -> list[str]:
+    own = [*space.same, *([space.within[0]] if space.within else [])]
+    return list(dict.fromkeys(own + [g for part in space.parts for g in _guards(part[3])]))
+
+
+def distance_counts(
+    subjects: DataFrame, pool: DataFrame, space: Space, by: list[str], decimals: int = 4,
+    per_subject: bool = True, ordered: bool = False, below: float = np.inf, tile: int = 2048,
+) -> DataFrame:
+    """(by, [id], distance, n): how many pool rows lie at each rounded distance.
+
+    For statistics over all pairs, such as the median distance to a pool: tiles of bounded size
+    count distances and only counts leave them. `ordered` counts each unordered pair once.
+    The work is the product of both sides by definition; the output is not.
+    """
+    guards = _guards(space)
+    side = ["id", "vec", *guards]
+    s, p = subjects.select(*by, *side), pool.select(*by, *side)
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+
+    sizes = parts(s, "_ns").join(parts(p, "_np"), by)
+
+    def placed(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        d = df.join(sizes, by).withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int"))
+        return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("_ns", "_np")
+
+    left, right = placed(s, "_i", "_ns", "_j", "_np"), placed(p, "_j", "_np", "_i", "_ns")
+    keys = ", ".join(f"{b} {p.schema[b].dataType.simpleString()}" for b in by)
+    id_type = p.schema["id"].dataType.simpleString()
+    scale = 10.0**decimals
+
+    def count(rows: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
+        cols = [*by, *(["id"] if per_subject else []), "distance", "n"]
+        if rows.empty or cand.empty:
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in cols})
+        d = _tile_distances(rows, cand, space)
+        keep = np.isfinite(d) & (d < below)
+        if ordered:
+            keep &= rows["id"].to_numpy()[:, None] < cand["id"].to_numpy()[None, :]
+        q = np.round(np.where(keep, d, 0.0) * scale).astype(np.int64)
+        group = [rows[b].iloc[0] for b in by]
+        if not per_subject:
+            v, n = np.unique(q[keep], return_counts=True)
+            return pd.DataFrame({**{b: [g] * len(v) for b, g in zip(by, group)}, "distance": v / scale, "n": n})
+        out = []
+        for i, sid in enumerate(rows["id"].to_numpy()):
+            v, n = np.unique(q[i][keep[i]], return_counts=True)
+            out.append(pd.DataFrame({"id": sid, "distance": v / scale, "n": n}))
+        return pd.concat(out, ignore_index=True).assign(**dict(zip(by, group)))[cols]
+
+    subject = f", id {id_type}" if per_subject else ""
+    counted = (
+        left.groupBy(*by, "_i", "_j").cogroup(_renewed(right).groupBy(*by, "_i", "_j"))
+        .applyInPandas(count, f"{keys}{subject}, distance double, n long")
+    )
+    group = [*by, *(["id"] if per_subject else [])]
+    return counted.groupBy(*group, "distance").agg(F.sum("n").alias("n"))
+
+
+def ridge_weights(train: DataFrame, features: list[str], y: str, alphas: list[float]) -> list[float]:
+    """|ridge coefficient| per standardised feature, scaled to sum sqrt(p); alpha by leave-one-out.
+
+    Batches return moment and error sums; only p x p matrices reach the driver.
+    """
+    p = len(features)
+    aggs = [f(c).alias(f"{t}{i}") for i, c in enumerate(features) for f, t in ((F.avg, "m"), (F.stddev_samp, "s"))]
+    stats = train.agg(*aggs, F.avg(y).alias("y")).first()
+    z = train.select(
+        *[F.coalesce((F.col(c) - stats[f"m{i}"]) / (stats[f"s{i}"] or 1.0), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)],
+        F.col(y).cast("double").alias("y"),
+    )
+    cols = [f"x{i}" for i in range(p)]
+
+    def moments(batches):
+        for b in batches:
+            x = np.column_stack([b[cols].to_numpy(float), np.ones(len(b)), b["y"].to_numpy(float)])
+            yield pd.DataFrame({"i": np.arange((p + 2) ** 2), "v": (x.T @ x).ravel()})
+
+    rows = z.mapInPandas(moments, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    m = np.array([r["v"] for r in rows]).reshape(p + 2, p + 2)
+    n, mean = m[p, p], m[p, : p + 2] / m[p, p]
+    c = m / n - np.outer(mean, mean)
+    gram, cross = n * c[:p, :p], n * c[:p, p + 1]
+    inverse = [np.linalg.inv(gram + a * np.eye(p)) for a in alphas]
+    coefs = [inv @ cross for inv in inverse]
+
+    def errors(batches):
+        for b in batches:
+            x = b[cols].to_numpy(float) - mean[:p]
+            r = b["y"].to_numpy(float) - mean[p + 1]
+            loss = [
+                (((r - x @ w) / (1 - 1 / n - np.einsum("ij,jk,ik->i", x, inv, x))) ** 2).sum()
+                for inv, w in zip(inverse, coefs)
+            ]
+            yield pd.DataFrame({"i": np.arange(len(alphas)), "v": loss})
+
+    best = z.mapInPandas(errors, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("v", "i").first()["i"]
+    w = np.abs(coefs[best])
+    return [float(v) for v in w / w.sum() * np.sqrt(p)]
+
+
 def _renewed(df: DataFrame) -> DataFrame:
     """Same columns under new attribute ids, so both sides of a cogroup may share a source."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -197,7 +319,7 @@ def nearest(
     Both sides have columns `by`, `id`, `vec` (array of doubles, null = missing) and the guard
     columns; the pool also has `order`, the tie-break of equal distances.
     """
-    guards = [*space.same, *([space.within[0]] if space.within else [])]
+    guards = _guards(space)
     side = ["id", "vec", *guards]
     s, p = subjects.select(*by, *side), pool.select(*by, *side, F.col(order).alias("_ord"))
     id_type = p.schema["id"].dataType.simpleString()

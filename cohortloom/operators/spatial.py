@@ -81,3 +81,105 @@ def elbow(curve: DataFrame, k: str, error: str, least_gain: float = 0.08) -> Dat
     return curve.withColumn("gain", gain).agg(
         F.greatest(F.coalesce(small, F.max(k)), F.lit(2)).alias("chosen")
     )
+
+
+def fit_styles(maps: DataFrame, key: str, k: int = 6, iterations: int = 15, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(weights, components): non-negative factors of the maps by alternating least squares.
+
+    weights (key, w array summing to 1); components (cell, h array). Zero cells are observations
+    too, so every key x cell of the fixed grid is given to the solver.
+    """
+    from pyspark.ml.recommendation import ALS
+
+    keys = maps.select(key).distinct()
+    every = keys.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
+    full = every.join(maps, [key, "cell"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)) * 100.0)
+    # ALS wants integer ids; keys here are integers already.
+    als = ALS(
+        rank=k, maxIter=iterations, regParam=1e-6, nonnegative=True, userCol=key, itemCol="cell", ratingCol="density",
+        seed=seed, implicitPrefs=False,
+    )
+    model = als.fit(full.withColumn(key, F.col(key).cast("int")).select(key, "cell", "density"))
+    total = F.aggregate(F.col("features").cast("array<double>"), F.lit(0.0), lambda a, b: a + b)
+    w = model.userFactors.select(
+        F.col("id").alias(key),
+        F.transform("features", lambda v: v.cast("double") / F.greatest(total, F.lit(1e-12))).alias("w"),
+        F.col("features").cast("array<double>").alias("raw"),
+    )
+    h = model.itemFactors.select(F.col("id").alias("cell"), F.col("features").cast("array<double>").alias("h"))
+    return w, h
+
+
+def reconstruction_error(maps: DataFrame, weights: DataFrame, components: DataFrame, key: str) -> DataFrame:
+    """One row: squared error over all cells, zeros included, without expanding them.
+
+    |V - WH|^2 = |V|^2 - 2 <V, WH> + sum of (W'W) * (HH'): the last term needs factor moments only.
+    """
+    k = len(components.first()["h"])
+    v = maps.withColumn("v", F.col("density") * 100.0)
+    met = v.join(weights.select(key, "raw"), key).join(components, "cell")
+    dot = F.aggregate(F.zip_with("raw", "h", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    seen = met.agg(F.sum(F.col("v") * F.col("v") - 2 * F.col("v") * dot).alias("s"))
+
+    def moments(df: DataFrame, c: str) -> DataFrame:
+        return df.agg(F.array(*[F.sum(F.col(c)[i] * F.col(c)[j]) for i in range(k) for j in range(k)]).alias("m" + c))
+
+    both = seen.join(moments(weights, "raw")).join(moments(components, "h"))
+    cross = F.aggregate(F.zip_with("mraw", "mh", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    return both.select((F.col("s") + cross).alias("error"))
+
+
+def describe_styles(components: DataFrame) -> DataFrame:
+    """(style, label, avg_ft, avg_angle, mass per zone): components labelled by where mass sits."""
+    from ..functions.court import ZONES
+
+    # Style label per zone.
+    labels = {
+        "rim": "Rim attacker", "short_mid": "Paint / floater", "long_mid": "Midrange",
+        "corner_three": "Corner spacer", "above_break_three": "Above-the-break shooter",
+    }
+    long = components.withColumns(cell_columns()).select("zone", "feet", "angle", F.posexplode("h").alias("style", "m"))
+    total = F.sum("m")
+    g = long.groupBy("style").agg(
+        (F.sum(F.col("feet") * F.col("m")) / total).alias("avg_ft"),
+        (F.sum(F.col("angle") * F.col("m")) / total).alias("avg_angle"),
+        *[(F.sum(F.when(F.col("zone") == z, F.col("m")).otherwise(0.0)) / total).alias(z) for z in ZONES],
+    )
+    order = F.reverse(F.array_sort(F.array(*[F.struct(F.col(z).alias("m"), F.lit(-i).alias("i"), F.lit(labels[z]).alias("l")) for i, z in enumerate(ZONES)])))
+    g = g.withColumn("_o", order).withColumn("_l", F.col("_o")[0]["l"])
+    second = F.concat_ws(" + ", "_l", F.lower(F.col("_o")[1]["l"]))
+    side = F.concat_ws(", ", second, F.when(F.col("avg_angle") < 45, "baseline side").otherwise("middle"))
+    far = F.concat(side, F.format_string(" (%.0f ft)", "avg_ft"))
+    return disambiguate(g, "_l", [second, side, far], "label").drop("_o", "_l")
+
+
+def project_styles(maps: DataFrame, components: DataFrame, key: str, iterations: int = 200) -> DataFrame:
+    """(key, w): mixes of fitted components for new maps, components held fixed.
+
+    The component table has one row per grid cell, a fixed number, so it travels with the task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    rows = components.orderBy("cell").collect()  # one row per grid cell
+    h = np.array([r["h"] for r in rows], dtype=float).T
+    cells = {r["cell"]: i for i, r in enumerate(rows)}
+    gram = h @ h.T
+    per = maps.groupBy(key).agg(F.collect_list(F.struct("cell", "density")).alias("m"))
+    kind = maps.schema[key].dataType.simpleString()
+
+    def solve(batches):
+        for b in batches:
+            v = np.zeros((len(b), h.shape[1]))
+            for i, cellset in enumerate(b["m"]):
+                for c in cellset:
+                    if c["cell"] in cells:
+                        v[i, cells[c["cell"]]] = c["density"] * 100.0
+            top = v @ h.T
+            w = np.full((len(b), h.shape[0]), 0.5)
+            for _ in range(iterations):
+                w *= top / np.maximum(w @ gram, 1e-12)
+            w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
+            yield pd.DataFrame({key: b[key], "w": list(w)})
+
+    return per.mapInPandas(solve, f"{key} {kind}, w array<double>")

@@ -6,6 +6,7 @@ ship year. `Tables` builds the Spark frames, `CTES` the same frames as SQL.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import grids as G
 from ..operators import panel as P
 from ..operators.forecast import SlotModel
+from ..session import cut_lineage
 
 LAST = 2000  # last complete period
 TRAIN_LAST = 1996  # cohorts up to here set every scale
@@ -28,8 +30,11 @@ LEVELS_SQL = "[" + ", ".join(f"{t:.2f}" for t in G.LEVELS) + "]"
 CUTS_SQL = "[" + ", ".join(str(c) for c in CUTS) + "]"
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
-    """Lazy frames of one data folder."""
+    """Frames of one data folder. Fan-out points are staged: written once, then read by all."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -42,6 +47,13 @@ class Tables:
             raise AttributeError(name)
         return self.read(name)
 
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """The modelled table `name`, written to the shared folder on first use in this session."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STAGED:
+            _STAGED[key] = cut_lineage(build())
+        return _STAGED[key]
+
     @cached_property
     def ent(self) -> DataFrame:
         return self.part.select(
@@ -77,8 +89,11 @@ class Tables:
 
     @cached_property
     def vals(self) -> DataFrame:
-        s = P.season_blend(self.seasons, "a", "b", F.col("cohort") <= TRAIN_LAST, "po_a", "po_b")
-        return s.withColumns({c: F.round(c, 6) for c in ("value", "value_extra")})
+        def build() -> DataFrame:
+            s = P.season_blend(self.seasons, "a", "b", F.col("cohort") <= TRAIN_LAST, "po_a", "po_b")
+            return s.withColumns({c: F.round(c, 6) for c in ("value", "value_extra")})
+
+        return self.stage("season_values", build)
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -90,6 +105,9 @@ class Tables:
     @cached_property
     def otn(self) -> DataFrame:
         """Cumulative outcomes through n."""
+        return self.stage("outcomes_through_n", self._outcomes)
+
+    def _outcomes(self) -> DataFrame:
         p = self.panel.withColumn("graded", F.col("value") + F.col("value_extra"))
         for value, name in (
             ("value", "peak"), ("graded", "peak_graded"), ("minutes", "best_minutes"), ("starts", "best_starts")
@@ -124,7 +142,7 @@ class Tables:
     def tgt(self) -> DataFrame:
         """One row per entity with the outcome at the horizon, where observed."""
         at = self.otn.where(F.col("n") == HORIZON).select("entity", F.col("peak").alias("y"))
-        return self.ent.join(at, "entity", "left")
+        return self.stage("targets", lambda: self.ent.join(at, "entity", "left"))
 
     def model(self, conformal: bool = False) -> SlotModel:
         return SlotModel(
@@ -135,7 +153,8 @@ class Tables:
     def slot_predictions(self, conformal: bool = False) -> DataFrame:
         m = self.model(conformal)
         known = self.tgt.where(F.col("y").isNotNull())
-        return m.predict(known, m.fit(self.tgt))
+        name = "slot_conformal" if conformal else "slot"
+        return self.stage(f"predictions_{name}", lambda: m.predict(known, m.fit(self.tgt)))
 
     @cached_property
     def shots(self) -> DataFrame:

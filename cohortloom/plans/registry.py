@@ -13,6 +13,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, tuple[str, list[str]]] = {}
 
 
+def _places(rnd: str, default: int) -> list[tuple[str, int]]:
+    """'x y:11' to column and decimal places."""
+    parts = [token.partition(":") for token in rnd.split()]
+    return [(name, int(n) if n else default) for name, _, n in parts]
+
+
 def query(name: str, sql: str | None = None, ctes: str = "", rnd: str = "", ints: str = "", places: int = 9):
     """Register a plan under `name`.
 
@@ -23,7 +29,7 @@ def query(name: str, sql: str | None = None, ctes: str = "", rnd: str = "", ints
     def register(plan: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = plan(Tables(spark, sf_dir))
-            cols = {c: F.round(F.col(c).cast("double"), places) + F.lit(0.0) for c in rnd.split()}
+            cols = {c: F.round(F.col(c).cast("double"), n) + F.lit(0.0) for c, n in _places(rnd, places)}
             cols.update({c: F.col(c).cast("bigint") for c in ints.split()})
             return df.withColumns(cols) if cols else df
 
@@ -31,7 +37,7 @@ def query(name: str, sql: str | None = None, ctes: str = "", rnd: str = "", ints
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
-            fixed = [f"round(CAST({c} AS DOUBLE), {places}) + 0.0 AS {c}" for c in rnd.split()]
+            fixed = [f"round(CAST({c} AS DOUBLE), {n}) + 0.0 AS {c}" for c, n in _places(rnd, places)]
             fixed += [f"CAST({c} AS BIGINT) AS {c}" for c in ints.split()]
             body = f"SELECT * REPLACE ({', '.join(fixed)}) FROM ({sql})" if fixed else sql
             _SQL[name] = (body, ctes.split())

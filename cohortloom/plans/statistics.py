@@ -62,12 +62,20 @@ CTES["scored"] = (
 
 
 def scored(t):
+    return t.stage("scores", lambda: _scored(t))
+
+
+def _scored(t):
     both = t.slot_predictions().select(F.lit("slot").alias("model"), "entity", "cohort", "slot", "position", "franchise", "y", "grid")
     conf = t.slot_predictions(True).select(F.lit("slot + conformal").alias("model"), *both.columns[1:])
     return FC.entity_scores(both.unionByName(conf), "y", STAR_CUT, BUST_CUT)
 
 
 def with_pit(t):
+    return t.stage("pits", lambda: _with_pit(t))
+
+
+def _with_pit(t):
     p = t.slot_predictions(True)
     return p.withColumn("pit", G.pit("grid", "y")).withColumn(
         "verdict", G.verdict("y", G.at_level("grid", G.FLOOR), G.at_level("grid", G.CEILING))
@@ -130,11 +138,11 @@ def _(t):
 
 @query(
     "sta4_minutes_shrink",
-    "SELECT entity, n, (value * minutes - 2 * 500) / (minutes + 500) AS shrunk FROM panel",
+    "SELECT entity, n, (value * minutes - 2 * 501) / (minutes + 501) AS shrunk FROM panel",
     "panel", ints="n", rnd="shrunk",
 )
 def _(t):
-    return t.panel.select("entity", "n", R.shrink_to("value", "minutes", -2.0, 500).alias("shrunk"))
+    return t.panel.select("entity", "n", R.shrink_to("value", "minutes", -2.0, 501).alias("shrunk"))
 
 
 @query("sta5_season_blend", "SELECT entity, period, value, value_extra FROM vals", "vals", ints="period", rnd="value value_extra")
@@ -241,7 +249,7 @@ def _(t):
 @query(
     "sta11_pinball_crps_brier",
     "SELECT model, entity, crps, pinball_floor, brier_star FROM scored",
-    "scored", rnd="crps pinball_floor brier_star", places=7,
+    "scored", rnd="crps pinball_floor:11 brier_star",
 )
 def _(t):
     return scored(t).select("model", "entity", "crps", "pinball_floor", "brier_star")
@@ -264,7 +272,7 @@ def _(t):
 @query(
     "sta14_entity_scores",
     "SELECT model, entity, " + ", ".join(FC.SCORES) + " FROM scored",
-    "scored", rnd=" ".join(FC.SCORES), places=7,
+    "scored", rnd="crps pinball_floor:11 pinball_median:11 pinball_ceiling:11 brier_star brier_bust below_floor above_ceiling",
 )
 def _(t):
     return scored(t).select("model", "entity", *FC.SCORES)
@@ -402,7 +410,7 @@ def _(t):
 @query(
     "sta22_quantile_blend",
     "SELECT entity, grid[1] AS q05, grid[10] AS q50, grid[19] AS q95 FROM blended WHERE w = 0.25",
-    "blended", rnd="q05 q50 q95", places=7,
+    "blended", rnd="q05 q50 q95", places=11,
 )
 def _(t):
     a, b = t.slot_predictions(), t.slot_predictions(True)
@@ -441,7 +449,7 @@ def fold_rows(t):
     "sta23_fold_imputer",
     """WITH_tr""".replace("WITH_tr", """SELECT id, fold, least(greatest((coalesce(x.f2, m2) - mu2) / sd2, -5), 5) AS z_f2,
       least(greatest((coalesce(x.f4, m4) - mu4) / sd4, -5), 5) AS z_f4, (x.f4 IS NULL)::INT AS no_f4
-    FROM (SELECT entity AS id, cohort AS fold, feat.f2, feat.f4 FROM feat JOIN tgt USING (entity) WHERE y IS NOT NULL AND tgt.cohort BETWEEN 1996 AND 1998) x
+    FROM (SELECT entity AS id, tgt.cohort AS fold, feat.f2, feat.f4 FROM feat JOIN tgt USING (entity) WHERE y IS NOT NULL AND tgt.cohort BETWEEN 1996 AND 1998) x
     JOIN (SELECT fold, any_value(m2) m2, any_value(m4) m4, avg(coalesce(f2, m2)) mu2, stddev_samp(coalesce(f2, m2)) sd2,
         avg(coalesce(f4, m4)) mu4, stddev_samp(coalesce(f4, m4)) sd4 FROM tr JOIN (SELECT fold, median(f2) m2, median(f4) m4 FROM tr GROUP BY 1) USING (fold) GROUP BY 1)
     USING (fold)""").replace("FROM tr", "FROM (SELECT f.fold, feat.f2, feat.f4 FROM feat JOIN tgt USING (entity) JOIN (VALUES (1996), (1997), (1998)) f(fold) ON tgt.cohort + 2 <= f.fold WHERE y IS NOT NULL) tr"),
@@ -794,7 +802,7 @@ def bands(t, horizon):
     at = t.otn.where(k("n") == horizon).select("entity", k("peak").alias("y"))
     rows = t.ent.join(at, "entity", "left")
     m = SlotModel("cohort", "slot", "y", "entity", horizon, ALL_COHORTS, 60, calib=1, min_fit=1, min_training=100)
-    p = m.predict(rows.where(k("y").isNotNull()), m.fit(rows))
+    p = t.stage(f"predictions_n{horizon}", lambda: m.predict(rows.where(k("y").isNotNull()), m.fit(rows)))
     return p.withColumns(
         {
             "horizon": F.lit(horizon), "floor": G.at_level("grid", G.FLOOR), "median": G.at_level("grid", G.MEDIAN),
@@ -808,7 +816,7 @@ def bands(t, horizon):
     " UNION ALL ".join(
         f"SELECT {h} AS horizon, entity, grid[5] AS floor, grid[10] AS median, grid[18] AS ceiling, y, pit, verdict FROM b{h}" for h in (1, 2)
     ),
-    "b1 b2", ints="horizon", rnd="floor median ceiling y pit", places=7,
+    "b1 b2", ints="horizon", rnd="floor:11 median:11 ceiling:11 y pit:8",
 )
 def _(t):
     cols = ["horizon", "entity", "floor", "median", "ceiling", "y", "pit", "verdict"]
@@ -886,8 +894,8 @@ CTES["r"] = (f"SELECT *, {RECRUIT_SQL} AS grp, 'all' AS scope FROM cpit UNION AL
     "r", rnd="rho", places=6,
 )
 def _(t):
-    d = recruits(t).withColumn("pit", F.round("pit", 9))
-    return AS.spearman(d, "grp", "pit", ["scope"]).select("scope", "rho", "n")
+    d = recruits(t).withColumns({"pit": F.round("pit", 9), "order": B.digitize(2 * k("slot") - 1, B.RECRUIT_EDGES[1:4], True)})
+    return AS.spearman(d, "order", "pit", ["scope"]).select("scope", "rho", "n")
 
 
 # ------------------------------------------------------------------ curves and class strength
@@ -895,6 +903,10 @@ def _(t):
 
 def typical_curve(t):
     """(slot, typical, average): pooled medians and means, never rising with the slot."""
+    return t.stage("typical_curve", lambda: _typical_curve(t))
+
+
+def _typical_curve(t):
     c = slot_curve(t.tgt)
     packed = F.array_sort(F.collect_list(F.struct("slot", "median", "mean")))
     one = c.groupBy().agg(packed.alias("p"))  # one row per slot, a bounded axis
