@@ -27,20 +27,25 @@ def age_at(year: ColumnOrName, birth: ColumnOrName, month: int = 6, day: int = 2
     return F.datediff(ref, col(birth)) / 365.25
 
 
+def _floored(c: ColumnOrName) -> Column:
+    """max(value, 0) that keeps null: greatest() alone would turn null into 0."""
+    return F.when(col(c) > 0, col(c)).when(col(c).isNotNull(), 0.0)
+
+
 def to_log(y: ColumnOrName, scale: float = LOG_SCALE) -> Column:
-    return F.log1p(F.greatest(col(y), F.lit(0.0)) / scale)
+    return F.log1p(_floored(y) / scale)
 
 
 def from_log(t: ColumnOrName, scale: float = LOG_SCALE) -> Column:
-    return scale * F.expm1(F.greatest(col(t), F.lit(0.0)))
+    return scale * F.expm1(_floored(t))
 
 
 def to_sqrt(y: ColumnOrName) -> Column:
-    return F.sqrt(F.greatest(col(y), F.lit(0.0)))
+    return F.sqrt(_floored(y))
 
 
 def from_sqrt(t: ColumnOrName) -> Column:
-    return F.pow(F.greatest(col(t), F.lit(0.0)), F.lit(2.0))
+    return F.pow(_floored(t), F.lit(2.0))
 
 
 def shrink_to(value: ColumnOrName, weight: ColumnOrName, prior: float, prior_weight: float) -> Column:

@@ -141,9 +141,9 @@ def describe_styles(components: DataFrame) -> DataFrame:
     long = components.withColumns(cell_columns()).select("zone", "feet", "angle", F.posexplode("h").alias("style", "m"))
     total = F.sum("m")
     g = long.groupBy("style").agg(
-        (F.sum(F.col("feet") * F.col("m")) / total).alias("avg_ft"),
-        (F.sum(F.col("angle") * F.col("m")) / total).alias("avg_angle"),
-        *[(F.sum(F.when(F.col("zone") == z, F.col("m")).otherwise(0.0)) / total).alias(z) for z in ZONES],
+        F.try_divide(F.sum(F.col("feet") * F.col("m")), total).alias("avg_ft"),
+        F.try_divide(F.sum(F.col("angle") * F.col("m")), total).alias("avg_angle"),
+        *[F.try_divide(F.sum(F.when(F.col("zone") == z, F.col("m")).otherwise(0.0)), total).alias(z) for z in ZONES],
     )
     order = F.reverse(F.array_sort(F.array(*[F.struct(F.col(z).alias("m"), F.lit(-i).alias("i"), F.lit(labels[z]).alias("l")) for i, z in enumerate(ZONES)])))
     g = g.withColumn("_o", order).withColumn("_l", F.col("_o")[0]["l"])

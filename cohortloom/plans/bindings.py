@@ -20,7 +20,7 @@ from ..session import cut_lineage
 LAST = 2000  # last complete period
 TRAIN_LAST = 1996  # cohorts up to here set every scale
 HORIZON = 2
-FINAL_N = 4
+FINAL_N = 3
 FOLDS = (1996, 1997, 1998)
 ALL_COHORTS = (1994, 1995, 1996, 1997, 1998, 1999)
 CUTS = [0.5, 1.2, 2.0, 2.8, 3.6]

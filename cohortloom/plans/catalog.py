@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import cleaning, linking, relational, similarity, statistics  # noqa: F401
+from . import cleaning, grading, linking, relational, similarity, statistics  # noqa: F401
 from .registry import QUERIES, oracles  # noqa: F401
