@@ -38,25 +38,12 @@ def pro_xy(x: ColumnOrName, y: ColumnOrName) -> dict[str, Column]:
     return {"dx": col(x) / 10.0, "dy": col(y) / 10.0}
 
 
-def consistent_xy(
-    dx: ColumnOrName, dy: ColumnOrName, is_three: ColumnOrName, line: ColumnOrName,
-    corner_line: float | None = None,
-) -> dict[str, Column]:
-    """Null out coordinates that contradict the shot's value; add era-scaled sx, sy."""
-    x, y, three = col(dx), col(dy), col(is_three)
-    dist = F.hypot(x, y)
-    arc = col(line)
-    used = arc if corner_line is None else F.when(F.abs(x) >= corner_line - 0.5, corner_line).otherwise(arc)
-    bad = true((three & (dist < used - INCONSISTENT)) | (~three & (dist > used + INCONSISTENT)))
-    scale = REFERENCE_LINE / arc
-    return {
-        "dx": F.when(~bad, x),
-        "dy": F.when(~bad, y),
-        "dist": F.when(~bad, dist),
-        "xy_valid": ~bad & x.isNotNull(),
-        "sx": F.when(~bad, x) * scale,
-        "sy": F.when(~bad, y) * scale,
-    }
+def contradicts(dist: ColumnOrName, dx: ColumnOrName, is_three: ColumnOrName, line: ColumnOrName,
+                corner_line: float | None = None) -> Column:
+    """Coordinates that contradict the shot's value: a three well inside its line, a two well outside."""
+    d, three, arc = col(dist), col(is_three), col(line)
+    used = arc if corner_line is None else F.when(F.abs(col(dx)) >= corner_line - 0.5, corner_line).otherwise(arc)
+    return true((three & (d < used - INCONSISTENT)) | (~three & (d > used + INCONSISTENT)))
 
 
 def zone(dist: ColumnOrName, dx: ColumnOrName, dy: ColumnOrName, is_three: ColumnOrName) -> Column:

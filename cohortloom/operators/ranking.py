@@ -23,6 +23,15 @@ def _keyed(df: DataFrame, groups: list[str]) -> tuple[DataFrame, list[str]]:
     return (df, groups) if groups else (df.withColumn(_ALL, F.lit(1)), [_ALL])
 
 
+def _bucket(edges: str, value: Column, buckets: int) -> Column:
+    """Number of edges below the value, found in two short scans."""
+    step = max(int(buckets**0.5), 1)
+    coarse = F.transform(F.sequence(F.lit(step), F.lit(max((buckets - 1) // step * step, step)), F.lit(step)),
+                         lambda i: F.try_element_at(F.col(edges), i))
+    base = F.size(F.filter(coarse, lambda e: e < value)) * step
+    return base + F.size(F.filter(F.slice(edges, base + 1, F.lit(step)), lambda e: e < value))
+
+
 def value_counts(
     df: DataFrame, value: str, groups: list[str], weight: str | None = None, buckets: int = BUCKETS
 ) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -33,7 +42,7 @@ def value_counts(
     probs = [i / buckets for i in range(1, buckets)]
     edges = vc.groupBy(*keys).agg(F.percentile_approx("_v", probs, 5000).alias("_edges"))
     vc = vc.join(edges, keys).withColumn(
-        "_b", F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+        "_b", _bucket("_edges", F.col("_v"), buckets)
     ).drop("_edges")
     order = Window.partitionBy(*keys).orderBy("_b")
     totals = (
@@ -107,7 +116,7 @@ def with_position(
     probs = [i / buckets for i in range(1, buckets)]
     cuts = src.agg(F.percentile_approx(key, probs, 5000).alias("_cuts")).scalar()
     src = src.drop(_ALL).withColumn("_cuts", cuts)
-    src = src.withColumn("_k", F.size(F.filter("_cuts", lambda e: e < F.col(key)))).drop("_cuts")
+    src = src.withColumn("_k", _bucket("_cuts", F.col(key), buckets)).drop("_cuts")
     ties = [*groups, value]
     order = Window.partitionBy(*ties).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

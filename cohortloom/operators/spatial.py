@@ -7,12 +7,34 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.court import GRID_X, GRID_Y, cell_zone
+from ..functions.court import GRID_X, GRID_Y, REFERENCE_LINE, cell_zone, contradicts
 
 HEIGHT = GRID_Y[1] - GRID_Y[0] + 1
 CELLS = (GRID_X[1] - GRID_X[0] + 1) * HEIGHT
 
 
+def with_consistent_xy(
+    shots: DataFrame, dx: str, dy: str, is_three: str, line: str, corner_line: float | None = None
+) -> DataFrame:
+    """Adds dx, dy, dist, xy_valid and era-scaled sx, sy; contradicting coordinates are null.
+
+    Distance and verdict are columns of their own, so they are computed once per row.
+    """
+    d = shots.withColumn("_d", F.hypot(dx, dy))
+    d = d.withColumn("_ok", ~contradicts("_d", dx, is_three, line, corner_line))
+
+    def kept(c: Column) -> Column:
+        return F.when(F.col("_ok"), c)
+
+    scale = REFERENCE_LINE / F.col(line)
+    return d.withColumns(
+        {
+            "sx": kept(F.col(dx) * scale), "sy": kept(F.col(dy) * scale), "dist": kept(F.col("_d")),
+            "xy_valid": F.col("_ok") & F.col(dx).isNotNull(), "dx": kept(F.col(dx)), "dy": kept(F.col(dy)),
+        }
+    ).drop("_d", "_ok")
+
+
 def kernel(sigma: float = 1.5, truncate: float = 4.0) -> list[tuple[int, float]]:
     """Gaussian weights by cell offset, cut at `truncate` sigmas and summing to 1."""
     radius = int(truncate * sigma + 0.5)

@@ -13,6 +13,7 @@ from ..functions.common import ladder, lookup, ratio, true
 from ..operators import aggregates as A
 from ..operators import folds as FO
 from ..operators import ranking as RK
+from ..operators import spatial as SP
 from .bindings import LAST
 from .registry import query
 
@@ -413,7 +414,7 @@ _ZONE = """CASE WHEN NOT is_three AND dist < 4 THEN 'rim' WHEN NOT is_three AND
 
 def court_shots(t):
     s = t.shots.withColumn("line", X.pro_line("season"))
-    s = s.withColumns(X.consistent_xy("dx0", "dy0", "is_three", "line", X.CORNER_LINE))
+    s = SP.with_consistent_xy(s, "dx0", "dy0", "is_three", "line", X.CORNER_LINE)
     return s.withColumn("zone", X.zone("dist", "dx", "dy", "is_three"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -19,22 +19,15 @@ def clean_header(cell: str) -> str:
     return re.sub(r"\s+", "_", cell.strip().lower()).replace(".", "")
 
 
-def repaired_csv(spark: SparkSession, path: str, split_cell: str) -> DataFrame:
-    """CSV whose header cell `split_cell` ("a, b") stands for two columns."""
-    first = spark.read.option("header", False).csv(path).first()
-    cells: list[str] = []
-    for cell in first:
-        if cell is None:
-            continue
-        cells += cell.split(",") if cell == split_cell else [cell]
-    names = [clean_header(c) for c in cells]
-    body = headerless_csv_lenient(spark, path, names)
-    return body.where(~(F.coalesce(F.col(names[0]), F.lit("")) == F.lit(first[0])))
+def repaired_csv(spark: SparkSession, path: str, header_line: str | None = None) -> DataFrame:
+    """CSV whose header has one quoted cell standing for two columns.
 
-
-def headerless_csv_lenient(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
+    Without `header_line` each file starts with the header, which is then skipped.
+    """
+    line = header_line or spark.read.text(path).first()[0]
+    cells = [part for cell in next(csv.reader([line])) for part in cell.split(",")]
+    schema = T.StructType([T.StructField(clean_header(c), T.StringType()) for c in cells])
+    return spark.read.schema(schema).option("header", header_line is None).option("enforceSchema", "true").csv(path)
 
 
 def commented_csv(spark: SparkSession, path: str) -> DataFrame:
