@@ -61,8 +61,8 @@ def smooth(hist: DataFrame, key: str, sigma: float = 1.5) -> DataFrame:
     offsets = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel(sigma)])
 
     def blur(df: DataFrame, axis: str, other: str, bounds: tuple[int, int]) -> DataFrame:
-        spread = df.select(key, axis, other, "n", F.explode(offsets).alias("k"))
-        moved = spread.select(key, (F.col(axis) + F.col("k.o")).alias(axis), other, (F.col("n") * F.col("k.w")).alias("n"))
+        spread = df.select(key, axis, other, "n", F.explode(offsets).alias("_kern"))
+        moved = spread.select(key, (F.col(axis) + F.col("_kern.o")).alias(axis), other, (F.col("n") * F.col("_kern.w")).alias("n"))
         return moved.where(F.col(axis).between(*bounds)).groupBy(key, axis, other).agg(F.sum("n").alias("n"))
 
     both = blur(blur(hist, "ix", "iy", GRID_X), "iy", "ix", GRID_Y)
