@@ -49,10 +49,16 @@ def calibration(history: DataFrame, bins: int = 5) -> tuple[DataFrame, DataFrame
 
 
 def calibrated_grid(rows: DataFrame, edges: DataFrame, resid: DataFrame, reached: str) -> DataFrame:
-    """Grid from calibrated errors, never below what was reached, early floors pulled to it."""
+    """Grid from calibrated errors, never below what was reached, early floors pulled to it.
+
+    Where history holds no errors for an n and bin, the normal grid stands in.
+    """
     d = rows.join(edges, "n", "left").withColumn("bin", B.bin_index("post_mean", F.col("edges")))
     d = d.join(resid, ["n", "bin"], "left")
-    raw = G.clamp_below(FC.error_grid(F.col("post_mean"), F.col("resid_grid")), F.col(reached))
+    shape = F.coalesce(
+        FC.error_grid(F.col("post_mean"), F.col("resid_grid")), FC.normal_grid(F.col("post_mean"), F.col("post_sd"))
+    )
+    raw = G.clamp_below(shape, F.col(reached))
     pulled = G.shrink_floor(raw, reached, lookup("n", FLOOR_SHRINK))
     return d.withColumn("cal_grid", pulled).drop("edges", "bin", "resid_grid")
 

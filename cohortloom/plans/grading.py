@@ -28,7 +28,7 @@ k = F.col
 def prior_model(horizon):
     return SlotModel(
         "cohort", "slot", "y", "entity", horizon, ALL_COHORTS, 60, adaptive=True, calib=1, min_fit=1,
-        min_training=100, retrospective=True,
+        min_training=30, retrospective=True,
     )
 
 
@@ -46,7 +46,7 @@ def prior_grids(t, horizon=FINAL_N):
 
 for _h in (1, 2, FINAL_N):
     CTES[f"yg{_h}"] = (f"SELECT ent.*, o.peak AS y FROM ent LEFT JOIN (SELECT entity, peak FROM graded WHERE n = {_h}) o USING (entity)", ["ent", "graded"])
-    CTES.update(slot_model_ctes(f"gp{_h}", f"yg{_h}", _h, ALL_COHORTS, calib=1, min_fit=1, adaptive=True, min_training=100, retro=True))
+    CTES.update(slot_model_ctes(f"gp{_h}", f"yg{_h}", _h, ALL_COHORTS, calib=1, min_fit=1, adaptive=True, min_training=30, retro=True))
     CTES[f"priors{_h}"] = (
         f"SELECT t.entity, t.cohort, t.slot, t.y, list_sort(g.grid) AS grid, r.retro FROM yg{_h} t JOIN gp{_h}_pred g ON g.fold = t.cohort AND g.slot = t.slot "
         f"JOIN (SELECT fold, bool_or(retro) AS retro FROM gp{_h}_roles GROUP BY 1) r ON r.fold = t.cohort",
@@ -436,7 +436,7 @@ CTES["comp"] = (COMPOSITE, ["otn"])
 @query(
     "grd17_projection_table",
     f"""SELECT entity, grid[5] AS floor, grid[10] AS median, grid[18] AS ceiling, 1 - c AS p_star FROM {cdf_sql('cp', str(CUTS[3]), 'c')}""",
-    "cp", rnd="floor median ceiling p_star", places=7,
+    "cp", rnd="floor:11 median:11 ceiling:11 p_star:8",
 )
 def _(t):
     p = t.slot_predictions(True)

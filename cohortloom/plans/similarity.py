@@ -240,7 +240,7 @@ def _(t):
 @query(
     "sim12_similarity_percentile",
     """SELECT id, neighbour, (SELECT count(*) FROM ps WHERE ps.s < n.s) / (SELECT count(*) FROM ps) AS pct FROM (
-      SELECT id, neighbour, s FROM (SELECT a.id, b.id AS neighbour, round(list_dot_product(a.v, b.v), 6) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_dot_product(a.v, b.v), 9), b.id) AS rn
+      SELECT id, neighbour, s FROM (SELECT a.id, b.id AS neighbour, round(1 - round(1 - list_dot_product(a.v, b.v), 9), 6) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_dot_product(a.v, b.v), 9), b.id) AS rn
         FROM aug a JOIN aug b ON a.id <> b.id) WHERE rn <= 2) n""".replace("FROM ps", "FROM psim ps"),
     "psim", rnd="pct", places=7,
 )

@@ -457,7 +457,7 @@ def fold_rows(t):
 )
 def _(t):
     train, test = fold_rows(t)
-    out = TR.imputed(test, train, ["f2", "f4"], ["fold"])
+    out = TR.imputed(test, train, ["f2", "f4"], ["fold"], min_observed=5)
     return out.select("id", "fold", "z_f2", "z_f4", "no_f4")
 
 
@@ -566,9 +566,9 @@ def _(t):
 # ------------------------------------------------------------------------------- survival
 
 CTES["careers"] = (
-    """SELECT c_custkey AS id, c_mktsegment AS band, coalesce(l - cohort, 0) AS duration, l IS NULL OR l <= 1998 AS ended, cohort, c_acctbal,
+    """SELECT c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS band, coalesce(l - cohort, 0) AS duration, l IS NULL OR l <= 1998 AS ended, cohort, c_acctbal,
       c_nationkey, coalesce(p, 0) AS played
-    FROM (SELECT c_custkey, c_mktsegment, c_acctbal, c_nationkey, 1994 AS cohort FROM customer)
+    FROM (SELECT c_custkey, c_acctbal, c_nationkey, 1994 AS cohort FROM customer)
     LEFT JOIN (SELECT o_custkey, max(year(o_orderdate)) AS l, count(DISTINCT year(o_orderdate)) AS p FROM orders
       WHERE year(o_orderdate) <= 2000 AND (o_custkey % 3 > 0 OR year(o_orderdate) <= 1994 + o_custkey % 7) GROUP BY 1) ON o_custkey = c_custkey""",
     [],
@@ -582,7 +582,7 @@ def careers(t):
         (k("period") <= LAST) & ((k("id") % 3 > 0) | (k("period") <= 1994 + k("id") % 7))
     )
     e = t.customer.select(
-        k("c_custkey").alias("id"), k("c_mktsegment").alias("band"), F.lit(1994).alias("cohort"), "c_acctbal", "c_nationkey"
+        k("c_custkey").alias("id"), F.when(k("c_nationkey") % 2 == 0, "even").otherwise("odd").alias("band"), F.lit(1994).alias("cohort"), "c_acctbal", "c_nationkey"
     )
     return SV.careers(e, s, "id", "cohort", "period", LAST)
 
