@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import top_k
+from .ranking import attach, top_k
 
 # ------------------------------------------------------------------------ slot neighbours
 
@@ -224,14 +224,14 @@ def distance_counts(
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
 
-    sizes = parts(s, "_ns").join(parts(p, "_np"), by)
+    sizes = attach(parts(s, "_ns"), parts(p, "_np"), by, ["_np"])
 
     def placed(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-        d = df.join(sizes, by).withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int"))
+        d = attach(df, sizes, by, ["_ns", "_np"]).withColumn(own, F.pmod(F.xxhash64("id"), F.col(n_own)).cast("int"))
         return d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("_ns", "_np")
 
     left, right = placed(s, "_i", "_ns", "_j", "_np"), placed(p, "_j", "_np", "_i", "_ns")
-    keys = ", ".join(f"{b} {p.schema[b].dataType.simpleString()}" for b in by)
+    keys = "".join(f"{b} {p.schema[b].dataType.simpleString()}, " for b in by)
     id_type = p.schema["id"].dataType.simpleString()
     scale = 10.0**decimals
 
@@ -254,10 +254,10 @@ def distance_counts(
             out.append(pd.DataFrame({"id": sid, "distance": v / scale, "n": n}))
         return pd.concat(out, ignore_index=True).assign(**dict(zip(by, group)))[cols]
 
-    subject = f", id {id_type}" if per_subject else ""
+    subject = f"id {id_type}, " if per_subject else ""
     counted = (
         left.groupBy(*by, "_i", "_j").cogroup(_renewed(right).groupBy(*by, "_i", "_j"))
-        .applyInPandas(count, f"{keys}{subject}, distance double, n long")
+        .applyInPandas(count, f"{keys}{subject}distance double, n long")
     )
     group = [*by, *(["id"] if per_subject else [])]
     return counted.groupBy(*group, "distance").agg(F.sum("n").alias("n"))
@@ -323,19 +323,21 @@ def nearest(
     side = ["id", "vec", *guards]
     s, p = subjects.select(*by, *side), pool.select(*by, *side, F.col(order).alias("_ord"))
     id_type = p.schema["id"].dataType.simpleString()
-    keys = ", ".join(f"{b} {p.schema[b].dataType.simpleString()}" for b in by)
+    keys = "".join(f"{b} {p.schema[b].dataType.simpleString()}, " for b in by)
     guard_types = "".join(f", {g} {p.schema[g].dataType.simpleString()}" for g in guards)
 
     # 1. Pivots: a fixed number of rows per group in hash order. They only shape the cells.
-    picks = top_k(p, by, [F.xxhash64("id"), F.col("id")], pivots, "_pivot").select(*by, "_pivot", F.col("vec").alias("_pv"))
+    first = [F.xxhash64("id"), F.col("id")]
+    picks = top_k(p, by, first, pivots, "_pivot") if by else p.orderBy(*first).limit(pivots)
+    picks = picks.select(*by, F.col("vec").alias("_pv"))
     def chunked(rows: DataFrame, small: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Cut a group into bounded chunks and repeat its small companion for each of them."""
         parts = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / (16 * tile)).cast("int").alias("_k"))
         chunk = F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")
         repeat = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
         return (
-            rows.join(parts, by).withColumn("_chunk", chunk).drop("_k"),
-            small.join(parts, by).withColumn("_chunk", repeat).drop("_k"),
+            attach(rows, parts, by, ["_k"]).withColumn("_chunk", chunk).drop("_k"),
+            attach(small, parts, by, ["_k"]).withColumn("_chunk", repeat).drop("_k"),
         )
 
     p_chunks, spread = chunked(p, picks)
@@ -352,7 +354,7 @@ def nearest(
     celled = (
         p_chunks.groupBy(*by, "_chunk")
         .cogroup(_renewed(spread).groupBy(*by, "_chunk"))
-        .applyInPandas(assign, f"{keys}, id {id_type}, vec array<double>{guard_types}, "
+        .applyInPandas(assign, f"{keys}id {id_type}, vec array<double>{guard_types}, "
                                f"_ord {p.schema['_ord'].dataType.simpleString()}, _cell int")
     )
 
@@ -401,7 +403,7 @@ def nearest(
     reach = (
         s_chunks.groupBy(*by, "_chunk")
         .cogroup(_renewed(cells_spread).groupBy(*by, "_chunk"))
-        .applyInPandas(candidates, f"{keys}, id {id_type}, vec array<double>{guard_types}, _cell int, _parts int")
+        .applyInPandas(candidates, f"{keys}id {id_type}, vec array<double>{guard_types}, _cell int, _parts int")
     )
 
     # 4. Tiles: a bounded slice of a cell against a bounded slice of its subjects.
@@ -438,7 +440,7 @@ def nearest(
 
     found = (
         left.groupBy(*tile_keys).cogroup(_renewed(right).groupBy(*tile_keys))
-        .applyInPandas(compare, f"{keys}, id {id_type}, neighbour {id_type}, _ord {ord_type}, distance double")
+        .applyInPandas(compare, f"{keys}id {id_type}, neighbour {id_type}, _ord {ord_type}, distance double")
     )
     return top_k(found, [*by, "id"], [F.col("distance"), F.col("_ord")], k).drop("_ord")
 

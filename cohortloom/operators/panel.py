@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import attach
+
 
 def spine(
     entities: DataFrame, cohort: str, last_period: int, n: str = "n", period: str = "period"
@@ -70,17 +72,11 @@ def training_stats(df: DataFrame, metrics: list[str], training: Column, by: list
     return ref.groupBy(*by).agg(*aggs) if by else ref.agg(*aggs)
 
 
-def with_scalars(df: DataFrame, one_row: DataFrame, cols: list[str]) -> DataFrame:
-    """Attach columns of a one-row frame by scalar subquery."""
-    packed = one_row.select(F.struct(*cols).alias("s")).scalar()
-    return df.withColumn("_s", packed).select("*", *[F.col(f"_s.{c}").alias(c) for c in cols]).drop("_s")
-
-
 def season_blend(df: DataFrame, a: str, b: str, training: Column, po_a: str, po_b: str) -> DataFrame:
     """`value`: mean z of two metrics less what an all-zero period would get, and
     `value_extra`: the extra metrics on the same scale without shift (none adds 0)."""
     stats = training_stats(df, [a, b], training)
-    out = with_scalars(df, stats, [f"{m}_{t}" for m in (a, b) for t in ("mu", "sd")])
+    out = attach(df, stats, [], [f"{m}_{t}" for m in (a, b) for t in ("mu", "sd")])
 
     def z(x: Column, m: str) -> Column:
         return (x - F.col(f"{m}_mu")) / F.col(f"{m}_sd")

@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
-_ALL = "_all"
 
 
-def _keyed(df: DataFrame, groups: list[str]) -> tuple[DataFrame, list[str]]:
-    """Groups to partition by; a constant one when the whole table is the group."""
-    return (df, groups) if groups else (df.withColumn(_ALL, F.lit(1)), [_ALL])
+def attach(df: DataFrame, small: DataFrame, groups: list[str], cols: list[str]) -> DataFrame:
+    """Columns of a one-row-per-group frame: an equi-join, or a scalar subquery without groups."""
+    if groups:
+        return df.join(small.select(*groups, *cols), groups)
+    packed = small.select(F.struct(*cols)).scalar()
+    return df.withColumn("_s", packed).select("*", *[F.col(f"_s.{c}").alias(c) for c in cols]).drop("_s")
 
 
 def _bucket(edges: str, value: Column, buckets: int) -> Column:
@@ -34,37 +36,36 @@ def _bucket(edges: str, value: Column, buckets: int) -> Column:
 
 def value_counts(
     df: DataFrame, value: str, groups: list[str], weight: str | None = None, buckets: int = BUCKETS
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(distinct values with weight and bucket, bucket totals with weight below, keys)."""
-    src, keys = _keyed(df.where(F.col(value).isNotNull()), groups)
+) -> tuple[DataFrame, DataFrame]:
+    """(distinct values with weight and bucket, bucket totals with the weight below them)."""
     w = F.col(weight) if weight else F.lit(1)
-    vc = src.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(w).alias("_w"))
+    known = df.where(F.col(value).isNotNull())
+    vc = known.groupBy(*groups, F.col(value).alias("_v")).agg(F.sum(w).alias("_w"))
     probs = [i / buckets for i in range(1, buckets)]
-    edges = vc.groupBy(*keys).agg(F.percentile_approx("_v", probs, 5000).alias("_edges"))
-    vc = vc.join(edges, keys).withColumn(
-        "_b", _bucket("_edges", F.col("_v"), buckets)
-    ).drop("_edges")
-    order = Window.partitionBy(*keys).orderBy("_b")
+    edges = vc.groupBy(*groups).agg(F.percentile_approx("_v", probs, 5000).alias("_edges"))
+    vc = attach(vc, edges, groups, ["_edges"])
+    vc = vc.withColumn("_b", _bucket("_edges", F.col("_v"), buckets)).drop("_edges")
+    # At most `buckets` rows per group from here on.
+    group = Window.partitionBy(*groups)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
-        vc.groupBy(*keys, "_b")
+        vc.groupBy(*groups, "_b")
         .agg(F.sum("_w").alias("_bw"))
-        .withColumn("_start", F.coalesce(
-            F.sum("_bw").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ))
-        .withColumn("_total", F.sum("_bw").over(Window.partitionBy(*keys)))
+        .withColumn("_start", F.coalesce(F.sum("_bw").over(before), F.lit(0)))
+        .withColumn("_total", F.sum("_bw").over(group))
     )
-    return vc, totals, keys
+    return vc, totals
 
 
 def value_positions(
     df: DataFrame, value: str, groups: list[str] = [], weight: str | None = None, buckets: int = BUCKETS
 ) -> DataFrame:
     """One row per distinct value of a group: `value`, `ties`, `below`, `total`."""
-    vc, totals, keys = value_counts(df, value, groups, weight, buckets)
-    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    vc, totals = value_counts(df, value, groups, weight, buckets)
+    inside = Window.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     return (
         vc.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-        .join(totals.drop("_bw"), [*keys, "_b"])
+        .join(totals.drop("_bw"), [*groups, "_b"])
         .select(
             *groups,
             F.col("_v").alias(value),
@@ -112,10 +113,10 @@ def with_position(
     pos = value_positions(df, value, groups, buckets=buckets)
     before = F.col("total") - F.col("below") - F.col("ties") if descending else F.col("below")
     pos = pos.select(*groups, value, before.alias("_before"))
-    src, _ = _keyed(df.where(F.col(value).isNotNull()), [])
+    src = df.where(F.col(value).isNotNull())
     probs = [i / buckets for i in range(1, buckets)]
     cuts = src.agg(F.percentile_approx(key, probs, 5000).alias("_cuts")).scalar()
-    src = src.drop(_ALL).withColumn("_cuts", cuts)
+    src = src.withColumn("_cuts", cuts)
     src = src.withColumn("_k", _bucket("_cuts", F.col(key), buckets)).drop("_cuts")
     ties = [*groups, value]
     order = Window.partitionBy(*ties).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,30 +145,31 @@ def quantile_rows(
 
     `level(total, tau)` computes the level from the group size, which `percentile` cannot take.
     """
-    vc, totals, keys = value_counts(df, value, groups, weight, buckets)
-    n = F.col("_total")
-    tau = F.col("tau")
+    vc, totals = value_counts(df, value, groups, weight, buckets)
+    n, tau = F.col("_total"), F.col("tau")
     at = tau if level is None else level(n, tau)
+    spans = totals.groupBy(*groups).agg(
+        F.max("_total").alias("_total"), F.collect_list(F.struct("_b", "_start", "_bw")).alias("_spans")
+    )
     need = (
-        totals.select(*keys, "_total").distinct()
-        .withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
+        spans.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
         .withColumn("_h", (n - 1) * F.least(F.greatest(at, F.lit(0.0)), F.lit(1.0)))
         .withColumn("_r", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))))
     )
-    located = need.join(totals.drop("_total"), keys).where(
-        (F.col("_r") >= F.col("_start")) & (F.col("_r") < F.col("_start") + F.col("_bw"))
+    holds = F.filter(
+        "_spans", lambda b: (F.col("_r") >= b["_start"]) & (F.col("_r") < b["_start"] + b["_bw"])
+    )
+    located = need.withColumn("_at", holds[0]).select(
+        *groups, "tau", "_h", F.col("_at._b").alias("_b"), (F.col("_r") - F.col("_at._start")).alias("_off")
     )
-    upto = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     inside = vc.withColumn("_in", F.coalesce(F.sum("_w").over(upto), F.lit(0)))
-    off = F.col("_r") - F.col("_start")
-    hits = located.join(inside, [*keys, "_b"]).where(
-        (off >= F.col("_in")) & (off < F.col("_in") + F.col("_w"))
+    hits = located.join(inside, [*groups, "_b"]).where(
+        (F.col("_off") >= F.col("_in")) & (F.col("_off") < F.col("_in") + F.col("_w"))
     )
     low, high = F.min("_v"), F.max("_v")
     frac = F.max(F.col("_h") - F.floor("_h"))
-    return hits.groupBy(*keys, "tau").agg(
-        (low + (high - low) * frac).alias("quantile")
-    ).select(*groups, "tau", "quantile")
+    return hits.groupBy(*groups, "tau").agg((low + (high - low) * frac).alias("quantile"))
 
 
 def quantile_grid(

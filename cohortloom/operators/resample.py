@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import attach
+
 PRIME = 2147483647
 # Poisson(1) cumulative probabilities.
 POISSON_CDF = [
@@ -75,7 +77,7 @@ def bootstrap_mean(
     ci = means.groupBy(*groups).agg(
         *[F.percentile(v, F.array(F.lit(0.025), F.lit(0.975))).alias(f"_{v}") for v in values]
     )
-    out = point.join(ci, groups) if groups else point.join(ci)
+    out = attach(point, ci, groups, [f"_{v}" for v in values])
     cols = [*groups, "n"]
     for v in values:
         cols += [v, F.col(f"_{v}")[0].alias(f"{v}_lo"), F.col(f"_{v}")[1].alias(f"{v}_hi")]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.court import GRID_X, GRID_Y, REFERENCE_LINE, cell_zone, contradicts
+from .ranking import attach
 
 HEIGHT = GRID_Y[1] - GRID_Y[0] + 1
 CELLS = (GRID_X[1] - GRID_X[0] + 1) * HEIGHT
@@ -146,7 +147,7 @@ def reconstruction_error(maps: DataFrame, weights: DataFrame, components: DataFr
     def moments(df: DataFrame, c: str) -> DataFrame:
         return df.agg(F.array(*[F.sum(F.col(c)[i] * F.col(c)[j]) for i in range(k) for j in range(k)]).alias("m" + c))
 
-    both = seen.join(moments(weights, "raw")).join(moments(components, "h"))
+    both = attach(attach(seen, moments(weights, "raw"), [], ["mraw"]), moments(components, "h"), [], ["mh"])
     cross = F.aggregate(F.zip_with("mraw", "mh", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     return both.select((F.col("s") + cross).alias("error"))
 

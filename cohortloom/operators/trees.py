@@ -91,14 +91,11 @@ def tree_neighbours(
                 lambda v: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.when(v.cast("int") == j, 1.0).otherwise(0.0)),
             )
         )
-        return model.transform(df).select(*keep, F.lit(0).alias("_g"), hot.alias("vec"))
+        return model.transform(df).select(*keep, hot.alias("vec"))
 
     space = Space(cosine=True)  # one-hot rows have equal norm: 1 - cos is the share of differing trees
-    out = nearest(
-        coded(_assembled(test, features), "id"), coded(tr, "id", order) if order != "id" else coded(tr, "id"),
-        space, k, ["_g"], order,
-    )
-    return out.drop("_g")
+    pool = coded(tr, "id", order) if order != "id" else coded(tr, "id")
+    return nearest(coded(_assembled(test, features), "id"), pool, space, k, [], order)
 
 
 def boosted(train: DataFrame, test: DataFrame, features: list[str], y: str, seed: int = 0) -> tuple[DataFrame, dict[str, float]]:

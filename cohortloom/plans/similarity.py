@@ -187,7 +187,7 @@ def _(t):
 
 def vectors(t):
     return t.embeddings.select(
-        k("vec_id").alias("id"), k("embedding").cast("array<double>").alias("vec"), k("label").cast("double").alias("height"), F.lit(0).alias("g")
+        k("vec_id").alias("id"), k("embedding").cast("array<double>").alias("vec"), k("label").cast("double").alias("height"),
     )
 
 
@@ -201,7 +201,7 @@ def vectors(t):
 )
 def _(t):
     v = vectors(t)
-    n = NB.nearest(v, v, NB.Space(cosine=True, within=("height", 3.0)), 5, ["g"], "id")
+    n = NB.nearest(v, v, NB.Space(cosine=True, within=("height", 3.0)), 5, [], "id")
     near = n.where("distance < 1000")
     return near.select("id", "rank", "neighbour", (1 - k("distance")).alias("similarity"))
 
@@ -229,7 +229,7 @@ def augmented_vectors(t):
         k("vec_id").alias("id"), k("embedding").cast("array<double>").alias("vec"), "label",
         F.when(k("vec_id") % 7 != 0, (k("vec_id") % 13).cast("double")).alias("x0"),
     )
-    return augmented(v, "vec", "x0", ["label"]).withColumn("g", F.lit(0))
+    return augmented(v, "vec", "x0", ["label"])
 
 
 @query("sim11_augmented_vector", "SELECT id, v[1] AS first, v[65] AS last FROM aug", "aug", rnd="first last", places=8)
@@ -247,8 +247,8 @@ def _(t):
 def _(t):
     v = augmented_vectors(t)
     space = NB.Space(cosine=True)
-    near = NB.nearest(v, v, space, 2, ["g"], "id").select("id", "neighbour", F.round(1 - k("distance"), 6).alias("s"))
-    pairs = NB.distance_counts(v, v, space, ["g"], decimals=6, per_subject=False, ordered=True)
+    near = NB.nearest(v, v, space, 2, [], "id").select("id", "neighbour", F.round(1 - k("distance"), 6).alias("s"))
+    pairs = NB.distance_counts(v, v, space, [], decimals=6, per_subject=False, ordered=True)
     pairs = pairs.select(F.round(1 - k("distance"), 6).alias("s"), "n")
     # Scores take part with weight 0, so every score finds the pairs below it.
     both = pairs.unionByName(near.select("s", F.lit(0).cast("long").alias("n")))

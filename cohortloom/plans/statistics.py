@@ -498,7 +498,7 @@ def _(t):
     reps = RS.with_replicates(d.select("id", "f2", "resid"), "id", REPS)
     rho = RS.interval(AS.spearman(reps, "f2", "resid", ["rep"], "w"), [], "rho", "rho_lo", "rho_hi")
     gain = RS.bootstrap_mean(d, "id", ["diff"], [], REPS)
-    out = gain.join(rho)
+    out = RK.attach(gain, rho, [], ["rho_lo", "rho_hi"])
     return out.withColumn("confirmed", (k("rho_lo") > 0) & (k("diff_hi") < 0))
 
 
@@ -740,8 +740,9 @@ def _(t):
     a = RK.with_ranks(keys.select("rep", "h1", "prediction"), "h1", ["rep"], min_rank="at").select("rep", "at", "prediction")
     b = RK.with_ranks(keys.select("rep", "h2", "pit"), "h2", ["rep"], min_rank="at").select("rep", "at", "pit")
     null = AS.spearman(a.join(b, ["rep", "at"]), "prediction", "pit", ["rep"]).select(k("rho").alias("r0"))
-    p = null.join(rho.select(F.abs("rho").alias("obs"))).agg(F.avg((F.abs("r0") >= k("obs")).cast("double")).alias("p"))
-    return rho.join(sst).join(p).select(F.round("rho", 4).alias("rho"), F.round("r2", 4).alias("r2"), "p", "n")
+    null = RK.attach(null, rho.select(F.abs("rho").alias("obs")), [], ["obs"])
+    p = null.agg(F.avg((F.abs("r0") >= k("obs")).cast("double")).alias("p"))
+    return RK.attach(RK.attach(rho, sst, [], ["r2"]), p, [], ["p"]).select(F.round("rho", 4).alias("rho"), F.round("r2", 4).alias("r2"), "p", "n")
 
 
 @query(
