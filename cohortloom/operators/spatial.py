@@ -49,7 +49,9 @@ def histogram(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     # Cells are centred on whole feet; the far edge of the last cell is closed.
     ix = F.when(fx == GRID_X[1] + 0.5, GRID_X[1]).otherwise(F.floor(fx + 0.5)).cast("int")
     iy = F.when(F.col(y) == GRID_Y[1] + 0.5, GRID_Y[1]).otherwise(F.floor(F.col(y) + 0.5)).cast("int")
-    cells = points.select(key, ix.alias("ix"), iy.alias("iy"))
+    # One struct per point: the cell is computed once, not again in every bound below.
+    cell = F.explode(F.array(F.struct(ix.alias("ix"), iy.alias("iy"))))
+    cells = points.select(key, cell.alias("c")).select(key, "c.ix", "c.iy")
     inside = F.col("ix").between(*GRID_X) & F.col("iy").between(*GRID_Y)
     return cells.where(inside).groupBy(key, "ix", "iy").agg(F.count(F.lit(1)).alias("n"))
 
