@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,24 +27,38 @@ def build_session(name: str = "cohortloom", master: str | None = None, **conf: s
     return b.getOrCreate()
 
 
-_LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Only a local master, where driver and executors share one disk, may fall back to a
-    temporary folder.
+    Where that is unset, a folder inside the session's warehouse, which executors share too.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/cohortloom-work").rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate files in the shared folder."""
+    return f"{shared_dir(spark)}/cohortloom/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers need not start in the repository or have it on their path.
+    """
     app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="cohortloom-")
-    return _LOCAL_FOLDERS[app]
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(app)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -51,7 +67,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The result survives executor loss, is computed once, and the plan behind it is gone.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cohortloom/{uuid.uuid4().hex}"
+    path = scratch(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
