@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, token_counts, warc
-from .common import table
+from . import decontaminate, language_id, mixing, near_dedup, ngram_lm, quality_rules, token_counts, warc
+from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +88,56 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"),
     )
+
+
+@query("op10_near_duplicates", rf"""
+WITH RECURSIVE dw AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT r, array_to_string(w[s : s + 1], ' ') AS k
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS s FROM dw WHERE len(w) > 0)),
+size AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+inter AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM sh a JOIN sh b ON a.k = b.k AND a.r <> b.r GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM inter JOIN size sx ON sx.r = x JOIN size sy ON sy.r = y WHERE 100 * i >= 80 * (sx.n + sy.n - i)),
+reach AS (SELECT r, r AS t FROM dw UNION SELECT reach.r, link.y FROM reach JOIN link ON link.x = reach.t),
+comp AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN dw d ON d.r = reach.t GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM dw JOIN comp USING (r) LEFT JOIN size USING (r)""")
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.Plan(words=2))
+    return found.drop("text_key")
+
+
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the rules are learned. Checked against a brute-force version (tests/llm)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn_rules(docs, table(spark, sf_dir, "labels"))
+    judged = quality_rules.judge(docs, rules)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *[F.col(f"s_{c}").alias(c) for c in names], "base_failed", "rule", "kept")
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: the model is trained. Checked by held-out accuracy (tests/llm)."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of(F.col("doc_id"), 5) == 0
+    model = language_id.fit(docs, ~held_out)
+    out = language_id.identify(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op1_language_model")
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = bucket_of(F.col("doc_id"), 7) == 2
+    model = ngram_lm.fit(docs.where(~held_out), scratch(spark, "lm"))
+    return ngram_lm.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
