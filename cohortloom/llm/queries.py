@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, language_id, mixing, near_dedup, ngram_lm, quality_rules, token_counts, warc
+from . import decontaminate, language_id, mixing, near_dedup, ngram_lm, quality_rules, suffix_dedup, token_counts, warc
 from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,27 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = bucket_of(F.col("doc_id"), 7) == 2
     model = ngram_lm.fit(docs.where(~held_out), scratch(spark, "lm"))
     return ngram_lm.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
+@query("op4_repeated_bytes", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT r, doc_id, h, length(h) // 2 AS n FROM d),
+win AS (
+  SELECT r, p, hash(substr(h, 2 * p + 1, 400)) AS k
+  FROM (SELECT r, h, unnest(range(0, n - 199)) AS p FROM n WHERE n >= 200)),
+twice AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT r, p FROM win SEMI JOIN twice USING (k)),
+island AS (
+  SELECT r, p, sum(CASE WHEN p <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS g
+  FROM (SELECT r, p, coalesce(lag(p) OVER (PARTITION BY r ORDER BY p), -1000) AS before FROM hit)),
+gone AS (SELECT r, g, min(p) AS a, max(p) + 200 AS b FROM island GROUP BY r, g),
+keep AS (
+  SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM gone
+  UNION ALL SELECT gone.r, max(b), any_value(n.n) FROM gone JOIN n USING (r) GROUP BY gone.r),
+rest AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM keep JOIN n USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM gone GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest.h, n.h))) AS kept_sha256
+FROM n LEFT JOIN rest USING (r) LEFT JOIN sums USING (r)""")
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], digest=True)
