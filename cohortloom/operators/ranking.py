@@ -108,12 +108,17 @@ def with_position(
     """Sequence number by (value, key ascending) in a group: a row_number() of any group size.
 
     Rows sharing a value are split again by cuts of the tie key, so a value held by a third of
-    the rows is numbered by many tasks.
+    the rows is numbered by many tasks. Rows whose value or group key is null keep a null position.
     """
+    known = F.col(value).isNotNull()
+    for g in groups:
+        known = known & F.col(g).isNotNull()
+    without = df.where(~known).withColumn(name, F.lit(None).cast("bigint"))
+    df = df.where(known)
     pos = value_positions(df, value, groups, buckets=buckets)
     before = F.col("total") - F.col("below") - F.col("ties") if descending else F.col("below")
     pos = pos.select(*groups, value, before.alias("_before"))
-    src = df.where(F.col(value).isNotNull())
+    src = df
     probs = [i / buckets for i in range(1, buckets)]
     cuts = src.agg(F.percentile_approx(key, probs, 5000).alias("_cuts")).scalar()
     src = src.withColumn("_cuts", cuts)
@@ -127,13 +132,14 @@ def with_position(
         .drop("_n")
     )
     inside = Window.partitionBy(*ties, "_k").orderBy(key)
-    return (
+    numbered = (
         src.withColumn("_in", F.row_number().over(inside))
         .join(starts, [*ties, "_k"])
         .join(pos, ties)
-        .withColumn(name, F.col("_before") + F.col("_tied") + F.col("_in"))
+        .withColumn(name, (F.col("_before") + F.col("_tied") + F.col("_in")).cast("bigint"))
         .drop("_k", "_in", "_tied", "_before")
     )
+    return numbered.unionByName(without)
 
 
 def quantile_rows(
@@ -163,7 +169,9 @@ def quantile_rows(
         *groups, "tau", "_h", F.col("_at._b").alias("_b"), (F.col("_r") - F.col("_at._start")).alias("_off")
     )
     upto = Window.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    inside = vc.withColumn("_in", F.coalesce(F.sum("_w").over(upto), F.lit(0)))
+    # Only buckets that hold a wanted rank are sorted: at most two per level.
+    wanted = vc.join(located.select(*groups, "_b").distinct(), [*groups, "_b"], "left_semi")
+    inside = wanted.withColumn("_in", F.coalesce(F.sum("_w").over(upto), F.lit(0)))
     hits = located.join(inside, [*groups, "_b"]).where(
         (F.col("_off") >= F.col("_in")) & (F.col("_off") < F.col("_in") + F.col("_w"))
     )

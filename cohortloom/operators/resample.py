@@ -7,21 +7,39 @@ executor recomputes the same numbers.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import attach
 
 PRIME = 2147483647
-# Poisson(1) cumulative probabilities.
-POISSON_CDF = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
-    0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253,
-]
+
+
+def _poisson_cdf() -> list[float]:
+    """P(X <= k) of Poisson(1) for k = 0, 1, ... until what is left is below the hash's resolution."""
+    term = total = math.exp(-1)
+    out = [total]
+    while 1 - total > 1 / PRIME:
+        term /= len(out)
+        total += term
+        out.append(total)
+    return out
+
+
+POISSON_CDF = _poisson_cdf()
 
 
 def unit_hash(key: Column, rep: Column, seed: int = 0) -> Column:
-    """Reproducible number in [0, 1) from integer arithmetic only, equal in any engine."""
+    """Reproducible number in [0, 1) from integer arithmetic only, equal in any engine.
+
+    The key is an integer column; `numeric_key` makes one of any other.
+    """
     m = F.lit(PRIME).cast("long")
     h = F.pmod(F.pmod(key.cast("long"), m) * 48271 + rep.cast("long") * 69621 + seed * 16807 + 12345, m)
     h = F.pmod(F.pmod(h * h, m) + h * 40692, m)
@@ -29,6 +47,22 @@ def unit_hash(key: Column, rep: Column, seed: int = 0) -> Column:
     return h / float(PRIME)
 
 
+def numeric_key(df: DataFrame, key: str) -> Column:
+    """The key itself if it is an integer, else a hash of it."""
+    whole = isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return F.col(key).cast("long") if whole else F.xxhash64(F.col(key))
+
+
+def replicate_weights(keys: np.ndarray, reps: int, seed: int) -> np.ndarray:
+    """poisson_weight of some keys (rows) in replicates 1 to `reps` (columns), by the same integer arithmetic."""
+    m, rep = np.int64(PRIME), np.arange(1, reps + 1, dtype=np.int64)
+    h = ((keys % m) * np.int64(48271))[:, None] + rep * np.int64(69621) + np.int64(seed * 16807 + 12345)
+    h %= m
+    h = ((h * h) % m + h * np.int64(40692)) % m
+    h = ((h * h) % m + h * np.int64(69069) + 1) % m
+    return np.searchsorted(np.array(POISSON_CDF), h / float(PRIME), side="right")
+
+
 def poisson_weight(key: Column, rep: Column, seed: int = 0) -> Column:
     u = unit_hash(key, rep, seed)
     return sum(((u >= c).cast("int") for c in POISSON_CDF[1:]), (u >= POISSON_CDF[0]).cast("int"))
@@ -47,8 +81,44 @@ def weight_sql(key: str, rep: str, seed: int = 0) -> str:
 
 def with_replicates(df: DataFrame, key: str, reps: int, seed: int = 0) -> DataFrame:
     """Rows x replicates with weight `w`; rows not drawn are gone before any shuffle."""
-    out = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return out.withColumn("w", poisson_weight(F.col(key), F.col("rep"), seed)).where("w > 0")
+    out = df.withColumn("_key", numeric_key(df, key)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    return out.withColumn("w", poisson_weight(F.col("_key"), F.col("rep"), seed)).drop("_key").where("w > 0")
+
+
+def replicate_sums(df: DataFrame, key: str, values: list[str], groups: list[str], reps: int, seed: int = 0) -> DataFrame:
+    """(groups, rep, and per value s_<value> and w_<value>): weighted sums over the resampled rows.
+
+    Each task multiplies the weights of a batch with its values, so what leaves it is one row per
+    group and replicate, not one per row and replicate.
+    """
+    number = {v: F.col(v).cast("double").alias(v) for v in values}
+    rows = df.select(*groups, numeric_key(df, key).alias("_key"), *number.values())
+    names = [f"{x}_{v}" for v in values for x in ("s", "w")]
+    fields = [rows.schema[g] for g in groups] + [T.StructField("rep", T.IntegerType())] + [T.StructField(n, T.DoubleType()) for n in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                b = whole.slice(at, 2_000)
+                w = replicate_weights(b.column("_key").to_numpy(zero_copy_only=False), reps, seed).astype(float)
+                own = pa.Table.from_batches([b.select([*groups, "_key"])]).append_column("_at", pa.array(range(b.num_rows)))
+                kinds = own.group_by(groups).aggregate([("_at", "list")]) if groups else None
+                places = kinds.column("_at_list").to_pylist() if groups else [range(b.num_rows)]
+                sums: list[list[np.ndarray]] = [[] for _ in names]
+                for place in places:
+                    part = w[list(place)]
+                    for i, v in enumerate(values):
+                        x = b.column(v).take(pa.array(place)).to_numpy(zero_copy_only=False)
+                        known = ~np.isnan(x)
+                        sums[2 * i].append(np.where(known, x, 0.0) @ part)
+                        sums[2 * i + 1].append(known.astype(float) @ part)
+                index = pa.array(np.repeat(np.arange(len(places)), reps))
+                keys = [kinds.column(g).combine_chunks().take(index) for g in groups]
+                arrays = [*keys, pa.array(np.tile(np.arange(1, reps + 1, dtype=np.int32), len(places)))]
+                yield pa.RecordBatch.from_arrays([*arrays, *[pa.array(np.concatenate(c)) for c in sums]], names=[*groups, "rep", *names])
+
+    parts = rows.mapInArrow(run, T.StructType(fields))
+    return parts.groupBy(*groups, "rep").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def interval(rep_values: DataFrame, groups: list[str], value: str, lo: str, hi: str, level: float = 0.95) -> DataFrame:
@@ -63,17 +133,12 @@ def interval(rep_values: DataFrame, groups: list[str], value: str, lo: str, hi:
 def bootstrap_mean(
     df: DataFrame, key: str, values: list[str], groups: list[str], reps: int, seed: int = 0
 ) -> DataFrame:
-    """(groups, n, and per value: mean, lo, hi). Replicate sums combine map-side."""
+    """(groups, n, and per value: mean, lo, hi) from replicate_sums."""
     point = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(v).alias(v) for v in values]
     )
-    drawn = with_replicates(df.select(key, *groups, *values), key, reps, seed)
-    means = drawn.groupBy(*groups, "rep").agg(
-        *[
-            F.try_divide(F.sum(F.col(v) * F.col("w")), F.sum(F.when(F.col(v).isNotNull(), F.col("w")))).alias(v)
-            for v in values
-        ]
-    )
+    sums = replicate_sums(df, key, values, groups, reps, seed)
+    means = sums.select(*groups, "rep", *[F.try_divide(F.col(f"s_{v}"), F.col(f"w_{v}")).alias(v) for v in values])
     ci = means.groupBy(*groups).agg(
         *[F.percentile(v, F.array(F.lit(0.025), F.lit(0.975))).alias(f"_{v}") for v in values]
     )

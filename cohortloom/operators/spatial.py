@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.court import GRID_X, GRID_Y, REFERENCE_LINE, cell_zone, contradicts
-from .ranking import attach
+from ..session import cut_lineage
 
 HEIGHT = GRID_Y[1] - GRID_Y[0] + 1
 CELLS = (GRID_X[1] - GRID_X[0] + 1) * HEIGHT
@@ -108,50 +109,93 @@ def elbow(curve: DataFrame, k: str, error: str, least_gain: float = 0.08) -> Dat
     )
 
 
-def fit_styles(maps: DataFrame, key: str, k: int = 6, iterations: int = 15, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(weights, components): non-negative factors of the maps by alternating least squares.
+def _dense(maps: list, cells: int) -> np.ndarray:
+    v = np.zeros((len(maps), cells))
+    for i, pairs in enumerate(maps):
+        for c in pairs:
+            v[i, c["cell"]] = c["density"] * 100.0
+    return v
 
-    weights (key, w array summing to 1); components (cell, h array). Zero cells are observations
-    too, so every key x cell of the fixed grid is given to the solver.
-    """
-    from pyspark.ml.recommendation import ALS
-
-    keys = maps.select(key).distinct()
-    every = keys.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
-    full = every.join(maps, [key, "cell"], "left").withColumn("density", F.coalesce("density", F.lit(0.0)) * 100.0)
-    # ALS wants integer ids; keys here are integers already.
-    als = ALS(
-        rank=k, maxIter=iterations, regParam=1e-6, nonnegative=True, userCol=key, itemCol="cell", ratingCol="density",
-        seed=seed, implicitPrefs=False,
-    )
-    model = als.fit(full.withColumn(key, F.col(key).cast("int")).select(key, "cell", "density"))
-    total = F.aggregate(F.col("features").cast("array<double>"), F.lit(0.0), lambda a, b: a + b)
-    w = model.userFactors.select(
-        F.col("id").alias(key),
-        F.transform("features", lambda v: v.cast("double") / F.greatest(total, F.lit(1e-12))).alias("w"),
-        F.col("features").cast("array<double>").alias("raw"),
-    )
-    h = model.itemFactors.select(F.col("id").alias("cell"), F.col("features").cast("array<double>").alias("h"))
-    return w, h
 
+def _mixes(top: np.ndarray, gram: np.ndarray, iterations: int) -> np.ndarray:
+    """Non-negative weights of each row given V H' and H H', by multiplicative updates from an even start."""
+    w = np.full(top.shape, 0.5)
+    for _ in range(iterations):
+        w *= top / np.maximum(w @ gram, 1e-12)
+    return w
 
-def reconstruction_error(maps: DataFrame, weights: DataFrame, components: DataFrame, key: str) -> DataFrame:
-    """One row: squared error over all cells, zeros included, without expanding them.
 
-    |V - WH|^2 = |V|^2 - 2 <V, WH> + sum of (W'W) * (HH'): the last term needs factor moments only.
+def fit_styles(
+    maps: DataFrame, key: str, ranks: list[int], sweeps: int = 200, tol: float = 1e-4, inner: int = 100, seed: int = 0
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Non-negative factors of the maps for several ranks at once: (weights, components, errors).
+
+    weights (rank, key, w array summing to 1), components (rank, cell, h array), errors (rank, error:
+    the norm of what is not explained, zero cells included). A map stays one row with its key, of any
+    type; a sweep sends up only sums of rank x cells and rank x rank numbers, which update the
+    components. Sweeps end when no rank's error falls by more than `tol` of itself.
     """
-    k = len(components.first()["h"])
-    v = maps.withColumn("v", F.col("density") * 100.0)
-    met = v.join(weights.select(key, "raw"), key).join(components, "cell")
-    dot = F.aggregate(F.zip_with("raw", "h", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    seen = met.agg(F.sum(F.col("v") * F.col("v") - 2 * F.col("v") * dot).alias("s"))
+    import pandas as pd
 
-    def moments(df: DataFrame, c: str) -> DataFrame:
-        return df.agg(F.array(*[F.sum(F.col(c)[i] * F.col(c)[j]) for i in range(k) for j in range(k)]).alias("m" + c))
+    spark = maps.sparkSession
+    per = cut_lineage(maps.groupBy(key).agg(F.collect_list(F.struct("cell", "density")).alias("m")))
+    rng = np.random.default_rng(seed)
+    h = {r: rng.random((r, CELLS)) + 0.1 for r in ranks}
+    last: dict[int, float] = {}
+
+    def sums(parts: dict[int, np.ndarray]):
+        def run(batches):
+            total = {r: np.zeros(r * CELLS + r * r + 1) for r in parts}
+            for b in batches:
+                v = _dense(b["m"], CELLS)
+                for r, own in parts.items():
+                    top, gram = v @ own.T, own @ own.T
+                    w = _mixes(top, gram, inner)
+                    ww = w.T @ w
+                    error = (v * v).sum() - 2 * (w * top).sum() + (ww * gram).sum()
+                    total[r] += np.concatenate([(w.T @ v).ravel(), ww.ravel(), [error]])
+            for r, x in total.items():
+                yield pd.DataFrame({"rank": [r], "x": [x]})
+
+        rows = per.select("m").mapInPandas(run, "rank int, x array<double>")
+        got = rows.select("rank", F.posexplode("x").alias("i", "v")).groupBy("rank", "i").agg(F.sum("v").alias("v")).toArrow()
+        out = {r: np.zeros(r * CELLS + r * r + 1) for r in parts}
+        rank, place, value = (got.column(c).to_numpy() for c in ("rank", "i", "v"))
+        for r in parts:
+            out[r][place[rank == r]] = value[rank == r]
+        return out
+
+    active = dict(h)
+    for _ in range(sweeps):
+        for r, x in sums(active).items():
+            error = float(np.sqrt(max(x[-1], 0.0)))
+            if r in last and last[r] - error <= tol * last[r]:
+                last[r] = error
+                del active[r]
+                continue
+            last[r] = error
+            up, ww = x[: r * CELLS].reshape(r, CELLS), x[r * CELLS : -1].reshape(r, r)
+            own = h[r]
+            for _ in range(10):
+                own = own * up / np.maximum(ww @ own, 1e-12)
+            h[r] = active[r] = own
+        if not active:
+            break
+    kind = maps.schema[key].dataType.simpleString()
+
+    def solve(batches):
+        for b in batches:
+            v = _dense(b["m"], CELLS)
+            for r, own in h.items():
+                w = _mixes(v @ own.T, own @ own.T, inner)
+                w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
+                yield pd.DataFrame({"rank": r, key: b[key], "w": list(w)})
 
-    both = attach(attach(seen, moments(weights, "raw"), [], ["mraw"]), moments(components, "h"), [], ["mh"])
-    cross = F.aggregate(F.zip_with("mraw", "mh", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return both.select((F.col("s") + cross).alias("error"))
+    weights = per.mapInPandas(solve, f"rank int, {key} {kind}, w array<double>")
+    rows = [(r, c, own[:, c].tolist()) for r, own in h.items() for c in range(CELLS)]  # one row per rank and grid cell
+    components = spark.createDataFrame(rows, "rank int, cell int, h array<double>")
+    errors = spark.createDataFrame([(r, last[r]) for r in ranks], "rank int, error double")
+    return weights, components, errors
 
 
 def describe_styles(components: DataFrame) -> DataFrame:
@@ -183,27 +227,16 @@ def project_styles(maps: DataFrame, components: DataFrame, key: str, iterations:
 
     The component table has one row per grid cell, a fixed number, so it travels with the task.
     """
-    import numpy as np
     import pandas as pd
 
     rows = components.orderBy("cell").collect()  # one row per grid cell
     h = np.array([r["h"] for r in rows], dtype=float).T
-    cells = {r["cell"]: i for i, r in enumerate(rows)}
-    gram = h @ h.T
     per = maps.groupBy(key).agg(F.collect_list(F.struct("cell", "density")).alias("m"))
     kind = maps.schema[key].dataType.simpleString()
 
     def solve(batches):
         for b in batches:
-            v = np.zeros((len(b), h.shape[1]))
-            for i, cellset in enumerate(b["m"]):
-                for c in cellset:
-                    if c["cell"] in cells:
-                        v[i, cells[c["cell"]]] = c["density"] * 100.0
-            top = v @ h.T
-            w = np.full((len(b), h.shape[0]), 0.5)
-            for _ in range(iterations):
-                w *= top / np.maximum(w @ gram, 1e-12)
+            w = _mixes(_dense(b["m"], h.shape[1]) @ h.T, h @ h.T, iterations)
             w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
             yield pd.DataFrame({key: b[key], "w": list(w)})
 

@@ -541,22 +541,33 @@ def _(t):
 
 @query(
     "app6_trade_calculator",
-    """SELECT key, va, vb, CASE WHEN va >= vb THEN 'A' ELSE 'B' END AS winner FROM (SELECT l_orderkey AS key, sum(CASE WHEN l_linestatus = 'F' THEN value ELSE 0 END) AS va,
-      sum(CASE WHEN l_linestatus = 'O' THEN value ELSE 0 END) AS vb FROM (SELECT DISTINCT l_orderkey, l_linestatus, p_size FROM lineitem JOIN part ON p_partkey = l_partkey)
-      JOIN (SELECT slot, round(100 * average / first_value(average) OVER (ORDER BY slot), 6) AS value FROM curve) ON slot = p_size GROUP BY 1)""",
-    "curve", rnd="va vb", places=7,
+    """WITH chart AS (SELECT slot, round(100 * average / first_value(average) OVER (ORDER BY slot), 6) AS value FROM curve),
+    sides AS (SELECT l_orderkey AS key, round(sum(CASE WHEN l_linestatus = 'F' THEN value ELSE 0 END), 4) AS va,
+      round(sum(CASE WHEN l_linestatus = 'O' THEN value ELSE 0 END), 4) AS vb
+      FROM (SELECT DISTINCT l_orderkey, l_linestatus, p_size FROM lineitem JOIN part ON p_partkey = l_partkey) JOIN chart ON slot = p_size GROUP BY 1),
+    gaps AS (SELECT *, round(abs(va - vb), 4) AS diff FROM sides)
+    SELECT key, va, vb, diff, CASE WHEN diff = 0 THEN 'even' WHEN va > vb THEN 'A' ELSE 'B' END AS winner,
+      (SELECT min(slot) FROM chart WHERE chart.value <= diff) AS worth_slot FROM gaps""",
+    "curve", ints="worth_slot", rnd="va:4 vb:4 diff:4",
 )
 def _(t):
+    """Value of both sides on the chart, the difference, the first slot it is worth, and who gives less."""
     curve = typical_curve(t)
     top = curve.orderBy("slot").limit(1).select("average").scalar()
     chart = curve.withColumn("_t", top).select("slot", F.round(100 * k("average") / k("_t"), 6).alias("value"))
     sides = t.lineitem.join(t.part.select(k("p_partkey").alias("l_partkey"), k("p_size").alias("slot")), "l_partkey")
     sides = sides.select(k("l_orderkey").alias("key"), "l_linestatus", "slot").distinct().join(chart, "slot")
+    # Rounded before they are compared: equal sides are even in whatever order they were added.
     g = sides.groupBy("key").agg(
-        F.sum(F.when(k("l_linestatus") == "F", k("value")).otherwise(0.0)).alias("va"),
-        F.sum(F.when(k("l_linestatus") == "O", k("value")).otherwise(0.0)).alias("vb"),
+        F.round(F.sum(F.when(k("l_linestatus") == "F", k("value")).otherwise(0.0)), 4).alias("va"),
+        F.round(F.sum(F.when(k("l_linestatus") == "O", k("value")).otherwise(0.0)), 4).alias("vb"),
+    ).withColumn("diff", F.round(F.abs(k("va") - k("vb")), 4))
+    packed = chart.agg(F.array_sort(F.collect_list(F.struct("slot", "value")))).scalar()  # one entry per slot
+    worth = F.filter("_c", lambda s: s["value"] <= k("diff"))
+    winner = F.when(k("diff") == 0, "even").when(k("va") > k("vb"), "A").otherwise("B")
+    return g.withColumn("_c", packed).select(
+        "key", "va", "vb", "diff", winner.alias("winner"), F.try_element_at(worth, F.lit(1))["slot"].alias("worth_slot")
     )
-    return g.withColumn("winner", F.when(k("va") >= k("vb"), "A").otherwise("B"))
 
 
 VERDICTS = ["worth it", "even", "not worth it"]

@@ -323,13 +323,13 @@ def _(t):
 
 @query(
     "agg10_weighted_mean",
-    """SELECT entity, sum(value * (minutes + 1)) / nullif(sum(minutes + 1), 0) AS wmean, sum(starts) / nullif(sum(games), 0) AS availability
+    """SELECT entity, sum(value * minutes) / nullif(sum(minutes), 0) AS wmean, sum(starts) / nullif(sum(games), 0) AS availability
     FROM panel GROUP BY 1""",
-    "panel", rnd="wmean availability",
+    "panel", rnd="wmean:6 availability",
 )
 def _(t):
     return t.panel.groupBy("entity").agg(
-        A.weighted_mean("value", k("minutes") + 1).alias("wmean"),
+        A.weighted_mean("value", "minutes").alias("wmean"),
         F.try_divide(F.sum("starts"), F.sum("games")).alias("availability"),
     )
 

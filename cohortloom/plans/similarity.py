@@ -126,27 +126,41 @@ def _(t):
     return d.select("fold", "id", "rank", sim.alias("similarity"), (k("distance") >= 1000).alias("low_overlap"))
 
 
+def each_fold(build):
+    """One result of `build(fold)` per fold, with the fold as a key."""
+    parts = [build(f).withColumn("fold", F.lit(f)) for f in FOLDS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("sim6_learned_weights")
 def _(t):
-    """Weights from a ridge fit on the last fold's training rows, then weighted neighbours."""
+    """Weights from a ridge fit on each fold's training rows, then weighted neighbours."""
     train, _ = fold_rows(t)
-    tr = train.where(k("fold") == FOLDS[-1])
-    w = NB.ridge_weights(tr, FEATURES, "y", [10 ** (-1 + 4 * i / 19) for i in range(20)])
     subj, pool = spaces(t)
-    last = k("fold") == FOLDS[-1]
-    return NB.nearest(subj.where(last), pool.where(last), NB.Space(weights=w), 10, ["fold"], "id").select(
-        "fold", "id", "rank", "neighbour", F.round("distance", 5).alias("distance")
-    )
+
+    def one(fold):
+        at = k("fold") == fold
+        w = NB.ridge_weights(train.where(at), FEATURES, "y", [10 ** (-1 + 4 * i / 19) for i in range(20)])
+        return NB.nearest(subj.where(at), pool.where(at), NB.Space(weights=w), 10, ["fold"], "id")
+
+    return each_fold(one).select("fold", "id", "rank", "neighbour", F.round("distance", 5).alias("distance"))
 
 
 @query("sim7_tree_proximity")
 def _(t):
     train, test = fold_rows(t)
-    last = k("fold") == FOLDS[-1]
-    tr, te = train.where(last).fillna(0.0, FEATURES), test.where(last).fillna(0.0, FEATURES)
-    n = TR.tree_neighbours(tr, te, FEATURES, "y", 30, "id")
-    grids = FC.neighbour_grids(n.withColumn("fold", F.lit(FOLDS[-1])), tr.select("id", "y"), ["fold"], "y")
-    return grids.join(te.select("id", "y"), "id").select("id", F.round(G.crps("y", "grid"), 6).alias("crps"))
+
+    def one(fold):
+        at = k("fold") == fold
+        tr, te = train.where(at).fillna(0.0, FEATURES), test.where(at).fillna(0.0, FEATURES)
+        n = TR.tree_neighbours(tr, te, FEATURES, "y", 30, "id")
+        grids = FC.neighbour_grids(n.withColumn("fold", F.lit(fold)), tr.select("id", "y"), ["fold"], "y")
+        return grids.join(te.select("id", "y"), "id").select("id", F.round(G.crps("y", "grid"), 6).alias("crps"))
+
+    return each_fold(one)
 
 
 CTES["gpairs"] = (
@@ -174,15 +188,18 @@ def _(t):
     def half(df, lo, n):
         return df.withColumn("vec", F.slice("vec", lo + 1, n))
 
-    meds = []
+    found = []
     for lo, space in ((0, a), (2, b)):
         c = NB.distance_counts(half(subj, lo, 2), half(pool, lo, 2), space, ["fold"], per_subject=False, below=1000.0)
-        meds.append(RK.quantile_rows(c, "distance", [0.5], ["fold"], weight="n").where(k("fold") == FOLDS[-1]).first()["quantile"])
-    mix = NB.Space(parts=[(0, 2, 0.5 / meds[0], a), (2, 4, 0.5 / meds[1], b)])
-    last = k("fold") == FOLDS[-1]
-    return NB.nearest(subj.where(last), pool.where(last), mix, 10, ["fold"], "id").select(
-        "fold", "id", "rank", "neighbour", F.round("distance", 6).alias("distance")
-    )
+        rows = RK.quantile_rows(c, "distance", [0.5], ["fold"], weight="n").collect()  # one row per fold
+        found.append({r["fold"]: r["quantile"] for r in rows})
+
+    def one(fold):
+        at = k("fold") == fold
+        mix = NB.Space(parts=[(0, 2, 0.5 / found[0][fold], a), (2, 4, 0.5 / found[1][fold], b)])
+        return NB.nearest(subj.where(at), pool.where(at), mix, 10, ["fold"], "id")
+
+    return each_fold(one).select("fold", "id", "rank", "neighbour", F.round("distance", 6).alias("distance"))
 
 
 def vectors(t):
@@ -264,7 +281,7 @@ KERNEL_SQL = "(VALUES " + ", ".join(f"({o}, {w!r})" for o, w in SP.kernel()) + "
 CTES["mapped"] = (
     f"""SELECT key, ix * 35 + iy + 4 AS cell, n / sum(n) OVER (PARTITION BY key) AS density FROM (
       SELECT key, ix, iy + o AS iy, sum(n * w) AS n FROM (SELECT key, ix + o AS ix, iy, sum(n * w) AS n FROM (
-        SELECT id % 50 AS key, CAST(floor(abs(sx) + 0.5) AS INT) AS ix, CAST(floor(sy + 0.5) AS INT) AS iy, count(*) AS n FROM {_XY}
+        SELECT id AS key, CAST(floor(abs(sx) + 0.5) AS INT) AS ix, CAST(floor(sy + 0.5) AS INT) AS iy, count(*) AS n FROM {_XY}
         WHERE sx IS NOT NULL GROUP BY 1, 2, 3), {KERNEL_SQL} WHERE ix BETWEEN 0 AND 25 AND iy BETWEEN -4 AND 30 AND ix + o BETWEEN 0 AND 25 GROUP BY 1, 2, 3), {KERNEL_SQL}
       WHERE iy + o BETWEEN -4 AND 30 GROUP BY 1, 2, 3)""",
     ["shots"],
@@ -272,7 +289,7 @@ CTES["mapped"] = (
 
 
 def maps(t):
-    s = court_shots(t).where("xy_valid").withColumn("key", F.pmod("id", F.lit(50)).cast("int"))
+    s = court_shots(t).where("xy_valid").withColumnRenamed("id", "key")
     return t.stage("maps", lambda: SP.density_maps(s, "key", "sx", "sy"))
 
 
@@ -281,28 +298,39 @@ def _(t):
     return maps(t)
 
 
-def styles(t, rank=4):
-    def build(i):
-        return lambda: SP.fit_styles(maps(t), "key", rank, 8)[i]
+STYLES, RANKS = 6, list(range(2, 11))
+
+
+def style_fits(t):
+    """Weights, components and errors of all ranks, fitted together."""
+    made = {}
+
+    def part(i):
+        def build():
+            if not made:
+                made["fits"] = SP.fit_styles(maps(t), "key", RANKS)
+            return made["fits"][i]
+
+        return build
+
+    return tuple(t.stage(f"style_{n}", part(i)) for i, n in enumerate(("weights", "components", "errors")))
+
 
-    return t.stage(f"style_weights_{rank}", build(0)), t.stage(f"style_components_{rank}", build(1))
+def styles(t):
+    w, h, _ = style_fits(t)
+    return w.where(k("rank") == STYLES).drop("rank"), h.where(k("rank") == STYLES).drop("rank")
 
 
 @query("map2_style_factors")
 def _(t):
+    """Shares of the styles per entity; each row sums to 1 (checked in tests with the error of the fit)."""
     w, _ = styles(t)
-    return w.select("key", *[F.round(k("w")[i], 4).alias(f"style_{i}") for i in range(4)])
+    return w.select("key", *[F.round(k("w")[i], 4).alias(f"style_{i}") for i in range(STYLES)])
 
 
 @query("map3_choose_rank")
 def _(t):
-    m = maps(t)
-    curve = None
-    for rank in (2, 3, 4):
-        w, h = styles(t, rank)
-        e = SP.reconstruction_error(m, w, h, "key").select(F.lit(rank).alias("k"), F.sqrt(F.greatest("error", F.lit(0.0))).alias("error"))
-        curve = e if curve is None else curve.unionByName(e)
-    return SP.elbow(curve, "k", "error")
+    return SP.elbow(style_fits(t)[2].withColumnRenamed("rank", "k"), "k", "error")
 
 
 @query("map4_style_labels")
@@ -314,7 +342,7 @@ def _(t):
 @query("map5_project_styles")
 def _(t):
     p = SP.project_styles(maps(t), styles(t)[1], "key")
-    return p.select("key", *[F.round(k("w")[i], 4).alias(f"style_{i}") for i in range(4)])
+    return p.select("key", *[F.round(k("w")[i], 4).alias(f"style_{i}") for i in range(STYLES)])
 
 
 @query("map6_style_layout")
@@ -328,13 +356,16 @@ def _(t):
     top = (F.array_position("w", F.array_max("w")) - 1).cast("int")
     v = w.select("key", "w", top.alias("style"), array_to_vector("w").alias("x"))
     xy = PCA(k=2, inputCol="x", outputCol="p").fit(v).transform(v).withColumn("p", vector_to_array("p"))
-    s = court_shots(t).where("xy_valid").withColumn("key", F.pmod("id", F.lit(50)).cast("int"))
+    s = court_shots(t).where("xy_valid").withColumnRenamed("id", "key")
     axes = A.value_shares(s, ["key"], "zone", X.ZONES, "zone_").select(
         "key", k("zone_rim").alias("rim_share"), (k("zone_corner_three") + k("zone_above_break_three")).alias("three_share")
     )
-    out = xy.join(labels, "style").join(axes, "key")
+    rim = k("zone") == "rim"
+    made = s.groupBy("key").agg(A.share(F.when(rim, k("made"))).alias("rim_made"))
+    out = xy.join(labels, "style").join(axes, "key").join(made, "key")
     return out.select(
-        "key", "label", *[F.round(c, 4).alias(n) for c, n in ((k("p")[0], "x"), (k("p")[1], "y"), (k("rim_share"), "rim_share"), (k("three_share"), "three_share"))]
+        "key", "label", *[F.round(c, 4).alias(n) for c, n in (
+            (k("p")[0], "x"), (k("p")[1], "y"), (k("rim_share"), "rim_share"), (k("three_share"), "three_share"), (k("rim_made"), "rim_made"))]
     )
 
 
@@ -356,19 +387,22 @@ def _(t):
 
 @query("sta26_spatial_features")
 def _(t):
-    """Forest with style weights refitted on the fold's training cohorts; null without a map."""
+    """Forest with style weights refitted on each fold's training cohorts; null without a map."""
     train, test = fold_rows(t)
-    last = k("fold") == FOLDS[-1]
     s = court_shots(t).where("xy_valid").join(t.ent.select(k("entity").alias("id"), "cohort"), "id")
     # Shots up to the cohort year only; entities map to a style by their own points.
     s = s.where(k("season") <= k("cohort") + 1)
-    m = SP.density_maps(s.withColumn("key", k("id").cast("int")), "key", "sx", "sy")
-    ids = train.where(last).select(k("id").cast("int").alias("key"))
-    known = t.stage("fold_maps", lambda: m)
-    _, h = SP.fit_styles(known.join(ids, "key", "left_semi"), "key", 2, 3)
-    w = SP.project_styles(known, h, "key", 50).select(k("key").cast("long").alias("id"), k("w")[0].alias("s0"), k("w")[1].alias("s1"))
-    cols = [*FEATURES, "s0", "s1"]
-    tr = train.where(last).join(w, "id", "left").fillna(0.0, cols)
-    te = test.where(last).join(w, "id", "left").fillna(0.0, cols)
-    q = TR.forest_quantiles(tr, te, cols, "y", trees=10)
-    return q.join(te.select("id", "y"), "id").select("id", F.round(G.crps("y", "grid"), 6).alias("crps"))
+    known = t.stage("fold_maps", lambda: SP.density_maps(s.withColumnRenamed("id", "key"), "key", "sx", "sy"))
+    cols = [*FEATURES, *[f"s{i}" for i in range(STYLES)]]
+
+    def one(fold):
+        at = k("fold") == fold
+        ids = train.where(at).select(k("id").alias("key"))
+        _, h, _ = SP.fit_styles(known.join(ids, "key", "left_semi"), "key", [STYLES])
+        w = SP.project_styles(known, h, "key").select(k("key").alias("id"), *[k("w")[i].alias(f"s{i}") for i in range(STYLES)])
+        tr = train.where(at).join(w, "id", "left").fillna(0.0, cols)
+        te = test.where(at).join(w, "id", "left").fillna(0.0, cols)
+        q = TR.forest_quantiles(tr, te, cols, "y")
+        return q.join(te.select("id", "y"), "id").select("id", F.round(G.crps("y", "grid"), 6).alias("crps"))
+
+    return each_fold(one)

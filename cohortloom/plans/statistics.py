@@ -30,7 +30,7 @@ from .registry import query
 from .relational import slot_curve
 
 k = F.col
-REPS = 40
+REPS = 2000
 TAUS_SQL = "[0.0, " + LEVELS_SQL[1:-1] + ", 1.0]"
 
 
@@ -138,11 +138,11 @@ def _(t):
 
 @query(
     "sta4_minutes_shrink",
-    "SELECT entity, n, (value * minutes - 2 * 501) / (minutes + 501) AS shrunk FROM panel",
+    "SELECT entity, n, (value * minutes - 2 * 500) / (minutes + 500) AS shrunk FROM panel",
     "panel", ints="n", rnd="shrunk",
 )
 def _(t):
-    return t.panel.select("entity", "n", R.shrink_to("value", "minutes", -2.0, 501).alias("shrunk"))
+    return t.panel.select("entity", "n", R.shrink_to("value", "minutes", -2.0, 500).alias("shrunk"))
 
 
 @query("sta5_season_blend", "SELECT entity, period, value, value_extra FROM vals", "vals", ints="period", rnd="value value_extra")
@@ -468,10 +468,19 @@ def forest(t, features, fold):
     return te, TR.forest_quantiles(tr, te, features, "y").join(te.select("id", "y"), "id")
 
 
+def every_fold(build):
+    """One result of `build(fold)` per fold, with the fold as a key."""
+    parts = [build(f).withColumn("fold", F.lit(f)) for f in FOLDS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("sta24_forest_quantiles")
 def _(t):
-    _, q = forest(t, FEATURES, 1998)
-    return q.select("id", F.round(G.crps("y", "grid"), 6).alias("crps"), *[c.alias(n) for n, c in G.to_columns("grid").items()])
+    q = every_fold(lambda fold: forest(t, FEATURES, fold)[1])
+    return q.select("fold", "id", F.round(G.crps("y", "grid"), 6).alias("crps"), *[c.alias(n) for n, c in G.to_columns("grid").items()])
 
 
 @query(
@@ -491,11 +500,14 @@ def _(t):
 @query("sta27_confirmation_test")
 def _(t):
     """Does f2 explain the residual of a forest without it, and does adding it lower the CRPS?"""
-    te, base = forest(t, ["f1", "f4"], 1998)
-    _, plus = forest(t, ["f1", "f2", "f4"], 1998)
-    d = base.select("id", "y", k("grid").alias("gb")).join(plus.select("id", k("grid").alias("gp")), "id").join(te.select("id", "f2"), "id")
+    def one(fold):
+        te, base = forest(t, ["f1", "f4"], fold)
+        _, plus = forest(t, ["f1", "f2", "f4"], fold)
+        return base.select("id", "y", k("grid").alias("gb")).join(plus.select("id", k("grid").alias("gp")), "id").join(te.select("id", "f2"), "id")
+
+    d = t.stage("confirmation_rows", lambda: every_fold(one))
     d = d.withColumns({"resid": k("y") - G.at_level("gb", G.MEDIAN), "diff": G.crps("y", "gp") - G.crps("y", "gb")})
-    reps = RS.with_replicates(d.select("id", "f2", "resid"), "id", REPS)
+    reps = RS.with_replicates(d.select("id", "f2", "resid"), "id", 1000)
     rho = RS.interval(AS.spearman(reps, "f2", "resid", ["rep"], "w"), [], "rho", "rho_lo", "rho_hi")
     gain = RS.bootstrap_mean(d, "id", ["diff"], [], REPS)
     out = RK.attach(gain, rho, [], ["rho_lo", "rho_hi"])
@@ -553,7 +565,7 @@ def validation(t):
 @query("sta30_validation_intervals")
 def _(t):
     """Bootstrap intervals of the AUC per candidate, and of its difference from `peak`."""
-    reps = RS.with_replicates(candidates(t), "entity", 20)
+    reps = RS.with_replicates(candidates(t), "entity", 1000)
     a = AS.auc(reps, "v", "hit", ["cand", "rep"], "w").drop("n")
     base = a.where("cand = 'peak'").select("rep", k("auc").alias("b"))
     a = a.join(base, "rep").withColumn("diff", k("auc") - k("b"))
@@ -691,22 +703,15 @@ def _(t):
     return est.select(*[F.round(c, 5).alias(c) for c in ("diff", "risk_ratio", "raw_diff")], "n_used", F.round(CA.e_value(k("risk_ratio")), 5).alias("e_value"))
 
 
+PROPENSITY_REPS = 300
+
+
 @query("sta36_propensity_intervals")
 def _(t):
-    """Weighted difference over replicates: the propensity model is refitted with the resample weights."""
-    d = treated(t)
-    out = None
-    for rep in range(1, 4):
-        w = d.withColumn("w", RS.poisson_weight(k("entity"), F.lit(rep)).cast("double")).where("w > 0")
-        e = CA.propensity(w, FEATURES, "treated", "w")
-        e = CA.stabilised(e.where("e > 0.05 AND e < 0.95"), "treated", weight="w")
-        g = k("ipw") * k("w")
-        est = e.agg(
-            (F.sum(F.when(k("treated"), k("pit") * g)) / F.sum(F.when(k("treated"), g))
-             - F.sum(F.when(~k("treated"), k("pit") * g)) / F.sum(F.when(~k("treated"), g))).alias("diff")
-        ).withColumn("rep", F.lit(rep))
-        out = est if out is None else out.unionByName(est)
-    return out.select("rep", F.round("diff", 5).alias("diff"))
+    """Interval of the weighted difference over replicates, the propensity model refitted in each."""
+    d = t.stage("treated", lambda: treated(t)).withColumn("_label", k("treated").cast("double"))
+    fits = CA.propensity_replicates(d, FEATURES, "treated", "pit", "entity", PROPENSITY_REPS)
+    return RS.interval(fits, [], "diff", "lo", "hi").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
 
 
 @query(
@@ -723,18 +728,18 @@ def _(t):
 
 @query("sta38_overperformance")
 def _(t):
-    """Out-of-fold prediction of the PIT by cohort folds, with a permutation p value."""
+    """Out-of-fold prediction of the PIT by five cohort folds, with a permutation p value."""
     d = with_pit(t).select("entity", "cohort", "pit").join(feats(t).select("entity", *FEATURES), "entity").fillna(0.0, FEATURES)
-    d = d.withColumn("g", F.pmod("cohort", F.lit(3)))
+    d = d.withColumn("g", F.pmod("cohort", F.lit(5)))
     oof = None
-    for g in range(3):
+    for g in range(5):
         pred, _ = TR.boosted(d.where(k("g") != g), d.where(k("g") == g), FEATURES, "pit")
         part = pred.select("entity", "pit", "prediction")
         oof = part if oof is None else oof.unionByName(part)
     # A permutation pairs each prediction with the outcome at a shuffled position of a hashed order.
     rho = AS.spearman(oof, "prediction", "pit")
     sst = oof.agg((1 - F.sum(F.pow(k("pit") - k("prediction"), F.lit(2))) / (F.var_pop("pit") * F.count(F.lit(1)))).alias("r2"))
-    keys = oof.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn(
+    keys = oof.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(500)))).withColumn(
         "h1", F.xxhash64("entity", "rep")
     ).withColumn("h2", F.xxhash64(F.lit(7), "entity", "rep"))
     a = RK.with_ranks(keys.select("rep", "h1", "prediction"), "h1", ["rep"], min_rank="at").select("rep", "at", "prediction")

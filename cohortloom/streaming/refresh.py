@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,25 +37,37 @@ def refresh_partitions(
     Each micro-batch is pre-aggregated, merged with the partitions it touches and written over
     them only. `merge` maps a measure to the function that combines two partial values (F.sum,
     F.max, ...). A batch seen twice after a failure is recognised by the batch id stored with
-    each row, so a replay leaves the table unchanged.
+    each row, partition by partition: a replay finishes what is missing and leaves the rest. A
+    table that cannot be read is an error, and nothing is written.
     """
     spark = stream.sparkSession
 
+    def held(touched: list) -> DataFrame | None:
+        try:
+            return spark.read.parquet(table).where(F.col(partition).isin(touched))
+        except AnalysisException as e:  # no table yet; any other failure must not pass for an empty table
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def upsert(batch: DataFrame, batch_id: int) -> None:
         part = batch.groupBy(partition, *keys).agg(*[f(m).alias(m) for m, f in merge.items()])
         touched = [r[0] for r in part.select(partition).distinct().collect()]  # a few partitions
         if not touched:
             return
-        try:
-            old = spark.read.parquet(table).where(F.col(partition).isin(touched))
-        except Exception:  # first batch: no table yet
-            old = None
+        old = held(touched)
         if old is not None:
-            if not old.where(F.col("_batch") >= batch_id).isEmpty():
-                return  # replay of a batch that was already merged
+            # A batch that came to some of its partitions before it failed goes on with the others.
+            done = old.where(F.col("_batch") >= batch_id).select(partition).distinct().collect()
+            seen = [r[0] for r in done]
+            if len(seen) == len(touched):
+                return
+            part = part.where(~F.col(partition).isin(seen)) if seen else part
+            old = old.where(~F.col(partition).isin(seen)) if seen else old
             part = old.drop("_batch").unionByName(part).groupBy(partition, *keys).agg(
                 *[f(m).alias(m) for m, f in merge.items()]
             )
+        # Staged, because the table that is overwritten is read here too.
         staged = f"{state}/staged/{batch_id}"
         part.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").partitionBy(partition).parquet(staged)
         (

@@ -1,14 +1,16 @@
 import pytest
 
-from cohortloom.session import build_session
+from cohortloom.session import build_session, ship_package
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     yield s
     s.stop()

@@ -60,7 +60,7 @@ def main(argv: list[str]) -> int:
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session(
         master="local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
            "spark.sql.autoBroadcastJoinThreshold": os.environ.get("BCAST", "10MB")},
     )
     spark.sparkContext.setLogLevel("ERROR")
