@@ -27,6 +27,7 @@ RECORD_URN, NULL_URN = "urn:x-record:", "urn:x-null-record:"
 #: Longest record header accepted while looking for members.
 HEADER_LIMIT = 65_536
 CHUNK = 1 << 20
+MAX_TASKS = 100_000
 
 
 def classify(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = 100) -> DataFrame:
@@ -212,7 +213,10 @@ def read_archives(
     """
     ranges = files.where(F.col("n_bytes") > 0).select(
         "path", "n_bytes", F.explode(F.sequence(F.lit(0), F.col("n_bytes") - 1, F.lit(range_bytes))).alias("start")
-    ).repartition(F.col("path"), F.col("start"))
+    )
+    # Ranges are a few bytes each but stand for much reading: the number of tasks is set, not left to their size.
+    n_ranges = files.agg(F.sum(F.ceil(F.col("n_bytes") / range_bytes))).first()[0] or 1
+    ranges = ranges.repartition(min(int(n_ranges), MAX_TASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
