@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, path_exists, slices
+from ..session import scratch
+from .common import batch, path_exists, slices, stage
 
 #: The characters that Unicode calls white space.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -122,10 +123,12 @@ def count_tokens(
         .select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
         .write.mode("append").parquet(cache_dir)
     )
-    # Runs that share a cache may both have added a content: one row per digest all the same.
-    counts = (
+    # Runs that share a cache may both have added a content: one row per digest all the same. Written
+    # out, so that the join reads it plainly and a digest with very many rows can be split.
+    counts = stage(
         spark.read.schema(CACHE).parquet(cache_dir).where(F.col("tokenizer_digest") == version)
-        .groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+        .groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")),
+        scratch(spark, "token-counts"),
     )
     rows = keyed.select("id", "content_digest", F.octet_length("content").cast("bigint").alias("n_bytes"))
     return rows.join(counts, "content_digest").select(
