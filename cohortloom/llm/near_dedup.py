@@ -195,7 +195,7 @@ class _Linker:
         if self.sets is not None:
             nodes = nodes.join(self.sets, "node", "left_anti")
         need = stage(nodes.join(self.classes.select("node", "text_key"), "node"), f"{self.folder}/need-{self.calls}")
-        if not need.isEmpty():
+        if self.sets is None or not need.isEmpty():
             texts = self.docs.join(need, "text_key").dropDuplicates(["text_key"])
             made = texts.select("text_key", "text").mapInArrow(_sets(self.plan), "text_key binary, shingles array<bigint>")
             made = stage(made.join(need, "text_key").select("node", "shingles"), f"{self.folder}/sets-{self.calls}")

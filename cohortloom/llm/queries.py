@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, language_id, mixing, near_dedup, ngram_lm, quality_rules, suffix_dedup, token_counts, warc
+from . import decontaminate, language_id, license_scan, mixing, near_dedup, ngram_lm, quality_rules, suffix_dedup, token_counts, warc
 from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,21 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM n LEFT JOIN rest USING (r) LEFT JOIN sums USING (r)""")
 def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"], digest=True)
+
+
+@query("op2_license_scan")
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL. Checked against a brute-force version (tests/llm).
+
+    Documents have no paths: they are laid out as source/lang/thousand/hundred/id.txt, and a text whose
+    first line speaks of a licence is the licence file of source/lang/thousand.
+    """
+    docs = table(spark, sf_dir, "documents")
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).rlike("(?i)licen[cs]e")
+    number = F.coalesce("doc_id", F.lit(-1))
+    top = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(number / 1000).cast("string"))
+    name = number.cast("string")
+    path = F.when(first, F.concat(top, F.lit("/LICENSE-"), name)).otherwise(
+        F.concat(top, F.lit("/"), F.floor(number / 100).cast("string"), F.lit("/"), name, F.lit(".txt")))
+    found = license_scan.scan(docs.select(path.alias("path"), "text"))
+    return found.withColumn("doc_id", F.regexp_extract("path", r"(-?[0-9]+)(\.txt)?$", 1).cast("bigint"))
