@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import io
+import os
+import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +81,34 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def write_array(folder: str, a: np.ndarray) -> str:
+    """Write an array to a file of its own in `folder` of the shared store; its path."""
+    system, root = store(folder)
+    system.create_dir(root, recursive=True)
+    name = f"{uuid.uuid4().hex}.npy"
+    held = io.BytesIO()
+    np.save(held, a)
+    with system.open_output_stream(f"{root}/{name}", compression=None) as out:
+        out.write(held.getbuffer())
+    return f"{folder}/{name}"
+
+
+@lru_cache(maxsize=100_000)
+def mapped(path: str) -> np.ndarray:
+    """The array of a file, mapped into memory; files of a remote store are copied to the worker's disk first."""
+    system, name = store(path)
+    if type(system).__name__ != "LocalFileSystem":
+        local = os.path.join(tempfile.gettempdir(), "array-" + os.path.basename(name))
+        if not os.path.exists(local):
+            part = f"{local}.{os.getpid()}"
+            with system.open_input_stream(name) as src, open(part, "wb") as dst:
+                while data := src.read(1 << 22):
+                    dst.write(data)
+            os.replace(part, local)
+        name = local
+    return np.load(name, mmap_mode="r").view(np.ndarray)  # plain slices of mapped memory
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

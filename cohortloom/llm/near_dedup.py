@@ -7,15 +7,19 @@ probability below `miss`. The signature is split into chunks: by pigeonhole a pa
 distance has a chunk with at most `plan.errors` differing minima, and all ways of leaving that many
 out of a chunk are enumerated as keys. So every pair within the distance shares a key.
 
-Classes of a key are first linked to the smallest one, never to each other, so a key that holds many
-copies costs one pair each. Only classes that are then still in different components are paired
-beyond that. Every link is confirmed on the full shingle sets.
+Tasks get the classes of a key together, compare their signatures, and confirm what is within the
+distance on the full shingle sets, unless the pair hangs together already. A pair is looked at under
+the first key that it shares only. What leaves a task are links that join two groups, so a key that
+holds many copies gives no more rows than it has classes. Signatures and sets lie in the shared
+folder as arrays by class and are mapped into memory, so that a class has one row per key, not one
+copy of its set per key. Keys with very many classes are cut into tiles that share some classes; tiles
+meet each other only if their classes are still apart after that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 from math import comb
 
@@ -25,9 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import scratch
-from .common import mix64, stage, word_bytes
+from .common import mapped, mix64, release, stage, word_bytes, write_array
 
 
 @dataclass(frozen=True)
@@ -61,14 +66,32 @@ class Plan:
         """Differing minima that some chunk of a pair within the distance never exceeds."""
         return self.distance // self.chunks
 
-    def keys(self, sig: Column) -> Column:
-        """Hashes of what stays of each chunk when `errors` of its minima are left out, in every way."""
+    @property
+    def ways(self) -> list[tuple[int, list[list[int]]]]:
+        """(chunk, places that stay of it) for all ways of leaving `errors` of its minima out."""
         out = []
         for c in range(self.chunks):
             places = range(c * self.chunk, min(self.hashes, (c + 1) * self.chunk))
-            for k, kept in enumerate(combinations(places, max(0, len(places) - self.errors))):
-                out.append(F.xxhash64(F.lit(c), F.lit(k), *[sig[i] for i in kept]))
-        return F.array(*out)
+            out.append((c, [list(x) for x in combinations(places, max(0, len(places) - self.errors))]))
+        return out
+
+    @property
+    def most_ways(self) -> int:
+        return comb(self.chunk, min(self.errors, self.chunk))
+
+    def keys(self, sig: Column) -> Column:
+        """Hashes of what stays of each chunk, for every chunk and way."""
+        return F.array(*[
+            F.xxhash64(F.lit(c), F.lit(k), *[sig[i] for i in kept]) for c, ways in self.ways for k, kept in enumerate(ways)])
+
+    def kind(self, place: Column) -> Column:
+        """Number of the chunk and way of the key at a place of `keys`."""
+        kinds = [c * self.most_ways + k for c, ways in self.ways for k in range(len(ways))]
+        return F.element_at(F.lit(kinds), place + 1)
+
+
+#: Classes that one file of arrays holds; classes of a large key that lie in all its tiles, about.
+SHARD_NODES, COMMON = 100_000, 16
 
 
 class _Hashes(dict):
@@ -128,16 +151,189 @@ def _signatures(plan: Plan, id_type: pa.DataType):
     return run
 
 
-def _sets(plan: Plan):
-    schema = pa.schema([("text_key", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+def _set_rows(plan: Plan):
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.uint64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for rb in batches:
             for s in range(0, rb.num_rows, 500):
                 part = rb.slice(s, 500)
-                sets = [shingle_set(word_bytes(t.as_py()), plan.words, hashes).view(np.int64) for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("text_key"), pa.array(sets, schema[1].type)], schema=schema)
+                sets = [shingle_set(word_bytes(t.as_py()), plan.words, hashes) for t in part.column("text")]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=schema.names)
+
+    return run
+
+
+@dataclass(frozen=True)
+class ByNode:
+    """Rows of variable length by node: per shard the sorted nodes, where their rows start, and all values."""
+
+    files: dict[int, tuple[str, str, str]] = field(hash=False)
+    shards: int = 1
+
+    def places(self, nodes: np.ndarray) -> list[tuple[int, int]]:
+        """(shard, place) of each node."""
+        shard = (nodes % self.shards).astype(np.int64)
+        place = np.zeros(len(nodes), np.int64)
+        for k in np.unique(shard):
+            at = shard == k
+            place[at] = np.searchsorted(mapped(self.files[int(k)][0]), nodes[at])
+        return list(zip(shard.tolist(), place.tolist(), strict=True))
+
+    def row(self, at: tuple[int, int]) -> np.ndarray:
+        _, starts, values = (mapped(f) for f in self.files[at[0]])
+        return values[starts[at[1]] : starts[at[1] + 1]]
+
+    def matrix(self, nodes: np.ndarray, width: int) -> np.ndarray:
+        """Rows of one width as a matrix."""
+        shard = nodes % self.shards
+        out = None
+        for k in np.unique(shard):
+            own, _, values = (mapped(f) for f in self.files[int(k)])
+            at = np.flatnonzero(shard == k)
+            rows = values.reshape(-1, width)[np.searchsorted(own, nodes[at])]
+            out = np.empty((len(nodes), width), values.dtype) if out is None else out
+            out[at] = rows
+        return np.zeros((0, width), np.uint16) if out is None else out
+
+
+def keep_by_node(rows: DataFrame, folder: str, shards: int, dtype: str) -> ByNode:
+    """Write (node, values array<bigint>) rows as arrays by node; `rows` has one row per node."""
+
+    def write(part: pa.Table) -> pa.Table:
+        nodes = part.column("node").to_numpy()
+        order = np.argsort(nodes)
+        lists = part.column("values").combine_chunks().take(pa.array(order))
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy()[starts[0] : starts[-1]]
+        kept = (nodes[order], starts - starts[0], values.view(np.uint64) if dtype == "uint64" else values.astype(dtype))
+        return pa.table({"shard": [int(nodes[0] % shards)], "files": [[write_array(folder, a) for a in kept]]})
+
+    placed = rows.withColumn("shard", F.pmod("node", F.lit(shards)))
+    done = placed.groupBy("shard").applyInArrow(write, "shard bigint, files array<string>")
+    done.write.parquet(f"{folder}/manifest")
+    got = rows.sparkSession.read.parquet(f"{folder}/manifest").collect()  # one row per shard
+    return ByNode({r.shard: tuple(r.files) for r in got}, shards)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], rows: int = 30_000) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups (equal key and tile) of a sorted partition, some groups at a time."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        new = [b.column(n).to_numpy(zero_copy_only=False) for n in names]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if len(held[0]) > rows:
+            turn = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))
+            if len(turn):
+                cut = turn[-1] + 1
+                yield [x[:cut] for x in held]
+                held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def _pairs(key: np.ndarray, tile: np.ndarray, at_once: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs inside groups of sorted rows, a bounded number at a time."""
+    n = len(key)
+    turn = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(tile) != 0)]))
+    end = np.repeat(np.append(turn[1:], n), np.diff(np.append(turn, n)))
+    many = end - np.arange(n) - 1
+    total = np.cumsum(many)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + at_once, side="right")))
+        left = np.repeat(np.arange(at, to), many[at:to])
+        nth = np.arange(len(left)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to])
+        yield left, left + 1 + nth
+        at = to
+
+
+def _close(block: list[np.ndarray], sigs: ByNode, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left, right, distance) places of pairs within the distance that are due under this key.
+
+    A row is (key, tile, kind, node, root, side); classes that hang together, or lie on one side where
+    sides are given, are no pair.
+    """
+    key, tile, kind, node, root, side = block
+    own, back = np.unique(node, return_inverse=True)
+    sig = sigs.matrix(own, plan.hashes)
+    chunk, way = kind // plan.most_ways, kind % plan.most_ways
+
+    def agree(left: np.ndarray, right: np.ndarray, places: list[int] | slice) -> np.ndarray:
+        return sig[back[left], places] == sig[back[right], places]
+
+    for left, right in _pairs(key, tile):
+        ok = (root[left] != root[right]) & ((side[left] < 0) | (side[left] != side[right])) & (node[left] != node[right])
+        left, right = left[ok], right[ok]
+        # A pair is due under its first key: no earlier chunk may agree, and no earlier way in this one.
+        for c, ways in plan.ways:
+            later = np.flatnonzero(chunk[left] > c)
+            if len(later):
+                span = slice(ways[0][0], ways[0][0] + len(set().union(*ways)))
+                same = agree(left[later], right[later], span).sum(axis=1) >= len(ways[0])
+                left, right = np.delete(left, later[same]), np.delete(right, later[same])
+            here = chunk[left] == c
+            for k, places in enumerate(ways[:-1]):
+                after = np.flatnonzero(here & (way[left] > k))
+                if len(after):
+                    gone = after[agree(left[after][:, None], right[after][:, None], places).all(axis=1)]
+                    left, right, here = np.delete(left, gone), np.delete(right, gone), np.delete(here, gone)
+        apart = (sig[back[left]] != sig[back[right]]).sum(axis=1)
+        ok = apart <= plan.distance
+        yield left[ok], right[ok], apart[ok]
+
+
+_ROW = ("key", "tile", "kind", "node", "root", "side")
+
+
+def _near_nodes(sigs: ByNode, plan: Plan):
+    """Classes with another one within the distance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _groups(batches, _ROW):
+            found = np.zeros(len(block[0]), bool)
+            for left, right, _ in _close(block, sigs, plan):
+                found[left] = found[right] = True
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(block[3][found]))], names=["node"])
+
+    return run
+
+
+def _links(sigs: ByNode, sets: ByNode, plan: Plan):
+    """Links that join two groups of a block, nearest pairs first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _groups(batches, _ROW):
+            node, root = block[3], block[4]
+            above: dict[int, int] = {}
+
+            def top(x: int, above=above) -> int:
+                while above.get(x, x) != x:
+                    above[x] = above.get(above[x], above[x])
+                    x = above[x]
+                return x
+
+            out: list[tuple[int, int]] = []
+            for left, right, apart in _close(block, sigs, plan):
+                order = np.argsort(apart, kind="stable")
+                ends, back = np.unique(np.concatenate([left[order], right[order]]), return_inverse=True)
+                places = sets.places(node[ends])
+                for i, j in zip(back[: len(order)].tolist(), back[len(order):].tolist(), strict=True):
+                    a, b = top(int(root[ends[i]])), top(int(root[ends[j]]))
+                    if a == b:
+                        continue
+                    x, y = sets.row(places[i]), sets.row(places[j])
+                    if min(len(x), len(y)) * 100 < plan.similarity * max(len(x), len(y)):
+                        continue
+                    both = np.concatenate([x, y])
+                    both.sort(kind="stable")
+                    inter = int((both[1:] == both[:-1]).sum())
+                    if 100 * inter >= plan.similarity * (len(both) - inter):
+                        above[max(a, b)] = min(a, b)
+                        out.append((int(node[ends[i]]), int(node[ends[j]])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -170,51 +366,13 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-class _Linker:
-    """Confirms candidate pairs on full sets, keeping the sets it has made."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, plan: Plan, folder: str) -> None:
-        self.docs, self.classes, self.plan, self.folder = docs, classes, plan, folder
-        self.sets: DataFrame | None = None
-        self.calls = 0
-
-    def close(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, apart) of the pairs whose signatures are within the distance."""
-        sig = self.classes.select("node", "sig")
-        both = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(
-            sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b"
-        )
-        differ = F.zip_with("sa", "sb", lambda x, y: (x != y).cast("int"))
-        apart = F.aggregate(differ, F.lit(0), lambda n, x: n + x)
-        return both.select("a", "b", apart.alias("apart")).where(F.col("apart") <= self.plan.distance)
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are similar enough."""
-        self.calls += 1
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        if self.sets is not None:
-            nodes = nodes.join(self.sets, "node", "left_anti")
-        need = stage(nodes.join(self.classes.select("node", "text_key"), "node"), f"{self.folder}/need-{self.calls}")
-        if self.sets is None or not need.isEmpty():
-            texts = self.docs.join(need, "text_key").dropDuplicates(["text_key"])
-            made = texts.select("text_key", "text").mapInArrow(_sets(self.plan), "text_key binary, shingles array<bigint>")
-            made = stage(made.join(need, "text_key").select("node", "shingles"), f"{self.folder}/sets-{self.calls}")
-            self.sets = made if self.sets is None else self.sets.unionByName(made)
-        one = self.sets
-        both = pairs.join(one.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-            one.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
-        )
-        inter = F.size(F.array_intersect("x", "y")).cast("bigint")
-        union = F.size("x") + F.size("y") - inter
-        kept = both.where(100 * inter >= self.plan.similarity * union).select("a", "b")
-        return stage(kept, f"{self.folder}/links-{self.calls}")
-
-
 def near_duplicates(
-    docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text", tile: int = 4096
 ) -> DataFrame:
     """One row per row of `docs`: id, text_key (md5 of the text), n_shingles, component_id, kept.
 
+    `tile` bounds the classes of a key that one task compares.
+
     component_id is the smallest id that links reach, kept tells whether it is the row's own. Only the
     id and the text are read. A null or blank text has an empty set and is linked with nothing: it is
     its own component. A null id never is a component_id, unless no text of the group has an id; then
@@ -222,51 +380,73 @@ def near_duplicates(
     empty result.
     """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "near")
-    rows = docs.select(
+    source = docs.select(
         F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("text_key"),
         F.col(text_col).alias("text"),
     )
     kind = docs.schema[id_col].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     schema = T.StructType([
         T.StructField("id", kind), T.StructField("text_key", T.BinaryType()), T.StructField("n", T.LongType()),
         T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
         T.StructField("sig", T.ArrayType(T.IntegerType())),
     ])
-    signed = stage(rows.mapInArrow(_signatures(plan, to_arrow_type(kind)), schema), f"{folder}/signatures")
+    signed = stage(source.mapInArrow(_signatures(plan, to_arrow_type(kind)), schema), f"{folder}/signatures")
     classes = stage(
         signed.where("n > 0").groupBy("n", "h1", "h2").agg(
             F.min("id").alias("min_id"), F.min("text_key").alias("text_key"), F.first("sig").alias("sig")
         ).withColumn("node", F.monotonically_increasing_id()),
         f"{folder}/classes",
     )
-    linker = _Linker(rows.select("text_key", "text"), classes, plan, folder)
-
-    keys = classes.select("node", F.explode(plan.keys(F.col("sig"))).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other")
-    held = stage(keys.join(shared.select("key", "center"), "key"), f"{folder}/keys")
-
-    # First round: each class with the nearest of the smallest classes of its keys.
-    to_center = held.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    nearest = linker.close(to_center).groupBy("a").agg(F.min(F.struct("apart", "b"))["b"].alias("b"))
-    links = linker.links(stage(nearest, f"{folder}/nearest"))
+    shards = max(1, -(-classes.count() // SHARD_NODES))
+    sigs = keep_by_node(
+        classes.select("node", F.transform("sig", lambda v: v.cast("bigint")).alias("values")), f"{folder}/sig-arrays", shards,
+        "uint16" if plan.bits <= 16 else "uint32")
+    release(spark)
+
+    keys = classes.select("node", F.posexplode(plan.keys(F.col("sig"))).alias("kind", "key"))
+    keys = keys.withColumn("kind", plan.kind(F.col("kind")))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = stage(keys.join(shared, "key"), f"{folder}/met")
+    release(spark)
+
+    # Tiles of a large key share some classes, so that copies hang together across tiles.
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    anywhere = spot < F.lit(float(COMMON * (1 << 30))) / F.col("n")
+    rows = met.withColumn("tile", F.explode(
+        F.when(tiles == 1, F.array(F.lit(0))).when(anywhere, F.sequence(F.lit(0), tiles - 1)).otherwise(
+            F.array(F.pmod(F.xxhash64(F.lit("tile"), "node"), tiles).cast("int")))))
+    own = rows.select("key", "tile", "kind", "node", F.col("node").alias("root"), F.lit(-1).alias("side"))
+
+    def grouped(frame: DataFrame) -> DataFrame:
+        return frame.repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
+
+    near = grouped(own).mapInArrow(_near_nodes(sigs, plan), "node bigint").distinct()
+    need = stage(classes.select("node", "text_key").join(near, "node", "left_semi"), f"{folder}/near-nodes")
+    release(spark)
+    # Copies of a text meet map-side first, so that one with very many rows moves few.
+    texts = source.select("text_key", "text").dropDuplicates(["text_key"]).join(need, "text_key").select("node", "text")
+    sets = keep_by_node(
+        texts.mapInArrow(_set_rows(plan), "node bigint, shingles array<bigint>").withColumnRenamed("shingles", "values"),
+        f"{folder}/set-arrays", shards, "uint64")
+    release(spark)
+    wanted = need.select("node")
+    links = stage(grouped(own.join(wanted, "node", "left_semi")).mapInArrow(_links(sigs, sets, plan), "a bigint, b bigint"), f"{folder}/links")
+    release(spark)
     known = components(links, f"{folder}/first")
 
-    # Second round: pairs of a key that the first round left in different components. Of a key, only
-    # classes outside the component of its smallest class are paired, with all others of the key.
-    root = known.select("node", "root")
-    labelled = held.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("node", "root"))["root"].alias("main")
-    ).where("low < high")
-    left = stage(labelled.join(mixed.select("key", "main"), "key").select("key", "node", "root", "main"), f"{folder}/mixed")
-    x, y = left.where("root <> main").alias("x"), left.alias("y")
-    crossing = x.join(y, "key").where(
-        "x.root <> y.root and (y.root = y.main or x.node < y.node)"
-    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = linker.links(stage(linker.close(crossing).select("a", "b"), f"{folder}/crossing"))
-    known = components(links.unionByName(more), f"{folder}/second")
+    large = met.where(F.col("n") > tile).join(wanted, "node", "left_semi")
+    if not large.isEmpty():
+        # Tiles of a key whose classes are still apart meet pair by pair.
+        labelled = large.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        left = labelled.join(apart.select("key"), "key", "left_semi").withColumn("tiles", tiles).withColumn(
+            "side", F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        met_tiles = left.withColumn("other", other).where("other <> side").withColumn(
+            "tile", F.least("side", "other") * F.col("tiles") + F.greatest("side", "other"))
+        more = grouped(met_tiles.select(*_ROW)).mapInArrow(_links(sigs, sets, plan), "a bigint, b bigint")
+        known = components(links.unionByName(stage(more, f"{folder}/more")), f"{folder}/second")
 
     member = classes.select("n", "h1", "h2", "min_id", "node").join(known, "node", "left").withColumn(
         "root", F.coalesce("root", "node")
