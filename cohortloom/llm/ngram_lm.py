@@ -12,22 +12,18 @@ under names of their own, and only names that Spark commits to a manifest are re
 from __future__ import annotations
 
 import io
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, slices, store, word_bytes
+from .common import drop_path, mapped, mix64, release, slices, word_bytes, write_array
 
 #: Neither can be a word: words hold no spaces.
 START, END = b" start", b" end"
@@ -85,40 +81,14 @@ def gram_key(ids: np.ndarray) -> np.ndarray:
 # ---- files -------------------------------------------------------------------------------------
 
 
-def _write_array(folder: str, a: np.ndarray) -> str:
-    system, root = store(folder)
-    system.create_dir(root, recursive=True)
-    name = f"{uuid.uuid4().hex}.npy"
-    held = io.BytesIO()
-    np.save(held, a)
-    with system.open_output_stream(f"{root}/{name}", compression=None) as out:
-        out.write(held.getbuffer())
-    return f"{folder}/{name}"
-
-
-@lru_cache(maxsize=100_000)
-def _mapped(path: str) -> np.ndarray:
-    """The array, mapped into memory; files of a remote store are copied to the worker's disk first."""
-    system, name = store(path)
-    if type(system).__name__ != "LocalFileSystem":
-        local = os.path.join(tempfile.gettempdir(), "lm-" + os.path.basename(name))
-        if not os.path.exists(local):
-            part = f"{local}.{os.getpid()}"
-            with system.open_input_stream(name) as src, open(part, "wb") as dst:
-                while data := src.read(1 << 22):
-                    dst.write(data)
-            os.replace(part, local)
-        name = local
-    return np.load(name, mmap_mode="r")
-
-
 @dataclass(frozen=True)
 class Arrays:
-    """Sorted keys with values beside them, in shards."""
+    """Sorted keys with values beside them, in shards; with `bytes` the values are as _narrow makes them."""
 
     shards: int
     by_range: bool
     files: dict[int, tuple[str, ...]] = field(hash=False)
+    bytes: bool = False
 
     def find(self, keys: np.ndarray, *, ranks: bool = False) -> list[np.ndarray]:
         """Values at the keys (zeros where a key is missing); with `ranks` the place in the shard (or -1) first."""
@@ -126,7 +96,7 @@ class Arrays:
             shard = ((keys >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
         else:
             shard = _shard_of(keys, self.shards)
-        width = len(next(iter(self.files.values()))) - 1 if self.files else 0
+        width = 1 if self.bytes else len(next(iter(self.files.values()))) - 1 if self.files else 0
         out = [np.zeros(len(keys), np.int64) for _ in range(width)]
         place = np.full(len(keys), -1, np.int64)
         order = np.lexsort((keys, shard))
@@ -135,13 +105,19 @@ class Arrays:
             if k not in self.files:
                 continue
             at = order[ends[k] : ends[k + 1]]
-            own, *values = (_mapped(f) for f in self.files[k])
+            own, *values = (mapped(f) for f in self.files[k])
+            if self.bytes:
+                values, large, whole = values[:1], values[1], values[2]
             p = np.searchsorted(own, keys[at])
             ok = p < len(own)
             ok[ok] = own[p[ok]] == keys[at][ok]
             place[at[ok]] = p[ok]
             for column, v in zip(out, values, strict=True):
                 column[at[ok]] = v[p[ok]]
+            if self.bytes and len(large):
+                much = ok.copy()
+                much[ok] = values[0][p[ok]] == 255
+                out[0][at[much]] = whole[np.searchsorted(large, p[much])]
         return [place, *out] if ranks else out
 
 
@@ -188,7 +164,7 @@ class Vocabulary:
         shard = np.searchsorted(self.offsets, ids, side="right") - 1
         for k in np.unique(shard[ids != UNSEEN]):
             at = np.flatnonzero((shard == k) & (ids != UNSEEN))
-            out[at] = _mapped(self.arrays.files[k][1])[ids[at] - self.offsets[k]]
+            out[at] = mapped(self.arrays.files[k][1])[ids[at] - self.offsets[k]]
         return out
 
 
@@ -264,7 +240,7 @@ def _shard_tasks(packs: DataFrame, work: Callable[[int, str, int, list[tuple[int
 def _word_shards(folder: str) -> Callable:
     def work(level: int, kind: str, shard: int, packs: list) -> Iterator[tuple]:
         keys, counts = _merged(packs, ["u8", "i8"], lambda a: (lambda k, s, _: (k, s[0]))(*_merge(a[0], a[1:])))
-        files = [_write_array(folder, keys), _write_array(folder, counts)]
+        files = [write_array(folder, keys), write_array(folder, counts)]
         yield level, kind, shard, len(keys), files, [int(counts.sum()), int((counts > 0).sum())], None
 
     return work
@@ -313,7 +289,7 @@ def _gram_shards(folder: str, order: int, shards: int) -> Callable:
     def work(level: int, kind: str, shard: int, packs: list) -> Iterator[tuple]:
         if kind == "contexts":
             keys, sums = _merged(packs, ["u8", *["i8"] * 4], lambda a: _merge(a[0], a[1:])[:2])
-            yield level, kind, shard, len(keys), [_write_array(folder, a) for a in (keys, sums[0], *[s.astype(np.uint32) for s in sums[1:]])], [], None
+            yield level, kind, shard, len(keys), [write_array(folder, a) for a in (keys, sums[0], *[s.astype(np.uint32) for s in sums[1:]])], [], None
             return
         wide = level > 2
         names = ["u8", *(["u4"] * level if wide else []), "i8"]
@@ -321,9 +297,7 @@ def _gram_shards(folder: str, order: int, shards: int) -> Callable:
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         keys, (counts,), first = _merge(columns[0], [columns[-1]])
         rows = np.stack([c[first] for c in columns[1 : 1 + level]], axis=1) if wide else _words_of(keys, level)
-        # Counts of at least 2^32 stay whole: the array takes the width it needs.
-        narrow = counts.astype(np.uint32) if not len(counts) or counts.max() < 2**32 else counts
-        files = [_write_array(folder, keys), _write_array(folder, narrow)]
+        files = [write_array(folder, a) for a in (keys, *_narrow(counts))]
         of_counts = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         yield level, kind, shard, len(keys), files, [int(counts.sum()), int((counts >= 3).sum()), *of_counts], None
         if level == 1:
@@ -348,6 +322,12 @@ def _passed(b: pa.RecordBatch) -> tuple:
     return level, kind, shard, n, None, None, data
 
 
+def _narrow(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in a byte each; those of 255 and more by their place, whole."""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8), large, counts[large]
+
+
 def _words_of(keys: np.ndarray, level: int) -> np.ndarray:
     low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     return low[:, None] if level == 1 else np.stack([(keys >> np.uint64(32)).astype(np.uint32), low], axis=1)
@@ -403,7 +383,7 @@ class Model:
         return p
 
 
-def fit(docs: DataFrame, folder: str, order: int = 3, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
+def fit(docs: DataFrame, folder: str, order: int = 2, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
     """Count all of `docs` and write the model's arrays into `folder`, a new path in the shared store.
 
     A null text is an empty one: its end is its only token. Without documents the model knows
@@ -419,6 +399,7 @@ def fit(docs: DataFrame, folder: str, order: int = 3, text_col: str = "text", sh
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
     done = kept(_shard_tasks(texts.mapInArrow(_count_words(shards), _PACK), _word_shards(f"{folder}/arrays")), "words")
+    release(spark)
     rows = done.collect()  # one per shard
     sizes = np.zeros(shards + 1, np.int64)
     for r in rows:
@@ -437,16 +418,17 @@ def fit(docs: DataFrame, folder: str, order: int = 3, text_col: str = "text", sh
         own = [r for r in rows if r.kind == "grams"]
         stats = [sum(r.stats[k] for r in own) for k in range(6)]
         grams[level] = Level(
-            Arrays(shards, False, {r.shard: tuple(r.files) for r in own}), None, discounts(stats[2:]),
+            Arrays(shards, False, {r.shard: tuple(r.files) for r in own}, bytes=True), None, discounts(stats[2:]),
             stats[0], (stats[2], stats[3], stats[1]))
         if level < order:
             contexts = Arrays(shards, False, {r.shard: tuple(r.files) for r in rows if r.kind == "contexts"})
             above = grams[level + 1]
             levels[level + 1] = Level(above.grams, contexts, above.discounts, above.total, above.seen)
+        release(spark)
+        if level + 1 <= order:  # its packs are merged and written
+            drop_path(spark, f"{folder}/level-{level + 1}")
         packs = done.where("pack is not null").select("level", "kind", "shard", "n", F.col("pack").alias("data"))
     levels[1] = grams[1]
-    if order == 1:
-        levels[1] = grams[1]
     return Model(order, vocabulary, levels)
 
 

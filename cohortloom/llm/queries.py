@@ -135,12 +135,56 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query("op1_language_model")
+#: Discounts of a level from the numbers of n-grams seen once to four times, with the fallback.
+KN_DISCOUNTS = """SELECT CASE WHEN ok THEN d1 ELSE 0.5 END AS d1, CASE WHEN ok THEN d2 ELSE 1.0 END AS d2, CASE WHEN ok THEN d3 ELSE 1.5 END AS d3
+  FROM (SELECT *, coalesce(d1 > 0 AND d1 <= 1 AND d2 > 0 AND d2 <= 2 AND d3 > 0 AND d3 <= 3, FALSE) AS ok FROM (
+    SELECT 1 - 2 * y * n2 / n1 AS d1, 2 - 3 * y * n3 / n2 AS d2, 3 - 4 * y * n4 / n3 AS d3 FROM (
+      SELECT *, n1 / (n1 + 2 * n2) AS y FROM (SELECT nullif(count(*) FILTER (WHERE c = 1), 0) AS n1, nullif(count(*) FILTER (WHERE c = 2), 0) AS n2,
+        nullif(count(*) FILTER (WHERE c = 3), 0) AS n3, nullif(count(*) FILTER (WHERE c = 4), 0) AS n4 FROM {0}))))"""
+
+
+@query("op1_language_model", rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, list_append(list_prepend(' start',
+    regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+')), ' end') AS w FROM documents),
+crc AS (
+  WITH RECURSIVE b AS (
+    SELECT doc_id, CAST(coalesce(CAST(doc_id AS VARCHAR), '') AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT doc_id FROM documents)
+    UNION ALL
+    SELECT doc_id, s, i + 1, xor(c8 >> 8, CAST(0 AS BIGINT)) FROM (
+      SELECT doc_id, s, i, list_reduce(list_prepend(xor(c, CAST(ascii(s[i + 1]) AS BIGINT)), CAST(range(8) AS BIGINT[])),
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END) << 8 AS c8 FROM b WHERE i < length(s)))
+  SELECT doc_id, xor(c, CAST(4294967295 AS BIGINT)) % 7 = 2 AS held FROM b WHERE i = length(s)),
+docs AS (SELECT t.*, crc.held FROM t JOIN crc ON crc.doc_id IS NOT DISTINCT FROM t.doc_id),
+bi AS (SELECT r, doc_id, held, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM docs)),
+grams AS (SELECT a, b, count(*) AS c FROM bi WHERE NOT held GROUP BY 1, 2),
+uni AS (SELECT b AS w, count(*) AS c FROM bi WHERE NOT held GROUP BY 1),
+cont AS (SELECT b AS w, count(*) AS c FROM grams GROUP BY 1),
+ctx AS (SELECT a, sum(c) AS total, count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2, count(*) FILTER (WHERE c >= 3) AS n3 FROM grams GROUP BY 1),
+sz AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM uni),
+tot AS (SELECT sum(c) AS total, count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2, count(*) FILTER (WHERE c >= 3) AS n3 FROM cont),
+e1 AS ({KN_DISCOUNTS.format("cont")}), e2 AS ({KN_DISCOUNTS.format("grams")}),
+low AS (
+  SELECT x.a, x.b, coalesce(u.c, 0) AS cu, coalesce(g.c, 0) AS cg, n, v,
+    (coalesce(k.c, 0) - CASE least(coalesce(k.c, 0), 3) WHEN 0 THEN 0 WHEN 1 THEN e1.d1 WHEN 2 THEN e1.d2 ELSE e1.d3 END) / tot.total
+      + (e1.d1 * tot.n1 + e1.d2 * tot.n2 + e1.d3 * tot.n3) / tot.total / (v + 1) AS p1,
+    q.total, q.n1, q.n2, q.n3
+  FROM (SELECT DISTINCT a, b FROM bi) x LEFT JOIN uni u ON u.w = x.b LEFT JOIN cont k ON k.w = x.b
+  LEFT JOIN grams g ON g.a = x.a AND g.b = x.b LEFT JOIN ctx q ON q.a = x.a, sz, tot, e1),
+prob AS (
+  SELECT a, b, cu > 0 AS known, log10((cu + 1) / (n + v + 1)) AS base, log10(CASE WHEN total IS NULL THEN p1 ELSE
+    (cg - CASE least(cg, 3) WHEN 0 THEN 0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / total + (d1 * n1 + d2 * n2 + d3 * n3) / total * p1 END) AS lp, n
+  FROM low, e2)
+SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, CAST(sum(known::INT) AS BIGINT) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
+       round(sum(base), 4) AS base_score, round(sum(lp), 4) AS score
+FROM bi JOIN prob USING (a, b) GROUP BY r, doc_id""")
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = bucket_of(F.col("doc_id"), 7) == 2
-    model = ngram_lm.fit(docs.where(~held_out), scratch(spark, "lm"))
-    return ngram_lm.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    model = ngram_lm.fit(docs.where(~held_out), scratch(spark, "lm"), order=2)
+    out = ngram_lm.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    # Four places: engines that add thousands of logarithms in another order still agree.
+    return out.drop("perplexity").withColumns({c: F.round(c, 4) for c in ("base_score", "score")})
 
 
 @query("op4_repeated_bytes", """
