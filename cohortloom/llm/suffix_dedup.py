@@ -299,13 +299,14 @@ def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, id_col:
     null); shorter texts lose nothing. Rows that repeat are copies of each other and lose what they
     share. An empty table stays empty; `keep` columns with the names of added ones are replaced.
     """
-    spans = repeated_spans(docs, length, id_col, text_col, gram, spread)
+    spans = repeated_spans(docs, length, id_col, text_col, gram, spread).select(
+        F.col("id").alias("_span_id"), F.col("th").alias("_span_th"), F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"))
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept_text"]
     names = [c for c in keep if c not in added]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_th"),
                        F.col(text_col).alias("_text"))
-    joined = rows.join(spans, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left").select(
-        *names, "_text", F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"))
+    joined = rows.join(spans, F.col("_id").eqNullSafe(F.col("_span_id")) & (F.col("_th") == F.col("_span_th")), "left").select(
+        *[F.col(f"`{c}`") for c in names], "_text", "_starts", "_ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
