@@ -2,9 +2,11 @@
 
 Slot neighbours work on distinct slots and at most k rows per slot, so their cost does not grow
 with the table. Feature-space neighbours are an exact k-nearest join by cells: training rows are
-grouped around pivots, each cell keeps a bounding box, and a subject is only compared with cells
-whose box can hold one of its k nearest. Comparison runs on bounded tiles that return k rows per
-subject; pairs are never written out.
+grouped around pivots, again and again until a cell holds a tile of rows, so cells grow in number
+with the pool and not in size. Each cell keeps a bounding box. A subject first meets the cells
+nearest to it; the distance of its k-th row there bounds which other cells can hold anything
+nearer, and only those follow. Comparison runs on bounded tiles that return k rows per subject;
+pairs are never written out. In many dimensions boxes bound little, and the join tends to all pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage as staged
 from .ranking import attach, top_k
 
 # ------------------------------------------------------------------------ slot neighbours
@@ -312,12 +315,16 @@ def _renewed(df: DataFrame) -> DataFrame:
 
 def nearest(
     subjects: DataFrame, pool: DataFrame, space: Space, k: int, by: list[str], order: str,
-    pivots: int = 16, tile: int = 2048,
+    pivots: int = 16, tile: int = 2048, meter=None,
 ) -> DataFrame:
     """(by, id, rank, neighbour, distance): exact k nearest pool rows of each subject in its group.
 
+    Cells, the cells that a subject may reach and its first neighbours are written out on the way
+    where the session names a shared folder, as more than one step reads them.
+
     Both sides have columns `by`, `id`, `vec` (array of doubles, null = missing) and the guard
-    columns; the pool also has `order`, the tie-break of equal distances.
+    columns; the pool also has `order`, the tie-break of equal distances. `meter`, an accumulator,
+    counts the pairs that are compared.
     """
     guards = _guards(space)
     side = ["id", "vec", *guards]
@@ -326,37 +333,48 @@ def nearest(
     keys = "".join(f"{b} {p.schema[b].dataType.simpleString()}, " for b in by)
     guard_types = "".join(f", {g} {p.schema[g].dataType.simpleString()}" for g in guards)
 
-    # 1. Pivots: a fixed number of rows per group in hash order. They only shape the cells.
+    # 1. Cells: rows go to the nearest of a few pivots (rows in hash order; they only shape the
+    # cells), and cells of more than a tile are cut again the same way.
     first = [F.xxhash64("id"), F.col("id")]
-    picks = top_k(p, by, first, pivots, "_pivot") if by else p.orderBy(*first).limit(pivots)
-    picks = picks.select(*by, F.col("vec").alias("_pv"))
-    def chunked(rows: DataFrame, small: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+    def chunked(rows: DataFrame, small: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
         """Cut a group into bounded chunks and repeat its small companion for each of them."""
-        parts = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / (16 * tile)).cast("int").alias("_k"))
+        parts = rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / (16 * tile)).cast("int").alias("_k"))
         chunk = F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")
         repeat = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
         return (
-            attach(rows, parts, by, ["_k"]).withColumn("_chunk", chunk).drop("_k"),
-            attach(small, parts, by, ["_k"]).withColumn("_chunk", repeat).drop("_k"),
+            attach(rows, parts, on, ["_k"]).withColumn("_chunk", chunk).drop("_k"),
+            attach(small, parts, on, ["_k"]).withColumn("_chunk", repeat).drop("_k"),
         )
 
-    p_chunks, spread = chunked(p, picks)
-
     def assign(rows: pd.DataFrame, piv: pd.DataFrame) -> pd.DataFrame:
+        cols = [*by, *side, "_ord", "_cell"]
         if rows.empty:
-            return rows.assign(_cell=pd.Series(dtype="int32"))[[*by, *side, "_ord", "_cell"]]
-        x, y = _matrix(rows["vec"], space), _matrix(piv["_pv"], space)
-        x, y = np.nan_to_num(x), np.nan_to_num(y)
+            return rows.assign(_cell=pd.Series(dtype="int64"))[cols]
+        raw = _matrix(rows["vec"], space)
+        x, y = np.nan_to_num(raw), np.nan_to_num(_matrix(piv["_pv"], space))
         near = ((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None, :]).argmin(axis=1)
-        missing = np.array([hash(tuple(m)) % 4 for m in np.isnan(_matrix(rows["vec"], space))])
-        return rows[[*by, *side, "_ord"]].assign(_cell=(near * 4 + missing).astype("int32"))
-
-    celled = (
-        p_chunks.groupBy(*by, "_chunk")
-        .cogroup(_renewed(spread).groupBy(*by, "_chunk"))
-        .applyInPandas(assign, f"{keys}id {id_type}, vec array<double>{guard_types}, "
-                               f"_ord {p.schema['_ord'].dataType.simpleString()}, _cell int")
-    )
+        missing = np.array([hash(tuple(m)) % 4 for m in np.isnan(raw)])
+        return rows[cols].assign(_cell=rows["_cell"].to_numpy() * (4 * pivots) + near * 4 + missing)
+
+    cell_type = f"{keys}id {id_type}, vec array<double>{guard_types}, _ord {p.schema['_ord'].dataType.simpleString()}, _cell long"
+    on = [*by, "_cell"]
+    celled = p.withColumn("_cell", F.lit(0).cast("long"))
+    # A level cuts a cell by `pivots` or so; ids of cells stay within a long.
+    most = p.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    # Uneven pivots may need two levels more; points that are all equal are never cut, only dealt out.
+    even = int(np.ceil(np.log(most / tile) / np.log(pivots))) if most > tile else 0
+    for level in range(min(even + 2, int(62 / np.log2(4 * pivots)))):
+        sizes = celled.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+        large = sizes.where(F.col("_n") > (tile if level else 0)).select(*on)
+        if level and large.isEmpty():
+            break
+        to_cut = celled.join(large, on, "left_semi")
+        picks = top_k(to_cut, on, first, pivots, "_pivot").select(*on, F.col("vec").alias("_pv"))
+        rows_, spread = chunked(to_cut, picks, on)
+        cut = rows_.groupBy(*on, "_chunk").cogroup(_renewed(spread).groupBy(*on, "_chunk")).applyInPandas(assign, cell_type)
+        done = celled.join(large, on, "left_anti").withColumn("_cell", F.col("_cell") * (4 * pivots))
+        celled = staged(cut.unionByName(done.select(*cut.columns)))
 
     # 2. Bounding box and size of each cell, from partial aggregates per dimension.
     def scaled(vec: str) -> Column:
@@ -384,7 +402,7 @@ def nearest(
 
     # 3. Which cells can hold one of a subject's k nearest?
     def candidates(rows: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-        out = [*by, *side, "_cell", "_parts"]
+        out = [*by, *side, "_cell", "_parts", "_low", "_first"]
         if rows.empty or cell.empty:
             return pd.DataFrame({c: pd.Series(dtype="object") for c in out})
         low, high = _box_bounds(rows, cell, space)
@@ -393,32 +411,26 @@ def nearest(
         by_high = np.argsort(high, axis=1, kind="stable")
         enough = np.cumsum(size[by_high], axis=1) >= min(need, int(size.sum()))
         reach = np.take_along_axis(high, by_high, axis=1)[np.arange(len(rows)), enough.argmax(axis=1)]
+        # Nearest cells first, until they hold enough rows.
+        by_low = np.argsort(low, axis=1, kind="stable")
+        before = np.cumsum(size[by_low], axis=1) - size[by_low]
+        first_cells = np.zeros(low.shape, bool)
+        np.put_along_axis(first_cells, by_low, before < need, axis=1)
         i, j = np.nonzero(low <= reach[:, None])
         hit = rows.iloc[i][[*by, *side]].reset_index(drop=True)
-        hit["_cell"] = cell["_cell"].to_numpy()[j].astype("int32")
+        hit["_cell"] = cell["_cell"].to_numpy()[j]
         hit["_parts"] = cell["_parts"].to_numpy()[j].astype("int32")
+        hit["_low"], hit["_first"] = low[i, j], first_cells[i, j]
         return hit
 
-    s_chunks, cells_spread = chunked(s, cells)
-    reach = (
+    s_chunks, cells_spread = chunked(s, cells, by)
+    reach = staged(
         s_chunks.groupBy(*by, "_chunk")
         .cogroup(_renewed(cells_spread).groupBy(*by, "_chunk"))
-        .applyInPandas(candidates, f"{keys}id {id_type}, vec array<double>{guard_types}, _cell int, _parts int")
+        .applyInPandas(candidates, f"{keys}id {id_type}, vec array<double>{guard_types}, _cell long, _parts int, _low double, _first boolean")
     )
 
     # 4. Tiles: a bounded slice of a cell against a bounded slice of its subjects.
-    load = reach.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_slices"))
-    left = (
-        reach.join(load, [*by, "_cell"])
-        .withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int"))
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    )
-    right = (
-        celled.join(cells.select(*by, "_cell", "_parts"), [*by, "_cell"])
-        .join(load, [*by, "_cell"])
-        .withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
-    )
     tile_keys = [*by, "_cell", "_part", "_slice"]
     ord_type = p.schema["_ord"].dataType.simpleString()
 
@@ -426,6 +438,8 @@ def nearest(
         out = [*by, "id", "neighbour", "_ord", "distance"]
         if rows.empty or cand.empty:
             return pd.DataFrame({c: pd.Series(dtype="object") for c in out})
+        if meter is not None:
+            meter.add(len(rows) * len(cand))
         cand = cand.sort_values("_ord", kind="stable").reset_index(drop=True)
         d = np.round(_tile_distances(rows, cand, space), 9)
         best = np.argsort(d, axis=1, kind="stable")[:, :k]
@@ -438,11 +452,32 @@ def nearest(
         got["distance"] = dist[i, j]
         return got
 
-    found = (
-        left.groupBy(*tile_keys).cogroup(_renewed(right).groupBy(*tile_keys))
-        .applyInPandas(compare, f"{keys}id {id_type}, neighbour {id_type}, _ord {ord_type}, distance double")
-    )
-    return top_k(found, [*by, "id"], [F.col("distance"), F.col("_ord")], k).drop("_ord")
+    def compared(meets: DataFrame) -> DataFrame:
+        load = meets.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("_slices"))
+        left = (
+            meets.join(load, [*by, "_cell"])
+            .withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int"))
+            .withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+            .select(*tile_keys, *side)
+        )
+        right = (
+            celled.join(cells.select(*by, "_cell", "_parts"), [*by, "_cell"])
+            .join(load, [*by, "_cell"])
+            .withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+            .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+        )
+        return (
+            left.groupBy(*tile_keys).cogroup(_renewed(right).groupBy(*tile_keys))
+            .applyInPandas(compare, f"{keys}id {id_type}, neighbour {id_type}, _ord {ord_type}, distance double")
+        )
+
+    best = [F.col("distance"), F.col("_ord")]
+    near = staged(top_k(compared(reach.where("_first")), [*by, "id"], best, k))
+    kth = near.where(F.col("rank") == k).select(*by, "id", F.col("distance").alias("_kth"))
+    others = reach.where("not _first").join(kth, [*by, "id"], "left")
+    # Distances are compared at nine decimals; a cell that may tie with the k-th row is looked at.
+    far = compared(others.where(F.col("_kth").isNull() | (F.col("_low") <= F.col("_kth") + 1e-9)).drop("_kth"))
+    return top_k(near.drop("rank").unionByName(far), [*by, "id"], best, k).drop("_ord")
 
 
 def standardised(

@@ -19,7 +19,7 @@ from ..operators.forecast import SlotModel
 from .bindings import ALL_COHORTS, CTES, CUTS, FINAL_N, LAST, LEVELS_SQL, slot_model_ctes
 from .cleaning import rankings
 from .registry import query
-from .similarity import comps
+from .similarity import comps, reasons, similarity_scores
 from .statistics import VERDICT_SQL, cdf_sql, equivalent_slot, graded, pit_sql, recruits, typical_curve
 
 k = F.col
@@ -44,7 +44,8 @@ def prior_grids(t, horizon=FINAL_N):
     return t.stage(f"priors_{horizon}", build)
 
 
-for _h in (1, 2, FINAL_N):
+BAND_YEARS = (1, 2, 3, 4)
+for _h in BAND_YEARS:
     CTES[f"yg{_h}"] = (f"SELECT ent.*, o.peak AS y FROM ent LEFT JOIN (SELECT entity, peak FROM graded WHERE n = {_h}) o USING (entity)", ["ent", "graded"])
     CTES.update(slot_model_ctes(f"gp{_h}", f"yg{_h}", _h, ALL_COHORTS, calib=1, min_fit=1, adaptive=True, min_training=30, retro=True))
     CTES[f"priors{_h}"] = (
@@ -236,12 +237,12 @@ def _(t):
 
 @query(
     "grd10_trajectory_bands",
-    " UNION ALL ".join(f"SELECT entity, {h} AS n, grid[5] AS floor, grid[10] AS median, grid[18] AS ceiling FROM priors{h}" for h in (1, 2)),
-    "priors1 priors2", ints="n", rnd="floor median ceiling",
+    " UNION ALL ".join(f"SELECT entity, {h} AS n, grid[5] AS floor, grid[10] AS median, grid[18] AS ceiling FROM priors{h}" for h in BAND_YEARS),
+    " ".join(f"priors{h}" for h in BAND_YEARS), ints="n", rnd="floor median ceiling",
 )
 def _(t):
     out = None
-    for h in (1, 2):
+    for h in BAND_YEARS:
         p = prior_grids(t, h).select(
             "entity", F.lit(h).alias("n"), G.at_level("grid", 0.25).alias("floor"), G.at_level("grid", 0.5).alias("median"), G.at_level("grid", 0.9).alias("ceiling")
         )
@@ -336,14 +337,20 @@ def paid(t):
     return t.vals.select(*cols, (k("period") - k("cohort")).alias("n"), pct.alias("pct"))
 
 
-@query(
-    "grd14_rookie_surplus",
+CTES["surplus_q"] = (
     """SELECT entity, sum(greatest(a + b * greatest(value, 0), fl) - coalesce(pct, pf)) AS surplus FROM paid JOIN (SELECT period, quantile_cont(pct, 0.05) AS pf FROM paid GROUP BY 1) USING (period),
       (SELECT regr_intercept(pct, greatest(value, 0)) AS a, regr_slope(pct, greatest(value, 0)) AS b FROM paid WHERE n >= 3 AND pct IS NOT NULL), (SELECT quantile_cont(pct, 0.05) AS fl FROM paid)
     WHERE n BETWEEN 1 AND 2 GROUP BY 1""",
-    "paid", rnd="surplus", places=8,
+    ["paid"],
 )
+
+
+@query("grd14_rookie_surplus", "SELECT * FROM surplus_q", "surplus_q", rnd="surplus", places=8)
 def _(t):
+    return surplus(t)
+
+
+def surplus(t):
     d = paid(t)
     x = F.greatest(k("value"), F.lit(0.0))
     reg = A.regression(k("pct"), x)
@@ -355,12 +362,18 @@ def _(t):
     return rk.groupBy("entity").agg(F.sum(price - F.coalesce("pct", "pf")).alias("surplus"))
 
 
-@query(
-    "grd15_late_bloomer",
-    """SELECT entity, r / (SELECT stddev_samp(f - (a + b * o)) FROM bl, reg) AS late FROM (SELECT entity, f - (a + b * o) AS r FROM bl, reg)""",
-    "reg", rnd="late", places=7,
+CTES["late_q"] = (
+    "SELECT entity, r / (SELECT stddev_samp(f - (a + b * o)) FROM bl, reg) AS late FROM (SELECT entity, f - (a + b * o) AS r FROM bl, reg)",
+    ["bl", "reg"],
 )
+
+
+@query("grd15_late_bloomer", "SELECT * FROM late_q", "late_q", rnd="late", places=7)
 def _(t):
+    return late_bloomers(t)
+
+
+def late_bloomers(t):
     """Standardised residual of the final peak on an early one, for entities active early enough."""
     p = J.pivot_first(t.otn.where("n <= 4"), ["entity"], "n", "peak", [2, 4])
     early = t.vals.where((k("period") - k("cohort")).between(1, 2)).groupBy("entity").agg(F.count(F.lit(1)).alias("c")).where("c >= 2")
@@ -379,16 +392,25 @@ CTES["bl"] = (
 CTES["reg"] = ("SELECT regr_intercept(f, o) AS a, regr_slope(f, o) AS b FROM bl", ["bl"])
 
 
-@query(
-    "grd15_riser_contract_durability",
+CTES["extras_q"] = (
     """SELECT e.entity, raw * w / (w + 1000) AS riser, sc.pct AS second, sc.pct - sm.smooth AS second_vs_slot, coalesce(du.rot, 0) AS rotation, du.avail FROM ent e
     LEFT JOIN (SELECT entity, sum((value_extra - value / 10) * minutes) / sum(minutes) AS raw, sum(minutes) AS w FROM paid WHERE value_extra > 0 GROUP BY 1 HAVING sum(minutes) >= 300) r ON r.entity = e.entity
     LEFT JOIN sc ON sc.entity = e.entity LEFT JOIN (SELECT slot, avg(m) OVER (ORDER BY slot ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS smooth FROM (
       SELECT slot, avg(pct) AS m FROM sc JOIN ent USING (entity) GROUP BY 1)) sm ON sm.slot = e.slot
     LEFT JOIN (SELECT entity, sum((minutes >= 2000)::INT) AS rot, sum(starts) / sum(games) AS avail FROM paid GROUP BY 1) du ON du.entity = e.entity""",
-    "sc ent paid", ints="rotation", rnd="riser second second_vs_slot avail", places=8,
+    ["sc", "ent", "paid"],
+)
+
+
+@query(
+    "grd15_riser_contract_durability", "SELECT * FROM extras_q", "extras_q", ints="rotation",
+    rnd="riser second second_vs_slot avail", places=8,
 )
 def _(t):
+    return extras(t)
+
+
+def extras(t):
     from pyspark.sql import Window
 
     d = paid(t)
@@ -447,10 +469,17 @@ def _(t):
     )
 
 
-@query("grd17_comps_table", "SELECT fold, id, rank, neighbour, y AS comp_y FROM near", "near", ints="fold rank", rnd="comp_y")
+@query(
+    "grd17_comps_table",
+    """SELECT n.fold, n.id, n.rank, n.neighbour, n.y AS comp_y, x.similarity, w.why FROM near n JOIN similar_ x USING (fold, id, rank) JOIN reasons_ w USING (fold, id, rank)""",
+    "near similar_ reasons_", ints="fold rank", rnd="comp_y similarity:1",
+)
 def _(t):
+    """Comparable entities with outcome, similarity 0-100 and the features that agree most."""
     known = t.tgt.select(k("entity").alias("neighbour"), k("y").alias("comp_y"))
-    return comps(t).join(known, "neighbour").select("fold", "id", "rank", "neighbour", "comp_y")
+    near = comps(t).join(known, "neighbour").select("fold", "id", "rank", "neighbour", "comp_y")
+    key = ["fold", "id", "rank"]
+    return near.join(similarity_scores(t).select(*key, "similarity"), key).join(reasons(t), key)
 
 
 @query(
@@ -467,74 +496,126 @@ def _(t):
 
 # ---------------------------------------------------------------------------- user questions
 
-REDRAFT_SQL = f"""SELECT entity, cohort, slot, composite, redraft, slot - redraft AS moved FROM (SELECT o.entity, o.cohort, o.slot, round(c.composite, 9) AS composite,
-  row_number() OVER (PARTITION BY o.cohort ORDER BY round(c.composite, 9) DESC, o.entity) AS redraft FROM otn o JOIN comp c USING (entity, n) WHERE o.period = {LAST})"""
+NOW_COLUMNS = "SELECT *, round(post[10], 6) AS cur, round(post[10] - grid[10], 6) AS vs, round(grid[10], 6) AS projected FROM graded_now"
+REDRAFT_SQL = f"""SELECT entity, cohort, slot, cur, redraft, slot - redraft AS moved FROM (SELECT *,
+  row_number() OVER (PARTITION BY cohort ORDER BY cur DESC, slot, entity) AS redraft FROM ({NOW_COLUMNS}))"""
+SLOT_KEY = 10**9  # slot first, then entity
 
 
-@query("app1_redraft", REDRAFT_SQL, "comp", ints="cohort slot redraft moved", rnd="composite")
-def _(t):
-    now = t.composite.where(k("period") == LAST).select("entity", "cohort", "slot", F.round("composite", 9).alias("composite"))
-    r = RK.with_position(now, "composite", "entity", ["cohort"], name="redraft")
+def redraft(t):
+    """Each class ordered anew by the current median, ties by slot; moved is spots gained."""
+    d = now(t).select("entity", "cohort", "slot", "cur").withColumn("_tie", k("slot").cast("long") * SLOT_KEY + k("entity"))
+    r = RK.with_position(d, "cur", "_tie", ["cohort"], name="redraft").drop("_tie")
     return r.withColumn("moved", k("slot") - k("redraft"))
 
 
-NOW = "(SELECT *, round(post[10], 6) AS cur, round(post[10] - grid[10], 6) AS vs FROM graded_now JOIN (SELECT entity, name, franchise, position FROM ent) USING (entity))"
+@query("app1_redraft", REDRAFT_SQL, "graded_now", ints="cohort slot redraft moved", rnd="cur", places=6)
+def _(t):
+    return redraft(t)
+
+
+NOW = f"(SELECT * FROM ({NOW_COLUMNS}) JOIN (SELECT entity, name, franchise, position FROM ent) USING (entity))"
 
 
 def now(t):
-    return grades(t).withColumns({"cur": F.round("current_median", 6), "vs": k("value_vs_slot")})
+    return grades(t).withColumns({"cur": F.round("current_median", 6), "vs": k("value_vs_slot"), "projected": F.round("projected_median", 6)})
+
+
+CTES["metrics_"] = (
+    f"""SELECT n.*, round(s.surplus, 6) AS surplus, round(l.late, 6) AS late, round(x.riser, 6) AS riser, round(x.second_vs_slot, 6) AS second_vs_slot,
+      CAST(x.rotation AS DOUBLE) AS rotation, round(b.c, 6) AS bust FROM {NOW} n LEFT JOIN surplus_q s USING (entity) LEFT JOIN late_q l USING (entity)
+    LEFT JOIN extras_q x USING (entity) LEFT JOIN (SELECT entity, c FROM {cdf_sql(f"priors{FINAL_N}", str(CUTS[1]), "c")}) b USING (entity)""",
+    ["graded_now", "ent", "surplus_q", "late_q", "extras_q", f"priors{FINAL_N}"],
+)
+
+
+def metrics(t):
+    """Grades with every metric that boards and rankings go by, rounded so that ties are ties."""
+    x = extras(t).select("entity", "riser", "second_vs_slot", k("rotation").cast("double").alias("rotation"))
+    bust = prior_grids(t).select("entity", G.cdf("grid", F.lit(CUTS[1])).alias("bust"))
+    d = now(t)
+    for part in (surplus(t), late_bloomers(t), x, bust):
+        d = d.join(part, "entity", "left")
+    return d.withColumns({c: F.round(c, 6) for c in ("surplus", "late", "riser", "second_vs_slot", "bust")})
+
+
+RANK_BY = ["cur", "vs", "surplus", "second_vs_slot", "late", "riser", "rotation", "projected"]
 
 
 @query(
     "app2_rankings",
-    f"""SELECT entity, rank, cur FROM (SELECT *, row_number() OVER (ORDER BY cur DESC, entity) AS rank FROM {NOW} WHERE cohort BETWEEN 1994 AND 1998 AND slot <= 30) WHERE contains(name, 'bolt')""",
-    "graded_now", ints="rank", rnd="cur", places=5,
+    " UNION ALL ".join(
+        f"""SELECT '{m}' AS metric, entity, rank, {m} AS v FROM (SELECT *, row_number() OVER (ORDER BY {m} DESC, entity) AS rank FROM metrics_
+      WHERE {m} IS NOT NULL AND cohort BETWEEN 1994 AND 1998 AND slot <= 30) WHERE contains(name, 'bolt')""" for m in RANK_BY),
+    "metrics_", ints="rank", rnd="v", places=6,
 )
 def _(t):
-    return rankings(now(t), (1994, 1998), True, query="bolt", by="cur").select("entity", "rank", "cur")
+    """Rank by any metric within the filters; the search keeps the rank."""
+    d = t.stage("entity_metrics", lambda: metrics(t))
+    out = None
+    for m in RANK_BY:
+        part = rankings(d, (1994, 1998), True, query="bolt", by=m).select(F.lit(m).alias("metric"), "entity", "rank", k(m).alias("v"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+BOARDS = {"bargains": "surplus", "late bloomers": "late", "playoff risers": "riser", "second contracts": "second_vs_slot",
+          "durability": "rotation", "bust risk": "bust"}
 
 
 @query(
     "app3_leaderboards",
-    f"""(SELECT 'value' AS board, entity, cur AS v FROM {NOW} ORDER BY cur DESC, entity LIMIT 30) UNION ALL (SELECT 'beat slot', entity, vs FROM {NOW} ORDER BY vs DESC, entity LIMIT 30)
-    UNION ALL (SELECT 'fell short', entity, vs FROM {NOW} ORDER BY vs, entity LIMIT 30)""",
-    "graded_now", rnd="v", places=5,
+    " UNION ALL ".join(
+        f"(SELECT '{n}' AS board, {flip} AS reversed, entity, {c} AS v FROM metrics_ WHERE {c} IS NOT NULL ORDER BY {c} {'ASC' if flip else 'DESC'}, entity LIMIT 30)"
+        for n, c in BOARDS.items() for flip in (False, True)),
+    "metrics_", rnd="v", places=6,
 )
 def _(t):
-    g = now(t)
+    """Six boards of 30, best first and reversed."""
+    d = t.stage("entity_metrics", lambda: metrics(t))
+    out = None
+    for name, col in BOARDS.items():
+        for flip in (False, True):
+            order = k(col) if flip else k(col).desc()
+            part = d.where(k(col).isNotNull()).orderBy(order, "entity").limit(30).select(
+                F.lit(name).alias("board"), F.lit(flip).alias("reversed"), "entity", k(col).alias("v"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
-    def board(name, col, ascending=False):
-        key = k(col) if ascending else k(col).desc()
-        return g.where(k(col).isNotNull()).orderBy(key, "entity").limit(30).select(F.lit(name).alias("board"), "entity", k(col).alias("v"))
 
-    return board("value", "cur").unionByName(board("beat slot", "vs")).unionByName(board("fell short", "vs", True))
+GROUPINGS = ["franchise", "position", "cohort"]
 
 
 @query(
     "app4_group_report",
-    f"""SELECT franchise, count(*) AS picks, avg(vs) - (SELECT avg(vs) FROM {NOW} WHERE finished) AS vs_slot, stddev_samp(vs) / sqrt(count(*)) AS se, avg((cur >= 2.0)::INT) AS good_share,
-      sum((cur >= 2.8)::INT) AS stars, first(entity ORDER BY vs DESC, entity) AS best, first(entity ORDER BY vs, entity) AS worst FROM {NOW} WHERE finished GROUP BY 1 HAVING count(*) >= 5""",
-    "graded_now", ints="stars", rnd="vs_slot se good_share", places=5,
+    " UNION ALL ".join(
+        f"""SELECT '{g}' AS grouping, grp, picks, vs_slot, se, vs_slot - 1.645 * se AS lo, vs_slot + 1.645 * se AS hi, good_share, stars, best, worst FROM (
+      SELECT CAST({g} AS VARCHAR) AS grp, count(*) AS picks, avg(vs) - (SELECT avg(vs) FROM {NOW} WHERE finished) AS vs_slot, stddev_samp(vs) / sqrt(count(*)) AS se, avg((cur >= 2.0)::INT) AS good_share,
+      sum((cur >= 2.8)::INT) AS stars, first(entity ORDER BY vs DESC, entity) AS best, first(entity ORDER BY vs, entity) AS worst FROM {NOW} WHERE finished GROUP BY 1 HAVING count(*) >= 5)"""
+        for g in GROUPINGS),
+    "graded_now", ints="stars", rnd="vs_slot se lo hi good_share", places=5,
 )
 def _(t):
-    g = now(t).where("finished")
-    out = GR.group_report(g, "franchise", "vs", "entity", k("cur") >= 2.0, k("cur") >= 2.8, min_rows=5)
-    return out.drop("lo", "hi")
+    """Report cards by each grouping, with the 90 % interval."""
+    d = now(t).where("finished")
+    out = None
+    for g in GROUPINGS:
+        part = GR.group_report(d.withColumn("grp", k(g).cast("string")), "grp", "vs", "entity", k("cur") >= 2.0, k("cur") >= 2.8, min_rows=5)
+        part = part.withColumn("grouping", F.lit(g))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
     "app5_steals_and_busts",
-    f"""(SELECT 'steal' AS kind, entity, moved FROM ({REDRAFT_SQL}) ORDER BY moved DESC, composite DESC, entity LIMIT 25)
-    UNION ALL (SELECT 'bust', entity, moved FROM ({REDRAFT_SQL}) ORDER BY moved, composite, entity LIMIT 25)""",
-    "comp", ints="moved",
+    f"""(SELECT 'steal' AS kind, entity, moved FROM ({REDRAFT_SQL}) ORDER BY moved DESC, cur DESC, entity LIMIT 25)
+    UNION ALL (SELECT 'bust', entity, moved FROM ({REDRAFT_SQL}) ORDER BY moved, cur, entity LIMIT 25)""",
+    "graded_now", ints="moved",
 )
 def _(t):
-    r = RK.with_position(
-        t.composite.where(k("period") == LAST).select("entity", "cohort", "slot", F.round("composite", 9).alias("composite")),
-        "composite", "entity", ["cohort"], name="redraft",
-    ).withColumn("moved", k("slot") - k("redraft"))
-    best = r.orderBy(k("moved").desc(), k("composite").desc(), "entity").limit(25)
-    worst = r.orderBy("moved", "composite", "entity").limit(25)
+    r = redraft(t)
+    best = r.orderBy(k("moved").desc(), k("cur").desc(), "entity").limit(25)
+    worst = r.orderBy("moved", "cur", "entity").limit(25)
     cols = ["entity", "moved"]
     return best.select(F.lit("steal").alias("kind"), *cols).unionByName(worst.select(F.lit("bust").alias("kind"), *cols))
 
@@ -588,6 +669,18 @@ def _(t):
     )
 
 
+@query(
+    "app7_best_and_worst_trades",
+    """(SELECT 'best' AS list, key, diff FROM trade_rows WHERE verdict IN ('worth it', 'even', 'not worth it') ORDER BY diff DESC, key LIMIT 15)
+    UNION ALL (SELECT 'worst', key, diff FROM trade_rows WHERE verdict IN ('worth it', 'even', 'not worth it') ORDER BY diff, key LIMIT 15)""",
+    "trade_rows", rnd="diff", places=6,
+)
+def _(t):
+    tr = scored_trades(t).where(k("verdict").isin(*VERDICTS)).select("key", "diff")
+    best, worst = tr.orderBy(k("diff").desc(), "key").limit(15), tr.orderBy("diff", "key").limit(15)
+    return best.select(F.lit("best").alias("list"), "key", "diff").unionByName(worst.select(F.lit("worst").alias("list"), "key", "diff"))
+
+
 @query(
     "app8_compare_two",
     f"""SELECT a.franchise AS one, measure, x, y FROM (SELECT franchise, measure, x FROM (SELECT franchise, avg(cur) AS current, avg(vs) AS beat FROM {NOW} GROUP BY 1) UNPIVOT (x FOR measure IN (current, beat))) a
@@ -619,12 +712,17 @@ def _(t):
 
 @query(
     "app10_never_active_rates",
-    """SELECT cohort, status, n FROM (SELECT cohort, sum((late)::INT) AS late, sum((NOT late)::INT) AS on_time FROM (
-      SELECT e.cohort, coalesce(f > e.cohort + 1, TRUE) AS late FROM ent e LEFT JOIN (SELECT entity, min(period) AS f FROM seasons GROUP BY 1) USING (entity)) GROUP BY 1) UNPIVOT (n FOR status IN (late, on_time))""",
-    "ent seasons", ints="cohort n",
+    """SELECT cohort, status, n, n / picks AS share FROM (SELECT cohort, count(*) AS picks, sum((late)::INT) AS late, sum((NOT late)::INT) AS on_time, sum(never::INT) AS never FROM (
+      SELECT e.cohort, coalesce(f > e.cohort + 1, TRUE) AS late, f IS NULL AS never FROM ent e LEFT JOIN (SELECT entity, min(period) AS f FROM seasons GROUP BY 1) USING (entity)) GROUP BY 1)
+      UNPIVOT (n FOR status IN (late, on_time, never))""",
+    "ent seasons", ints="cohort n", rnd="share",
 )
 def _(t):
+    """Entities per class that started late (or never), on time, and never: counts and shares."""
     first = t.seasons.groupBy("entity").agg(F.min("period").alias("f"))
     d = t.ent.join(first, "entity", "left").withColumn("late", F.coalesce(k("f") > k("cohort") + 1, F.lit(True)))
-    g = d.groupBy("cohort").agg(F.count_if("late").alias("late"), F.count_if(~k("late")).alias("on_time"))
-    return g.unpivot(["cohort"], ["late", "on_time"], "status", "n")
+    g = d.groupBy("cohort").agg(
+        F.count(F.lit(1)).alias("picks"), F.count_if("late").alias("late"), F.count_if(~k("late")).alias("on_time"),
+        F.count_if(k("f").isNull()).alias("never"))
+    long = g.unpivot(["cohort", "picks"], ["late", "on_time", "never"], "status", "n")
+    return long.select("cohort", "status", "n", (k("n") / k("picks")).alias("share"))

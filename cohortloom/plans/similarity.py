@@ -95,13 +95,24 @@ def _(t):
     return comps(t).select("fold", "id", "rank", "neighbour", "distance")
 
 
-@query(
-    "sim4_driving_features",
+CTES["reasons_"] = (
     """SELECT fold, id, rank, array_to_string(list_transform(list_sort(list_filter([{'g': round(g_f1, 9), 'i': 0, 'v': 'slot'}, {'g': round(g_f2, 9), 'i': 1, 'v': 'first value'},
       {'g': round(g_f3, 9), 'i': 2, 'v': 'minutes'}, {'g': round(g_f4, 9), 'i': 3, 'v': 'price'}], lambda s: s.g IS NOT NULL))[1:3], lambda s: s.v), ', ') AS why FROM near""",
-    "near", ints="fold rank",
+    ["near"],
+)
+CTES["similar_"] = (
+    """SELECT fold, id, rank, round(greatest(0.0, 100 * (1 - round(d, 9) / m)), 1) AS similarity, d >= 1000 AS low_overlap FROM near JOIN
+    (SELECT fold, id, median(round(d, 4)) AS m FROM pairs GROUP BY 1, 2) USING (fold, id)""",
+    ["near", "pairs"],
 )
+
+
+@query("sim4_driving_features", "SELECT * FROM reasons_", "reasons_", ints="fold rank")
 def _(t):
+    return reasons(t)
+
+
+def reasons(t):
     subj, pool = spaces(t)
     n = comps(t).join(subj.select("fold", "id", k("vec").alias("a")), ["fold", "id"]).join(
         pool.select("fold", k("id").alias("neighbour"), k("vec").alias("b")), ["fold", "neighbour"]
@@ -111,13 +122,16 @@ def _(t):
     return n.select("fold", "id", "rank", why.alias("why"))
 
 
-@query(
-    "sim5_similarity_score",
-    """SELECT fold, id, rank, round(greatest(0.0, 100 * (1 - round(d, 9) / m)), 1) AS similarity, d >= 1000 AS low_overlap FROM near JOIN
-    (SELECT fold, id, median(round(d, 4)) AS m FROM pairs GROUP BY 1, 2) USING (fold, id)""",
-    "near pairs", ints="fold rank", rnd="similarity", places=1,
-)
+@query("sim5_similarity_score", "SELECT * FROM similar_", "similar_", ints="fold rank", rnd="similarity", places=1)
 def _(t):
+    return similarity_scores(t)
+
+
+def similarity_scores(t):
+    return t.stage("similarity_scores", lambda: _similarity_scores(t))
+
+
+def _similarity_scores(t):
     subj, pool = spaces(t)
     counts = NB.distance_counts(subj, pool, NB.Space(), ["fold"])
     med = RK.quantile_rows(counts, "distance", [0.5], ["fold", "id"], weight="n").select("fold", "id", k("quantile").alias("m"))

@@ -565,8 +565,7 @@ def validation(t):
 @query("sta30_validation_intervals")
 def _(t):
     """Bootstrap intervals of the AUC per candidate, and of its difference from `peak`."""
-    reps = RS.with_replicates(candidates(t), "entity", 1000)
-    a = AS.auc(reps, "v", "hit", ["cand", "rep"], "w").drop("n")
+    a = t.stage("candidate_aucs", lambda: AS.auc_replicates(candidates(t), "v", "hit", "entity", ["cand"], 1000))
     base = a.where("cand = 'peak'").select("rep", k("auc").alias("b"))
     a = a.join(base, "rep").withColumn("diff", k("auc") - k("b"))
     ci = RS.interval(a, ["cand"], "auc", "lo", "hi").join(RS.interval(a, ["cand"], "diff", "diff_lo", "diff_hi"), "cand")

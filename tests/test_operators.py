@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import grids as G
 from cohortloom.operators import aggregates as A
 from cohortloom.operators import association as AS
+from cohortloom.operators import causal as CA
 from cohortloom.operators import folds as FO
 from cohortloom.operators import forecast as FC
 from cohortloom.operators import grading as GD
@@ -177,6 +178,24 @@ def test_feature_neighbours_are_exact(spark, tile, pivots):
         assert np.allclose(g.distance, [d for _, d in want[i]], atol=1e-7)
 
 
+def test_compared_pairs_grow_with_the_rows_not_with_their_square(spark):
+    """Clustered points: four times the rows on both sides stay far below sixteen times the pairs."""
+    rng = np.random.default_rng(14)
+    centres = rng.uniform(-100, 100, size=(400, 3))
+    seen = []
+    for n in (1000, 4000):
+        x = centres[rng.integers(0, 100 * n // 1000, n)] + rng.normal(scale=0.05, size=(n, 3))
+        rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+        meter = spark.sparkContext.accumulator(0)
+        got = NB.nearest(rows, rows, NB.Space(), 3, [], "id", pivots=4, tile=32, meter=meter).toPandas()
+        seen.append(meter.value)
+        for i in (0, n // 2, n - 1):
+            d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), 9)
+            d[i] = np.inf
+            assert list(got[got.id == i].sort_values("rank").neighbour) == list(np.argsort(d, kind="stable")[:3])
+    assert seen[1] < 7 * seen[0]
+
+
 def test_distance_counts_give_the_median(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(90, 3))
@@ -302,6 +321,20 @@ def efron(beta, x, t, e, pen):
     return ll - pen * len(t) / 2 * (beta**2).sum()
 
 
+def test_tie_sums_of_many_events_in_chunks():
+    f = np.arange(1000) / 1000
+    phi = 50.0 - f * 20.0
+    want = [(1 / phi).sum(), (f / phi).sum(), (1 / phi**2).sum(), (f / phi**2).sum(), (f * f / phi**2).sum()]
+    assert np.allclose(SV._tie_sums(50.0, 20.0, 1000, chunk=64), want)
+    import tracemalloc
+
+    tracemalloc.start()
+    SV._tie_sums(3e7, 1e7, 10_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000
+
+
 def test_cox_maximises_the_penalised_likelihood(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 2))
@@ -424,3 +457,82 @@ def test_hash_sample_is_repeatable(spark):
     d = spark.range(1000).withColumn("g", F.col("id") % 3)
     a = {r.id for r in A.hash_sample(d, ["g"], "id", 5).collect()}
     assert a == {r.id for r in A.hash_sample(d.repartition(13), ["g"], "id", 5).collect()} and len(a) == 15
+
+
+def test_replicate_sums_equal_exploded_weights(spark):
+    """Batch products against one weight per row and replicate, with missing values and a text key."""
+    rng = np.random.default_rng(21)
+    rows = [(int(i), str(i), "ab"[i % 2], None if i % 7 == 0 else float(v)) for i, v in enumerate(rng.normal(size=60))]
+    d = spark.createDataFrame(rows, "id long, name string, g string, v double").repartition(3)
+    for key in ("id", "name"):
+        got = {(r.g, r.rep): (r.s_v, r.w_v) for r in RS.replicate_sums(d, key, ["v"], ["g"], 30, seed=2).collect()}
+        long = RS.with_replicates(d, key, 30, seed=2).where("v is not null")
+        for r in long.groupBy("g", "rep").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w")).collect():
+            assert np.allclose(got[r.g, r.rep], (r.s, r.w))
+    assert RS.POISSON_CDF[-1] > 1 - 1 / RS.PRIME and len(RS.POISSON_CDF) > 8
+
+
+def test_auc_replicates_equal_weighted_auc(spark):
+    rng = np.random.default_rng(22)
+    rows = [(int(i), "xy"[i % 2], float(rng.integers(0, 12)), bool(rng.random() < 0.4)) for i in range(120)]
+    d = spark.createDataFrame(rows, "id long, g string, v double, hit boolean").repartition(3)
+    got = {(r.g, r.rep): r.auc for r in AS.auc_replicates(d, "v", "hit", "id", ["g"], 20).collect()}
+    want = AS.auc(RS.with_replicates(d, "id", 20), "v", "hit", ["g", "rep"], "w").collect()
+    assert len(want) == 40 and all(np.isclose(got[r.g, r.rep], r.auc) for r in want)
+
+
+def test_propensity_replicates_equal_single_fits(spark):
+    """Each replicate against a plain weighted ridge logistic fit."""
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(150, 2))
+    t = rng.random(150) < 1 / (1 + np.exp(-x[:, 0]))
+    y = x[:, 1] + 0.5 * t + rng.normal(size=150)
+    d = spark.createDataFrame(pd.DataFrame({"id": np.arange(150), "a": x[:, 0], "b": x[:, 1], "t": t, "y": y}))
+    got = {r.rep: r["diff"] for r in CA.propensity_replicates(d, ["a", "b"], "t", "y", "id", 4).collect()}
+    z = np.column_stack([np.ones(150), (x - x.mean(0)) / x.std(0, ddof=1)])
+    weights = RS.replicate_weights(np.arange(150), 4, 0)
+    for rep in range(4):
+        w, beta = weights[:, rep].astype(float), np.zeros(3)
+        for _ in range(40):
+            e = 1 / (1 + np.exp(-z @ beta))
+            g = z.T @ (w * (t - e)) - np.diag([0, 1, 1]) @ beta
+            beta += np.linalg.solve((z * (w * e * (1 - e))[:, None]).T @ z + np.diag([0.0, 1, 1]), g)
+        e = 1 / (1 + np.exp(-z @ beta))
+        w = np.where((e > 0.05) & (e < 0.95), w, 0)
+        one, none = w * t / e, w * ~t / (1 - e)
+        assert np.isclose(got[rep + 1], (y * one).sum() / one.sum() - (y * none).sum() / none.sum(), atol=1e-6)
+
+
+def test_factors_explain_maps_and_take_any_key(spark):
+    """Two planted components: the fit reaches them, for keys beyond 32 bits, for all ranks at once."""
+    rng = np.random.default_rng(24)
+    h = np.zeros((2, SP.CELLS))
+    h[0, :40], h[1, 500:540] = 1 / 40, 1 / 40
+    w = rng.dirichlet([1, 1], 30)
+    maps = [(2**40 + i, c, float(v)) for i, row in enumerate(w @ h) for c, v in enumerate(row) if v]
+    d = spark.createDataFrame(maps, "key long, cell int, density double")
+    weights, components, errors = SP.fit_styles(d, "key", [1, 2, 3])
+    e = {r["rank"]: r.error for r in errors.collect()}
+    norm = 100 * np.sqrt(((w @ h) ** 2).sum())
+    assert e[2] < 0.02 * norm < e[1] and e[3] < 0.02 * norm
+    two = weights.where("rank = 2").collect()
+    assert len(two) == 30 and all(np.isclose(sum(r.w), 1) for r in two) and min(r.key for r in two) == 2**40
+    again = {r.key: r.w for r in SP.project_styles(d, components.where("rank = 2"), "key").collect()}
+    assert all(np.allclose(again[r.key], r.w, atol=0.02) for r in two)
+
+
+def test_positions_keep_rows_without_a_value(spark):
+    d = spark.createDataFrame([(1, "a", 2.0), (2, "a", None), (3, None, 1.0), (4, "a", 5.0)], "id long, g string, v double")
+    got = {r.id: r.position for r in RK.with_position(d, "v", "id", ["g"]).collect()}
+    assert got == {1: 2, 2: None, 3: None, 4: 1}
+
+
+def test_roster_links_hold_per_season(spark):
+    """A person in two seasons keeps both links; a roster listed twice counts once; twins are nobody's."""
+    left = spark.createDataFrame([(1, 1, "ann lee"), (1, 2, "ann lee"), (2, 1, "bob ray"), (3, 1, "cat fox"), (4, 1, "dan poe"), (5, 1, "dan poe")],
+                                 "id int, season int, norm string")
+    roster = spark.createDataFrame(
+        [(10, 1, "ann lee"), (10, 1, "ann lee"), (10, 2, "ann lee"), (20, 1, "bob raye"), (30, 1, "cat fox"), (31, 1, "cat fox"), (40, 1, "dan poe")],
+        "rid int, season int, norm string")
+    got = L.link_roster(left, roster, ["season"], "id", "rid", "season").collect()
+    assert sorted((r.id, r.season, r.rid, r.method) for r in got) == [(1, 1, 10, "exact"), (1, 2, 10, "exact"), (2, 1, 20, "fuzzy")]
