@@ -67,9 +67,12 @@ def _(t):
 
 @query("src7_header_repair_csv", "SELECT s_suppkey::VARCHAR AS rk, s_name AS fun_rk, s_nationkey::VARCHAR AS adjt FROM supplier")
 def _(t):
+    """The header, with one quoted cell for two columns, is read from the file."""
     path = scratch(t)
-    t.supplier.select("s_suppkey", "s_name", "s_nationkey").write.csv(path)
-    return TX.repaired_csv(t.spark, path, 'Rk,"Fun Rk., adjt"')
+    lines = t.supplier.select(F.concat_ws(",", "s_suppkey", "s_name", "s_nationkey").alias("value"))
+    header = t.spark.createDataFrame([('Rk,"Fun Rk., adjt"',)], "value string")
+    header.unionByName(lines).coalesce(1).write.text(path)
+    return TX.repaired_csv(t.spark, path)
 
 
 @query(
@@ -330,6 +333,22 @@ def _(t):
     return TB.universe(c.where("id % 2 = 0"), c, "id", k("c_acctbal") > 5000)
 
 
+@query(
+    "src17_team_json",
+    """SELECT n_nationkey AS team_id, r_name AS location, n_name AS display_name, n_name[1:3] AS abbrev FROM nation JOIN region ON r_regionkey = n_regionkey""",
+    ints="team_id",
+)
+def _(t):
+    """One body per region lists its teams."""
+    n = t.nation.join(t.region, k("n_regionkey") == k("r_regionkey"))
+    team = F.struct(
+        s("n_nationkey").alias("id"), k("r_name").alias("location"), k("n_name").alias("displayName"), F.substring("n_name", 1, 3).alias("abbreviation")
+    )
+    leagues = F.array(F.struct(F.collect_list(F.struct(team.alias("team"))).alias("teams")))
+    bodies = n.groupBy("r_regionkey").agg(F.to_json(F.struct(F.array(F.struct(leagues.alias("leagues"))).alias("sports"))).alias("body"))
+    return D.teams(bodies, "body")
+
+
 @query("src21_export_bundle", "SELECT vec_id, CAST(embedding[1] AS FLOAT)::DOUBLE AS c0, label FROM embeddings", ints="label", rnd="c0", places=7)
 def _(t):
     path = scratch(t)
@@ -377,9 +396,10 @@ def _(t):
     totals = RF.running_totals(events_stream(t), "user_id", {"games": F.lit(1.0), "value": k("value")})
     bands = t.events.select("user_id").distinct().withColumns({"floor": F.lit(5000.0), "ceiling": F.lit(10000.0)})
 
-    def publish(batch, _):
-        RF.tracker(bands, batch, "user_id", F.lit(200.0)).write.mode("overwrite").parquet(f"{root}/table")
+    def publish(batch, batch_id):
+        changed = RF.tracker(bands.join(batch, "user_id", "left_semi"), batch, "user_id", F.lit(200.0))
+        RF.replace_rows(changed, batch_id, f"{root}/table", "user_id", f"{root}/state")
 
-    q = totals.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q = totals.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", f"{root}/state/offsets").trigger(availableNow=True).start()
     q.awaitTermination()
     return t.spark.read.parquet(f"{root}/table").select("user_id", "games", "value", "status")

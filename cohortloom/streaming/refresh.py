@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,6 +29,42 @@ def tracker(bands: DataFrame, current: DataFrame, entity: str, full_length: Colu
     return d.select(entity, "games", "value", "pace", status.alias("status"))
 
 
+def _held(spark: SparkSession, table: str, partition: str, touched: list) -> DataFrame | None:
+    """Rows of some partitions; None if there is no table yet. Any other failure must not pass for an empty table."""
+    try:
+        return spark.read.parquet(table).where(F.col(partition).isin(touched))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _overwrite(rows: DataFrame, table: str, partition: str, staged: str) -> None:
+    """Replace the partitions that `rows` has. Staged first, because the table may be read for them."""
+    rows.write.mode("overwrite").partitionBy(partition).parquet(staged)
+    (
+        rows.sparkSession.read.parquet(staged).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(table)
+    )
+
+
+def replace_rows(changed: DataFrame, batch_id: int, table: str, key: str, state: str, buckets: int = 16) -> None:
+    """Put the changed rows of an update-mode batch in place of those with the same key.
+
+    The table is partitioned by a hash of the key; only buckets with a change are rewritten. A batch
+    that is replayed writes the same rows again.
+    """
+    spark = changed.sparkSession
+    new = changed.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most `buckets`
+    if not touched:
+        return
+    old = _held(spark, table, "_bucket", touched)
+    if old is not None:
+        new = old.join(new.select(key), key, "left_anti").unionByName(new)
+    _overwrite(new, table, "_bucket", f"{state}/staged/{batch_id}")
+
+
 def refresh_partitions(
     stream: DataFrame, table: str, partition: str, keys: list[str], merge: dict[str, Callable], state: str
 ) -> StreamingQuery:
@@ -42,20 +78,12 @@ def refresh_partitions(
     """
     spark = stream.sparkSession
 
-    def held(touched: list) -> DataFrame | None:
-        try:
-            return spark.read.parquet(table).where(F.col(partition).isin(touched))
-        except AnalysisException as e:  # no table yet; any other failure must not pass for an empty table
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-
     def upsert(batch: DataFrame, batch_id: int) -> None:
         part = batch.groupBy(partition, *keys).agg(*[f(m).alias(m) for m, f in merge.items()])
         touched = [r[0] for r in part.select(partition).distinct().collect()]  # a few partitions
         if not touched:
             return
-        old = held(touched)
+        old = _held(spark, table, partition, touched)
         if old is not None:
             # A batch that came to some of its partitions before it failed goes on with the others.
             done = old.where(F.col("_batch") >= batch_id).select(partition).distinct().collect()
@@ -67,13 +95,7 @@ def refresh_partitions(
             part = old.drop("_batch").unionByName(part).groupBy(partition, *keys).agg(
                 *[f(m).alias(m) for m, f in merge.items()]
             )
-        # Staged, because the table that is overwritten is read here too.
-        staged = f"{state}/staged/{batch_id}"
-        part.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").partitionBy(partition).parquet(staged)
-        (
-            spark.read.parquet(staged).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(table)
-        )
+        _overwrite(part.withColumn("_batch", F.lit(batch_id)), table, partition, f"{state}/staged/{batch_id}")
 
     return (
         stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{state}/offsets")

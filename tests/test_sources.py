@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.sources import pages as PG
@@ -64,6 +65,44 @@ def test_refresh_equals_full_recompute_and_ignores_replays(spark, tmp_path):
     assert got == {(r.day, r.u): r.n for r in full}
 
 
+def _batches(spark, src, table, state):
+    stream = spark.readStream.schema("day long, u long, n long").parquet(src)
+    return RF.refresh_partitions(stream, table, "day", ["u"], {"n": F.sum}, state)
+
+
+def test_refresh_fails_on_an_unreadable_table_and_leaves_it(spark, tmp_path):
+    src, table, state = (str(tmp_path / n) for n in ("src", "table", "state"))
+    spark.createDataFrame([(1, 1, 11)], "day long, u long, n long").write.parquet(src)
+    _batches(spark, src, table, state).awaitTermination()
+    bad = tmp_path / "table" / "day=1" / "part-bad.parquet"
+    bad.write_bytes(b"no parquet")
+    before = sorted(p.name for p in (tmp_path / "table").rglob("*.parquet"))
+    spark.createDataFrame([(1, 1, 100)], "day long, u long, n long").write.mode("append").parquet(src)
+    with pytest.raises(Exception):
+        _batches(spark, src, table, state).awaitTermination()
+    assert sorted(p.name for p in (tmp_path / "table").rglob("*.parquet")) == before
+
+
+def test_replay_finishes_a_half_written_batch(spark, tmp_path):
+    """The first attempt wrote one of two partitions and died before its offsets were committed."""
+    src, table, state = (str(tmp_path / n) for n in ("src", "table", "state"))
+    rows = spark.createDataFrame([(1, 1, 5), (2, 1, 7)], "day long, u long, n long")
+    rows.write.parquet(src)
+    rows.where("day = 1").withColumn("_batch", F.lit(0)).write.partitionBy("day").parquet(table)
+    _batches(spark, src, table, state).awaitTermination()
+    assert {(r.day, r.n) for r in spark.read.parquet(table).collect()} == {(1, 5), (2, 7)}
+
+
+def test_changed_rows_replace_their_keys_only(spark, tmp_path):
+    table, state = str(tmp_path / "t"), str(tmp_path / "s")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "u long, v long")
+    RF.replace_rows(frame((1, 1), (2, 2), (3, 3)), 0, table, "u", state, buckets=2)
+    for _ in range(2):  # a replay changes nothing
+        RF.replace_rows(frame((2, 20), (4, 40)), 1, table, "u", state, buckets=2)
+    RF.replace_rows(frame(), 2, table, "u", state, buckets=2)
+    assert {(r.u, r.v) for r in spark.read.parquet(table).collect()} == {(1, 1), (2, 20), (3, 3), (4, 40)}
+
+
 def test_tracker_status(spark):
     bands = spark.createDataFrame([(1, 1.0, 2.0), (2, 1.0, 2.0), (3, 1.0, 2.0), (4, 1.0, 2.0)], "e int, floor double, ceiling double")
     now = spark.createDataFrame([(1, 41.0, 1.5), (2, 41.0, 0.2), (3, 41.0, 0.75)], "e int, games double, value double")
