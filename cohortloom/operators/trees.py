@@ -27,8 +27,9 @@ def forest_quantiles(
 ) -> DataFrame:
     """(id, grid): quantile regression forest.
 
-    The outcome axis is cut at `points` exact quantiles. Each (tree, leaf) keeps its share of
-    outcomes at or below every cut; a subject averages its trees' shares and inverts them.
+    The outcome axis is cut at its ends and at `points` exact quantiles between them. Each (tree, leaf)
+    keeps its share of outcomes at or below every cut; a subject averages its trees' shares and inverts
+    them, linearly between two cuts.
     """
     rf = RandomForestRegressor(
         featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
@@ -36,7 +37,7 @@ def forest_quantiles(
     )
     tr = _assembled(train.where(F.col(y).isNotNull()), features)
     model = rf.fit(tr)
-    cuts = quantile_grid(tr.select(y), y, [i / (points + 1) for i in range(1, points + 1)], name="cuts")
+    cuts = quantile_grid(tr.select(y), y, [i / (points + 1) for i in range(points + 2)], name="cuts")
     axis = cuts.select(F.col("cuts")).scalar()
 
     def leaves(df: DataFrame, *keep: str) -> DataFrame:
@@ -48,7 +49,7 @@ def forest_quantiles(
     per = binned.groupBy("tree", "leaf", "_b").agg(F.count(F.lit(1)).alias("n"))
     packed = per.groupBy("tree", "leaf").agg(F.collect_list(F.struct("_b", "n")).alias("_h"), F.sum("n").alias("_t"))
     share = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)),
+        F.sequence(F.lit(0), F.lit(points + 1)),
         lambda i: F.aggregate(
             F.filter("_h", lambda s: s["_b"] <= i), F.lit(0.0), lambda a, s: a + s["n"].cast("double")
         ) / F.col("_t"),
@@ -58,10 +59,16 @@ def forest_quantiles(
     mean = met.select("id", F.posexplode("cdf").alias("i", "p")).groupBy("id", "i").agg(F.avg("p").alias("p"))
     cdf = mean.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]).alias("cdf"))
     cdf = cdf.withColumn("_cuts", axis)
-    grid = F.transform(
-        G.levels_array(),
-        lambda tau: F.element_at("_cuts", F.least(F.size(F.filter("cdf", lambda p: p < tau - 1e-9)) + 1, F.size("_cuts"))),
-    )
+
+    def inverse(tau):
+        # Place of the first cut with a share of at least tau, from 1; the last cut has them all.
+        at = F.least(F.size(F.filter("cdf", lambda p: p < tau - 1e-9)) + 1, F.size("_cuts"))
+        before = F.greatest(at - 1, F.lit(1))
+        low, high = F.element_at("cdf", before), F.element_at("cdf", at)
+        part = F.when((at > 1) & (high > low), F.least((tau - low) / (high - low), F.lit(1.0))).otherwise(F.lit(1.0))
+        return F.element_at("_cuts", before) + (F.element_at("_cuts", at) - F.element_at("_cuts", before)) * part
+
+    grid = F.transform(G.levels_array(), inverse)
     return cdf.select("id", grid.alias("grid"))
 
 

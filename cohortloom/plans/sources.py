@@ -16,6 +16,7 @@ from ..streaming import refresh as RF
 from .registry import query
 
 k = F.col
+TASKS = 8  # the pages here lie in one small file
 
 
 def scratch(t) -> str:
@@ -112,7 +113,7 @@ def draft_pages(t):
     UNION ALL SELECT p_partkey, NULL, 'none', NULL, NULL FROM part""",
 )
 def _(t):
-    rows = PG.data_rows(PG.table_rows(draft_pages(t)), "stats")
+    rows = PG.data_rows(PG.table_rows(draft_pages(t), tasks=TASKS), "stats")
     return rows.select(
         "page_id", PG.cell("pick_overall").alias("pick"), PG.cell("player").alias("player"), PG.cell("player__href").alias("href"),
         PG.cell("player__id").alias("pid"),
@@ -126,7 +127,7 @@ def _(t):
     ints="round pick",
 )
 def _(t):
-    return PG.ranked_rounds(PG.table_rows(draft_pages(t)), "stats").select("page_id", "round", "pick", "team", "player_id")
+    return PG.ranked_rounds(PG.table_rows(draft_pages(t), tasks=TASKS), "stats").select("page_id", "round", "pick", "team", "player_id")
 
 
 @query(
@@ -143,7 +144,7 @@ def _(t):
         F.when(key % 3 == 0, cat("<p>Recruiting Rank: 2010 (", (key % 100 + 1).cast("string"), ")</p>")).otherwise(""),
         "<p>Draft: Team, 1st round</p><p>NBA Debut: October 3, 2012</p></div><p>after</p></div>",
     )
-    texts = PG.element_texts(t.customer.select(key.alias("page_id"), html.alias("html")), ["meta"])
+    texts = PG.element_texts(t.customer.select(key.alias("page_id"), html.alias("html")), ["meta"], tasks=TASKS)
     return PG.bio_fields(texts).select(
         "page_id", "position", "shoots", "height_cm", "height_in", "colleges", "recruit_rank", "birthplace"
     )
@@ -169,7 +170,7 @@ def move_pages(t):
     UNION ALL SELECT o_orderkey, CAST(o_orderdate AS DATE), 'traded', 'T' || (o_custkey % 30), 'T' || (o_custkey % 29 + 30) FROM orders""",
 )
 def _(t):
-    return PG.transactions(move_pages(t)).select("page_id", "date", "kind", "team_from", "team_to")
+    return PG.transactions(move_pages(t), tasks=TASKS).select("page_id", "date", "kind", "team_from", "team_to")
 
 
 @query(
@@ -179,7 +180,7 @@ def _(t):
     ints="sent_unresolved received_unresolved",
 )
 def _(t):
-    moves = PG.transactions(move_pages(t)).withColumn("subject", cat("s", s("page_id")))
+    moves = PG.transactions(move_pages(t), tasks=TASKS).withColumn("subject", cat("s", s("page_id")))
     return PG.trade_sides(moves, "subject").select(
         "page_id", F.array_join("sent", ",").alias("sent"), F.array_join("received", ",").alias("received"), "sent_unresolved",
         "received_unresolved", "multi_team", "has_return",
@@ -199,7 +200,7 @@ def _(t):
         F.when(key % 2 == 0, "regular").otherwise("playoffs").alias("phase"),
     )
     pages = draft_pages(t)
-    rows = PG.data_rows(PG.table_rows(pages), "stats").where(PG.cell("player__id").isNotNull())
+    rows = PG.data_rows(PG.table_rows(pages, tasks=TASKS), "stats").where(PG.cell("player__id").isNotNull())
     tagged = PG.with_manifest(pages.select("page_id", "url"), manifest.drop("table_id"))
     return rows.join(tagged, "page_id").select("page_id", "season", "phase", PG.cell("player__id").alias("pid"))
 
@@ -224,7 +225,7 @@ def _(t):
     html = cat(
         '<table id="totals"><tbody><tr><th data-stat="year_id">', year, '</th></tr><tr><th data-stat="year_id">Career</th></tr></tbody></table>'
     )
-    rows = PG.data_rows(PG.table_rows(t.part.select(k("p_partkey").alias("page_id"), html.alias("html"))), "totals")
+    rows = PG.data_rows(PG.table_rows(t.part.select(k("p_partkey").alias("page_id"), html.alias("html")), tasks=TASKS), "totals")
     return rows.where(PG.cell("year_id").rlike(r"^\d{4}-\d{2}$")).select("page_id", PG.cell("year_id").alias("year_id"))
 
 

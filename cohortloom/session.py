@@ -72,11 +72,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give work that is heavy per row at least one task per core.
-
-    Only an input with fewer splits than cores, such as one small file, is redistributed; a large
-    table already has more splits and is left where it lies.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Deal rows out to `tasks` tasks, for work that is heavy per row; None leaves them where they lie."""
+    return df.repartition(tasks) if tasks else df

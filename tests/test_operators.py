@@ -572,3 +572,16 @@ def test_tied_names_are_dealt_out_in_few_rounds(spark, monkeypatch):
         want |= _greedy([(i, n) for i, k, n in left if k == block], [(i, n) for i, k, n in right if k == block], lambda n, m: score[n, m], 75.0)
     assert {(r.id, r.rid) for r in got} == want and len(want) >= 90
     assert len(rounds) <= 3
+
+
+def test_forest_quantiles_reach_between_and_beyond_the_cuts(spark):
+    """Without any split the forest's grid is that of its bootstrap samples: between cuts, near the exact quantiles."""
+    from cohortloom.operators import trees as TR
+
+    rng = np.random.default_rng(41)
+    y = rng.gamma(2.0, 1.0, 400)
+    train = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "x": np.zeros(400), "y": y}))
+    (row,) = TR.forest_quantiles(train, train.limit(1), ["x"], "y", points=98).collect()
+    assert np.all(np.diff(row.grid) > 0) and np.allclose(row.grid[1:-1], np.quantile(y, G.LEVELS[1:-1]), atol=0.3)
+    cuts = np.quantile(y, [i / 99 for i in range(100)])
+    assert sum(min(abs(cuts - v)) > 1e-6 for v in row.grid) > 9
