@@ -88,7 +88,9 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("x"),
     )
     names = docs.columns
-    staged = docs.withColumn("_s", let(found, lambda s: s))
+    # Generated, not projected: a filter on the outcome is then not pushed below, which would compute
+    # the statistics once for every use in it.
+    staged = docs.select("*", F.explode(F.array(found)).alias("_s"))
     return staged.select(
         *names, F.col("_s.w.n_words").alias("s_n_words"), F.col("_s.word_chars").alias("s_word_chars"),
         F.col("_s.n_symbols").alias("s_n_symbols"), F.col("_s.x.dup").cast("bigint").alias("s_n_dup_lines"),
