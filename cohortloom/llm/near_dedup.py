@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import scratch
-from .common import mapped, mix64, release, stage, word_bytes, write_array
+from .common import drop_path, mapped, mix64, release, stage, word_bytes, write_array
 
 
 @dataclass(frozen=True)
@@ -421,23 +421,32 @@ def near_duplicates(
     def grouped(frame: DataFrame) -> DataFrame:
         return frame.repartition("key", "tile").sortWithinPartitions("key", "tile", "node")
 
-    near = grouped(own).mapInArrow(_near_nodes(sigs, plan), "node bigint").distinct()
-    need = stage(classes.select("node", "text_key").join(near, "node", "left_semi"), f"{folder}/near-nodes")
-    release(spark)
     # Copies of a text meet map-side first, so that one with very many rows moves few.
-    texts = source.select("text_key", "text").dropDuplicates(["text_key"]).join(need, "text_key").select("node", "text")
-    sets = keep_by_node(
-        texts.mapInArrow(_set_rows(plan), "node bigint, shingles array<bigint>").withColumnRenamed("shingles", "values"),
-        f"{folder}/set-arrays", shards, "uint64")
-    release(spark)
-    wanted = need.select("node")
-    links = stage(grouped(own.join(wanted, "node", "left_semi")).mapInArrow(_links(sigs, sets, plan), "a bigint, b bigint"), f"{folder}/links")
-    release(spark)
+    texts = source.select("text_key", "text").dropDuplicates(["text_key"])
+
+    def linked(rows: DataFrame, name: str) -> DataFrame:
+        """Links among classes that meet in `rows`; only those with another one within the distance get their set written."""
+        near = grouped(rows).mapInArrow(_near_nodes(sigs, plan), "node bigint").distinct()
+        need = stage(classes.select("node", "text_key").join(near, "node", "left_semi"), f"{folder}/{name}-nodes")
+        release(spark)
+        sets = keep_by_node(
+            texts.join(need, "text_key").select("node", "text").mapInArrow(_set_rows(plan), "node bigint, shingles array<bigint>")
+            .withColumnRenamed("shingles", "values"),
+            f"{folder}/{name}-sets", shards, "uint64")
+        release(spark)
+        within = rows.join(need.select("node"), "node", "left_semi")
+        out = stage(grouped(within).mapInArrow(_links(sigs, sets, plan), "a bigint, b bigint"), f"{folder}/{name}-links")
+        drop_path(spark, f"{folder}/{name}-sets")
+        release(spark)
+        return out
+
+    links = linked(own, "first")
     known = components(links, f"{folder}/first")
 
-    large = met.where(F.col("n") > tile).join(wanted, "node", "left_semi")
+    large = met.where(F.col("n") > tile)
     if not large.isEmpty():
-        # Tiles of a key whose classes are still apart meet pair by pair.
+        # Tiles of a key whose classes are still apart meet pair by pair, with all their classes: two that
+        # are near each other only may lie in different tiles.
         labelled = large.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
         left = labelled.join(apart.select("key"), "key", "left_semi").withColumn("tiles", tiles).withColumn(
@@ -445,8 +454,7 @@ def near_duplicates(
         other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
         met_tiles = left.withColumn("other", other).where("other <> side").withColumn(
             "tile", F.least("side", "other") * F.col("tiles") + F.greatest("side", "other"))
-        more = grouped(met_tiles.select(*_ROW)).mapInArrow(_links(sigs, sets, plan), "a bigint, b bigint")
-        known = components(links.unionByName(stage(more, f"{folder}/more")), f"{folder}/second")
+        known = components(links.unionByName(linked(met_tiles.select(*_ROW), "second")), f"{folder}/second")
 
     member = classes.select("n", "h1", "h2", "min_id", "node").join(known, "node", "left").withColumn(
         "root", F.coalesce("root", "node")

@@ -113,6 +113,17 @@ def test_near_duplicates_in_tiles(spark, monkeypatch, tile):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_near_pairs_of_different_tiles_without_another_near_class(spark, monkeypatch):
+    """Two classes near each other only, among unrelated ones of the same large keys (one bit a minimum)."""
+    monkeypatch.setattr(near_dedup, "COMMON", 0)
+    rows = [" ".join(f"t{t}w{i}" for i in range(60)) for t in range(100)]
+    rows += [t.rsplit(" ", 1)[0] + " edited" for t in rows[:15]]
+    want = near(dict(enumerate(rows)), 2)
+    got = near_dedup.near_duplicates(frame(spark, rows), near_dedup.Plan(similarity=90, words=2, bits=1), tile=2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert sum(r.kept for r in got) == 100
+
+
 def test_every_pair_within_the_distance_shares_a_key(spark):
     plan = near_dedup.Plan()
     assert plan.errors >= 1 and plan.distance < (plan.errors + 1) * plan.chunks
