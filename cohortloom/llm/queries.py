@@ -84,7 +84,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     manifest = warc.archive_pages(pages, scratch(spark, "warc"))
     kind = pages.schema["page_id"].dataType
-    return warc.read_archives(spark, manifest, range_bytes=4 << 20, payload=False).select(
+    records = warc.read_archives(spark, manifest, range_bytes=4 << 20, payload=False)
+    return warc.verified(records, manifest, scratch(spark, "warc-records")).select(
         F.col("key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast(kind).alias("refers_to"),
     )

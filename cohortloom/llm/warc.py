@@ -18,14 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, store
+from .common import batch, stage, store
 
 MAGIC = b"\x1f\x8b\x08"
 #: Fixed values of the archive format.
 VERSION, REVISIT_PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_URN, NULL_URN = "urn:x-record:", "urn:x-null-record:"
-#: Longest record header accepted while looking for members.
-HEADER_LIMIT = 65_536
 CHUNK = 1 << 20
 MAX_TASKS = 100_000
 
@@ -123,7 +121,7 @@ def _member(f, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """(header, block, place after the member) of a valid member at `at`, else None."""
     f.seek(at)
     inflate, data, header = zlib.decompressobj(31), bytearray(), None
-    used = 0
+    used = searched = 0
     try:
         while not inflate.eof:
             raw = f.read(CHUNK if header else 16_384)
@@ -134,8 +132,10 @@ def _member(f, at: int) -> tuple[dict[str, str], bytes, int] | None:
             if header is None:
                 if not data.startswith(b"WARC/1."[: len(data)]):
                     return None
-                header = _header(bytes(data[:HEADER_LIMIT]))
-                if header is None and len(data) >= HEADER_LIMIT:
+                # A header may be of any length; what has been searched for its end is not searched again.
+                end = data.find(b"\r\n\r\n", max(0, searched - 3))
+                searched = len(data)
+                if end >= 0 and (header := _header(bytes(data[: end + 4]))) is None:
                     return None
     except zlib.error:
         return None
@@ -237,6 +237,19 @@ def read_archives(
     return ranges.mapInArrow(run, RECORD)
 
 
+def verified(records: DataFrame, manifest: DataFrame, path: str) -> DataFrame:
+    """The records of `read_archives`, written to `path`; an error if an archive gave more or fewer than its n_records."""
+    held = stage(records, path)
+    wrong = (
+        manifest.groupBy("path").agg(F.sum("n_records").alias("stated"))
+        .join(held.groupBy("path").agg(F.count("*").alias("read")), "path", "full")
+        .withColumns({c: F.coalesce(c, F.lit(0)) for c in ("stated", "read")}).where("stated <> read").first()
+    )
+    if wrong:
+        raise ValueError(f"{wrong.path}: {wrong.read} records read, the manifest states {wrong.stated}")
+    return held
+
+
 def archive_pages(
     pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
     least: int = 100, file_bytes: int = 1 << 30,

@@ -317,6 +317,21 @@ def test_a_changed_payload_is_an_error(spark, tmp_path):
         warc.read_archives(spark, files).collect()
 
 
+def test_headers_of_any_length_and_the_count_of_records(spark, tmp_path):
+    rng = random.Random(8)
+    urls = ["http://x/" + "".join(rng.choices("abcdefghijklmnop0123456789", k=100_000)), "http://x/" + "ñ" * 40_000, "http://x/"]
+    table = spark.createDataFrame([(k, u, f"body {k}") for k, u in enumerate(urls)], "page_id bigint, url string, html string")
+    manifest = warc.archive_pages(table, str(tmp_path / "w"))
+    for size in (3_000, 1 << 20):
+        records = warc.read_archives(spark, manifest, range_bytes=size)
+        got = warc.verified(records, manifest, str(tmp_path / f"records-{size}")).collect()
+        assert sorted((int(r.key), r.url) for r in got) == list(enumerate(urls))
+    with pytest.raises(ValueError, match="manifest"):
+        warc.verified(records.where("key <> '1'"), manifest, str(tmp_path / "fewer"))
+    with pytest.raises(ValueError, match="manifest"):
+        warc.verified(records.limit(0), manifest, str(tmp_path / "none"))
+
+
 def test_archives_of_no_pages(spark, tmp_path):
     manifest = warc.archive_pages(spark.createDataFrame([], PAGES), str(tmp_path / "w"))
     assert warc.read_archives(spark, manifest).count() == 0
