@@ -96,6 +96,26 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
+def _keyed(docs: DataFrame, text_col: str, *more) -> DataFrame:
+    content = docs.select(*more, F.coalesce(F.col(text_col), F.lit("")).alias("content"))
+    return content.withColumn("content_digest", F.unhex(F.sha2("content", 256)))
+
+
+def fill_cache(docs: DataFrame, tokenizer_path: str, cache_dir: str, text_col: str = "text") -> None:
+    """Encode the distinct contents of `docs` that the cache lacks and append their counts to it."""
+    spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
+    misses = _keyed(docs, text_col)
+    if path_exists(spark, cache_dir):
+        known = spark.read.schema(CACHE).parquet(cache_dir).where(F.col("tokenizer_digest") == version)
+        misses = misses.join(known, "content_digest", "left_anti")
+    (
+        misses.dropDuplicates(["content_digest"]).select("content_digest", "content")
+        .mapInArrow(_encode(tokenizer_path), "content_digest binary, n_tokens bigint")
+        .select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
+        .write.mode("append").parquet(cache_dir)
+    )
+
+
 def count_tokens(
     docs: DataFrame, tokenizer_path: str, cache_dir: str, id_col: str = "doc_id", text_col: str = "text",
     limit: int = 512,
@@ -110,19 +130,8 @@ def count_tokens(
     """
     spark = docs.sparkSession
     version = tokenizer_digest(tokenizer_path)
-    keyed = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("content")
-    ).withColumn("content_digest", F.unhex(F.sha2("content", 256)))
-    misses = keyed.select("content_digest", "content")
-    if path_exists(spark, cache_dir):
-        known = spark.read.schema(CACHE).parquet(cache_dir).where(F.col("tokenizer_digest") == version)
-        misses = misses.join(known, "content_digest", "left_anti")
-    (
-        misses.dropDuplicates(["content_digest"])
-        .mapInArrow(_encode(tokenizer_path), "content_digest binary, n_tokens bigint")
-        .select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens")
-        .write.mode("append").parquet(cache_dir)
-    )
+    fill_cache(docs, tokenizer_path, cache_dir, text_col)
+    keyed = _keyed(docs, text_col, F.col(id_col).alias("id"))
     # Runs that share a cache may both have added a content: one row per digest all the same. Written
     # out, so that the join reads it plainly and a digest with very many rows can be split.
     counts = stage(

@@ -10,7 +10,7 @@ from brute import KneserNey, bench_words, contamination, cut, digest, near, stat
 from pyspark.sql import functions as F
 
 from cohortloom.llm import (
-    decontaminate, language_id, license_scan, mixing, near_dedup, ngram_lm, quality_rules, suffix_dedup, token_counts, warc,
+    decontaminate, language_id, license_scan, mixing, near_dedup, ngram_lm, quality_rules, queries, suffix_dedup, token_counts, warc,
 )
 from cohortloom.llm.common import bucket_of
 
@@ -258,6 +258,25 @@ def test_cache_encodes_only_misses(spark, texts, tmp_path, empty):
     assert token_counts.count_tokens(empty, path, cache + "-c").count() == 0
 
 
+def test_the_query_counts_against_a_cache_that_holds_a_part(docs, texts, spark, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    held, cache = [], str(tmp_path / "cache")
+
+    def exists(session, path, real=token_counts.path_exists):
+        found = real(session, path)
+        held.append(session.read.parquet(path).count() if found else 0)
+        return found
+
+    monkeypatch.setattr(token_counts, "path_exists", exists)
+    monkeypatch.setattr(queries, "scratch", lambda *_: cache)
+    got = queries.op8_token_counts(spark, str(tmp_path)).collect()
+    n = len({t or "" for t in texts})
+    assert held[0] == 0 and 0 < held[-1] < n
+    assert spark.read.parquet(cache).count() == n
+    whole = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "whole")).drop("content_digest")
+    assert sorted(got) == sorted(whole.collect())
+
+
 # ---- archives ------------------------------------------------------------------------------------
 
 PAGES = "page_id bigint, url string, html string"
