@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from . import decontaminate, language_id, license_scan, mixing, near_dedup, ngram_lm, quality_rules, suffix_dedup, token_counts, warc
+from . import (
+    centroids, decontaminate, language_id, license_scan, mixing, near_dedup, ngram_lm, quality_rules, secret_scan, suffix_dedup,
+    token_counts, vector_codes, warc,
+)
 from .common import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -232,3 +235,74 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(top, F.lit("/"), F.floor(number / 100).cast("string"), F.lit("/"), name, F.lit(".txt")))
     found = license_scan.scan(docs.select(path.alias("path"), "text"))
     return found.withColumn("doc_id", F.regexp_extract("path", r"(-?[0-9]+)(\.txt)?$", 1).cast("bigint"))
+
+
+#: Kept vectors of whole numbers, in SQL.
+WHOLE_VECTORS = """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor({0} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), FALSE))) = 64)"""
+#: Sum over a group divided by its rows, downwards.
+FLOOR_MEAN = "CAST((sum({0}) - ((sum({0}) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def lloyd_sql(rounds: int, width: int, parts: int) -> str:
+    """CTEs b0 to bN (p, k, c: entries by part) and a0 to aN (r, p, k, d: assignments); b0 and part (r, p, x) are given."""
+    d = f"CAST(list_sum(list_transform(range(1, {width + 1}), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT)"
+    out = []
+    for t in range(rounds + 1):
+        if t:
+            out.append(f"""b{t} AS MATERIALIZED (
+  SELECT b.p, b.k, coalesce(n.c, b.c) AS c FROM b{t - 1} b LEFT JOIN (
+    SELECT p, k, list(m ORDER BY i) AS c FROM (
+      SELECT p, k, i, {FLOOR_MEAN.format("x[i]")} AS m FROM a{t - 1} JOIN part USING (r, p), (SELECT unnest(range(1, {width + 1})) AS i) GROUP BY p, k, i)
+    GROUP BY p, k) n ON n.p = b.p AND n.k = b.k)""")
+        out.append(f"""a{t} AS MATERIALIZED (
+  SELECT r, p, m % 256 AS k, m // 256 AS d FROM (SELECT r, p, min({d} * 256 + k) AS m FROM part JOIN b{t} USING (p) GROUP BY r, p))""")
+    return ",\n".join(out)
+
+
+@query("op11_vector_codes", f"""
+WITH {WHOLE_VECTORS.format(4096)},
+part AS MATERIALIZED (SELECT r, p, v[8 * p + 1 : 8 * p + 8] AS x FROM kept, (SELECT unnest(range(8)) AS p)),
+b0 AS MATERIALIZED (
+  SELECT p, k, v[8 * p + 1 : 8 * p + 8] AS c FROM (SELECT v, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS k FROM kept), (SELECT unnest(range(8)) AS p)
+  WHERE k < 16),
+{lloyd_sql(6, 8, 8)},
+coded AS (
+  SELECT r, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY r),
+books AS (SELECT sha256(string_agg(CAST(s AS VARCHAR), ',' ORDER BY p, k, i)) AS h FROM (SELECT p, k, unnest(range(1, 9)) AS i, unnest(c) AS s FROM b6))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (r), books""")
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_centroids", f"""
+WITH {WHOLE_VECTORS.format(64)},
+part AS MATERIALIZED (SELECT r, 0 AS p, v AS x FROM kept),
+b0 AS MATERIALIZED (
+  SELECT 0 AS p, k, v AS c FROM (SELECT v, row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS k FROM kept) WHERE k < 16),
+{lloyd_sql(3, 64, 1)},
+sums AS (SELECT k, CAST(sum(d) AS BIGINT) AS s, CAST(sum(sum(d)) OVER () AS BIGINT) AS total FROM a3 GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, s AS cluster_inertia, total AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM kept JOIN a3 USING (r) JOIN sums USING (k) JOIN b3 USING (k)""")
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centres, inertia = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    names = centroids.centre_digests(centres)
+    return rows.select(
+        F.col("id").alias("vec_id"), "cluster", "distance",
+        F.get(F.array(*[F.lit(inertia.get(k, 0)).cast("bigint") for k in range(len(names))] or [F.lit(0).cast("bigint")]), "cluster").alias("cluster_inertia"),
+        F.lit(sum(inertia.values())).cast("bigint").alias("inertia"),
+        F.get(F.array(*[F.lit(n) for n in names] or [F.lit("")]), "cluster").alias("centroid_sha256"))
+
+
+@query("op13_secret_scan")
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL: decoding and parsing keys is not SQL. Checked against a brute-force version and built keys (tests/llm)."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select(
+        "doc_id", *[of(k) for k in secret_scan.BASE], F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secrets")).alias("spans"))
