@@ -30,8 +30,8 @@ START, END = b" start", b" end"
 UNSEEN = np.uint32(0xFFFFFFFF)
 #: Discounts where counts of counts cannot give any.
 FALLBACK = (0.5, 1.0, 1.5)
-#: Text bytes a shard stands for, and characters a task counts before it sends a pack.
-SHARD_BYTES, PACK_CHARS, SLICE_CHARS = 16 << 20, 24_000_000, 3_000_000
+#: Text bytes a shard stands for, and characters that a task takes at a time.
+SHARD_BYTES, SLICE_CHARS = 16 << 20, 3_000_000
 
 
 # ---- packed arrays -----------------------------------------------------------------------------
@@ -83,12 +83,12 @@ def gram_key(ids: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Arrays:
-    """Sorted keys with values beside them, in shards; with `bytes` the values are as _narrow makes them."""
+    """Sorted keys with values beside them, in shards: whole, or (`narrow`) each value as _narrow makes it."""
 
     shards: int
     by_range: bool
     files: dict[int, tuple[str, ...]] = field(hash=False)
-    bytes: bool = False
+    narrow: bool = False
 
     def find(self, keys: np.ndarray, *, ranks: bool = False) -> list[np.ndarray]:
         """Values at the keys (zeros where a key is missing); with `ranks` the place in the shard (or -1) first."""
@@ -96,7 +96,8 @@ class Arrays:
             shard = ((keys >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
         else:
             shard = _shard_of(keys, self.shards)
-        width = 1 if self.bytes else len(next(iter(self.files.values()))) - 1 if self.files else 0
+        step = 3 if self.narrow else 1
+        width = (len(next(iter(self.files.values()))) - 1) // step if self.files else 0
         out = [np.zeros(len(keys), np.int64) for _ in range(width)]
         place = np.full(len(keys), -1, np.int64)
         order = np.lexsort((keys, shard))
@@ -105,19 +106,18 @@ class Arrays:
             if k not in self.files:
                 continue
             at = order[ends[k] : ends[k + 1]]
-            own, *values = (mapped(f) for f in self.files[k])
-            if self.bytes:
-                values, large, whole = values[:1], values[1], values[2]
+            own, *files = (mapped(f) for f in self.files[k])
             p = np.searchsorted(own, keys[at])
             ok = p < len(own)
             ok[ok] = own[p[ok]] == keys[at][ok]
             place[at[ok]] = p[ok]
-            for column, v in zip(out, values, strict=True):
-                column[at[ok]] = v[p[ok]]
-            if self.bytes and len(large):
-                much = ok.copy()
-                much[ok] = values[0][p[ok]] == 255
-                out[0][at[much]] = whole[np.searchsorted(large, p[much])]
+            for i, column in enumerate(out):
+                values = files[i * step]
+                column[at[ok]] = values[p[ok]]
+                if self.narrow and len(files[i * step + 1]):
+                    much = ok.copy()
+                    much[ok] = values[p[ok]] == 255
+                    column[at[much]] = files[i * step + 2][np.searchsorted(files[i * step + 1], p[much])]
         return [place, *out] if ranks else out
 
 
@@ -249,6 +249,32 @@ def _word_shards(folder: str) -> Callable:
 # ---- n-grams -----------------------------------------------------------------------------------
 
 
+def _gram_packs(level: int, keys: np.ndarray, rows: np.ndarray, counts: np.ndarray, shards: int) -> Iterator[pa.RecordBatch]:
+    """Packs of distinct n-grams by shard.
+
+    Up to two words the key is the n-gram. Longer ones are sent without their key, which is a hash and
+    does not compress: rows are sorted by their first two words, stored as differences, and the shard
+    makes the key again.
+    """
+    shard = _shard_of(keys, shards)
+    if level > 2:
+        order = np.lexsort(rows.T[::-1])
+        rows, counts, shard = rows[order], counts[order], shard[order]
+        yield from _packs(level, "grams", shard, [gram_key(rows[:, :2]), *rows.T[2:], counts], shards)
+    else:
+        yield from _packs(level, "grams", shard, [keys, counts], shards)
+
+
+def _unpacked_grams(level: int, packs: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, word ids and summed counts of the packs of a shard."""
+    names = ["u8", *["u4"] * max(level - 2, 0), "i8"]
+    columns = [np.concatenate(c) for c in zip(*[_unpack(data, n, names) for n, data in packs], strict=True)]
+    first = _words_of(columns[0], min(level, 2))
+    rows = np.column_stack([first, *columns[1:-1]]) if level > 2 else first
+    keys, (counts,), one = _merge(gram_key(rows), [columns[-1]])
+    return keys, rows[one], counts
+
+
 def _count_grams(vocabulary: Vocabulary, order: int, shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(vocabulary)
@@ -258,8 +284,7 @@ def _count_grams(vocabulary: Vocabulary, order: int, shards: int) -> Callable:
         def flush() -> Iterator[pa.RecordBatch]:
             rows = np.concatenate([g for g, _ in held])
             keys, (counts,), first = _merge(gram_key(rows), [np.concatenate([c for _, c in held])])
-            rows = rows[first]
-            yield from _packs(order, "grams", _shard_of(keys, shards), [keys, *rows.T[: order if order > 2 else 0], counts], shards)
+            yield from _gram_packs(order, keys, rows[first], counts, shards)
 
         for texts in _runs(batches):
             pad = [START] * (order - 1)
@@ -289,14 +314,10 @@ def _gram_shards(folder: str, order: int, shards: int) -> Callable:
     def work(level: int, kind: str, shard: int, packs: list) -> Iterator[tuple]:
         if kind == "contexts":
             keys, sums = _merged(packs, ["u8", *["i8"] * 4], lambda a: _merge(a[0], a[1:])[:2])
-            yield level, kind, shard, len(keys), [write_array(folder, a) for a in (keys, sums[0], *[s.astype(np.uint32) for s in sums[1:]])], [], None
+            values = [part for s in sums for part in _narrow(s)]
+            yield level, kind, shard, len(keys), [write_array(folder, a) for a in (keys, *values)], [], None
             return
-        wide = level > 2
-        names = ["u8", *(["u4"] * level if wide else []), "i8"]
-        parts = [_unpack(data, n, names) for n, data in packs]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        keys, (counts,), first = _merge(columns[0], [columns[-1]])
-        rows = np.stack([c[first] for c in columns[1 : 1 + level]], axis=1) if wide else _words_of(keys, level)
+        keys, rows, counts = _unpacked_grams(level, packs)
         files = [write_array(folder, a) for a in (keys, *_narrow(counts))]
         of_counts = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
         yield level, kind, shard, len(keys), files, [int(counts.sum()), int((counts >= 3).sum()), *of_counts], None
@@ -310,8 +331,7 @@ def _gram_shards(folder: str, order: int, shards: int) -> Callable:
         tail = rows[:, 1:]
         key, (many,), one = _merge(gram_key(tail), [np.ones(len(tail), np.int64)])
         tail = tail[one]
-        below = [key, *(tail.T if level - 1 > 2 else []), many]
-        for b in _packs(level - 1, "grams", _shard_of(key, shards), below, shards):
+        for b in _gram_packs(level - 1, key, tail, many, shards):
             yield _passed(b)
 
     return work
@@ -383,7 +403,7 @@ class Model:
         return p
 
 
-def fit(docs: DataFrame, folder: str, order: int = 2, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
+def fit(docs: DataFrame, folder: str, order: int = 3, text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
     """Count all of `docs` and write the model's arrays into `folder`, a new path in the shared store.
 
     A null text is an empty one: its end is its only token. Without documents the model knows
@@ -418,10 +438,10 @@ def fit(docs: DataFrame, folder: str, order: int = 2, text_col: str = "text", sh
         own = [r for r in rows if r.kind == "grams"]
         stats = [sum(r.stats[k] for r in own) for k in range(6)]
         grams[level] = Level(
-            Arrays(shards, False, {r.shard: tuple(r.files) for r in own}, bytes=True), None, discounts(stats[2:]),
+            Arrays(shards, False, {r.shard: tuple(r.files) for r in own}, narrow=True), None, discounts(stats[2:]),
             stats[0], (stats[2], stats[3], stats[1]))
         if level < order:
-            contexts = Arrays(shards, False, {r.shard: tuple(r.files) for r in rows if r.kind == "contexts"})
+            contexts = Arrays(shards, False, {r.shard: tuple(r.files) for r in rows if r.kind == "contexts"}, narrow=True)
             above = grams[level + 1]
             levels[level + 1] = Level(above.grams, contexts, above.discounts, above.total, above.seen)
         release(spark)

@@ -151,6 +151,13 @@ KN_DISCOUNTS = """SELECT CASE WHEN ok THEN d1 ELSE 0.5 END AS d1, CASE WHEN ok T
         nullif(count(*) FILTER (WHERE c = 3), 0) AS n3, nullif(count(*) FILTER (WHERE c = 4), 0) AS n4 FROM {0}))))"""
 
 
+#: Statistics of a context, and the probability of a word after it from that of the next lower order.
+KN_CONTEXT = """sum(c) AS total, count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2, count(*) FILTER (WHERE c >= 3) AS n3"""
+KN_STEP = """CASE WHEN {c}.total IS NULL THEN {below} ELSE
+    (coalesce({g}.c, 0) - CASE least(coalesce({g}.c, 0), 3) WHEN 0 THEN 0 WHEN 1 THEN {e}.d1 WHEN 2 THEN {e}.d2 ELSE {e}.d3 END) / {c}.total
+      + ({e}.d1 * {c}.n1 + {e}.d2 * {c}.n2 + {e}.d3 * {c}.n3) / {c}.total * {below} END"""
+
+
 @query("op1_language_model", rf"""
 WITH t AS (
   SELECT row_number() OVER () AS r, doc_id, list_append(list_prepend(' start',
@@ -164,32 +171,33 @@ crc AS (
         lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END) << 8 AS c8 FROM b WHERE i < length(s)))
   SELECT doc_id, xor(c, CAST(4294967295 AS BIGINT)) % 7 = 2 AS held FROM b WHERE i = length(s)),
 docs AS (SELECT t.*, crc.held FROM t JOIN crc ON crc.doc_id IS NOT DISTINCT FROM t.doc_id),
-bi AS (SELECT r, doc_id, held, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM docs)),
-grams AS (SELECT a, b, count(*) AS c FROM bi WHERE NOT held GROUP BY 1, 2),
-uni AS (SELECT b AS w, count(*) AS c FROM bi WHERE NOT held GROUP BY 1),
-cont AS (SELECT b AS w, count(*) AS c FROM grams GROUP BY 1),
-ctx AS (SELECT a, sum(c) AS total, count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2, count(*) FILTER (WHERE c >= 3) AS n3 FROM grams GROUP BY 1),
+tri AS (SELECT r, doc_id, held, coalesce(w[i - 1], ' start') AS z, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM docs)),
+g3 AS MATERIALIZED (SELECT z, a, b, count(*) AS c FROM tri WHERE NOT held GROUP BY 1, 2, 3),
+g2 AS MATERIALIZED (SELECT a, b, count(*) AS c FROM g3 GROUP BY 1, 2),
+g1 AS (SELECT b, count(*) AS c FROM g2 GROUP BY 1),
+uni AS (SELECT b AS w, count(*) AS c FROM tri WHERE NOT held GROUP BY 1),
+c3 AS (SELECT z, a, {KN_CONTEXT} FROM g3 GROUP BY 1, 2),
+c2 AS (SELECT a, {KN_CONTEXT} FROM g2 GROUP BY 1),
+c1 AS (SELECT {KN_CONTEXT} FROM g1),
 sz AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM uni),
-tot AS (SELECT sum(c) AS total, count(*) FILTER (WHERE c = 1) AS n1, count(*) FILTER (WHERE c = 2) AS n2, count(*) FILTER (WHERE c >= 3) AS n3 FROM cont),
-e1 AS ({KN_DISCOUNTS.format("cont")}), e2 AS ({KN_DISCOUNTS.format("grams")}),
-low AS (
-  SELECT x.a, x.b, coalesce(u.c, 0) AS cu, coalesce(g.c, 0) AS cg, n, v,
-    (coalesce(k.c, 0) - CASE least(coalesce(k.c, 0), 3) WHEN 0 THEN 0 WHEN 1 THEN e1.d1 WHEN 2 THEN e1.d2 ELSE e1.d3 END) / tot.total
-      + (e1.d1 * tot.n1 + e1.d2 * tot.n2 + e1.d3 * tot.n3) / tot.total / (v + 1) AS p1,
-    q.total, q.n1, q.n2, q.n3
-  FROM (SELECT DISTINCT a, b FROM bi) x LEFT JOIN uni u ON u.w = x.b LEFT JOIN cont k ON k.w = x.b
-  LEFT JOIN grams g ON g.a = x.a AND g.b = x.b LEFT JOIN ctx q ON q.a = x.a, sz, tot, e1),
+e1 AS ({KN_DISCOUNTS.format("g1")}), e2 AS ({KN_DISCOUNTS.format("g2")}), e3 AS ({KN_DISCOUNTS.format("g3")}),
+seen AS (SELECT DISTINCT z, a, b FROM tri),
+p1 AS (SELECT x.b, {KN_STEP.format(g="g1", c="c1", e="e1", below="(1 / (v + 1))")} AS p
+  FROM (SELECT DISTINCT b FROM seen) x LEFT JOIN g1 ON g1.b = x.b, c1, e1, sz),
+p2 AS (SELECT x.a, x.b, {KN_STEP.format(g="g2", c="c2", e="e2", below="p1.p")} AS p
+  FROM (SELECT DISTINCT a, b FROM seen) x JOIN p1 ON p1.b = x.b LEFT JOIN g2 ON g2.a = x.a AND g2.b = x.b LEFT JOIN c2 ON c2.a = x.a, e2),
+p3 AS (SELECT x.z, x.a, x.b, {KN_STEP.format(g="g3", c="c3", e="e3", below="p2.p")} AS p
+  FROM seen x JOIN p2 ON p2.a = x.a AND p2.b = x.b LEFT JOIN g3 ON g3.z = x.z AND g3.a = x.a AND g3.b = x.b LEFT JOIN c3 ON c3.z = x.z AND c3.a = x.a, e3),
 prob AS (
-  SELECT a, b, cu > 0 AS known, log10((cu + 1) / (n + v + 1)) AS base, log10(CASE WHEN total IS NULL THEN p1 ELSE
-    (cg - CASE least(cg, 3) WHEN 0 THEN 0 WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END) / total + (d1 * n1 + d2 * n2 + d3 * n3) / total * p1 END) AS lp, n
-  FROM low, e2)
+  SELECT z, a, p3.b, coalesce(uni.c, 0) > 0 AS known, log10((coalesce(uni.c, 0) + 1) / (n + v + 1)) AS base, log10(p) AS lp, n
+  FROM p3 LEFT JOIN uni ON uni.w = p3.b, sz)
 SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, CAST(sum(known::INT) AS BIGINT) AS n_known, CAST(any_value(n) AS BIGINT) AS train_tokens,
        round(sum(base), 4) AS base_score, round(sum(lp), 4) AS score
-FROM bi JOIN prob USING (a, b) GROUP BY r, doc_id""")
+FROM tri JOIN prob USING (z, a, b) GROUP BY r, doc_id""")
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = bucket_of(F.col("doc_id"), 7) == 2
-    model = ngram_lm.fit(docs.where(~held_out), scratch(spark, "lm"), order=2)
+    model = ngram_lm.fit(docs.where(~held_out), scratch(spark, "lm"), order=3)
     out = ngram_lm.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
     # Four places: engines that add thousands of logarithms in another order still agree.
     return out.drop("perplexity").withColumns({c: F.round(c, 4) for c in ("base_score", "score")})
