@@ -79,12 +79,6 @@ def weight_sql(key: str, rep: str, seed: int = 0) -> str:
     )
 
 
-def with_replicates(df: DataFrame, key: str, reps: int, seed: int = 0) -> DataFrame:
-    """Rows x replicates with weight `w`; rows not drawn are gone before any shuffle."""
-    out = df.withColumn("_key", numeric_key(df, key)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    return out.withColumn("w", poisson_weight(F.col("_key"), F.col("rep"), seed)).drop("_key").where("w > 0")
-
-
 def replicate_sums(df: DataFrame, key: str, values: list[str], groups: list[str], reps: int, seed: int = 0) -> DataFrame:
     """(groups, rep, and per value s_<value> and w_<value>): weighted sums over the resampled rows.
 

@@ -241,3 +241,98 @@ def test_backtest_and_comparisons(spark):
     assert set(got) == {"near vs slot", "slot vs slot"}
     assert abs(got["near vs slot"].diff - (mean["stats neighbours"] - mean["slot"])) < 1e-9
     assert got["slot vs slot"].verdict == "no detectable difference" and got["near vs slot"].lo <= got["near vs slot"].diff <= got["near vs slot"].hi
+
+
+# ---- replicates and permutations of ranks ----
+
+
+def average_ranks(v, w):
+    v, w = np.array(v, float), np.array(w, float)
+    return np.array([w[v < a].sum() + (w[v == a].sum() + 1) / 2 for a in v])
+
+
+@pytest.mark.parametrize("buckets", [2, 64])
+def test_spearman_replicates(spark, buckets):
+    """Against ranks of copies per replicate; ties, a hot value, nulls, a group without spread."""
+    from cohortloom.operators import association as AS
+
+    rng = random.Random(4)
+    rows = [(g, i + 1000 * j, float(rng.choice([0, 0, 0, 1, 2, 5, rng.random()])), float(rng.randint(0, 6)) if rng.random() > 0.05 else None)
+            for j, g in enumerate(["a", "b", None]) for i in range(90)]
+    rows += [("flat", 9000 + i, 1.0, float(i)) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, id bigint, v double, u double").repartition(7)
+    got = {}
+    for r in AS.spearman_replicates(df, "v", "u", "id", ["g"], 25, seed=3, buckets=buckets).collect():
+        got[r.g, r.rep] = r.rho
+    for g in ("a", "b", "flat"):
+        own = [r for r in rows if r[0] == g and r[3] is not None]
+        w = replicate_weights(np.array([r[1] for r in own]), 25, 3)
+        for rep in range(1, 26):
+            a, b, c = average_ranks([r[2] for r in own], w[:, rep - 1]), average_ranks([r[3] for r in own], w[:, rep - 1]), w[:, rep - 1].astype(float)
+            a, b = a - (c @ a) / max(c.sum(), 1), b - (c @ b) / max(c.sum(), 1)
+            xx, yy = c @ (a * a), c @ (b * b)
+            want = c @ (a * b) / math.sqrt(xx * yy) if xx > 1e-9 and yy > 1e-9 else None
+            assert (got[g, rep] is None) == (want is None) and (want is None or abs(got[g, rep] - want) < 1e-9), (g, rep)
+
+
+def test_spearman_replicates_make_no_rows_per_replicate(spark):
+    from cohortloom.operators import association as AS
+
+    df = spark.range(500).select("id", (F.col("id") % 7).alias("v"), (F.col("id") % 11).alias("u"))
+    plan = AS.spearman_replicates(df, "v", "u", "id", [], 300)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
+def test_feistel_is_a_bijection(n):
+    from cohortloom.operators.permutation import feistel
+
+    images = [feistel(n, key) for key in range(8)]
+    assert all(sorted(i.tolist()) == list(range(n)) for i in images)
+    assert n < 5 or len({tuple(i.tolist()) for i in images}) == 8
+
+
+def test_feistel_spreads_evenly():
+    """Every place goes to every place about equally often."""
+    from cohortloom.operators.permutation import feistel
+
+    seen = np.zeros((6, 6))
+    for key in range(6000):
+        seen[np.arange(6), feistel(6, key * 7919 + 13)] += 1
+    assert abs(seen - 1000).max() < 150
+
+
+@pytest.mark.parametrize("block", [65_536, 32])
+def test_permutation_null(spark, block):
+    from cohortloom.operators.permutation import permutation_test
+
+    rng = np.random.default_rng(2)
+    n = 300
+    x = rng.normal(size=n)
+    rows = [(i, float(x[i]), float(x[i] * 0.18 + rng.normal()), float(rng.integers(0, 4)), None if i % 3 else 1.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, z double, u double").repartition(5)
+    for other, signal in (("y", True), ("z", False)):
+        out = permutation_test(df, "x", other, "id", 400, block=block).first()
+        values = np.array([r[2 if other == "y" else 3] for r in rows])
+        one = np.ones(n)
+        a, b = average_ranks(x, one), average_ranks(values, one)
+        rho = np.corrcoef(a, b)[0, 1]
+        null = [np.corrcoef(a, rng.permutation(b))[0, 1] for _ in range(4000)]
+        p = np.mean(np.abs(null) >= abs(rho))
+        assert out.n == n and abs(out.rho - rho) < 1e-9 and abs(out.p - p) < 4 * math.sqrt(max(p * (1 - p), 0.002) / 400)
+        assert (out.p < 0.05) == signal
+    assert tuple(permutation_test(df, "x", "u", "id", 50).first()) == (None, 100, None)
+    assert tuple(permutation_test(df.limit(0), "x", "y", "id", 50).first()) == (None, 0, None)
+
+
+def test_products_of_permutations(spark):
+    """Blocks, shifts and the short block give each second rank once."""
+    from cohortloom.operators.permutation import permuted_products
+
+    first, second = np.ones(23), np.arange(23.0)
+    rows = [(k, first[5 * k : 5 * k + 5].tolist(), second[5 * k : 5 * k + 5].tolist()) for k in range(5)]
+    blocks = spark.createDataFrame(rows, "block bigint, first array<double>, second array<double>")
+    out = permuted_products(blocks, 4, 30, 3, 1).collect()
+    assert len(out) == 30 and all(r.s == second.sum() for r in out)
+    blocks = blocks.withColumn("first", F.col("second"))
+    assert len({r.s for r in permuted_products(blocks, 4, 30, 3, 1).collect()}) > 20

@@ -22,6 +22,13 @@ from cohortloom.operators import spatial as SP
 from cohortloom.operators import survival as SV
 
 
+
+def with_replicates(df, key, reps, seed=0):
+    """The plain way: rows x replicates with weight `w`."""
+    out = df.withColumn("_key", RS.numeric_key(df, key)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    return out.withColumn("w", RS.poisson_weight(F.col("_key"), F.col("rep"), seed)).drop("_key").where("w > 0")
+
+
 def frame(spark, **cols):
     return spark.createDataFrame(pd.DataFrame(cols))
 
@@ -393,7 +400,7 @@ def test_spearman_and_auc(spark):
 
 def test_bootstrap_weights(spark):
     d = spark.range(3000).withColumn("v", F.col("id") % 7)
-    w = RS.with_replicates(d, "id", 30).groupBy("rep").agg(F.sum("w").alias("s")).toPandas()["s"]
+    w = with_replicates(d, "id", 30).groupBy("rep").agg(F.sum("w").alias("s")).toPandas()["s"]
     assert abs(w.mean() / 3000 - 1) < 0.02 and 30 < w.std() < 90
     r = RS.bootstrap_mean(d.withColumn("v", F.col("v").cast("double")), "id", ["v"], [], 200).first()
     assert r["v_lo"] < r["v"] < r["v_hi"] and 0.1 < r["v_hi"] - r["v_lo"] < 0.2
@@ -466,7 +473,7 @@ def test_replicate_sums_equal_exploded_weights(spark):
     d = spark.createDataFrame(rows, "id long, name string, g string, v double").repartition(3)
     for key in ("id", "name"):
         got = {(r.g, r.rep): (r.s_v, r.w_v) for r in RS.replicate_sums(d, key, ["v"], ["g"], 30, seed=2).collect()}
-        long = RS.with_replicates(d, key, 30, seed=2).where("v is not null")
+        long = with_replicates(d, key, 30, seed=2).where("v is not null")
         for r in long.groupBy("g", "rep").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("w").alias("w")).collect():
             assert np.allclose(got[r.g, r.rep], (r.s, r.w))
     assert RS.POISSON_CDF[-1] > 1 - 1 / RS.PRIME and len(RS.POISSON_CDF) > 8
@@ -477,7 +484,7 @@ def test_auc_replicates_equal_weighted_auc(spark):
     rows = [(int(i), "xy"[i % 2], float(rng.integers(0, 12)), bool(rng.random() < 0.4)) for i in range(120)]
     d = spark.createDataFrame(rows, "id long, g string, v double, hit boolean").repartition(3)
     got = {(r.g, r.rep): r.auc for r in AS.auc_replicates(d, "v", "hit", "id", ["g"], 20).collect()}
-    want = AS.auc(RS.with_replicates(d, "id", 20), "v", "hit", ["g", "rep"], "w").collect()
+    want = AS.auc(with_replicates(d, "id", 20), "v", "hit", ["g", "rep"], "w").collect()
     assert len(want) == 40 and all(np.isclose(got[r.g, r.rep], r.auc) for r in want)
 
 
