@@ -1,116 +1,18 @@
-"""Tree-based quantiles and proximities.
-
-Leaves are summarised before anything joins them: a subject meets one row per tree, not the
-training rows in its leaf.
-"""
+"""One training set for trees, and features prepared for learners that take no missing values."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import grids as G
-from .neighbours import Space, nearest
+from .grouped_trees import Growth, forest_grids
 from .ranking import quantile_grid
 
 
-def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df)
-
-
-def forest_quantiles(
-    train: DataFrame, test: DataFrame, features: list[str], y: str, trees: int = 20, depth: int = 4,
-    min_leaf: int = 20, points: int = 99, seed: int = 0,
-) -> DataFrame:
-    """(id, grid): quantile regression forest.
-
-    The outcome axis is cut at its ends and at `points` exact quantiles between them. Each (tree, leaf)
-    keeps its share of outcomes at or below every cut; a subject averages its trees' shares and inverts
-    them, linearly between two cuts.
-    """
-    rf = RandomForestRegressor(
-        featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
-        seed=seed, leafCol="_leaf", featureSubsetStrategy="onethird",
-    )
-    tr = _assembled(train.where(F.col(y).isNotNull()), features)
-    model = rf.fit(tr)
-    cuts = quantile_grid(tr.select(y), y, [i / (points + 1) for i in range(points + 2)], name="cuts")
-    axis = cuts.select(F.col("cuts")).scalar()
-
-    def leaves(df: DataFrame, *keep: str) -> DataFrame:
-        arr = vector_to_array("_leaf")
-        return model.transform(df).select(*keep, F.posexplode(arr).alias("tree", "leaf"))
-
-    # Counts per cut interval, then cumulative shares inside the leaf row.
-    binned = leaves(tr.withColumn("_cuts", axis).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(y)))), "_b")
-    per = binned.groupBy("tree", "leaf", "_b").agg(F.count(F.lit(1)).alias("n"))
-    packed = per.groupBy("tree", "leaf").agg(F.collect_list(F.struct("_b", "n")).alias("_h"), F.sum("n").alias("_t"))
-    share = F.transform(
-        F.sequence(F.lit(0), F.lit(points + 1)),
-        lambda i: F.aggregate(
-            F.filter("_h", lambda s: s["_b"] <= i), F.lit(0.0), lambda a, s: a + s["n"].cast("double")
-        ) / F.col("_t"),
-    )
-    table = packed.select("tree", "leaf", share.alias("cdf"))
-    met = leaves(_assembled(test, features), "id").join(table, ["tree", "leaf"])
-    mean = met.select("id", F.posexplode("cdf").alias("i", "p")).groupBy("id", "i").agg(F.avg("p").alias("p"))
-    cdf = mean.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda s: s["p"]).alias("cdf"))
-    cdf = cdf.withColumn("_cuts", axis)
-
-    def inverse(tau):
-        # Place of the first cut with a share of at least tau, from 1; the last cut has them all.
-        at = F.least(F.size(F.filter("cdf", lambda p: p < tau - 1e-9)) + 1, F.size("_cuts"))
-        before = F.greatest(at - 1, F.lit(1))
-        low, high = F.element_at("cdf", before), F.element_at("cdf", at)
-        part = F.when((at > 1) & (high > low), F.least((tau - low) / (high - low), F.lit(1.0))).otherwise(F.lit(1.0))
-        return F.element_at("_cuts", before) + (F.element_at("_cuts", at) - F.element_at("_cuts", before)) * part
-
-    grid = F.transform(G.levels_array(), inverse)
-    return cdf.select("id", grid.alias("grid"))
-
-
-def tree_neighbours(
-    train: DataFrame, test: DataFrame, features: list[str], y: str, k: int, order: str, trees: int = 20,
-    depth: int = 3, seed: int = 0,
-) -> DataFrame:
-    """(id, rank, neighbour, distance): distance is the share of trees with different leaves.
-
-    Leaf vectors are one-hot, so half the squared distance over the tree count is that share and
-    the feature-space neighbour join applies unchanged.
-    """
-    gbt = GBTRegressor(
-        featuresCol="_x", labelCol=y, maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed, leafCol="_leaf",
-        minInstancesPerNode=20,
-    )
-    tr = _assembled(train.where(F.col(y).isNotNull()), features)
-    model = gbt.fit(tr)
-    # A tree of depth d has fewer than 2 ** (d + 1) nodes.
-    width = 2 ** (depth + 1)
-
-    def coded(df: DataFrame, *keep: str) -> DataFrame:
-        leaf = vector_to_array("_leaf")
-        hot = F.flatten(
-            F.transform(
-                leaf,
-                lambda v: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.when(v.cast("int") == j, 1.0).otherwise(0.0)),
-            )
-        )
-        return model.transform(df).select(*keep, hot.alias("vec"))
-
-    space = Space(cosine=True)  # one-hot rows have equal norm: 1 - cos is the share of differing trees
-    pool = coded(tr, "id", order) if order != "id" else coded(tr, "id")
-    return nearest(coded(_assembled(test, features), "id"), pool, space, k, [], order)
-
-
-def boosted(train: DataFrame, test: DataFrame, features: list[str], y: str, seed: int = 0) -> tuple[DataFrame, dict[str, float]]:
-    """(predictions with column `prediction`, importances) of gradient-boosted trees."""
-    gbt = GBTRegressor(featuresCol="_x", labelCol=y, maxIter=20, maxDepth=3, stepSize=0.1, seed=seed, minInstancesPerNode=20)
-    model = gbt.fit(_assembled(train.where(F.col(y).isNotNull()), features))
-    imp = {f: float(v) for f, v in zip(features, model.featureImportances.toArray())}
-    return model.transform(_assembled(test, features)).drop("_x"), imp
+def forest_quantiles(train: DataFrame, test: DataFrame, features: list[str], y: str, growth: Growth = Growth(share=1 / 3), points: int = 99) -> DataFrame:
+    """(id, grid): the quantile regression forest of a single training set."""
+    one = F.lit(0).alias("fold")
+    return forest_grids(train.select("*", one), test.select("*", one), features, y, growth, points).select("id", "grid")
 
 
 def imputed(rows: DataFrame, train: DataFrame, features: list[str], by: list[str], min_observed: int = 30, clip: float = 5.0) -> DataFrame:

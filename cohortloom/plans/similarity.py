@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 from ..functions import court as X
 from ..functions import grids as G
 from ..operators import aggregates as A
-from ..operators import folds as FO
-from ..operators import forecast as FC
+from ..operators import grouped_trees as GT
+from ..operators import learners as L
 from ..operators import neighbours as NB
 from ..operators import ranking as RK
 from ..operators import spatial as SP
-from ..operators import trees as TR
 from .bindings import CTES, FOLDS, HORIZON, slot_model_ctes
 from .cleaning import _XY, _ZONE, court_shots
 from .registry import query
-from .statistics import FEATURES, fold_rows, feats
+from .statistics import FEATURES, fold_rows
 
 k = F.col
 
@@ -151,30 +150,18 @@ def each_fold(build):
 
 @query("sim6_learned_weights")
 def _(t):
-    """Weights from a ridge fit on each fold's training rows, then weighted neighbours."""
-    train, _ = fold_rows(t)
-    subj, pool = spaces(t)
-
-    def one(fold):
-        at = k("fold") == fold
-        w = NB.ridge_weights(train.where(at), FEATURES, "y", [10 ** (-1 + 4 * i / 19) for i in range(20)])
-        return NB.nearest(subj.where(at), pool.where(at), NB.Space(weights=w), 10, ["fold"], "id")
-
-    return each_fold(one).select("fold", "id", "rank", "neighbour", F.round("distance", 5).alias("distance"))
+    """Neighbours by features weighted with a ridge fit of each fold, all folds in one job (tests/test_learners.py)."""
+    train, test = fold_rows(t)
+    near = L.NeighbourLearner(FEATURES, 10, weighted=True).neighbours(train, test)
+    return near.select("fold", "id", "rank", "neighbour", F.round("distance", 5).alias("distance"))
 
 
 @query("sim7_tree_proximity")
 def _(t):
+    """Quantiles of the rows that share most leaves, all folds in one grove (tests/test_learners.py)."""
     train, test = fold_rows(t)
-
-    def one(fold):
-        at = k("fold") == fold
-        tr, te = train.where(at).fillna(0.0, FEATURES), test.where(at).fillna(0.0, FEATURES)
-        n = TR.tree_neighbours(tr, te, FEATURES, "y", 30, "id")
-        grids = FC.neighbour_grids(n.withColumn("fold", F.lit(fold)), tr.select("id", "y"), ["fold"], "y")
-        return grids.join(te.select("id", "y"), "id").select("id", F.round(G.crps("y", "grid"), 6).alias("crps"))
-
-    return each_fold(one)
+    grids = L.TreeProximityLearner(FEATURES).predict(train, test).join(test.select("fold", "id", "y"), ["fold", "id"])
+    return grids.select("fold", "id", F.round(G.crps("y", "grid"), 6).alias("crps"))
 
 
 CTES["gpairs"] = (
@@ -401,22 +388,24 @@ def _(t):
 
 @query("sta26_spatial_features")
 def _(t):
-    """Forest with style weights refitted on each fold's training cohorts; null without a map."""
+    """Forest with zone shares and style weights, styles refitted on each fold's training cohorts; null without a map.
+
+    The forests of all folds are one grove. Styles are fits of their own per fold (tests/test_operators.py).
+    """
     train, test = fold_rows(t)
     s = court_shots(t).where("xy_valid").join(t.ent.select(k("entity").alias("id"), "cohort"), "id")
-    # Shots up to the cohort year only; entities map to a style by their own points.
+    # Shots up to the year after the cohort only; entities map to a style by their own points.
     s = s.where(k("season") <= k("cohort") + 1)
     known = t.stage("fold_maps", lambda: SP.density_maps(s.withColumnRenamed("id", "key"), "key", "sx", "sy"))
-    cols = [*FEATURES, *[f"s{i}" for i in range(STYLES)]]
+    zones = A.value_shares(s, ["id"], "zone", X.ZONES, "zone_")
+    cols = [*FEATURES, *[f"zone_{z}" for z in X.ZONES], *[f"s{i}" for i in range(STYLES)]]
 
     def one(fold):
-        at = k("fold") == fold
-        ids = train.where(at).select(k("id").alias("key"))
+        ids = train.where(k("fold") == fold).select(k("id").alias("key"))
         _, h, _ = SP.fit_styles(known.join(ids, "key", "left_semi"), "key", [STYLES])
-        w = SP.project_styles(known, h, "key").select(k("key").alias("id"), *[k("w")[i].alias(f"s{i}") for i in range(STYLES)])
-        tr = train.where(at).join(w, "id", "left").fillna(0.0, cols)
-        te = test.where(at).join(w, "id", "left").fillna(0.0, cols)
-        q = TR.forest_quantiles(tr, te, cols, "y")
-        return q.join(te.select("id", "y"), "id").select("id", F.round(G.crps("y", "grid"), 6).alias("crps"))
+        return SP.project_styles(known, h, "key").select(k("key").alias("id"), *[k("w")[i].alias(f"s{i}") for i in range(STYLES)])
 
-    return each_fold(one)
+    styles_of = t.stage("fold_styles", lambda: each_fold(one))
+    tr, te = (d.join(zones, "id", "left").join(styles_of, ["fold", "id"], "left") for d in (train, test))
+    q = GT.forest_grids(tr, te, cols, "y", GT.Growth(share=1 / 3)).join(test.select("fold", "id", "y"), ["fold", "id"])
+    return q.select("fold", "id", F.round(G.crps("y", "grid"), 6).alias("crps"))

@@ -16,7 +16,6 @@ from ..operators import causal as CA
 from ..operators import folds as FO
 from ..operators import forecast as FC
 from ..operators import groups as GR
-from ..operators import neighbours as NB
 from ..operators import panel as P
 from ..operators import ranking as RK
 from ..operators import resample as RS
@@ -24,7 +23,7 @@ from ..operators import shrink as SH
 from ..operators import survival as SV
 from ..operators import trees as TR
 from .bindings import (
-    ALL_COHORTS, BUST_CUT, CUTS, CUTS_SQL, FOLDS, HORIZON, LAST, LEVELS_SQL, STAR_CUT, TRAIN_LAST, CTES, slot_model_ctes,
+    ALL_COHORTS, BUST_CUT, CUTS, FOLDS, HORIZON, LAST, LEVELS_SQL, STAR_CUT, TRAIN_LAST, CTES, slot_model_ctes,
 )
 from .registry import query
 from .relational import slot_curve
@@ -461,28 +460,6 @@ def _(t):
     return out.select("id", "fold", "z_f2", "z_f4", "no_f4")
 
 
-def forest(t, features, fold):
-    train, test = fold_rows(t)
-    tr = train.where(k("fold") == fold).fillna(0.0, FEATURES)
-    te = test.where(k("fold") == fold).fillna(0.0, FEATURES)
-    return te, TR.forest_quantiles(tr, te, features, "y").join(te.select("id", "y"), "id")
-
-
-def every_fold(build):
-    """One result of `build(fold)` per fold, with the fold as a key."""
-    parts = [build(f).withColumn("fold", F.lit(f)) for f in FOLDS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-@query("sta24_forest_quantiles")
-def _(t):
-    q = every_fold(lambda fold: forest(t, FEATURES, fold)[1])
-    return q.select("fold", "id", F.round(G.crps("y", "grid"), 6).alias("crps"), *[c.alias(n) for n, c in G.to_columns("grid").items()])
-
-
 @query(
     "sta25_rolling_backtest",
     "SELECT model, cohort AS fold, count(*) AS n, avg(crps) AS crps, avg(y) AS y FROM scored GROUP BY 1, 2",
@@ -497,23 +474,6 @@ def _(t):
     return s.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("crps").alias("crps"), F.avg("y").alias("y"))
 
 
-@query("sta27_confirmation_test")
-def _(t):
-    """Does f2 explain the residual of a forest without it, and does adding it lower the CRPS?"""
-    def one(fold):
-        te, base = forest(t, ["f1", "f4"], fold)
-        _, plus = forest(t, ["f1", "f2", "f4"], fold)
-        return base.select("id", "y", k("grid").alias("gb")).join(plus.select("id", k("grid").alias("gp")), "id").join(te.select("id", "f2"), "id")
-
-    d = t.stage("confirmation_rows", lambda: every_fold(one))
-    d = d.withColumns({"resid": k("y") - G.at_level("gb", G.MEDIAN), "diff": G.crps("y", "gp") - G.crps("y", "gb")})
-    reps = RS.with_replicates(d.select("id", "f2", "resid"), "id", 1000)
-    rho = RS.interval(AS.spearman(reps, "f2", "resid", ["rep"], "w"), [], "rho", "rho_lo", "rho_hi")
-    gain = RS.bootstrap_mean(d, "id", ["diff"], [], REPS)
-    out = RK.attach(gain, rho, [], ["rho_lo", "rho_hi"])
-    return out.withColumn("confirmed", (k("rho_lo") > 0) & (k("diff_hi") < 0))
-
-
 @query("sta28_residual_signal")
 def _(t):
     p = t.slot_predictions(True).withColumn("resid", k("y") - G.at_level("grid", G.MEDIAN)).select("entity", "resid")
@@ -725,30 +685,6 @@ def _(t):
     return CA.balance(treated(t), ["f1", "f2"], "treated")
 
 
-@query("sta38_overperformance")
-def _(t):
-    """Out-of-fold prediction of the PIT by five cohort folds, with a permutation p value."""
-    d = with_pit(t).select("entity", "cohort", "pit").join(feats(t).select("entity", *FEATURES), "entity").fillna(0.0, FEATURES)
-    d = d.withColumn("g", F.pmod("cohort", F.lit(5)))
-    oof = None
-    for g in range(5):
-        pred, _ = TR.boosted(d.where(k("g") != g), d.where(k("g") == g), FEATURES, "pit")
-        part = pred.select("entity", "pit", "prediction")
-        oof = part if oof is None else oof.unionByName(part)
-    # A permutation pairs each prediction with the outcome at a shuffled position of a hashed order.
-    rho = AS.spearman(oof, "prediction", "pit")
-    sst = oof.agg((1 - F.sum(F.pow(k("pit") - k("prediction"), F.lit(2))) / (F.var_pop("pit") * F.count(F.lit(1)))).alias("r2"))
-    keys = oof.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(500)))).withColumn(
-        "h1", F.xxhash64("entity", "rep")
-    ).withColumn("h2", F.xxhash64(F.lit(7), "entity", "rep"))
-    a = RK.with_ranks(keys.select("rep", "h1", "prediction"), "h1", ["rep"], min_rank="at").select("rep", "at", "prediction")
-    b = RK.with_ranks(keys.select("rep", "h2", "pit"), "h2", ["rep"], min_rank="at").select("rep", "at", "pit")
-    null = AS.spearman(a.join(b, ["rep", "at"]), "prediction", "pit", ["rep"]).select(k("rho").alias("r0"))
-    null = RK.attach(null, rho.select(F.abs("rho").alias("obs")), [], ["obs"])
-    p = null.agg(F.avg((F.abs("r0") >= k("obs")).cast("double")).alias("p"))
-    return RK.attach(RK.attach(rho, sst, [], ["r2"]), p, [], ["p"]).select(F.round("rho", 4).alias("rho"), F.round("r2", 4).alias("r2"), "p", "n")
-
-
 @query(
     "sta39_situation_features",
     """SELECT e.entity, w.pct <= 1 / 3 AS weak, sh.share >= md.m AS crowded, mv.moved IS NOT NULL AS moved, coalesce(m1.minutes, 0) AS first_minutes,
