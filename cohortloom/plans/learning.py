@@ -403,7 +403,7 @@ def _(t):
 
 def _rolling(t):
     """Predictions of each cohort's PIT at horizon 1 from cohorts whose outcome was known by then."""
-    d = surprise_rows(t, t.ent.select("entity", "cohort").join(bands(t, 1), "entity"))
+    d = surprise_rows(t, bands(t, 1))
     train = FO.assign_folds(d, "cohort", 1, ALL_COHORTS[0], ALL_COHORTS[-1])
     grove, _ = GT.grow(train, FEATURES, "pit", BOOSTED)
     test = d.withColumn("fold", k("cohort"))
