@@ -40,8 +40,9 @@ def classify(pages: DataFrame, id_col: str, url_col: str, payload_col: str, leas
     ).withColumn("digest", F.sha2("payload", 256))
     large = F.octet_length("payload") >= least
     first = rows.where(large).groupBy("digest").agg(F.min("id").alias("first_id"))
-    # Small payloads meet no partner: their own key keeps them out of one hot group.
-    keyed = rows.withColumn("key", F.when(large, F.col("digest")))
+    # Small payloads meet no partner. A null key would send them all to one task, so each row has a key of its own.
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    keyed = rows.withColumn("key", F.when(large, F.col("digest")).otherwise(alone))
     joined = keyed.join(first.withColumnRenamed("digest", "key"), "key", "left")
     again = F.coalesce(F.col("id") > F.col("first_id"), F.lit(False))
     return joined.select(
