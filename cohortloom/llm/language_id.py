@@ -10,7 +10,7 @@ probabilities.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -25,12 +25,17 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """`per_language` bounds the training rows of a language, `languages` the languages learned."""
+    """`per_language` bounds the training rows of a language and `max_rows` those of all together.
+
+    Every language is learned. `cells` bounds the weights (buckets x languages) in memory: with very many
+    languages n-grams share fewer buckets.
+    """
 
     orders: tuple[int, ...] = (1, 2, 3)
     buckets: int = 1 << 17
     per_language: int = 2_000
-    languages: int = 500
+    max_rows: int = 200_000
+    cells: int = 1 << 25
     epochs: int = 4
     alpha: float = 1.0
     beta: float = 1.0
@@ -38,6 +43,10 @@ class Settings:
     l2: float = 1e-4
     calibration_tenths: int = 2
 
+    def for_languages(self, n: int) -> Settings:
+        """The settings with a power of two of buckets, so that the weights of `n` languages fit."""
+        return replace(self, buckets=min(self.buckets, 1 << max(1, (self.cells // n).bit_length() - 1)))
+
 
 @lru_cache(maxsize=1)
 def _alphabet() -> np.ndarray:
@@ -187,7 +196,8 @@ def fit(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str =
     """Learn from rows of `docs` for which `chosen` holds and the language is not null.
 
     Document frequencies cover all of them; weights are fitted on at most about `per_language` rows
-    of each language, chosen by a hash of the id, in one task. Null texts count as empty. Without
+    of each language and `max_rows` together, chosen by a hash of the id, in one task. All languages
+    are learned. Null texts count as empty. Without
     rows the model knows no language; with one language it always says that.
     """
     s = settings
@@ -195,16 +205,18 @@ def fit(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str =
         F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
     )
-    many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(
-        F.desc("n"), "lang").limit(s.languages).collect()}
+    many = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one number a language
     langs = sorted(many)
     if not langs:
         return Model(s, [], np.zeros(0, np.int64), np.zeros((0, 0)), 1.0)
+    s = s.for_languages(len(langs))
     df, total = _document_frequencies(rows, s)
     idf = np.log((1 + total) / (1 + df)) + 1
     spot = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1_000_000))
-    share = [x for lang in langs for x in (F.lit(lang), F.lit(int(1_000_000 * min(1.0, s.per_language / many[lang])) + 1))]
-    sample = rows.where(spot < F.create_map(*share)[F.col("lang")]).withColumn(
+    each = min(s.per_language, max(1, s.max_rows // len(langs)))
+    share = docs.sparkSession.createDataFrame(
+        [(lang, int(1_000_000 * min(1.0, each / n)) + 1) for lang, n in many.items()], "lang string, share int")
+    sample = rows.join(share, "lang").where(spot < F.col("share")).withColumn(
         "held", F.pmod(F.xxhash64(F.lit("held"), "id", "text"), F.lit(10)) < s.calibration_tenths
     )
     schema = pa.schema([("bucket", pa.int32()), ("weights", pa.list_(pa.float64())), ("temperature", pa.float64())])
