@@ -338,6 +338,10 @@ def _links(sigs: ByNode, sets: ByNode, plan: Plan):
     return run
 
 
+#: Rounds grow with the logarithm of a component's diameter; so many mean a fault.
+ROUNDS = 199
+
+
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """(node, root) of every node of `edges` (a, b): root is the smallest node of its component.
 
@@ -348,7 +352,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     hi, lo = F.greatest("a", "b"), F.least("a", "b")
     now = stage(edges.where("a <> b").select(hi.alias("u"), lo.alias("v")).distinct(), f"{folder}/stars-0")
     state = None
-    for step in range(1, 200):
+    for step in range(1, ROUNDS + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -363,6 +367,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         if tuple(seen) == state:
             break
         state = tuple(seen)
+    else:
+        raise RuntimeError(f"components still change after {ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
