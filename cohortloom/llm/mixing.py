@@ -13,22 +13,25 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
+from .common import stage
+
 #: A mean above this is split into equal parts that are drawn one by one and added.
 PART = 16.0
-#: Most sources whose rates may travel to every task.
-MAX_SOURCES = 100_000
+#: Entries of a distribution: beyond these nothing that a double can tell is left at a mean of PART.
+ENTRIES = math.ceil(PART + 40 * math.sqrt(PART + 1) + 40)
+
 
+def poisson_cdf(mean: Column) -> Column:
+    """P(X <= k) for k = 0, 1, ... as a rising array that ends in 1; the mean is at most PART."""
+    zero = F.exp(-mean)
+    start = F.struct(zero.alias("term"), zero.alias("total"), F.array(zero).alias("out"))
 
-def poisson_cdf(mean: float) -> list[float]:
-    """P(X <= k) for k = 0, 1, ... until nothing that a double can tell is left."""
-    term = total = math.exp(-mean)
-    out = [total]
-    while total < 1 - 2**-53 and term > 0 and len(out) < mean + 40 * math.sqrt(mean + 1) + 40:
-        term *= mean / len(out)
-        total += term
-        out.append(total)
-    out[-1] = 1.0
-    return out
+    def step(s: Column, k: Column) -> Column:
+        term = s["term"] * mean / k
+        return F.struct(term.alias("term"), (s["total"] + term).alias("total"), F.array_append(s["out"], s["total"] + term).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ENTRIES)), start, step, lambda s: F.array_append(s["out"], F.lit(1.0)))
 
 
 def uniform(seed: str, key: Column) -> Column:
@@ -37,47 +40,54 @@ def uniform(seed: str, key: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(2**52)
 
 
-def source_sizes(docs: DataFrame, size: Column, source_col: str = "source") -> dict[str | None, int]:
-    """Size of each source over all documents; one row per source comes to the driver."""
-    rows = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum(size.cast("bigint")).alias("n"))
-    got = {r.source: r.n or 0 for r in rows.limit(MAX_SOURCES + 1).collect()}
-    if len(got) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: give weights for groups of them")
-    return got
+def source_sizes(docs: DataFrame, size: Column, source_col: str = "source") -> DataFrame:
+    """(source, n): size of each source over all documents; null is a source."""
+    return docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0)).alias("n"))
+
 
+def power_weights(sizes: DataFrame, exponent: float = 0.5) -> DataFrame:
+    """(source, weight): shares in proportion to a power of the size; 1 keeps the corpus, 0 makes sources equal."""
+    # Summed as decimals, so that the total does not depend on the order.
+    raw = sizes.select("source", F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(float(exponent)))).otherwise(0.0).alias("raw"))
+    total = raw.agg(F.sum(F.col("raw").cast("decimal(38,9)")).cast("double").alias("t")).scalar()
+    return raw.select("source", F.coalesce(F.try_divide("raw", total), F.lit(0.0)).alias("weight"))
 
-def power_weights(sizes: dict[str | None, int], exponent: float = 0.5) -> dict[str | None, float]:
-    """Target weights in proportion to a power of the size; 1 keeps the corpus, 0 makes sources equal."""
-    raw = {s: float(n) ** exponent if n else 0.0 for s, n in sorted(sizes.items(), key=lambda x: (x[0] is None, x[0] or ""))}
-    total = sum(raw.values())
-    return {s: v / total for s, v in raw.items()} if total else {}
+
+def repetition_rates(sizes: DataFrame, weights: DataFrame, total: float | None = None) -> DataFrame:
+    """(source, parts, cdf) of every source: in how many equal parts its mean is drawn, and their distribution.
+
+    A source without bytes has no distribution; one without a weight has weight 0.
+    """
+    whole = sizes.agg(F.sum("n").cast("double").alias("t")).scalar() if total is None else F.lit(float(total))
+    both = sizes.join(weights.withColumnRenamed("source", "_of"), F.col("source").eqNullSafe(F.col("_of")), "left")
+    mean = F.when(F.col("n") > 0, F.coalesce("weight", F.lit(0.0)) * whole / F.col("n"))
+    cut = both.select("source", mean.alias("mean")).withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("mean") / PART).cast("int")))
+    return cut.select("source", "parts", F.when(F.col("mean").isNotNull(), poisson_cdf(F.col("mean") / F.col("parts"))).alias("cdf"))
 
 
 def mix(
     docs: DataFrame, weights: dict[str | None, float] | None = None, seed: str = "mix", id_col: str = "doc_id",
     text_col: str = "text", source_col: str = "source", exponent: float = 0.5, total: float | None = None,
 ) -> DataFrame:
-    """Copies of the documents with `copy` (1, 2, ...) and `shuffle_key` added, in the order of the key.
-
-    `weights` are target shares of UTF-8 bytes by source (null is a source; default: power_weights of
-    the corpus with `exponent`); a source without a weight has weight 0 and does not come out.
-    `total` is the size aimed at (default: that of the corpus). Sources without bytes cannot be
-    repeated to a weight: their documents are kept once. Rows that repeat draw the same number. A null
-    id is replaced by the text's digest in draws. An empty table gives an empty result.
+    """Copies of the documents with `copy` (1, 2, ...) and `shuffle_key` added.
+
+    Rows are dealt to tasks by the key and lie in its order inside each task. `weights` are target shares
+    of UTF-8 bytes by source (null is a source; default: power_weights of the corpus with `exponent`); a
+    source without a weight has weight 0 and does not come out. `total` is the size aimed at (default:
+    that of the corpus). Sources without bytes cannot be repeated to a weight: their documents are kept
+    once. Any number of sources will do: their rates are a table that is joined. Rows that repeat draw
+    the same number. A null id is replaced by the text's digest in draws. An empty table gives an empty
+    result; columns named copy or shuffle_key are replaced.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0))
     sizes = source_sizes(docs, size, source_col)
-    whole = sum(sizes.values()) if total is None else total
-    share = power_weights(sizes, exponent) if weights is None else weights
-    rates = []
-    for source, n in sizes.items():
-        mean = share.get(source, 0.0) * whole / n if n else 1.0
-        parts = max(1, math.ceil(mean / PART))
-        rates.append((source, parts, poisson_cdf(mean / parts) if n else None))
-    # At most MAX_SOURCES rows of under a few hundred numbers.
-    plan = F.broadcast(spark.createDataFrame(rates, "_source string, _parts int, _cdf array<double>"))
+    given = power_weights(sizes, exponent) if weights is None else spark.createDataFrame(
+        [(s, float(w)) for s, w in weights.items()], "source string, weight double")
+    # One row a source, written first: the documents of a hot source can then be split over tasks.
+    rates = stage(repetition_rates(sizes, given, total), scratch(spark, "mixing"))
+    plan = rates.select(F.col("source").alias("_source"), F.col("parts").alias("_parts"), F.col("cdf").alias("_cdf"))
     own = docs.select(*[F.col(f"`{c}`") for c in names])
     joined = own.join(plan, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
     key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))

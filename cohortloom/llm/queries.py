@@ -128,7 +128,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"s_{c}").alias(c) for c in names], "base_failed", "rule", "kept")
 
 
-@query("op5_mixing")
+@query("op5_mixing", """
+WITH d AS (
+  SELECT *, coalesce(octet_length(encode(text)), 0) AS size, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key FROM documents),
+sizes AS (SELECT source, sum(size) AS n FROM d GROUP BY source),
+rates AS (
+  SELECT source, mean, CAST(greatest(1, ceil(mean / 16)) AS INT) AS parts FROM (
+    SELECT source, CASE WHEN n > 0 THEN sqrt(n) / (SELECT sum(sqrt(n)) FROM sizes) * (SELECT sum(n) FROM sizes) / n END AS mean FROM sizes)),
+cdfs AS (
+  SELECT source, parts, list_transform(range(0, 221), lambda k: CASE WHEN k = 220 THEN 1.0 ELSE
+    list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(mean / parts) - mean / parts - lgamma(j + 1)))) END) AS cdf FROM rates),
+draws AS (
+  SELECT d.*, CASE WHEN cdf IS NULL THEN 1 ELSE list_sum(list_transform(range(1, parts + 1), lambda j: len(list_filter(cdf, lambda c:
+    c < (CAST('0x' || substr(md5('mix:' || key || ':' || j), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)))) END AS copies
+  FROM d JOIN cdfs ON d.source IS NOT DISTINCT FROM cdfs.source)
+SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INT) AS copy, CAST('0x' || substr(md5('mix:order:' || key || ':' || copy), 1, 15) AS BIGINT) AS shuffle_key
+FROM (SELECT *, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS copy FROM draws)""")
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 

@@ -474,9 +474,9 @@ def test_mix_reaches_the_weights(spark):
     assert {r.source for r in mixing.mix(table, {"a": 1.0}).collect()} == {"a"}
 
 
-def test_poisson_is_inverted_exactly():
+def test_poisson_is_inverted_exactly(spark):
     for mean in (0.0, 0.3, 2.5, 16.0):
-        cdf = mixing.poisson_cdf(mean)
+        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(mean)).alias("c")).first().c
         exact, total = [], 0.0
         for k in range(len(cdf)):
             total += math.exp(-mean + (k * math.log(mean) if mean else (0 if k == 0 else -math.inf)) - math.lgamma(k + 1))
@@ -484,6 +484,46 @@ def test_poisson_is_inverted_exactly():
         assert cdf[:-1] == pytest.approx(exact[:-1], abs=1e-12) and cdf[-1] == 1.0
 
 
+def test_mix_takes_any_number_of_sources(spark):
+    """A source per document, and one source with a third of them: every mean is met, nothing is gathered."""
+    table = spark.range(9000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 50).alias("text"), F.lit("en").alias("lang"),
+                                     F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("source"), F.lit(50).cast("bigint").alias("n_chars"))
+    n = {r.source is None: r.n for r in mixing.mix(table, exponent=1.0).groupBy("source").agg(F.count("*").alias("n")).groupBy(
+        F.when(F.col("source").isNotNull(), "x").alias("source")).agg(F.sum("n").alias("n")).collect()}
+    assert abs(n[True] - 3000) < 5 * math.sqrt(3000) and abs(n[False] - 6000) < 5 * math.sqrt(6000)
+    n = mixing.mix(table, exponent=0.0).where("source is null").count()  # all sources equal: one of 6001
+    assert n < 30
+
+
+def test_mix_draws_are_inverted_hashes(spark):
+    """Copies of every document against a plain inversion, with a source whose mean is drawn in parts."""
+    import hashlib
+
+    rows = [(i, "y" * (1 + i % 7), "en", ["a", "b", None][i % 50 and 1 + (i % 2)], 0) for i in range(400)] + [(None, "lost", "en", "a", 0)]
+    table = spark.createDataFrame(rows, DOCS)
+    weights = {"a": 0.8, "b": 0.15, None: 0.05}
+    got = {(r.doc_id, r.text): r.n for r in mixing.mix(table, weights).groupBy("doc_id", "text").agg(F.count("*").alias("n")).collect()}
+    size = {s: sum(len(r[1]) for r in rows if r[3] == s) for s in weights}
+    deep = 0
+    for i, text, _, source, _ in rows:
+        mean = weights[source] * sum(size.values()) / size[source]
+        parts = max(1, math.ceil(mean / 16))
+        deep += parts > 1
+        key = hashlib.md5(text.encode()).hexdigest() if i is None else str(i)
+        want = 0
+        for j in range(1, parts + 1):
+            u = (int(hashlib.md5(f"mix:{key}:{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            term = total = math.exp(-mean / parts)
+            k = 0
+            while total < u:
+                k += 1
+                term *= mean / parts / k
+                total += term
+            want += k
+        assert got.get((i, text), 0) == want
+    assert deep
+
+
 def test_mix_shuffles_and_handles_nothing(spark, docs, empty):
     got = mixing.mix(docs, exponent=1.0).collect()
     keys = [r.shuffle_key for r in got]
@@ -593,3 +633,87 @@ def test_license_scan_equals_brute_force(spark):
 
 def test_license_scan_of_nothing(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+# ---- faults of earlier versions ------------------------------------------------------------------
+
+
+def test_equal_rows_without_ids_share_one_list_of_spans(spark):
+    rng = random.Random(8)
+    text = prose(rng, 120)
+    rows = [(None, text, "en", "s", 0)] * 3000 + [(1, prose(rng, 120), "en", "s", 0)]
+    table = spark.createDataFrame(rows, DOCS).repartition(6)
+    (row,) = suffix_dedup.repeated_spans(table).collect()
+    assert row.id is None and len(row.spans) < 60
+    out = suffix_dedup.remove_repeats(table, ["doc_id"]).groupBy("doc_id", "n_bytes", "n_removed").count().collect()
+    size = len(text.encode())
+    assert {(r.doc_id, r.n_removed, r["count"]) for r in out} == {(None, size, 3000), (1, 0, 1)}
+
+
+def test_small_payloads_do_not_meet_in_one_task(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pages = spark.range(4000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("tiny").alias("html")).repartition(4)
+        rows = warc.classify(pages, "page_id", "url", "html").groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in rows) == 4000 and max(r["count"] for r in rows) < 1500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_every_language_is_learned(spark):
+    """More languages than an earlier cap; memory stays within `cells`."""
+    from dataclasses import replace
+
+    rows = [(i, f"{chr(0x4E00 + i % 700) * 6} {chr(0x4E00 + i % 700) * 4}", f"l{i % 700}", "s", 0) for i in range(2100)]
+    settings = replace(language_id.Settings(), epochs=6, buckets=1 << 12, cells=1 << 21)
+    assert settings.for_languages(700).buckets == 1 << 11 and settings.for_languages(4).buckets == 1 << 12
+    model = language_id.fit(spark.createDataFrame(rows, DOCS), F.lit(True), settings=settings)
+    assert len(model.langs) == 700
+    langs, _ = model.predict([t for _, t, _, _, _ in rows[:700]])
+    assert sum(a == r[2] for a, r in zip(langs, rows)) > 500
+
+
+def test_regularised_leader_by_hand():
+    """Weights after every epoch against one coordinate at a time."""
+    import numpy as np
+
+    rng = random.Random(12)
+    s = language_id.Settings(buckets=16, epochs=2, alpha=0.7, beta=0.9, l1=0.03, l2=0.2)
+    rows = []
+    for _ in range(25):
+        at = sorted(rng.sample(range(16), 4))
+        rows.append((np.array(at), np.array([rng.random() for _ in at]), rng.randrange(3)))
+    z, n = [[0.0] * 3 for _ in range(16)], [[0.0] * 3 for _ in range(16)]
+
+    def weight(b, k):
+        if abs(z[b][k]) <= s.l1:
+            return 0.0
+        return -(z[b][k] - math.copysign(s.l1, z[b][k])) / ((s.beta + math.sqrt(n[b][k])) / s.alpha + s.l2)
+
+    order = np.random.default_rng(7)
+    for _ in range(s.epochs):
+        for i in order.permutation(len(rows)):
+            at, x, y = rows[i]
+            logits = [sum(v * weight(b, k) for b, v in zip(at, x)) for k in range(3)]
+            top = max(logits)
+            e = [math.exp(v - top) for v in logits]
+            old = {(b, k): weight(b, k) for b in at for k in range(3)}
+            for b, v in zip(at, x):
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    sigma = (math.sqrt(n[b][k] + g * g) - math.sqrt(n[b][k])) / s.alpha
+                    z[b][k] += g - sigma * old[b, k]
+                    n[b][k] += g * g
+    got = language_id._train(rows, 3, s)
+    assert all(abs(got[b, k] - weight(b, k)) < 1e-9 for b in range(16) for k in range(3)) and np.any(got == 0) and np.any(got != 0)
+
+
+def test_components_that_do_not_settle_are_an_error(spark, tmp_path, monkeypatch):
+    import itertools
+
+    ticks = itertools.count()
+    real = near_dedup.stage
+    monkeypatch.setattr(near_dedup, "stage", lambda df, path: real(df.unionByName(spark.createDataFrame([(10_000 + next(ticks), 1)], df.schema)), path))
+    monkeypatch.setattr(near_dedup, "ROUNDS", 3)
+    with pytest.raises(RuntimeError, match="still change"):
+        near_dedup.components(spark.createDataFrame([(1, 2), (2, 3)], "a bigint, b bigint"), str(tmp_path))

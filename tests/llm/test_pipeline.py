@@ -103,3 +103,17 @@ def test_stages_of_odd_tables(spark, folder, tmp_path):
         assert out.columns == odd.columns
     alone = cp.drop_near_duplicates(spark, odd, path).collect()
     assert sorted(str(r.doc_id) for r in alone) == ["1", "None"] and len({r.text for r in alone}) == 2
+
+
+def test_other_columns_keep_their_values(spark, folder):
+    """Columns with the names that operators add or use inside come through every stage untouched."""
+    path, _ = folder
+    names = ["s_url", "kept", "rule", "base_failed", "n_words", "n_hit", "n_items", "items", "n_bytes", "n_removed", "n_spans", "kept_text",
+             "text_key", "_id", "_key", "_k", "id", "th", "spans", "other_0", "a.b", "component_id"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id is not null")
+    wide = docs.select("*", *[F.concat(F.lit(f"{n}:"), "doc_id").alias(n) for n in names])
+    for name, stage in cp.STAGES:
+        out = stage(spark, wide, path)
+        assert out.columns[: len(wide.columns)] == wide.columns, name
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}:{r['doc_id']}" for r in rows for n in names), name
