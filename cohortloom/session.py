@@ -30,10 +30,16 @@ def build_session(name: str = "cohortloom", master: str | None = None, **conf: s
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    Where that is unset, a folder inside the session's warehouse, which executors share too.
+    Where that is unset, a folder inside the session's warehouse. A warehouse on a local disk is not
+    shared unless the whole session runs on one machine, so a cluster without the setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/cohortloom-work").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.split(":")[0] in ("file", warehouse) and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/cohortloom-work"
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -108,3 +108,33 @@ def test_tracker_status(spark):
     now = spark.createDataFrame([(1, 41.0, 1.5), (2, 41.0, 0.2), (3, 41.0, 0.75)], "e int, games double, value double")
     got = {r.e: r.status for r in RF.tracker(bands, now, "e", F.lit(82.0)).collect()}
     assert got == {1: "pacing above ceiling", 2: "pacing below floor", 3: "within range", 4: "no games yet"}
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from cohortloom.session import shared_dir
+
+    def session(master, warehouse, folder=None):
+        conf = {"spark.sql.warehouse.dir": warehouse} | ({"spark.checkpoint.dir": folder} if folder else {})
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, *default: conf.get(key, *default)),
+                               sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    assert shared_dir(session("yarn", "file:/w", "hdfs://n/c/")) == "hdfs://n/c"
+    assert shared_dir(session("yarn", "hdfs://n/w")) == "hdfs://n/w/cohortloom-work"
+    assert shared_dir(session("local[4]", "file:/w")) == "file:/w/cohortloom-work"
+    for warehouse in ("file:/w", "/w"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session("spark://host:7077", warehouse))
+
+
+def test_entry_without_the_corpus_folder(tmp_path):
+    """Without a library that the corpus operators need, the other queries are still there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op1') for q in e.queries()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 240 and out[1] == "False"
