@@ -201,7 +201,7 @@ def _box_bounds(s: pd.DataFrame, cells: pd.DataFrame, space: Space) -> tuple[np.
         high[:, j] += space.penalty * (least < own)
     # Guards and the subject's own row can only push a row back.
     guarded = space.same or space.within
-    slack = 1e-9 + 1e-9 * np.abs(low)
+    slack = 1e-9 + 1e-9 * np.where(np.isfinite(low), np.abs(low), 0.0)
     return low - slack, high + (space.penalty if guarded else 0.0) + 1e-9
 
 
@@ -315,7 +315,7 @@ def _renewed(df: DataFrame) -> DataFrame:
 
 def nearest(
     subjects: DataFrame, pool: DataFrame, space: Space, k: int, by: list[str], order: str,
-    pivots: int = 16, tile: int = 2048, meter=None,
+    pivots: int = 16, tile: int = 2048, meter=None, boxes_seen=None,
 ) -> DataFrame:
     """(by, id, rank, neighbour, distance): exact k nearest pool rows of each subject in its group.
 
@@ -323,8 +323,8 @@ def nearest(
     where the session names a shared folder, as more than one step reads them.
 
     Both sides have columns `by`, `id`, `vec` (array of doubles, null = missing) and the guard
-    columns; the pool also has `order`, the tie-break of equal distances. `meter`, an accumulator,
-    counts the pairs that are compared.
+    columns; the pool also has `order`, the tie-break of equal distances. Accumulators `meter` and
+    `boxes_seen` count the pairs and the boxes that subjects are compared with.
     """
     guards = _guards(space)
     side = ["id", "vec", *guards]
@@ -364,7 +364,8 @@ def nearest(
     most = p.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     # Uneven pivots may need two levels more; points that are all equal are never cut, only dealt out.
     even = int(np.ceil(np.log(most / tile) / np.log(pivots))) if most > tile else 0
-    for level in range(min(even + 2, int(62 / np.log2(4 * pivots)))):
+    base, depth = 4 * pivots, 0
+    for level in range(min(even + 2, int(62 / np.log2(base)))):
         sizes = celled.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
         large = sizes.where(F.col("_n") > (tile if level else 0)).select(*on)
         if level and large.isEmpty():
@@ -373,8 +374,9 @@ def nearest(
         picks = top_k(to_cut, on, first, pivots, "_pivot").select(*on, F.col("vec").alias("_pv"))
         rows_, spread = chunked(to_cut, picks, on)
         cut = rows_.groupBy(*on, "_chunk").cogroup(_renewed(spread).groupBy(*on, "_chunk")).applyInPandas(assign, cell_type)
-        done = celled.join(large, on, "left_anti").withColumn("_cell", F.col("_cell") * (4 * pivots))
+        done = celled.join(large, on, "left_anti").withColumn("_cell", F.col("_cell") * base)
         celled = staged(cut.unionByName(done.select(*cut.columns)))
+        depth += 1
 
     # 2. Bounding box and size of each cell, from partial aggregates per dimension.
     def scaled(vec: str) -> Column:
@@ -385,50 +387,67 @@ def nearest(
             return F.zip_with(vec, F.array(*[F.lit(float(w)) for w in space.weights]), lambda v, w: v * w)
         return F.col(vec)
 
-    dims = (
+    dims = staged(
         celled.select(*by, "_cell", F.posexplode(scaled("vec")).alias("_d", "_x"))
         .withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
         .groupBy(*by, "_cell", "_d")
         .agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"),
              (F.count("_x") == F.count(F.lit(1))).alias("always"), F.count(F.lit(1)).alias("n"))
     )
-    packed = F.array_sort(F.collect_list(F.struct("_d", "lo", "hi", "always")))
-    cells = dims.groupBy(*by, "_cell").agg(
-        F.transform(packed, lambda t: t["lo"]).alias("lo"),
-        F.transform(packed, lambda t: t["hi"]).alias("hi"),
-        F.transform(packed, lambda t: t["always"]).alias("always"),
-        F.max("n").alias("n"),
-    ).withColumn("_parts", F.ceil(F.col("n") / tile).cast("int"))
-
-    # 3. Which cells can hold one of a subject's k nearest?
-    def candidates(rows: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-        out = [*by, *side, "_cell", "_parts", "_low", "_first"]
-        if rows.empty or cell.empty:
+
+    def boxes(level: int) -> DataFrame:
+        """Nodes of a level of the tree: cells that share their first cuts, under the node they were cut from."""
+        node = F.expr(f"_cell div {base ** (depth - level)}")
+        own = dims.withColumn("_node", node).groupBy(*by, "_node", "_d").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_and("always").alias("always"), F.sum("n").alias("n"))
+        packed = F.array_sort(F.collect_list(F.struct("_d", "lo", "hi", "always")))
+        return own.groupBy(*by, "_node").agg(
+            F.transform(packed, lambda t: t["lo"]).alias("lo"),
+            F.transform(packed, lambda t: t["hi"]).alias("hi"),
+            F.transform(packed, lambda t: t["always"]).alias("always"),
+            F.max("n").alias("n"),
+        ).withColumn("_up", F.expr(f"_node div {base}"))
+
+    cells = boxes(depth).select(*by, F.col("_node").alias("_cell"), "n", F.ceil(F.col("n") / tile).cast("int").alias("_parts"))
+
+    # 3. Which cells can hold one of a subject's k nearest? Down the tree: a subject meets the children of
+    # the nodes it still follows, at most `base` for each, and goes on with those that may be near enough.
+    need = k + (1 if space.exclude_self else 0)
+
+    def below(rows: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
+        out = [*by, *side, "_node", "_n", "_low", "_high"]
+        if rows.empty or node.empty:
             return pd.DataFrame({c: pd.Series(dtype="object") for c in out})
-        low, high = _box_bounds(rows, cell, space)
-        need = k + (1 if space.exclude_self else 0)
-        size = cell["n"].to_numpy()
-        by_high = np.argsort(high, axis=1, kind="stable")
-        enough = np.cumsum(size[by_high], axis=1) >= min(need, int(size.sum()))
-        reach = np.take_along_axis(high, by_high, axis=1)[np.arange(len(rows)), enough.argmax(axis=1)]
-        # Nearest cells first, until they hold enough rows.
-        by_low = np.argsort(low, axis=1, kind="stable")
-        before = np.cumsum(size[by_low], axis=1) - size[by_low]
-        first_cells = np.zeros(low.shape, bool)
-        np.put_along_axis(first_cells, by_low, before < need, axis=1)
-        i, j = np.nonzero(low <= reach[:, None])
+        if boxes_seen is not None:
+            boxes_seen.add(len(rows) * len(node))
+        low, high = _box_bounds(rows, node, space)
+        size = node["n"].to_numpy()
+        keep = np.isfinite(low)
+        if size.sum() >= need:  # the children alone may settle it
+            by_high = np.argsort(high, axis=1, kind="stable")
+            enough = np.cumsum(size[by_high], axis=1) >= need
+            keep &= low <= np.take_along_axis(high, by_high, axis=1)[np.arange(len(rows)), enough.argmax(axis=1)][:, None]
+        i, j = np.nonzero(keep)
         hit = rows.iloc[i][[*by, *side]].reset_index(drop=True)
-        hit["_cell"] = cell["_cell"].to_numpy()[j]
-        hit["_parts"] = cell["_parts"].to_numpy()[j].astype("int32")
-        hit["_low"], hit["_first"] = low[i, j], first_cells[i, j]
+        hit["_node"], hit["_n"] = node["_node"].to_numpy()[j], size[j]
+        hit["_low"], hit["_high"] = low[i, j], high[i, j]
         return hit
 
-    s_chunks, cells_spread = chunked(s, cells, by)
-    reach = staged(
-        s_chunks.groupBy(*by, "_chunk")
-        .cogroup(_renewed(cells_spread).groupBy(*by, "_chunk"))
-        .applyInPandas(candidates, f"{keys}id {id_type}, vec array<double>{guard_types}, _cell long, _parts int, _low double, _first boolean")
-    )
+    frontier = s.withColumn("_up", F.lit(0).cast("long"))
+    one = Window.partitionBy(*by, "id")
+    for level in range(1, depth + 1):
+        rows_, spread = chunked(frontier, boxes(level), [*by, "_up"])
+        on = [*by, "_up", "_chunk"]
+        met = rows_.groupBy(*on).cogroup(_renewed(spread).groupBy(*on)).applyInPandas(
+            below, f"{keys}id {id_type}, vec array<double>{guard_types}, _node long, _n long, _low double, _high double")
+        # The bound so far: nodes that reach no further hold enough rows. Nodes that start beyond it are left.
+        held = F.sum("_n").over(one.orderBy("_high", "_node").rowsBetween(Window.unboundedPreceding, 0))
+        met = met.withColumn("_reach", F.when(held >= need, F.col("_high")))
+        met = met.withColumn("_reach", F.min("_reach").over(one)).where(F.col("_reach").isNull() | (F.col("_low") <= F.col("_reach")))
+        frontier = staged(met.select(*by, *side, F.col("_node").alias("_up"), "_n", "_low"))
+    # Nearest cells first, until they hold enough rows.
+    before = F.coalesce(F.sum("_n").over(one.orderBy("_low", "_up").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reach = frontier.withColumn("_first", before < need).withColumnRenamed("_up", "_cell").join(cells.drop("n"), [*by, "_cell"])
 
     # 4. Tiles: a bounded slice of a cell against a bounded slice of its subjects.
     tile_keys = [*by, "_cell", "_part", "_slice"]

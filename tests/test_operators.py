@@ -203,6 +203,28 @@ def test_compared_pairs_grow_with_the_rows_not_with_their_square(spark):
     assert seen[1] < 7 * seen[0]
 
 
+def test_compared_boxes_grow_with_the_depth_of_the_tree(spark):
+    """A subject meets a few nodes a level: sixteen times the pool adds boxes by the logarithm, not by sixteen."""
+    rng = np.random.default_rng(15)
+    centres = rng.uniform(-1000, 1000, size=(64, 3))
+    subjects = centres[rng.integers(0, 64, 50)] + rng.normal(scale=0.05, size=(50, 3))
+
+    def frame_of(x):
+        return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+
+    per, largest = [], []
+    for n in (1500, 24_000):
+        x = centres[np.arange(n) % 64] + rng.normal(scale=0.05, size=(n, 3))
+        boxes = spark.sparkContext.accumulator(0)
+        got = NB.nearest(frame_of(subjects), frame_of(x).withColumn("id", F.col("id") + 10_000), NB.Space(), 2, [], "id", pivots=4, tile=16, boxes_seen=boxes).toPandas()
+        for i in (0, 49):
+            near = np.argsort(np.round(np.sqrt(((x - subjects[i]) ** 2).sum(1)), 9), kind="stable")[:2]
+            assert list(got[got.id == i].sort_values("rank").neighbour - 10_000) == list(near)
+        per.append(boxes.value / 50)
+        largest.append(n / 16)
+    assert per[1] < 3 * per[0] and per[1] < largest[1] / 4
+
+
 def test_distance_counts_give_the_median(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(90, 3))
