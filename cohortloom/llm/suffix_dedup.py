@@ -286,7 +286,7 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     parts = mixed.join(runs, ["gram", "blk"]).select("id", "th", "s", F.explode(F.arrays_zip("starts", "ends")).alias("r")).select(
         "id", "th", span(F.col("r.starts"), F.col("r.ends")).alias("x"))
     # The different spans of one text: bounded by its length, however many rows hold it.
-    return whole.unionByName(parts).groupBy("id", "th").agg(F.collect_set("x").alias("spans"))
+    return whole.unionByName(parts).distinct().groupBy("id", "th").agg(F.collect_list("x").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], length: int = 200, id_col: str = "doc_id", text_col: str = "text",
