@@ -313,55 +313,40 @@ def _renewed(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def nearest(
-    subjects: DataFrame, pool: DataFrame, space: Space, k: int, by: list[str], order: str,
-    pivots: int = 16, tile: int = 2048, meter=None, boxes_seen=None,
-) -> DataFrame:
-    """(by, id, rank, neighbour, distance): exact k nearest pool rows of each subject in its group.
+def chunked(rows: DataFrame, small: DataFrame, on: list[str], size: int) -> tuple[DataFrame, DataFrame]:
+    """Cut a group into chunks of about `size` rows and repeat its small companion for each of them."""
+    parts = rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_k"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")
+    repeat = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    return (
+        attach(rows, parts, on, ["_k"]).withColumn("_chunk", chunk).drop("_k"),
+        attach(small, parts, on, ["_k"]).withColumn("_chunk", repeat).drop("_k"),
+    )
 
-    Cells, the cells that a subject may reach and its first neighbours are written out on the way
-    where the session names a shared folder, as more than one step reads them.
 
-    Both sides have columns `by`, `id`, `vec` (array of doubles, null = missing) and the guard
-    columns; the pool also has `order`, the tie-break of equal distances. Accumulators `meter` and
-    `boxes_seen` count the pairs and the boxes that subjects are compared with.
-    """
-    guards = _guards(space)
-    side = ["id", "vec", *guards]
-    s, p = subjects.select(*by, *side), pool.select(*by, *side, F.col(order).alias("_ord"))
-    id_type = p.schema["id"].dataType.simpleString()
-    keys = "".join(f"{b} {p.schema[b].dataType.simpleString()}, " for b in by)
-    guard_types = "".join(f", {g} {p.schema[g].dataType.simpleString()}" for g in guards)
+def cut_cells(rows: DataFrame, side: list[str], space: Space, by: list[str], pivots: int, tile: int) -> tuple[DataFrame, int, int]:
+    """(rows with _cell, base, depth): rows go to the nearest of a few pivots, and cells of more than a tile again.
 
-    # 1. Cells: rows go to the nearest of a few pivots (rows in hash order; they only shape the
-    # cells), and cells of more than a tile are cut again the same way.
+    Pivots are rows in hash order; they only shape the cells. A cut multiplies the id by `base` and adds
+    the place, so integer division finds the cell that a cell was cut from; all have had `depth` cuts.
+    """
     first = [F.xxhash64("id"), F.col("id")]
 
-    def chunked(rows: DataFrame, small: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Cut a group into bounded chunks and repeat its small companion for each of them."""
-        parts = rows.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / (16 * tile)).cast("int").alias("_k"))
-        chunk = F.pmod(F.xxhash64("id"), F.col("_k")).cast("int")
-        repeat = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
-        return (
-            attach(rows, parts, on, ["_k"]).withColumn("_chunk", chunk).drop("_k"),
-            attach(small, parts, on, ["_k"]).withColumn("_chunk", repeat).drop("_k"),
-        )
-
-    def assign(rows: pd.DataFrame, piv: pd.DataFrame) -> pd.DataFrame:
-        cols = [*by, *side, "_ord", "_cell"]
-        if rows.empty:
-            return rows.assign(_cell=pd.Series(dtype="int64"))[cols]
-        raw = _matrix(rows["vec"], space)
+    def assign(part: pd.DataFrame, piv: pd.DataFrame) -> pd.DataFrame:
+        cols = [*by, *side, "_cell"]
+        if part.empty:
+            return part.assign(_cell=pd.Series(dtype="int64"))[cols]
+        raw = _matrix(part["vec"], space)
         x, y = np.nan_to_num(raw), np.nan_to_num(_matrix(piv["_pv"], space))
         near = ((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)[None, :]).argmin(axis=1)
         missing = np.array([hash(tuple(m)) % 4 for m in np.isnan(raw)])
-        return rows[cols].assign(_cell=rows["_cell"].to_numpy() * (4 * pivots) + near * 4 + missing)
+        return part[cols].assign(_cell=part["_cell"].to_numpy() * (4 * pivots) + near * 4 + missing)
 
-    cell_type = f"{keys}id {id_type}, vec array<double>{guard_types}, _ord {p.schema['_ord'].dataType.simpleString()}, _cell long"
     on = [*by, "_cell"]
-    celled = p.withColumn("_cell", F.lit(0).cast("long"))
+    celled = rows.select(*by, *side).withColumn("_cell", F.lit(0).cast("long"))
+    schema = celled.schema
     # A level cuts a cell by `pivots` or so; ids of cells stay within a long.
-    most = p.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    most = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     # Uneven pivots may need two levels more; points that are all equal are never cut, only dealt out.
     even = int(np.ceil(np.log(most / tile) / np.log(pivots))) if most > tile else 0
     base, depth = 4 * pivots, 0
@@ -372,45 +357,81 @@ def nearest(
             break
         to_cut = celled.join(large, on, "left_semi")
         picks = top_k(to_cut, on, first, pivots, "_pivot").select(*on, F.col("vec").alias("_pv"))
-        rows_, spread = chunked(to_cut, picks, on)
-        cut = rows_.groupBy(*on, "_chunk").cogroup(_renewed(spread).groupBy(*on, "_chunk")).applyInPandas(assign, cell_type)
+        own, spread = chunked(to_cut, picks, on, 16 * tile)
+        cut = own.groupBy(*on, "_chunk").cogroup(_renewed(spread).groupBy(*on, "_chunk")).applyInPandas(assign, schema)
         done = celled.join(large, on, "left_anti").withColumn("_cell", F.col("_cell") * base)
         celled = staged(cut.unionByName(done.select(*cut.columns)))
         depth += 1
+    return celled, base, depth
+
+
+def scaled(vec: str, space: Space) -> Column:
+    """The vector as _matrix makes it."""
+    if space.cosine:
+        norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + v * v))
+        return F.transform(vec, lambda v: F.when(norm > 0, v / norm).otherwise(v))
+    if space.weights is not None:
+        return F.zip_with(vec, F.array(*[F.lit(float(w)) for w in space.weights]), lambda v, w: v * w)
+    return F.col(vec)
+
 
-    # 2. Bounding box and size of each cell, from partial aggregates per dimension.
-    def scaled(vec: str) -> Column:
-        if space.cosine:
-            norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, v: acc + v * v))
-            return F.transform(vec, lambda v: F.when(norm > 0, v / norm).otherwise(v))
-        if space.weights is not None:
-            return F.zip_with(vec, F.array(*[F.lit(float(w)) for w in space.weights]), lambda v, w: v * w)
-        return F.col(vec)
-
-    dims = staged(
-        celled.select(*by, "_cell", F.posexplode(scaled("vec")).alias("_d", "_x"))
+def cell_dimensions(celled: DataFrame, space: Space, by: list[str]) -> DataFrame:
+    """(by, _cell, _d, lo, hi, always, n): each side of each cell's box, from partial aggregates; always: no row misses it."""
+    return staged(
+        celled.select(*by, "_cell", F.posexplode(scaled("vec", space)).alias("_d", "_x"))
         .withColumn("_x", F.when(~F.isnan("_x"), F.col("_x")))
         .groupBy(*by, "_cell", "_d")
         .agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"),
              (F.count("_x") == F.count(F.lit(1))).alias("always"), F.count(F.lit(1)).alias("n"))
     )
 
+
+def packed_boxes(dims: DataFrame, on: list[str]) -> DataFrame:
+    """(on, lo, hi, always, n): boxes as arrays over dimensions."""
+    packed = F.array_sort(F.collect_list(F.struct("_d", "lo", "hi", "always")))
+    return dims.groupBy(*on).agg(
+        F.transform(packed, lambda t: t["lo"]).alias("lo"),
+        F.transform(packed, lambda t: t["hi"]).alias("hi"),
+        F.transform(packed, lambda t: t["always"]).alias("always"),
+        F.max("n").alias("n"),
+    )
+
+
+def nearest(
+    subjects: DataFrame, pool: DataFrame, space: Space, k: int, by: list[str], order: str,
+    pivots: int = 16, tile: int = 2048, meter=None, boxes_seen=None,
+) -> DataFrame:
+    """(by, id, rank, neighbour, distance): exact k nearest pool rows of each subject in its group.
+
+    Cells, the cells that a subject may reach and its first neighbours are written out on the way
+    where the session names a shared folder, as more than one step reads them.
+
+    Both sides have columns `by`, `id`, `vec` (array of doubles, null = missing) and the guard
+    columns; the pool also has `order`, the tie-break of equal distances. Accumulators `meter` and
+    `boxes_seen` count the pairs and the boxes that subjects are compared with.
+    """
+    guards = _guards(space)
+    side = ["id", "vec", *guards]
+    s, p = subjects.select(*by, *side), pool.select(*by, *side, F.col(order).alias("_ord"))
+    id_type = p.schema["id"].dataType.simpleString()
+    keys = "".join(f"{b} {p.schema[b].dataType.simpleString()}, " for b in by)
+    guard_types = "".join(f", {g} {p.schema[g].dataType.simpleString()}" for g in guards)
+
+    celled, base, depth = cut_cells(p, [*side, "_ord"], space, by, pivots, tile)
+
+    # 1. Bounding box and size of each cell.
+    dims = cell_dimensions(celled, space, by)
+
     def boxes(level: int) -> DataFrame:
         """Nodes of a level of the tree: cells that share their first cuts, under the node they were cut from."""
         node = F.expr(f"_cell div {base ** (depth - level)}")
         own = dims.withColumn("_node", node).groupBy(*by, "_node", "_d").agg(
             F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_and("always").alias("always"), F.sum("n").alias("n"))
-        packed = F.array_sort(F.collect_list(F.struct("_d", "lo", "hi", "always")))
-        return own.groupBy(*by, "_node").agg(
-            F.transform(packed, lambda t: t["lo"]).alias("lo"),
-            F.transform(packed, lambda t: t["hi"]).alias("hi"),
-            F.transform(packed, lambda t: t["always"]).alias("always"),
-            F.max("n").alias("n"),
-        ).withColumn("_up", F.expr(f"_node div {base}"))
+        return packed_boxes(own, [*by, "_node"]).withColumn("_up", F.expr(f"_node div {base}"))
 
     cells = boxes(depth).select(*by, F.col("_node").alias("_cell"), "n", F.ceil(F.col("n") / tile).cast("int").alias("_parts"))
 
-    # 3. Which cells can hold one of a subject's k nearest? Down the tree: a subject meets the children of
+    # 2. Which cells can hold one of a subject's k nearest? Down the tree: a subject meets the children of
     # the nodes it still follows, at most `base` for each, and goes on with those that may be near enough.
     need = k + (1 if space.exclude_self else 0)
 
@@ -436,7 +457,7 @@ def nearest(
     frontier = s.withColumn("_up", F.lit(0).cast("long"))
     one = Window.partitionBy(*by, "id")
     for level in range(1, depth + 1):
-        rows_, spread = chunked(frontier, boxes(level), [*by, "_up"])
+        rows_, spread = chunked(frontier, boxes(level), [*by, "_up"], 16 * tile)
         on = [*by, "_up", "_chunk"]
         met = rows_.groupBy(*on).cogroup(_renewed(spread).groupBy(*on)).applyInPandas(
             below, f"{keys}id {id_type}, vec array<double>{guard_types}, _node long, _n long, _low double, _high double")
@@ -449,7 +470,7 @@ def nearest(
     before = F.coalesce(F.sum("_n").over(one.orderBy("_low", "_up").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     reach = frontier.withColumn("_first", before < need).withColumnRenamed("_up", "_cell").join(cells.drop("n"), [*by, "_cell"])
 
-    # 4. Tiles: a bounded slice of a cell against a bounded slice of its subjects.
+    # 3. Tiles: a bounded slice of a cell against a bounded slice of its subjects.
     tile_keys = [*by, "_cell", "_part", "_slice"]
     ord_type = p.schema["_ord"].dataType.simpleString()
 

@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import grouped_trees as GT
 from ..operators import learners as L
 from ..operators import neighbours as NB
+from ..operators import pair_quantiles as PQ
 from ..operators import ranking as RK
 from ..operators import spatial as SP
 from .bindings import CTES, FOLDS, HORIZON, slot_model_ctes
@@ -101,7 +102,7 @@ CTES["reasons_"] = (
 )
 CTES["similar_"] = (
     """SELECT fold, id, rank, round(greatest(0.0, 100 * (1 - round(d, 9) / m)), 1) AS similarity, d >= 1000 AS low_overlap FROM near JOIN
-    (SELECT fold, id, median(round(d, 4)) AS m FROM pairs GROUP BY 1, 2) USING (fold, id)""",
+    (SELECT fold, id, median(round(d, 9)) AS m FROM pairs GROUP BY 1, 2) USING (fold, id)""",
     ["near", "pairs"],
 )
 
@@ -132,8 +133,7 @@ def similarity_scores(t):
 
 def _similarity_scores(t):
     subj, pool = spaces(t)
-    counts = NB.distance_counts(subj, pool, NB.Space(), ["fold"])
-    med = RK.quantile_rows(counts, "distance", [0.5], ["fold", "id"], weight="n").select("fold", "id", k("quantile").alias("m"))
+    med = PQ.middle_distances(subj, pool, NB.Space(), ["fold"]).select("fold", "id", k("median").alias("m"))
     d = comps(t).join(med, ["fold", "id"])
     sim = F.round(F.greatest(F.lit(0.0), 100 * (1 - k("distance") / k("m"))), 1)
     return d.select("fold", "id", "rank", sim.alias("similarity"), (k("distance") >= 1000).alias("low_overlap"))
@@ -191,9 +191,8 @@ def _(t):
 
     found = []
     for lo, space in ((0, a), (2, b)):
-        c = NB.distance_counts(half(subj, lo, 2), half(pool, lo, 2), space, ["fold"], per_subject=False, below=1000.0)
-        rows = RK.quantile_rows(c, "distance", [0.5], ["fold"], weight="n").collect()  # one row per fold
-        found.append({r["fold"]: r["quantile"] for r in rows})
+        c = PQ.middle_distances(half(subj, lo, 2), half(pool, lo, 2), space, ["fold"], per_subject=False, below=space.penalty)
+        found.append({r["fold"]: r["median"] for r in c.collect()})  # one row per fold
 
     def one(fold):
         at = k("fold") == fold
@@ -257,24 +256,43 @@ def _(t):
 
 @query(
     "sim12_similarity_percentile",
-    """SELECT id, neighbour, (SELECT count(*) FROM ps WHERE ps.s < n.s) / (SELECT count(*) FROM ps) AS pct FROM (
-      SELECT id, neighbour, s FROM (SELECT a.id, b.id AS neighbour, round(1 - round(1 - list_dot_product(a.v, b.v), 9), 6) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_dot_product(a.v, b.v), 9), b.id) AS rn
-        FROM aug a JOIN aug b ON a.id <> b.id) WHERE rn <= 2) n""".replace("FROM ps", "FROM psim ps"),
-    "psim", rnd="pct", places=7,
+    """SELECT id, neighbour, (SELECT count(*) FROM pdist p WHERE p.d > n.d) / (SELECT count(*) FROM pdist) AS pct FROM (
+      SELECT id, neighbour, d FROM (SELECT a.id, b.id AS neighbour, round(1 - list_dot_product(a.v, b.v), 9) AS d, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_dot_product(a.v, b.v), 9), b.id) AS rn
+        FROM aug a JOIN aug b ON a.id <> b.id) WHERE rn <= 2) n""",
+    "pdist", rnd="pct", places=7,
 )
 def _(t):
+    """Share of all pairs that are less alike than a row and its neighbour."""
     v = augmented_vectors(t)
     space = NB.Space(cosine=True)
-    near = NB.nearest(v, v, space, 2, [], "id").select("id", "neighbour", F.round(1 - k("distance"), 6).alias("s"))
-    pairs = NB.distance_counts(v, v, space, [], decimals=6, per_subject=False, ordered=True)
-    pairs = pairs.select(F.round(1 - k("distance"), 6).alias("s"), "n")
-    # Scores take part with weight 0, so every score finds the pairs below it.
-    both = pairs.unionByName(near.select("s", F.lit(0).cast("long").alias("n")))
-    pos = RK.value_positions(both, "s", [], "n").select("s", (k("below") / k("total")).alias("pct"))
-    return near.join(pos, "s").select("id", "neighbour", "pct")
+    near = t.stage("augmented_neighbours", lambda: NB.nearest(v, v, space, 2, [], "id").select("id", "neighbour", k("distance").alias("d")))
+    # Pairs beyond the farthest neighbour are less alike than every score: only the others are counted one by one.
+    farthest = near.agg(F.max("d")).first()[0]
+    close = PQ.close_distances(v, space, farthest)
+    rows = v.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
+    # Scores take part with weight 0, so every score finds the pairs up to it.
+    both = close.select(k("distance").alias("d"), "n").unionByName(near.select("d", F.lit(0).cast("long").alias("n")))
+    pos = RK.value_positions(both, "d", [], "n").select("d", (1 - (k("below") + k("ties")) / (rows * (rows - 1) / 2)).alias("pct"))
+    return near.join(pos, "d").select("id", "neighbour", "pct")
 
 
-CTES["psim"] = ("SELECT round(1 - round(1 - list_dot_product(a.v, b.v), 6), 6) AS s FROM aug a JOIN aug b ON a.id < b.id", ["aug"])
+CTES["pdist"] = ("SELECT round(1 - list_dot_product(a.v, b.v), 9) AS d FROM aug a JOIN aug b ON a.id < b.id", ["aug"])
+
+
+# A small table met with a large one by features: the k nearest customers of every supplier.
+@query(
+    "jn22_knn_join",
+    """SELECT id, rank, neighbour, distance FROM (SELECT s_suppkey AS id, c_custkey AS neighbour, d AS distance, row_number() OVER (PARTITION BY s_suppkey ORDER BY d, c_custkey) AS rank FROM (
+      SELECT s_suppkey, c_custkey, round(sqrt(((s_acctbal - c_acctbal) / 1000) ** 2 + (s_nationkey - c_nationkey) ** 2), 9) AS d FROM supplier, customer)) WHERE rank <= 5""",
+    ints="rank", rnd="distance",
+)
+def _(t):
+    def side(df, p):
+        point = F.array((k(f"{p}_acctbal") / 1000).cast("double"), k(f"{p}_nationkey").cast("double"))
+        return df.select(k("s_suppkey" if p == "s" else "c_custkey").alias("id"), point.alias("vec"))
+
+    space = NB.Space(exclude_self=False)
+    return NB.nearest(side(t.supplier, "s"), side(t.customer, "c"), space, 5, [], "id").select("id", "rank", "neighbour", "distance")
 
 # ------------------------------------------------------------------------------------ maps
 
