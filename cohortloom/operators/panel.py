@@ -6,10 +6,12 @@ number, however many raw rows it had. All windows share one exchange on the enti
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import attach
+from ..session import cut_lineage
+from .ranking import attach, with_position
 
 
 def spine(
@@ -110,39 +112,48 @@ def graded_peak(peak: Column, honours: Column, star: Column, solid: Column, cuts
     return F.greatest(peak, floor)
 
 
-def fold_states(
-    df: DataFrame, entity: str, order: list[str], source: str, target: str, chunk: Column
-) -> DataFrame:
-    """Ordered fold 'move only when the holder is `source`', in two levels.
+def fold_states(df: DataFrame, entity: str, order: list[str], source: str, target: str, block: int = 4096) -> DataFrame:
+    """(entity, source, target): where each holder's entity ends up after all its moves, in order.
 
-    Each chunk of an entity's moves becomes a map start holder -> end holder (at most one entry
-    per distinct holder in it); chunk maps are then chained in order. Maps compose, so no task
-    needs all moves of an entity. Result: (entity, chunk, moves map), ordered by chunk.
+    A move counts only when the holder is its `source`. Moves of an entity get dense places by the one or
+    two `order` columns; a block of places is folded from its end, which gives each source in it the holder
+    that it ends with. Block maps compose, so neighbours are joined pairwise, holder by holder, in as many
+    rounds as the blocks have bits: no task needs all moves, or all holders, of an entity. Moves without a
+    source, a target, an entity or an order are left out; holders without a row end where they start.
     """
-    moves = df.where(F.col(target).isNotNull()).withColumn("_chunk", chunk)
-    packed = F.array_sort(F.collect_list(F.struct(*order, source, target)))
-    chunks = moves.groupBy(entity, "_chunk").agg(packed.alias("_m"))
-    starts = F.array_distinct(F.transform("_m", lambda m: m[source]))
-
-    def walk(start: Column) -> Column:
-        return F.aggregate(
-            "_m", start, lambda acc, m: F.when(m[source] == acc, m[target]).otherwise(acc)
-        )
-
-    table = F.map_from_arrays(starts, F.transform(starts, walk))
-    return chunks.select(entity, "_chunk", table.alias("_map"))
-
-
-def final_holder(entities: DataFrame, chunk_maps: DataFrame, entity: str, start: str, name: str) -> DataFrame:
-    """Chain the chunk maps of fold_states from each entity's starting holder."""
-    chain = chunk_maps.groupBy(entity).agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", F.map_entries("_map").alias("_e")))).alias("_c")
-    )
-
-    def hop(acc: Column, c: Column) -> Column:
-        hit = F.filter(c["_e"], lambda e: e["key"] == acc)
-        return F.coalesce(F.try_element_at(hit, F.lit(1))["value"], acc)
-
-    out = entities.join(chain, entity, "left")
-    walked = F.aggregate(F.coalesce("_c", F.array().cast(chain.schema["_c"].dataType)), F.col(start), hop)
-    return out.withColumn(name, walked).drop("_c")
+    known = F.col(source).isNotNull() & F.col(target).isNotNull() & F.col(entity).isNotNull()
+    moves = df.where(known).select(
+        entity, *dict.fromkeys(order), F.col(source).alias("_from"), F.col(target).alias("_to"))
+    placed = with_position(moves, order[0], order[-1], [entity], descending=False, name="_at").where(F.col("_at").isNotNull())
+    blocks = placed.select(entity, F.expr(f"(_at - 1) div {block}").alias("_b"), "_at", "_from", "_to")
+    schema = blocks.select(entity, "_b", "_from", "_to").schema
+
+    def walk(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_at")
+        ends: dict = {}
+        for a, b in zip(reversed(t.column("_from").to_pylist()), reversed(t.column("_to").to_pylist()), strict=True):
+            ends[a] = ends.get(b, b)
+        same = [pa.array([t.column(c)[0].as_py()] * len(ends), t.schema.field(c).type) for c in (entity, "_b")]
+        held = [pa.array(list(v), t.schema.field("_from").type) for v in (ends.keys(), ends.values())]
+        return pa.Table.from_arrays([*same, *held], names=schema.names)
+
+    maps = cut_lineage(blocks.groupBy(entity, "_b").applyInArrow(walk, schema))
+    last = maps.agg(F.max("_b")).first()[0] or 0
+    while last:
+        on = [entity, "_b"]
+        pair = F.expr("_b div 2").alias("_b")
+        one = maps.where("_b % 2 = 0").select(entity, pair, "_from", "_to")
+        two = maps.where("_b % 2 = 1").select(entity, pair, "_from", "_to")
+        through = one.join(two.select(*on, F.col("_from").alias("_to"), F.col("_to").alias("_end")), [*on, "_to"], "left").select(
+            *on, "_from", F.coalesce("_end", "_to").alias("_to"))
+        only = two.join(one.select(*on, "_from"), [*on, "_from"], "left_anti").select(*on, "_from", "_to")
+        maps = cut_lineage(through.unionByName(only))
+        last //= 2
+    return maps.select(entity, F.col("_from").alias(source), F.col("_to").alias(target))
+
+
+def final_holder(entities: DataFrame, ends: DataFrame, entity: str, start: str, name: str) -> DataFrame:
+    """Each entity's holder in the end, from fold_states and its starting holder."""
+    key, source, target = ends.columns
+    found = ends.select(F.col(key).alias(entity), F.col(source).alias(start), F.col(target).alias("_end"))
+    return entities.join(found, [entity, start], "left").select(*entities.columns, F.coalesce("_end", start).alias(name))

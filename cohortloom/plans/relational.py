@@ -658,16 +658,25 @@ def _(t):
     return c.withColumn("at_risk", F.sum("n").over(w))
 
 
-@query("win12_ordered_fold")
+@query(
+    "win12_ordered_fold",
+    """SELECT user_id, start, holder FROM (
+      WITH RECURSIVE m AS MATERIALIZED (SELECT user_id, event_id % 4 AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 AS dst,
+          row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL),
+      h AS (
+        SELECT user_id, user_id % 4 AS start, user_id % 4 AS holder, CAST(0 AS BIGINT) AS i FROM (SELECT DISTINCT user_id FROM events)
+        UNION ALL SELECT h.user_id, h.start, CASE WHEN m.src = h.holder THEN m.dst ELSE h.holder END, m.i FROM h JOIN m ON m.user_id = h.user_id AND m.i = h.i + 1)
+      SELECT user_id, start, arg_max(holder, i) AS holder FROM h GROUP BY 1, 2)""",
+)
 def _(t):
-    """Holder after a user's ordered moves; checked against a plain loop in the tests."""
+    """Holder after a user's ordered moves."""
     moves = t.events.select(
         "user_id", "ts", "event_id", F.pmod("event_id", F.lit(4)).alias("src"), F.pmod("user_id", F.lit(4)).alias("u"),
         F.get_json_object("props", "$.k").cast("bigint").alias("kk"),
     ).withColumn("dst", F.pmod(k("kk"), F.lit(4)))
-    maps = P.fold_states(moves, "user_id", ["ts", "event_id"], "src", "dst", F.date_trunc("hour", k("ts")))
+    ends = P.fold_states(moves, "user_id", ["ts", "event_id"], "src", "dst")
     users = moves.groupBy("user_id").agg(F.first("u").alias("start"))
-    return P.final_holder(users, maps, "user_id", "start", "holder").select("user_id", "start", "holder")
+    return P.final_holder(users, ends, "user_id", "start", "holder").select("user_id", "start", "holder")
 
 
 @query(

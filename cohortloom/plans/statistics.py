@@ -16,6 +16,7 @@ from ..operators import causal as CA
 from ..operators import folds as FO
 from ..operators import forecast as FC
 from ..operators import groups as GR
+from ..operators import monotone as MO
 from ..operators import panel as P
 from ..operators import ranking as RK
 from ..operators import resample as RS
@@ -848,18 +849,10 @@ def typical_curve(t):
 
 
 def _typical_curve(t):
-    c = slot_curve(t.tgt)
-    packed = F.array_sort(F.collect_list(F.struct("slot", "median", "mean")))
-    one = c.groupBy().agg(packed.alias("p"))  # one row per slot, a bounded axis
-    fit = one.select(
-        "p",
-        FC.isotonic_decreasing(F.transform("p", lambda s: F.struct(s["median"].alias("v")))).alias("m"),
-        FC.isotonic_decreasing(F.transform("p", lambda s: F.struct(s["mean"].alias("v")))).alias("a"),
-    )
-    rows = fit.select(F.posexplode("p").alias("i", "s"), "m", "a")
-    return rows.select(
-        k("s.slot").alias("slot"), F.element_at("m", k("i") + 1).alias("typical"), F.element_at("a", k("i") + 1).alias("average")
-    )
+    c = t.stage("slot_curve", lambda: slot_curve(t.tgt))
+    long = c.select("slot", F.col("median").alias("typical"), F.col("mean").alias("average")).unpivot(["slot"], ["typical", "average"], "kind", "v")
+    fit = MO.decreasing_fit(long, "slot", "v", ["kind"])
+    return fit.groupBy("slot").agg(*[F.max(F.when(k("kind") == c, k("fit"))).alias(c) for c in ("typical", "average")])
 
 
 CTES["pooled_"] = (
@@ -886,18 +879,14 @@ CTES["curve"] = (
 )
 def _(t):
     c = typical_curve(t)
-    w = Window.partitionBy(F.lit(1)).orderBy("slot")
-    return c.withColumn("value", 100 * k("average") / F.first("average").over(w))
+    return c.withColumn("value", 100 * k("average") / c.agg(F.min_by("average", "slot")).scalar())
 
 
 def equivalent_slot(rows, value, curve, last):
     """Earliest slot whose typical value is not above `value`; null at or below the last slot's."""
-    packed = curve.agg(F.array_sort(F.collect_list(F.struct("slot", "typical")))).scalar()
-    d = rows.withColumn("_c", packed)
-    at_most = F.filter("_c", lambda s: s["typical"] <= k(value))
-    floor = F.element_at("_c", -1)["typical"]
-    hit = F.coalesce(F.try_element_at(at_most, F.lit(1))["slot"], F.lit(last))
-    return d.withColumn("eq_slot", F.when(k(value) > floor + 1e-9, hit)).drop("_c")
+    d = MO.first_at_most(rows, value, curve, "slot", "typical", "_hit")
+    floor = curve.agg(F.max_by("typical", "slot")).scalar()
+    return d.withColumn("eq_slot", F.when(k(value) > floor + 1e-9, F.coalesce("_hit", F.lit(last)))).drop("_hit")
 
 
 @query(

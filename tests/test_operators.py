@@ -86,7 +86,7 @@ def test_ordered_fold_equals_a_loop(spark):
     rng = np.random.default_rng(1)
     d = pd.DataFrame({"u": rng.integers(0, 6, 900), "i": np.arange(900), "s": rng.integers(0, 4, 900), "d": rng.integers(0, 4, 900)})
     d["u"] = np.where(d.i % 3 == 0, 0, d.u)
-    maps = P.fold_states(spark.createDataFrame(d), "u", ["i"], "s", "d", F.floor(F.col("i") / 50))
+    maps = P.fold_states(spark.createDataFrame(d), "u", ["i"], "s", "d", block=50)
     ent = frame(spark, u=list(range(7)), start=[1] * 7)
     got = {r.u: r.h for r in P.final_holder(ent, maps, "u", "start", "h").collect()}
     for u in range(7):
@@ -96,6 +96,20 @@ def test_ordered_fold_equals_a_loop(spark):
         assert got[u] == at
 
 
+def test_ordered_fold_of_one_entity_with_very_many_moves(spark):
+    """A million moves of one entity among many holders; a block is the most that a task folds."""
+    n = 1_000_000
+    moves = spark.range(n).select(
+        F.lit(1).alias("u"), F.pmod(F.xxhash64("id"), F.lit(300)).alias("s"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(300)).alias("d"), F.col("id").alias("i"))
+    at = 7
+    table = moves.orderBy("i").toPandas()
+    for s, d in zip(table.s.to_numpy(), table.d.to_numpy()):
+        at = d if s == at else at
+    ends = P.fold_states(moves, "u", ["i"], "s", "d")
+    assert ends.count() <= 300
+    assert P.final_holder(frame(spark, u=[1, 2], start=[7, 7]), ends, "u", "start", "h").orderBy("u").toPandas()["h"].tolist() == [at, 7]
+
+
 def test_folds_never_leak(spark):
     d = frame(spark, c=[2000] * 3 + [2001] * 2 + [2003], y=[1.0] * 6)
     rows = FO.assign_folds(d, "c", 2, 2002, 2004)
@@ -404,6 +418,50 @@ def test_pooling_by_hand(spark):
     assert np.allclose(got["pooled"], grand + tau2 / (tau2 + 1 / w) * (a["mean"] - grand))
 
 
+def plain_decreasing(v):
+    blocks = []
+    for x in v:
+        blocks.append([x, 1])
+        while len(blocks) > 1 and blocks[-1][0] / blocks[-1][1] > blocks[-2][0] / blocks[-2][1]:
+            s, n = blocks.pop()
+            blocks[-1][0] += s
+            blocks[-1][1] += n
+    return [s / n for s, n in blocks for _ in range(n)]
+
+
+@pytest.mark.parametrize("chunk", [8, 65_536])
+def test_decreasing_fit_over_seams(spark, chunk):
+    """Blocks that reach over many chunks, strictly falling runs, ties, nulls and two groups."""
+    from cohortloom.operators import monotone as MO
+
+    rng = np.random.default_rng(21)
+    series = {"noise": rng.normal(size=130) - np.arange(130) * 0.01, "rising": np.arange(70.0), "falling": -np.arange(90.0), "flat": np.ones(40)}
+    rows = [(g, int(i * 3 + 5), float(x)) for g, v in series.items() for i, x in enumerate(v)] + [("noise", 9000, None)]
+    out = MO.decreasing_fit(spark.createDataFrame(rows, "g string, x long, v double").repartition(5), "x", "v", ["g"], chunk).toPandas()
+    for g, v in series.items():
+        assert np.allclose(out[out.g == g].sort_values("x").fit, plain_decreasing(v)), g
+
+
+def test_decreasing_fit_of_a_million_places(spark):
+    from cohortloom.operators import monotone as MO
+
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("x"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 10.0 - F.col("id") / 4000.0).alias("v"))
+    fit = MO.decreasing_fit(df, "x", "v").orderBy("x").toPandas()["fit"].to_numpy()
+    assert len(fit) == n and np.all(np.diff(fit) <= 1e-9)
+    assert np.allclose(fit, plain_decreasing(df.orderBy("x").toPandas()["v"].to_numpy()))
+
+
+def test_first_place_at_most_a_value(spark):
+    from cohortloom.operators import monotone as MO
+
+    curve = [(1, 9.0), (2, 7.0), (3, 7.0), (5, 4.0), (8, 4.0), (9, 1.0)]
+    values = [10.0, 9.0, 8.9, 7.0, 6.0, 4.0, 1.0, 0.5, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, v double")
+    out = {r.id: r.at for r in MO.first_at_most(rows, "v", spark.createDataFrame(curve, "x long, f double"), "x", "f", "at").collect()}
+    assert [out[i] for i in range(9)] == [1, 1, 2, 2, 5, 5, 9, None, None]
+
+
 def test_spearman_and_auc(spark):
     rng = np.random.default_rng(8)
     d = pd.DataFrame({"x": rng.integers(0, 9, 200).astype(float), "y": rng.integers(0, 5, 200).astype(float)})
