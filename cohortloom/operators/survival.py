@@ -1,15 +1,17 @@
 """Career length with censoring.
 
-Everything after the first aggregate works on counts by duration, a bounded axis.
+Kaplan-Meier curves work on counts by duration, a bounded axis; Cox models take any durations.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grids import Z95
+from ..session import cut_lineage
 
 
 def careers(entities: DataFrame, seasons: DataFrame, entity: str, cohort: str, period: str, last: int, grace: int = 2) -> DataFrame:
@@ -80,24 +82,81 @@ def kaplan_meier(df: DataFrame, band: str, duration: str, ended: str, horizon: i
     return out.where(F.col("t") <= horizon).select(band, "t", "survival", "ci_low", "ci_high", "n", "median")
 
 
-def _moments(df: DataFrame, xs: list[str], duration: str, ended: str, beta: np.ndarray) -> list:
-    """Per distinct duration: risk-set and event sums of w, wx, wxx'. One aggregate per step."""
+#: Buckets of time: their totals are what a Newton step brings to the driver besides p x p sums.
+BUCKETS = 128
+
+
+def _time_buckets(df: DataFrame, duration: str) -> DataFrame:
+    """The rows with `_b`, rising with the duration; equal durations share a bucket."""
+    probs = [i / BUCKETS for i in range(1, BUCKETS)]
+    cuts = df.agg(F.percentile_approx(duration, probs, 5000)).first()[0] or []  # a bounded number of cuts
+    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    return df.withColumn("_b", F.size(F.filter(edges, lambda e: e < F.col(duration))))
+
+
+def _moments(df: DataFrame, xs: list[str], duration: str, ended: str, beta: np.ndarray) -> DataFrame:
+    """(_b, t, d, risk, ends, x): per distinct duration the sums of w, wx, wxx' of all rows and of ended ones, and of x of ended ones.
+
+    Partial sums leave the tasks, so a duration that very many rows share is one row a task.
+    """
     eta = F.lit(0.0)
     for x, b in zip(xs, beta):
         eta = eta + float(b) * F.col(x)
-    w = F.exp(eta)
-    d = df.withColumn("_w", w)
-    sums = [F.sum("_w").alias("r0"), F.sum(F.when(F.col(ended), F.col("_w")).otherwise(0.0)).alias("e0")]
-    for i, x in enumerate(xs):
-        sums.append(F.sum(F.col("_w") * F.col(x)).alias(f"r{i}"+"_1"))
-        sums.append(F.sum(F.when(F.col(ended), F.col("_w") * F.col(x)).otherwise(0.0)).alias(f"e{i}_1"))
-        sums.append(F.sum(F.when(F.col(ended), F.col(x)).otherwise(0.0)).alias(f"x{i}"))
-        for j in range(i, len(xs)):
-            xx = F.col("_w") * F.col(x) * F.col(xs[j])
-            sums.append(F.sum(xx).alias(f"r{i}_{j}_2"))
-            sums.append(F.sum(F.when(F.col(ended), xx).otherwise(0.0)).alias(f"e{i}_{j}_2"))
-    agg = d.groupBy(F.col(duration).alias("t")).agg(F.count_if(F.col(ended)).alias("d"), *sums)
-    return agg.orderBy(F.col("t").desc()).collect()  # one row per distinct duration
+    d = df.withColumn("_w", F.exp(eta))
+    gone = F.col(ended)
+    terms = [F.col("_w"), *[F.col("_w") * F.col(x) for x in xs]]
+    terms += [F.col("_w") * F.col(xs[i]) * F.col(xs[j]) for i in range(len(xs)) for j in range(i, len(xs))]
+
+    def total(values: list[Column]) -> Column:
+        return F.array(*[F.sum(v) for v in values])
+
+    return d.groupBy("_b", F.col(duration).cast("double").alias("t")).agg(
+        F.count_if(gone).alias("d"), total(terms).alias("risk"), total([F.when(gone, v).otherwise(0.0) for v in terms]).alias("ends"),
+        total([F.when(gone, F.col(x)).otherwise(0.0) for x in xs]).alias("x"))
+
+
+def _unpacked(v: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(sum of w, of wx, of wxx') from the order of _moments."""
+    upper = np.zeros((p, p))
+    upper[np.triu_indices(p)] = v[1 + p :]
+    return v[0], v[1 : 1 + p], upper + np.triu(upper, 1).T
+
+
+def _step(moments: DataFrame, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and information of the partial likelihood with Efron ties.
+
+    Risk sets are sums over later durations: bucket totals are cumulated on the driver, and the rows of a
+    bucket in one task, which returns sums of p + p x p numbers.
+    """
+    size = 1 + p + p * (p + 1) // 2
+    sums = moments.groupBy("_b").agg(*[F.sum(F.col("risk")[i]).alias(f"r{i}") for i in range(size)]).collect()  # one row a bucket
+    later: dict[int, np.ndarray] = {}
+    run = np.zeros(size)
+    for row in sorted(sums, key=lambda r: -r["_b"]):
+        later[row["_b"]] = run.copy()
+        run += [row[f"r{i}"] for i in range(size)]
+
+    def inside(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("t", "descending")])
+        risk, ends = (np.array(t.column(c).to_pylist()) for c in ("risk", "ends"))
+        events, xs = t.column("d").to_numpy(), np.array(t.column("x").to_pylist())
+        at_risk = np.cumsum(risk, axis=0) + later[t.column("_b")[0].as_py()]
+        grad, info = np.zeros(p), np.zeros((p, p))
+        for i in np.flatnonzero(events):
+            r0, r1, r2 = _unpacked(at_risk[i], p)
+            e0, e1, e2 = _unpacked(ends[i], p)
+            s0, s1, q0, q1, q2 = _tie_sums(r0, e0, int(events[i]))
+            grad += xs[i] - (s0 * r1 - s1 * e1)
+            cross = np.outer(r1, e1)
+            info += s0 * r2 - s1 * e2 - (q0 * np.outer(r1, r1) - q1 * (cross + cross.T) + q2 * np.outer(e1, e1))
+        v = np.concatenate([grad, info.ravel()])
+        return pa.table({"i": pa.array(np.arange(len(v)), pa.int32()), "v": v})
+
+    rows = moments.groupBy("_b").applyInArrow(inside, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    out = np.zeros(p + p * p)
+    for r in rows:
+        out[r["i"]] = r["v"]
+    return out[:p], out[p:].reshape(p, p)
 
 
 def _tie_sums(risk: float, tied: float, d: int, chunk: int = 1 << 20) -> tuple[float, float, float, float, float]:
@@ -119,9 +178,11 @@ def cox(
 ) -> dict[str, dict[str, float]]:
     """Hazard ratios with Efron ties: Newton steps over sums by distinct duration.
 
-    Covariates are standardised inside, as the ridge penalty applies to standardised effects. A step
-    brings one row per distinct duration to the driver: durations are whole periods, so few.
+    Covariates are standardised inside, as the ridge penalty applies to standardised effects. Durations
+    may be any numbers, as many different ones as there are rows: a step brings sums by bucket of time
+    and p x p sums to the driver. Rows with a null duration or covariate are left out.
     """
+    df = df.select(F.col(duration).cast("double").alias(duration), ended, *xs).dropna()
     p = len(xs)
     stats = df.agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
@@ -129,29 +190,11 @@ def cox(
     ).first()
     mu = [stats[f"m{i}"] for i in range(p)]
     sd = [stats[f"s{i}"] or 1.0 for i in range(p)]
-    z = df.select(duration, ended, *[((F.col(x) - mu[i]) / sd[i]).alias(x) for i, x in enumerate(xs)])
+    z = cut_lineage(_time_buckets(df.select(duration, ended, *[((F.col(x) - mu[i]) / sd[i]).alias(x) for i, x in enumerate(xs)]), duration))
     beta = np.zeros(p)
     info = np.eye(p)
     for _ in range(max_iter):
-        grad, info = np.zeros(p), np.zeros((p, p))
-        r0, r1, r2 = 0.0, np.zeros(p), np.zeros((p, p))
-        for row in _moments(z, xs, duration, ended, beta):
-            r0 += row["r0"]
-            e1, x_sum, e2 = np.zeros(p), np.zeros(p), np.zeros((p, p))
-            for i in range(p):
-                r1[i] += row[f"r{i}_1"]
-                e1[i], x_sum[i] = row[f"e{i}_1"], row[f"x{i}"]
-                for j in range(i, p):
-                    r2[i, j] += row[f"r{i}_{j}_2"]
-                    e2[i, j] = row[f"e{i}_{j}_2"]
-            full_r2, full_e2 = r2 + np.triu(r2, 1).T, e2 + np.triu(e2, 1).T
-            d = int(row["d"])
-            if d == 0:
-                continue
-            s0, s1, q0, q1, q2 = _tie_sums(r0, row["e0"], d)
-            grad += x_sum - (s0 * r1 - s1 * e1)
-            cross = np.outer(r1, e1)
-            info += s0 * full_r2 - s1 * full_e2 - (q0 * np.outer(r1, r1) - q1 * (cross + cross.T) + q2 * np.outer(e1, e1))
+        grad, info = _step(cut_lineage(_moments(z, xs, duration, ended, beta)), p)
         grad -= stats["n"] * penalizer * beta
         info += stats["n"] * penalizer * np.eye(p)
         step = np.linalg.solve(info, grad)

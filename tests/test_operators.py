@@ -364,6 +364,24 @@ def efron(beta, x, t, e, pen):
     return ll - pen * len(t) / 2 * (beta**2).sum()
 
 
+def test_cox_with_continuous_durations(spark, monkeypatch):
+    """As many durations as rows, over several buckets: the maximum of the plain partial likelihood."""
+    monkeypatch.setattr(SV, "BUCKETS", 7)
+    rng = np.random.default_rng(33)
+    x = rng.normal(size=(300, 2))
+    t = rng.exponential(np.exp(-0.5 * x[:, 0] + 0.3 * x[:, 1]))
+    t[:40] = 0.25
+    e = rng.random(300) < 0.7
+    fit = SV.cox(frame(spark, a=x[:, 0], b=x[:, 1], t=t, e=e), ["a", "b"], "t", "e", 0.01)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    at = np.array([fit["a"]["coef"], fit["b"]["coef"]]) * x.std(0, ddof=1)
+    top = efron(at, z, t, e, 0.01)
+    for step in ([1e-3, 0], [-1e-3, 0], [0, 1e-3], [0, -1e-3], [1e-3, 1e-3], [1e-3, -1e-3]):
+        assert efron(at + step, z, t, e, 0.01) < top
+    slope = [(efron(at + d, z, t, e, 0.01) - efron(at - d, z, t, e, 0.01)) / 2e-5 for d in np.eye(2) * 1e-5]
+    assert np.allclose(slope, 0, atol=1e-3)
+
+
 def test_tie_sums_of_many_events_in_chunks():
     f = np.arange(1000) / 1000
     phi = 50.0 - f * 20.0
