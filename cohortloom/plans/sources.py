@@ -132,22 +132,28 @@ def _(t):
 
 @query(
     "src10_bio_fields",
-    """SELECT c_custkey AS page_id, 'Shooting Guard' AS position, 'Right' AS shoots, 190 + c_custkey % 20 AS height_cm, 72 + c_custkey % 12 AS height_in,
-      lower(c_mktsegment) AS colleges, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 100 + 1 END AS recruit_rank, 'Town ' || c_nationkey AS birthplace FROM customer""",
-    ints="height_cm height_in recruit_rank",
+    """SELECT c_custkey AS page_id, 'Shooting Guard' AS position, 'Right' AS shoots, 190 + c_custkey % 20 AS height_cm, 72 + c_custkey % 12 AS height_in, 210 AS weight_lb, 95 AS weight_kg,
+      lower(c_mktsegment) AS colleges, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 100 + 1 END AS recruit_rank, CASE WHEN c_custkey % 3 = 0 THEN 2010 END AS recruit_year,
+      CASE WHEN c_custkey % 4 = 0 THEN 'Old School in Town' END AS high_school, 'Team, 1st round' AS draft_text, 'October 3, 2012' AS debut, 'Town ' || c_nationkey AS birthplace,
+      CASE WHEN c_custkey % 5 > 0 THEN 'us' END AS birth_country, CAST('1980-01-01' AS DATE) + CAST(c_custkey % 3000 AS INT) AS birth_date,
+      CASE WHEN c_custkey % 2 = 0 THEN 'player-' || c_custkey || '-1' END AS college_id FROM customer""",
+    ints="height_cm height_in weight_lb weight_kg recruit_rank recruit_year",
 )
 def _(t):
     key = k("c_custkey")
+    born = F.date_add(F.lit("1980-01-01").cast("date"), (key % 3000).cast("int"))
     html = cat(
         '<div><div id="meta"><p>Position: <b>Shooting Guard</b> ▪ Shoots: Right</p><p>6-', (key % 12).cast("string"), ", 210lb (", (190 + key % 20).cast("string"),
-        "cm, 95kg)</p><p>Born: <span>May 1</span> in Town ", s("c_nationkey"), " us</p><p>College: <a>", F.lower("c_mktsegment"), "</a></p>",
+        'cm, 95kg)</p><p>Born: <span id="necro-birth" data-birth="', born.cast("string"), '">May 1</span> in Town ', s("c_nationkey"),
+        F.when(key % 5 > 0, " us").otherwise(""), "</p><p>College: <a>", F.lower("c_mktsegment"), "</a></p>",
+        F.when(key % 4 == 0, "<p>High School: Old School in Town</p>").otherwise(""),
         F.when(key % 3 == 0, cat("<p>Recruiting Rank: 2010 (", (key % 100 + 1).cast("string"), ")</p>")).otherwise(""),
-        "<p>Draft: Team, 1st round</p><p>NBA Debut: October 3, 2012</p></div><p>after</p></div>",
-    )
-    texts = PG.element_texts(t.customer.select(key.alias("page_id"), html.alias("html")), ["meta"], tasks=TASKS)
-    return PG.bio_fields(texts).select(
-        "page_id", "position", "shoots", "height_cm", "height_in", "colleges", "recruit_rank", "birthplace"
+        "<p>Draft: Team, 1st round</p><p>NBA Debut: October 3, 2012</p><p>Career Length: 3 years</p></div><p>after</p>",
+        F.when(key % 2 == 0, cat('<a href="https://www.example.org/cbb/players/player-', s("c_custkey"), '-1.html">College</a>')).otherwise(""), "</div>",
     )
+    return PG.player_bios(t.customer.select(key.alias("page_id"), html.alias("html")), tasks=TASKS).select(
+        "page_id", "position", "shoots", "height_cm", "height_in", "weight_lb", "weight_kg", "colleges", "recruit_rank", "recruit_year", "high_school", "draft_text",
+        "debut", "birthplace", "birth_country", "birth_date", "college_id")
 
 
 def move_pages(t):
@@ -215,6 +221,59 @@ def _(t):
     return d.select("page_id", "title", F.size("links").alias("links"))
 
 
+def season_text(year):
+    return F.format_string("%d-%02d", year - 1, F.pmod(year, F.lit(100)))
+
+
+def reference_pages(t):
+    """One page per order with a table of one kind, by key: finals, averages, cap, index, or a player's tables."""
+    key = k("o_orderkey")
+    year = F.year("o_orderdate")
+    season = season_text(year)
+    pid = cat("p", s("o_custkey"))
+
+    def table(name, *cells):
+        return cat('<table id="', name, '"><tbody><tr>', *[x for c, v in cells for x in (f'<td data-stat="{c}">', v, "</td>")], "</tr></tbody></table>")
+
+    named = cat('<table id="finals_mvp_NBA"><tbody><tr><th data-stat="season">', season, '</th><td data-stat="player" data-append-csv="', pid, '">n</td></tr>',
+                '<tr><th data-stat="season">', season, '</th><td data-stat="player">nobody</td></tr></tbody></table>')
+    listed = cat('<table id="players"><tbody><tr><th data-stat="player" data-append-csv="', pid, '">n</th><td data-stat="year_min">', (year - 3).cast("string"),
+                 '</td><td data-stat="year_max">', year.cast("string"), '</td><td data-stat="pos">G</td><td data-stat="colleges">', k("o_orderpriority"), "</td></tr></tbody></table>")
+    averages = cat(table("stats-Regular-Season", ("season", season), ("pts_per_g", k("o_orderpriority"))), "")
+    cap = table("salary_cap_history", ("year_id", season), ("cap", cat("$", F.format_number(key, 0))))
+    own = cat(table("all_salaries", ("season", season), ("team_name", cat("T", s("o_custkey"))), ("salary", cat("$", F.format_number(key * 7, 0)))), "<!-- ",
+              table("all_college_stats", ("season", season), ("g", s("o_custkey"))), " -->")
+    which = F.pmod(key, F.lit(5))
+    html = F.when(which == 0, named).when(which == 1, averages).when(which == 2, cap).when(which == 3, listed).otherwise(own)
+    return t.orders.select(key.alias("page_id"), html.alias("html"))
+
+
+@query(
+    "src13_reference_tables",
+    """WITH o AS (SELECT o_orderkey AS page_id, o_orderkey % 5 AS w, CAST(year(o_orderdate) AS INT) AS y, * FROM orders)
+    SELECT page_id, 'finals' AS kind, y AS season, 'p' || o_custkey AS id, NULL AS text, NULL AS amount FROM o WHERE w = 0
+    UNION ALL SELECT page_id, 'averages', y, NULL, o_orderpriority, NULL FROM o WHERE w = 1 UNION ALL SELECT page_id, 'cap', y, NULL, NULL, page_id FROM o WHERE w = 2
+    UNION ALL SELECT page_id, 'index', y, 'p' || o_custkey, 'G ' || o_orderpriority, y - 3 FROM o WHERE w = 3
+    UNION ALL SELECT page_id, 'salaries', y, NULL, 'T' || o_custkey, page_id * 7 FROM o WHERE w = 4 UNION ALL SELECT page_id, 'college', y, NULL, o_custkey::VARCHAR, NULL FROM o WHERE w = 4""",
+    ints="season amount",
+)
+def _(t):
+    """Pages are read once; their rows are routed to six typed tables."""
+    rows = t.stage("reference_rows", lambda: PG.table_rows(reference_pages(t), tasks=TASKS))
+    d = PG.reference_tables(rows)
+    none, no_amount = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+
+    def out(kind, season, id_, text, amount):
+        return d[kind].select("page_id", F.lit(kind).alias("kind"), season.alias("season"), id_.alias("id"), text.alias("text"), amount.cast("bigint").alias("amount"))
+
+    parts = [
+        out("finals", k("season"), k("player_id"), none, no_amount), out("averages", k("season"), none, k("cells")["pts_per_g"], no_amount),
+        out("cap", k("season"), none, none, k("cap")), out("index", k("last_year"), k("player_id"), F.concat_ws(" ", "position", "colleges"), k("first_year")),
+        out("salaries", k("season"), none, k("team"), k("salary")), out("college", k("season"), none, k("cells")["g"], no_amount),
+    ]
+    return J.union_all(*parts)
+
+
 @query(
     "src14_year_rows_only",
     "SELECT p_partkey AS page_id, (1990 + p_size) || '-' || lpad(((1991 + p_size) % 100)::VARCHAR, 2, '0') AS year_id FROM part",
@@ -358,6 +417,23 @@ def _(t):
     return t.spark.read.parquet(path).withColumn("c0", k("c0").cast("double"))
 
 
+@query(
+    "src21_export_list",
+    """SELECT * FROM (SELECT 'core' AS source, 'parts' AS name, 2 AS columns, count(*) AS rows FROM part UNION ALL SELECT 'core', 'nations', 3, count(*) FROM nation
+      UNION ALL SELECT 'grids', 'maps', 3, count(*) FROM embeddings UNION ALL SELECT 'outcomes', 'params', 2, 1)""",
+    ints="columns rows",
+)
+def _(t):
+    """A list of tables pruned and copied with their params; the sizes are checked."""
+    root = scratch(t)
+    TB.write_table(t.part, root, "modeled", "core", "parts")
+    TB.write_table(t.nation, root, "modeled", "core", "nations")
+    TB.write_table(t.embeddings.select("vec_id", k("embedding")[0].alias("c0"), k("embedding")[1].alias("c1"), "label"), root, "modeled", "grids", "maps")
+    entries = [("core", "parts", ["p_partkey", "p_name", "absent"]), ("core", "nations", None), ("grids", "maps", ["vec_id", "c0", "c1"])]
+    done = TB.export_bundle(t.spark, root, f"{root}/bundle", entries, {"horizon": "2", "cuts": "0.5,1.2"}, limit=10**12)
+    return done.select("source", "name", "columns", "rows")
+
+
 @query("src22_report_csv", "SELECT p_type, round(avg(p_retailprice), 4) AS price FROM part GROUP BY 1", rnd="price", places=4)
 def _(t):
     path = scratch(t)

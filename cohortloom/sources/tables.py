@@ -58,6 +58,41 @@ def export(df: DataFrame, path: str, columns: list[str] | None = None, grid: str
     df.select(*small).write.mode("overwrite").parquet(path)
 
 
+def export_bundle(
+    spark: SparkSession, root: str, bundle: str, entries: list[tuple[str, str, list[str] | None]], params: dict[str, str] | None = None,
+    limit: int | None = None, layer: str = "modeled",
+) -> DataFrame:
+    """(source, name, columns, rows, bytes) of what was written: every listed table pruned, cast and copied, then `params`.
+
+    An entry is (source, table, columns or None for all); columns that a table lacks are left out. Params
+    become a table of one row. Rows are counted while they are written. Raises if the files are larger
+    together than `limit` bytes.
+    """
+    done = []
+    for source, name, columns in entries:
+        df = read_table(spark, root, layer, source, name)
+        done.append((source, name, _exported(df, f"{bundle}/{source}/{name}.parquet", columns)))
+    if params:
+        row = spark.createDataFrame([tuple(params.values())], ", ".join(f"`{c}` string" for c in params))
+        done.append(("outcomes", "params", _exported(row, f"{bundle}/outcomes/params.parquet", None)))
+    sizes = [(source, name, columns, rows, _bytes(spark, f"{bundle}/{source}/{name}.parquet")) for source, name, (columns, rows) in done]
+    total = sum(r[-1] for r in sizes)
+    if limit is not None and total > limit:
+        raise ValueError(f"the bundle has {total} bytes, more than {limit}")
+    return spark.createDataFrame(sizes, "source string, name string, columns int, rows long, bytes long")  # one row an entry
+
+
+def _exported(df: DataFrame, path: str, columns: list[str] | None) -> tuple[int, int]:
+    seen = Observation()
+    export(df.observe(seen, F.count(F.lit(1)).alias("rows")), path, columns)
+    return len([c for c in (columns or df.columns) if c in df.columns]), seen.get["rows"]
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def write_report(df: DataFrame, path: str, places: int = 4) -> None:
     """Rounded summary as CSV."""
     doubles = [f.name for f in df.schema.fields if f.dataType.simpleString() == "double"]

@@ -138,3 +138,34 @@ def test_entry_without_the_corpus_folder(tmp_path):
     code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op1') for q in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 240 and out[1] == "False"
+
+
+BIO = "Jane Doe Position: Power Forward and Center ▪ Shoots: Left 6-9, 250lb (205cm, 113kg) Born: July 6, 2000 in Salisbury, North Carolina us College: Duke High School: Day School in Town Recruiting Rank: 2018 (4) Draft: Hornets, 1st round (1st pick, 1st overall), 2019 Draft NBA Debut: January 22, 2020 Experience: 5 years"
+
+
+def test_bio_block_is_cut_at_its_labels(spark):
+    rows = [(1, BIO), (2, "Nothing here"), (3, ""), (4, None), (5, "Born: May 1, 1990 Draft: Team Died: 2020"), (6, "Position: Guard Shoots: Right Career Length: 2 years")]
+    out = {r.id: r for r in PG.bio_fields(spark.createDataFrame(rows, "id int, text string")).collect()}
+    one = out[1].asDict()
+    assert {c: one[c] for c in one if c not in ("id", "text")} == {
+        "position": "Power Forward and Center", "shoots": "Left", "height_cm": 205, "weight_kg": 113, "weight_lb": 250, "height_in": 81, "colleges": "Duke",
+        "high_school": "Day School in Town", "recruit_year": 2018, "recruit_rank": 4, "draft_text": "Hornets, 1st round (1st pick, 1st overall), 2019 Draft",
+        "debut": "January 22, 2020", "birthplace": "Salisbury, North Carolina", "birth_country": "us"}
+    for i in (2, 3, 4):
+        assert all(v is None for c, v in out[i].asDict().items() if c not in ("id", "text"))
+    assert out[5].birthplace is None and out[5].draft_text == "Team" and out[6].position == "Guard" and out[6].height_in is None
+
+
+def test_player_page(spark):
+    html = f'<div id="meta"><p>{BIO.replace("July 6, 2000", "<span id=necro-birth data-birth=2000-07-06>July 6, 2000</span>")}</p></div><a href="https://x.org/cbb/players/jane-doe-1.html">c</a>'
+    out = PG.player_bios(spark.createDataFrame([("p1", html), ("p2", "<p>none</p>")], "page_id string, html string")).collect()
+    (row,) = [r for r in out if r.page_id == "p1"]
+    assert (str(row.birth_date), row.college_id, row.height_in, row.birthplace) == ("2000-07-06", "jane-doe-1", 81, "Salisbury, North Carolina")
+
+
+def test_bundle_above_its_limit_is_an_error(spark, tmp_path):
+    TB.write_table(spark.range(1000), str(tmp_path), "modeled", "a", "b")
+    done = TB.export_bundle(spark, str(tmp_path), f"{tmp_path}/out", [("a", "b", None)], limit=10**9).collect()
+    assert done[0].rows == 1000 and done[0].bytes > 0
+    with pytest.raises(ValueError, match="more than 10"):
+        TB.export_bundle(spark, str(tmp_path), f"{tmp_path}/out2", [("a", "b", ["id"])], limit=10)
