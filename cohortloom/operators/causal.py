@@ -32,9 +32,11 @@ def propensity(df: DataFrame, covariates: list[str], treated: str, weight: str |
 
 def propensity_replicates(
     df: DataFrame, covariates: list[str], treated: str, y: str, key: str, reps: int, trim: float = 0.05, seed: int = 0,
-    iterations: int = 25,
+    iterations: int = 25, hit: Column | None = None,
 ) -> DataFrame:
-    """(rep, diff): the weighted difference in each resample, with the propensity model refitted there.
+    """(rep, diff, ratio): the weighted difference in each resample, with the propensity model refitted there.
+
+    ratio is that of the weighted shares with `hit` (null without it, or where the untreated have none).
 
     Newton steps of all replicates run together: a pass over the rows sums gradients and second
     derivatives, a few numbers per replicate. Covariates are standardised once over all rows.
@@ -42,11 +44,12 @@ def propensity_replicates(
     spark, p = df.sparkSession, len(covariates) + 1
     moments = df.agg(*[f(c).alias(f"{n}_{c}") for c in covariates for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
     z = [((F.col(c) - moments[f"m_{c}"]) / (moments[f"s_{c}"] or 1.0)).cast("double").alias(f"z{i}") for i, c in enumerate(covariates)]
-    rows = df.select(numeric_key(df, key).alias("key"), F.col(treated).cast("double").alias("t"), F.col(y).cast("double").alias("y"), *z)
+    rows = df.select(numeric_key(df, key).alias("key"), F.col(treated).cast("double").alias("t"), F.col(y).cast("double").alias("y"),
+                     (F.lit(0.0) if hit is None else F.coalesce(hit.cast("double"), F.lit(0.0))).alias("h"), *z)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
 
-    def total(size: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-        """Sum of part(x, t, y, weights) over batches: `size` numbers."""
+    def total(size: int, part: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """Sum of part(x, t, y, h, weights) over batches: `size` numbers."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(size)
@@ -55,7 +58,7 @@ def propensity_replicates(
                     b = whole.slice(at, 4_000)
                     col = {c: b.column(c).to_numpy(zero_copy_only=False) for c in b.schema.names}
                     x = np.column_stack([np.ones(b.num_rows), *[col[f"z{i}"] for i in range(p - 1)]])
-                    out += part(x, col["t"], col["y"], replicate_weights(col["key"], reps, seed).astype(float))
+                    out += part(x, col["t"], col["y"], col["h"], replicate_weights(col["key"], reps, seed).astype(float))
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size), pa.int32()), pa.array(out)], names=["i", "v"])
 
         got = rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
@@ -67,7 +70,7 @@ def propensity_replicates(
     ridge = np.diag([0.0, *[1.0] * (p - 1)])
     for _ in range(iterations):
 
-        def slopes(x, t, y, w, beta=beta):
+        def slopes(x, t, y, h, w, beta=beta):
             e = 1 / (1 + np.exp(-(x @ beta.T)))
             g = x.T @ (w * (t[:, None] - e))
             v = w * e * (1 - e)
@@ -83,15 +86,16 @@ def propensity_replicates(
         if np.abs(step).max() < 1e-8:
             break
 
-    def arms(x, t, y, w):
+    def arms(x, t, y, h, w):
         e = 1 / (1 + np.exp(-(x @ beta.T)))
         w = np.where((e > trim) & (e < 1 - trim), w, 0.0)
         one, none = w * t[:, None] / e, w * (1 - t)[:, None] / (1 - e)
-        return np.concatenate([y @ one, one.sum(0), y @ none, none.sum(0)])
+        return np.concatenate([y @ one, one.sum(0), y @ none, none.sum(0), h @ one, h @ none])
 
-    a, b, c, d = total(4 * reps, arms).reshape(4, reps)
-    found = [(r + 1, float(a[r] / b[r] - c[r] / d[r])) for r in range(reps) if b[r] and d[r]]
-    return spark.createDataFrame(found, "rep int, diff double")
+    a, b, c, d, f, g = total(6 * reps, arms).reshape(6, reps)
+    found = [(r + 1, float(a[r] / b[r] - c[r] / d[r]), float(f[r] / b[r] / (g[r] / d[r])) if hit is not None and g[r] else None)
+             for r in range(reps) if b[r] and d[r]]
+    return spark.createDataFrame(found, "rep int, diff double, ratio double")
 
 
 def stabilised(df: DataFrame, treated: str, e: str = "e", weight: str | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def prior_grids(t, horizon=FINAL_N):
     return t.stage(f"priors_{horizon}", build)
 
 
-BAND_YEARS = (1, 2, 3, 4)
+BAND_YEARS = (1, 2, 3, 4, 5, 6)  # the oldest cohort has six periods
 for _h in BAND_YEARS:
     CTES[f"yg{_h}"] = (f"SELECT ent.*, o.peak AS y FROM ent LEFT JOIN (SELECT entity, peak FROM graded WHERE n = {_h}) o USING (entity)", ["ent", "graded"])
     CTES.update(slot_model_ctes(f"gp{_h}", f"yg{_h}", _h, ALL_COHORTS, calib=1, min_fit=1, adaptive=True, min_training=30, retro=True))

@@ -668,10 +668,13 @@ PROPENSITY_REPS = 300
 
 @query("sta36_propensity_intervals")
 def _(t):
-    """Interval of the weighted difference over replicates, the propensity model refitted in each."""
+    """Intervals of the weighted difference and of the risk ratio over replicates, the propensity model refitted in each."""
     d = t.stage("treated", lambda: treated(t)).withColumn("_label", k("treated").cast("double"))
-    fits = CA.propensity_replicates(d, FEATURES, "treated", "pit", "entity", PROPENSITY_REPS)
-    return RS.interval(fits, [], "diff", "lo", "hi").select(F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"))
+    fits = CA.propensity_replicates(d, FEATURES, "treated", "pit", "entity", PROPENSITY_REPS, hit=k("pit") > 0.5)
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    q = fits.agg(F.percentile("diff", ends).alias("d"), F.percentile("ratio", ends).alias("r"))
+    cols = {"lo": k("d")[0], "hi": k("d")[1], "ratio_lo": k("r")[0], "ratio_hi": k("r")[1]}
+    return q.select(*[F.round(c, 4).alias(n) for n, c in cols.items()])
 
 
 @query(
@@ -769,16 +772,19 @@ def _(t):
     "sta41_segment_table",
     SEGMENT_SQL.format(
         by="split, grp",
-        join="""JOIN (SELECT entity AS e2, unnest(['Slot', 'Position', 'Era']) AS split, unnest([CASE WHEN slot <= 5 THEN 'Picks 1-5' WHEN slot <= 14 THEN 'Picks 6-14'
-          WHEN slot <= 30 THEN 'Picks 15-30' ELSE 'Picks 31-60' END, position, cohort::VARCHAR]) AS grp FROM ent) s ON s.e2 = entity""",
+        join="""JOIN (SELECT entity AS e2, unnest(['Slot', 'Position', 'Era', 'Price band', 'Franchise group']) AS split, unnest([CASE WHEN slot <= 5 THEN 'Picks 1-5' WHEN slot <= 14 THEN 'Picks 6-14'
+          WHEN slot <= 30 THEN 'Picks 15-30' ELSE 'Picks 31-60' END, position, cohort::VARCHAR,
+            CASE WHEN price < 1000 THEN 'under 1000' WHEN price < 1200 THEN '1000 to 1199' ELSE '1200 and more' END, substr(franchise, 1, length(franchise) - 1)]) AS grp FROM ent) s ON s.e2 = entity""",
     ),
     "cpit ent", rnd=RATE_COLS, places=7,
 )
 def _(t):
-    d = with_pit(t).select(
-        "entity", "pit", "verdict", B.slot_band("slot").alias("Slot"), k("position").alias("Position"), k("cohort").cast("string").alias("Era")
+    price = F.when(k("price") < 1000, "under 1000").when(k("price") < 1200, "1000 to 1199").otherwise("1200 and more")
+    own = t.ent.select("entity", price.alias("Price band"), F.expr("substr(franchise, 1, length(franchise) - 1)").alias("Franchise group"))
+    d = with_pit(t).join(own, "entity").select(
+        "entity", "pit", "verdict", B.slot_band("slot").alias("Slot"), k("position").alias("Position"), k("cohort").cast("string").alias("Era"), "Price band", "Franchise group"
     )
-    long = d.unpivot(["entity", "pit", "verdict"], ["Slot", "Position", "Era"], "split", "grp")
+    long = d.unpivot(["entity", "pit", "verdict"], ["Slot", "Position", "Era", "Price band", "Franchise group"], "split", "grp")
     return GR.segment_rates(long, ["split", "grp"], "pit", "verdict")
 
 
@@ -804,6 +810,45 @@ def _(t):
     return g.select("n", "up", "down", (moved / k("n")).alias("overturned"), lo.alias("ov_lo"), hi.alias("ov_hi"))
 
 
+def both_verdicts(t):
+    """(entity, slot, first, later): verdicts at the two horizons."""
+    a = bands(t, 1).select("entity", "slot", k("verdict").alias("first"))
+    return a.join(bands(t, 2).select("entity", k("verdict").alias("later")), "entity")
+
+
+VERDICTS = ["below floor", "within band", "beat ceiling"]
+
+
+@query(
+    "sta42_verdict_crosstab",
+    """SELECT v.v AS first, count(*) FILTER (WHERE later = 'below floor') AS "below floor", count(*) FILTER (WHERE later = 'within band') AS "within band",
+      count(*) FILTER (WHERE later = 'beat ceiling') AS "beat ceiling" FROM (VALUES ('below floor'), ('within band'), ('beat ceiling')) v(v)
+    LEFT JOIN (SELECT b1.verdict AS f, b2.verdict AS later FROM b1 JOIN b2 USING (entity)) x ON x.f = v.v GROUP BY 1""",
+    "b1 b2",
+)
+def _(t):
+    rows = t.spark.createDataFrame([(v,) for v in VERDICTS], "first string")
+    counted = A.crosstab(both_verdicts(t), "first", "later", VERDICTS)
+    return rows.join(counted, "first", "left").fillna(0)
+
+
+@query(
+    "sta42_reversals_by_band",
+    """SELECT CASE WHEN slot <= 14 THEN '1-14' WHEN slot <= 30 THEN '15-30' ELSE '31 and later' END AS band, count(*) AS n, avg((r2 > r1)::INT) AS late_bloomer,
+      avg((r2 < r1)::INT) AS late_bust, avg((r2 = r1)::INT) AS same FROM (
+      SELECT b1.slot, CASE b1.verdict WHEN 'below floor' THEN 0 WHEN 'within band' THEN 1 ELSE 2 END AS r1,
+        CASE b2.verdict WHEN 'below floor' THEN 0 WHEN 'within band' THEN 1 ELSE 2 END AS r2 FROM b1 JOIN b2 USING (entity)) GROUP BY 1""",
+    "b1 b2", rnd="late_bloomer late_bust same",
+)
+def _(t):
+    place = F.array(*[F.lit(v) for v in VERDICTS])
+    move = F.array_position(place, k("later")) - F.array_position(place, k("first"))
+    band = F.when(k("slot") <= 14, "1-14").when(k("slot") <= 30, "15-30").otherwise("31 and later")
+    d = both_verdicts(t).select(band.alias("band"), move.alias("move"))
+    return d.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), A.share(k("move") > 0).alias("late_bloomer"), A.share(k("move") < 0).alias("late_bust"), A.share(k("move") == 0).alias("same"))
+
+
 RECRUIT_SQL = """CASE WHEN 2 * slot - 1 <= 10 THEN 'RSCI 1-10' WHEN 2 * slot - 1 <= 25 THEN 'RSCI 11-25' WHEN 2 * slot - 1 <= 50 THEN 'RSCI 26-50' ELSE 'Unranked' END"""
 
 
