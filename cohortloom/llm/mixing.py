@@ -31,7 +31,9 @@ def poisson_cdf(mean: Column) -> Column:
         term = s["term"] * mean / k
         return F.struct(term.alias("term"), (s["total"] + term).alias("total"), F.array_append(s["out"], s["total"] + term).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ENTRIES)), start, step, lambda s: F.array_append(s["out"], F.lit(1.0)))
+    # No drawn number lies above the largest double below 1: entries from there on need not be carried.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ENTRIES)), start, step, lambda s: F.array_append(
+        F.filter(s["out"], lambda c: c < 1 - 2**-53), F.lit(1.0)))
 
 
 def uniform(seed: str, key: Column) -> Column:
