@@ -324,11 +324,14 @@ def chunked(rows: DataFrame, small: DataFrame, on: list[str], size: int) -> tupl
     )
 
 
-def cut_cells(rows: DataFrame, side: list[str], space: Space, by: list[str], pivots: int, tile: int) -> tuple[DataFrame, int, int]:
+def cut_cells(
+    rows: DataFrame, side: list[str], space: Space, by: list[str], pivots: int, tile: int, least: int = 0,
+) -> tuple[DataFrame, int, int]:
     """(rows with _cell, base, depth): rows go to the nearest of a few pivots, and cells of more than a tile again.
 
     Pivots are rows in hash order; they only shape the cells. A cut multiplies the id by `base` and adds
     the place, so integer division finds the cell that a cell was cut from; all have had `depth` cuts.
+    Groups of at most `least` rows are not cut.
     """
     first = [F.xxhash64("id"), F.col("id")]
 
@@ -350,9 +353,9 @@ def cut_cells(rows: DataFrame, side: list[str], space: Space, by: list[str], piv
     # Uneven pivots may need two levels more; points that are all equal are never cut, only dealt out.
     even = int(np.ceil(np.log(most / tile) / np.log(pivots))) if most > tile else 0
     base, depth = 4 * pivots, 0
-    for level in range(min(even + 2, int(62 / np.log2(base)))):
+    for level in range(min(even + 2, int(62 / np.log2(base))) if most > least else 0):
         sizes = celled.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        large = sizes.where(F.col("_n") > (tile if level else 0)).select(*on)
+        large = sizes.where(F.col("_n") > (tile if level else least)).select(*on)
         if level and large.isEmpty():
             break
         to_cut = celled.join(large, on, "left_semi")
