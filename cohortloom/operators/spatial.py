@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.court import GRID_X, GRID_Y, REFERENCE_LINE, cell_zone, contradicts
 from ..session import cut_lineage
@@ -57,28 +61,50 @@ def histogram(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return cells.where(inside).groupBy(key, "ix", "iy").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _toeplitz(size: int, sigma: float) -> np.ndarray:
+    """Kernel weights from every place of an axis to every other; what falls outside is lost."""
+    out = np.zeros((size, size))
+    for offset, w in kernel(sigma):
+        out += np.diag(np.full(size - abs(offset), w), offset) if abs(offset) < size else 0.0
+    return out
+
+
 def smooth(hist: DataFrame, key: str, sigma: float = 1.5) -> DataFrame:
-    """(key, cell, density): separable Gaussian, zero outside the grid, summing to 1 per key.
+    """(key, map): separable Gaussian, zero outside the grid, summing to 1: one array of all cells per key.
 
-    Each axis explodes a cell to the kernel width and sums back, on cells not on points.
+    The cells of a key meet as one row, at most as long as the grid; a batch of rows is one dense array
+    and two matrix products.
     """
-    offsets = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel(sigma)])
+    cell = (F.col("ix") * HEIGHT + F.col("iy") - GRID_Y[0]).cast("int")
+    rows = hist.groupBy(key).agg(F.collect_list(F.struct(cell.alias("cell"), F.col("n").cast("double").alias("n"))).alias("m"))
+    schema = T.StructType([rows.schema[key], T.StructField("map", T.ArrayType(T.DoubleType()))])
+    along, across = _toeplitz(CELLS // HEIGHT, sigma), _toeplitz(HEIGHT, sigma)
 
-    def blur(df: DataFrame, axis: str, other: str, bounds: tuple[int, int]) -> DataFrame:
-        spread = df.select(key, axis, other, "n", F.explode(offsets).alias("_kern"))
-        moved = spread.select(key, (F.col(axis) + F.col("_kern.o")).alias(axis), other, (F.col("n") * F.col("_kern.w")).alias("n"))
-        return moved.where(F.col(axis).between(*bounds)).groupBy(key, axis, other).agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column("m")
+            cells = held.flatten()
+            grid = np.zeros(b.num_rows * CELLS)
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(held).to_numpy())
+            np.add.at(grid, row * CELLS + cells.field("cell").to_numpy(), cells.field("n").to_numpy())
+            grid = along @ grid.reshape(b.num_rows, -1, HEIGHT) @ across
+            grid = grid.reshape(b.num_rows, CELLS)
+            grid /= grid.sum(axis=1, keepdims=True)
+            ends = pa.array(np.arange(b.num_rows + 1) * CELLS, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(ends, pa.array(grid.reshape(-1)))], names=schema.names)
 
-    both = blur(blur(hist, "ix", "iy", GRID_X), "iy", "ix", GRID_Y)
-    total = both.groupBy(key).agg(F.sum("n").alias("_t"))
-    cell = (F.col("ix") * HEIGHT + F.col("iy") - GRID_Y[0]).cast("int")
-    return both.join(total, key).select(key, cell.alias("cell"), (F.col("n") / F.col("_t")).alias("density"))
+    return rows.mapInArrow(run, schema)
 
 
 def density_maps(points: DataFrame, key: str, x: str, y: str, sigma: float = 1.5) -> DataFrame:
     return smooth(histogram(points, key, x, y), key, sigma)
 
 
+def map_cells(maps: DataFrame, key: str) -> DataFrame:
+    """(key, cell, density) of the cells that a map reaches."""
+    return maps.select(key, F.posexplode("map").alias("cell", "density")).where("density > 0")
+
+
 def cell_columns(cell: str = "cell") -> dict[str, Column]:
     """Coordinates, zone, distance and angle of a cell."""
     x = F.floor(F.col(cell) / HEIGHT).cast("double")
@@ -109,12 +135,9 @@ def elbow(curve: DataFrame, k: str, error: str, least_gain: float = 0.08) -> Dat
     )
 
 
-def _dense(maps: list, cells: int) -> np.ndarray:
-    v = np.zeros((len(maps), cells))
-    for i, pairs in enumerate(maps):
-        for c in pairs:
-            v[i, c["cell"]] = c["density"] * 100.0
-    return v
+def _dense(b: pa.RecordBatch) -> np.ndarray:
+    """The maps of a batch in percent, as rows of a matrix."""
+    return b.column("map").flatten().to_numpy().reshape(b.num_rows, CELLS) * 100.0
 
 
 def _mixes(top: np.ndarray, gram: np.ndarray, iterations: int) -> np.ndarray:
@@ -135,10 +158,8 @@ def fit_styles(
     type; a sweep sends up only sums of rank x cells and rank x rank numbers, which update the
     components. Sweeps end when no rank's error falls by more than `tol` of itself.
     """
-    import pandas as pd
-
     spark = maps.sparkSession
-    per = cut_lineage(maps.groupBy(key).agg(F.collect_list(F.struct("cell", "density")).alias("m")))
+    per = cut_lineage(maps.select(key, "map"))
     rng = np.random.default_rng(seed)
     h = {r: rng.random((r, CELLS)) + 0.1 for r in ranks}
     last: dict[int, float] = {}
@@ -147,7 +168,7 @@ def fit_styles(
         def run(batches):
             total = {r: np.zeros(r * CELLS + r * r + 1) for r in parts}
             for b in batches:
-                v = _dense(b["m"], CELLS)
+                v = _dense(b)
                 for r, own in parts.items():
                     top, gram = v @ own.T, own @ own.T
                     w = _mixes(top, gram, inner)
@@ -155,9 +176,9 @@ def fit_styles(
                     error = (v * v).sum() - 2 * (w * top).sum() + (ww * gram).sum()
                     total[r] += np.concatenate([(w.T @ v).ravel(), ww.ravel(), [error]])
             for r, x in total.items():
-                yield pd.DataFrame({"rank": [r], "x": [x]})
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([x])], names=["rank", "x"])
 
-        rows = per.select("m").mapInPandas(run, "rank int, x array<double>")
+        rows = per.select("map").mapInArrow(run, "rank int, x array<double>")
         got = rows.select("rank", F.posexplode("x").alias("i", "v")).groupBy("rank", "i").agg(F.sum("v").alias("v")).toArrow()
         out = {r: np.zeros(r * CELLS + r * r + 1) for r in parts}
         rank, place, value = (got.column(c).to_numpy() for c in ("rank", "i", "v"))
@@ -181,17 +202,17 @@ def fit_styles(
             h[r] = active[r] = own
         if not active:
             break
-    kind = maps.schema[key].dataType.simpleString()
+    schema = T.StructType([T.StructField("rank", T.IntegerType()), maps.schema[key], T.StructField("w", T.ArrayType(T.DoubleType()))])
 
     def solve(batches):
         for b in batches:
-            v = _dense(b["m"], CELLS)
+            v = _dense(b)
             for r, own in h.items():
                 w = _mixes(v @ own.T, own @ own.T, inner)
                 w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
-                yield pd.DataFrame({"rank": r, key: b[key], "w": list(w)})
+                yield pa.RecordBatch.from_arrays([pa.array([r] * b.num_rows, pa.int32()), b.column(key), pa.array(list(w), pa.list_(pa.float64()))], names=schema.names)
 
-    weights = per.mapInPandas(solve, f"rank int, {key} {kind}, w array<double>")
+    weights = per.mapInArrow(solve, schema)
     rows = [(r, c, own[:, c].tolist()) for r, own in h.items() for c in range(CELLS)]  # one row per rank and grid cell
     components = spark.createDataFrame(rows, "rank int, cell int, h array<double>")
     errors = spark.createDataFrame([(r, last[r]) for r in ranks], "rank int, error double")
@@ -227,17 +248,14 @@ def project_styles(maps: DataFrame, components: DataFrame, key: str, iterations:
 
     The component table has one row per grid cell, a fixed number, so it travels with the task.
     """
-    import pandas as pd
-
     rows = components.orderBy("cell").collect()  # one row per grid cell
     h = np.array([r["h"] for r in rows], dtype=float).T
-    per = maps.groupBy(key).agg(F.collect_list(F.struct("cell", "density")).alias("m"))
-    kind = maps.schema[key].dataType.simpleString()
+    schema = T.StructType([maps.schema[key], T.StructField("w", T.ArrayType(T.DoubleType()))])
 
     def solve(batches):
         for b in batches:
-            w = _mixes(_dense(b["m"], h.shape[1]) @ h.T, h @ h.T, iterations)
+            w = _mixes(_dense(b) @ h.T, h @ h.T, iterations)
             w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
-            yield pd.DataFrame({key: b[key], "w": list(w)})
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(list(w), pa.list_(pa.float64()))], names=schema.names)
 
-    return per.mapInPandas(solve, f"{key} {kind}, w array<double>")
+    return maps.select(key, "map").mapInArrow(solve, schema)

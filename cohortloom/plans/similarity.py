@@ -314,10 +314,11 @@ def maps(t):
 
 @query("map1_density_map", "SELECT key, cell, density FROM mapped", "mapped", ints="key cell", rnd="density", places=9)
 def _(t):
-    return maps(t)
+    return SP.map_cells(maps(t), "key")
 
 
 STYLES, RANKS = 6, list(range(2, 11))
+DUNK_FEET = 2.0
 
 
 def style_fits(t):
@@ -358,9 +359,17 @@ def _(t):
     return d.select("style", "label", *[F.round(c, 4).alias(c) for c in ("avg_ft", "avg_angle", *X.ZONES)])
 
 
+def other_shots(t):
+    """Shots of a second population, on the same court: the suppliers of the line items."""
+    dx = F.pmod(k("l_orderkey") * 5 + k("l_linenumber") * 17, F.lit(51)).cast("double") - 25
+    dy = F.pmod(k("l_orderkey") * 13 + k("l_quantity").cast("bigint") * 7, F.lit(33)).cast("double") - 3
+    return t.lineitem.select(k("l_suppkey").alias("key"), dx.alias("sx"), dy.alias("sy"))
+
+
 @query("map5_project_styles")
 def _(t):
-    p = SP.project_styles(maps(t), styles(t)[1], "key")
+    """Another population's maps in the styles fitted to the first (tests/test_operators.py)."""
+    p = SP.project_styles(SP.density_maps(other_shots(t), "key", "sx", "sy"), styles(t)[1], "key")
     return p.select("key", *[F.round(k("w")[i], 4).alias(f"style_{i}") for i in range(STYLES)])
 
 
@@ -380,11 +389,12 @@ def _(t):
         "key", k("zone_rim").alias("rim_share"), (k("zone_corner_three") + k("zone_above_break_three")).alias("three_share")
     )
     rim = k("zone") == "rim"
-    made = s.groupBy("key").agg(A.share(F.when(rim, k("made"))).alias("rim_made"))
+    # Among attempts at the rim, the closest stand for dunks.
+    made = s.groupBy("key").agg(A.share(F.when(rim, k("made"))).alias("rim_made"), A.share(F.when(rim, k("dist") <= DUNK_FEET)).alias("dunk_share"))
     out = xy.join(labels, "style").join(axes, "key").join(made, "key")
     return out.select(
         "key", "label", *[F.round(c, 4).alias(n) for c, n in (
-            (k("p")[0], "x"), (k("p")[1], "y"), (k("rim_share"), "rim_share"), (k("three_share"), "three_share"), (k("rim_made"), "rim_made"))]
+            (k("p")[0], "x"), (k("p")[1], "y"), (k("rim_share"), "rim_share"), (k("three_share"), "three_share"), (k("rim_made"), "rim_made"), (k("dunk_share"), "dunk_share"))]
     )
 
 

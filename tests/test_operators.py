@@ -543,7 +543,7 @@ def test_trade_is_scored_from_the_best_slot(spark):
 def test_density_map_sums_to_one_and_matches_a_direct_kernel(spark):
     rng = np.random.default_rng(10)
     x, y = rng.normal(0, 8, 300), rng.normal(10, 8, 300)
-    got = SP.density_maps(frame(spark, k=[1] * 300, x=x, y=y), "k", "x", "y").toPandas()
+    got = SP.map_cells(SP.density_maps(frame(spark, k=[1] * 300, x=x, y=y), "k", "x", "y"), "k").toPandas()
     assert np.isclose(got.density.sum(), 1)
     h = np.histogram2d(np.abs(x), y, bins=[np.arange(27) - 0.5, np.arange(-4, 32) - 0.5])[0]
     kern = dict(SP.kernel())
@@ -614,8 +614,7 @@ def test_factors_explain_maps_and_take_any_key(spark):
     h = np.zeros((2, SP.CELLS))
     h[0, :40], h[1, 500:540] = 1 / 40, 1 / 40
     w = rng.dirichlet([1, 1], 30)
-    maps = [(2**40 + i, c, float(v)) for i, row in enumerate(w @ h) for c, v in enumerate(row) if v]
-    d = spark.createDataFrame(maps, "key long, cell int, density double")
+    d = spark.createDataFrame([(2**40 + i, row.tolist()) for i, row in enumerate(w @ h)], "key long, map array<double>")
     weights, components, errors = SP.fit_styles(d, "key", [1, 2, 3])
     e = {r["rank"]: r.error for r in errors.collect()}
     norm = 100 * np.sqrt(((w @ h) ** 2).sum())
@@ -624,6 +623,13 @@ def test_factors_explain_maps_and_take_any_key(spark):
     assert len(two) == 30 and all(np.isclose(sum(r.w), 1) for r in two) and min(r.key for r in two) == 2**40
     again = {r.key: r.w for r in SP.project_styles(d, components.where("rank = 2"), "key").collect()}
     assert all(np.allclose(again[r.key], r.w, atol=0.02) for r in two)
+    # A second population, mixed from the same components: its maps are explained as well.
+    other = rng.dirichlet([1, 1], 20)
+    new = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(other @ h)], "key long, map array<double>")
+    found = np.array([r["h"] for r in components.where("rank = 2").orderBy("cell").collect()]).T
+    for r in SP.project_styles(new, components.where("rank = 2"), "key").collect():
+        shape = np.array(r.w) @ found
+        assert np.allclose(shape / shape.sum(), other[r.key] @ h, atol=0.002)
 
 
 def test_positions_keep_rows_without_a_value(spark):
