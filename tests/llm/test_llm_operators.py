@@ -609,9 +609,23 @@ def test_license_scan_equals_brute_force(spark):
 
     own = []
     for t in texts:
-        scores = [(cosine(vector(s), vector(x)), k) for s in license_scan.segments(t) for k, x in license_scan.TEMPLATES]
-        top = max(scores, key=lambda s: s[0], default=(0.0, None))
-        own.append((top[1], top[0]) if top[0] >= 0.7 else (None, None))
+        best = {}
+        for s in license_scan.segments(t):
+            here, named_by = {}, {}
+            for k, x in license_scan.TEMPLATES:
+                words_here = license_scan.words_of(s)
+                named = {w.lower() for i, w in enumerate(license_scan.WORD.findall(x)) if (i and w[0].isupper()) or any(c.isdigit() for c in w)}
+                score = cosine(vector(s), vector(x))
+                if named <= set(words_here) and score > here.get(k, 0.0):
+                    here[k], named_by[k] = score, named
+            fine = [named_by[k] for k, v in here.items() if v >= 0.7]
+            here = {k: v for k, v in here.items() if v < 0.7 or not any(named_by[k] < n for n in fine)}
+            order = sorted(here.values(), reverse=True)
+            for k, v in here.items():
+                if v == order[0] and v >= 0.7 and (len(order) == 1 or v - order[1] >= 0.02):
+                    best[k] = max(best.get(k, 0.0), v)
+        top = max(best.items(), key=lambda x: x[1], default=(None, 0.0))
+        own.append((top[0], top[1]) if best else (None, None))
     dirs = {}
     for (path, _), (lic, score) in zip(rows, own):
         name = (path or "").rpartition("/")
@@ -631,6 +645,48 @@ def test_license_scan_equals_brute_force(spark):
     assert {r.path: r.license for r in license_scan.scan(table).collect()}["t/u/v/w.txt"] in ("CC-BY-4.0", "CC-BY-NC-4.0")
 
 
+NOTICES_ELSEWHERE = [
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"), ("Licensed under CC BY-NC-ND 4.0", "CC-BY-NC-ND-4.0"),
+    ("Copyright (c) 2020 Jane. Released under the MIT License.", "MIT"), ("© 2021 A. Person. Licensed under the MIT license. All else is reserved.", "MIT"),
+    ("SPDX-License-Identifier: ISC", "ISC"), ("// SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("# SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1"),
+    ("SPDX-License-Identifier: AGPL-3.0", "AGPL-3.0"), ("SPDX-License-Identifier: Zlib", "Zlib"), ("SPDX-License-Identifier: Foo-9.9", None),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+     "Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
+    ("This file is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free "
+     "Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the\n"
+     "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
+     "obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "BSD"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n3. Neither "
+     "the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+     "specific prior written permission.", "BSD-3-Clause"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy.", "Unlicense"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+     "notice and this permission notice appear in all copies.", "ISC"),
+    ("Distributed under the Boost Software License, Version 1.0. (See accompanying file)", "BSL-1.0"),
+    ("Licensed under the GNU Free Documentation License, version 1.3.", None), ("Licensed under the Foo License, Version 2.0.", None),
+    ("Licensed under the Academic Free License, version 3.0.", None), ("Licensed under the GNU General Public License, version 1.", None),
+    ("Licensed under CC BY-XX 4.0.", None), ("All rights reserved. No license is granted.", None), ("Licensed under the European Union Public License, version 1.2.", None),
+    ("The license of the work is described elsewhere.", None), ("Licensed under CC BY 3.0.", None), ("Licensed under the Microsoft Public License.", None),
+]
+
+
+def test_notices_from_elsewhere(spark):
+    """Notices that the given tables do not hold, over the word frequencies of prose: the right licence or none."""
+    rng = random.Random(31)
+    rows = [(f"p/{i}.txt", prose(rng, 60)) for i in range(300)]
+    matcher = license_scan.fit(spark.createDataFrame(rows, "path string, text string"))
+    assert len(NOTICES_ELSEWHERE) >= 30
+    for text, want in NOTICES_ELSEWHERE:
+        assert matcher.best(text)[0] == want, (text, matcher.best(text))
+        inside = prose(rng, 30) + ". " + text + "\n\n" + prose(rng, 30)
+        assert matcher.best(inside)[0] in (want, None)
+
+
 def test_license_scan_of_nothing(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
