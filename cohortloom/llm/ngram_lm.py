@@ -12,6 +12,7 @@ under names of their own, and only names that Spark commits to a manifest are re
 from __future__ import annotations
 
 import io
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -60,7 +61,7 @@ def _unpack(data: bytes, n: int, kinds: list[str]) -> list[np.ndarray]:
 
 def _merge(keys: np.ndarray, sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Sorted distinct keys, the sums of their values, and the place of one row of each."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # rows of one key are alike: their order does not matter, and numpy sorts faster without it
     keys = keys[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return keys[first], [np.add.reduceat(s[order], first) if len(first) else s for s in sums], order[first]
@@ -100,7 +101,8 @@ class Arrays:
         width = (len(next(iter(self.files.values()))) - 1) // step if self.files else 0
         out = [np.zeros(len(keys), np.int64) for _ in range(width)]
         place = np.full(len(keys), -1, np.int64)
-        order = np.lexsort((keys, shard))
+        order = np.argsort(keys)
+        order = order[np.argsort(shard[order].astype(np.int16 if self.shards < 1 << 15 else np.int64), kind="stable")]
         ends = np.searchsorted(shard[order], np.arange(self.shards + 1))
         for k in np.flatnonzero(np.diff(ends)):
             if k not in self.files:
@@ -193,7 +195,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
 
 def _count_words(shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, int] = {}
+        held: Counter[bytes] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys = np.array([word_hash(w) for w in held], np.uint64)
@@ -203,12 +205,11 @@ def _count_words(shards: int) -> Callable:
 
         for texts in _runs(batches):
             for words in texts:
-                for w in words:
-                    held[w] = held.get(w, 0) + 1
-                held[END] = held.get(END, 0) + 1
+                held.update(words)
+            held[END] += len(texts)
             if len(held) > 800_000:
                 yield from flush()
-                held = {}
+                held.clear()
         held.setdefault(START, 0)
         yield from flush()
 
@@ -258,9 +259,10 @@ def _gram_packs(level: int, keys: np.ndarray, rows: np.ndarray, counts: np.ndarr
     """
     shard = _shard_of(keys, shards)
     if level > 2:
-        order = np.lexsort(rows.T[::-1])
+        head = gram_key(rows[:, :2])
+        order = np.argsort(head)
         rows, counts, shard = rows[order], counts[order], shard[order]
-        yield from _packs(level, "grams", shard, [gram_key(rows[:, :2]), *rows.T[2:], counts], shards)
+        yield from _packs(level, "grams", shard, [head[order], *rows.T[2:], counts], shards)
     else:
         yield from _packs(level, "grams", shard, [keys, counts], shards)
 
@@ -278,12 +280,12 @@ def _unpacked_grams(level: int, packs: list[tuple[int, bytes]]) -> tuple[np.ndar
 def _count_grams(vocabulary: Vocabulary, order: int, shards: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _Ids(vocabulary)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            rows = np.concatenate([g for g, _ in held])
-            keys, (counts,), first = _merge(gram_key(rows), [np.concatenate([c for _, c in held])])
+            rows = np.concatenate(held)
+            keys, (counts,), first = _merge(gram_key(rows), [np.ones(len(rows), np.int64)])
             yield from _gram_packs(order, keys, rows[first], counts, shards)
 
         for texts in _runs(batches):
@@ -294,12 +296,10 @@ def _count_grams(vocabulary: Vocabulary, order: int, shards: int) -> Callable:
             inside = np.ones(len(seq), bool)
             for e in range(1, order):  # a gram may not run over the end of its text
                 inside[last - e] = False
-            at = np.flatnonzero(inside[: len(seq)])
-            rows = np.stack([seq[at + j] for j in range(order)], axis=1)
-            _, (counts,), first = _merge(gram_key(rows), [np.ones(len(rows), np.int64)])
-            held.append((rows[first], counts))
-            size += len(first)
-            if size > 5_000_000:
+            at = np.flatnonzero(inside)
+            held.append(np.stack([seq[at + j] for j in range(order)], axis=1))
+            size += len(at)
+            if size > 6_000_000:
                 yield from flush()
                 held, size = [], 0
         if held:
@@ -479,12 +479,12 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 first = np.cumsum([0, *[len(f) for f in found]])[:-1]
                 at = np.repeat(first - np.cumsum([0, *sizes])[:-1], sizes) + np.arange(sizes.sum())
                 grams = np.stack([seq[at + j] for j in range(order)], axis=1)
-                _, _, one = _merge(gram_key(grams), [])
-                order_of = np.argsort(gram_key(grams), kind="stable")
-                keys = gram_key(grams)[order_of]
-                group = np.cumsum(np.concatenate([[0], (keys[1:] != keys[:-1]).astype(np.int64)]))
+                keys = gram_key(grams)
+                order_of = np.argsort(keys)
+                keys = keys[order_of]
+                new = np.concatenate([[True], keys[1:] != keys[:-1]])
                 logs = np.empty(len(grams))
-                logs[order_of] = np.log10(model.probabilities(grams[one]))[group]
+                logs[order_of] = np.log10(model.probabilities(grams[order_of[new]]))[np.cumsum(new) - 1]
                 count = vocabulary.counts(grams[:, -1])
                 base = np.log10((count + 1.0) / (vocabulary.tokens + vocabulary.types + 1.0))
                 starts = np.cumsum([0, *sizes])[:-1]
