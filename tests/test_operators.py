@@ -638,6 +638,38 @@ def test_positions_keep_rows_without_a_value(spark):
     assert got == {1: 2, 2: None, 3: None, 4: 1}
 
 
+def test_evidence_of_a_name_that_very_many_rows_share(spark):
+    """Ten thousand players and candidates of one name in a few kinds of evidence: the ladder meets kinds, not rows."""
+    n = 10_000
+    i = F.col("id")
+    players = spark.range(n).select(
+        i.alias("pid"), F.lit("ann lee").alias("norm"), F.lit(1998).alias("lo"), F.lit(2003).alias("hi"), F.lit(None).cast("date").alias("birth"),
+        (i % 2 == 0).alias("drafted"), F.lit(None).cast("long").alias("slot"), F.lit(2002).alias("cohort"), F.array(F.when(i % 2 == 0, "gonzaga").otherwise("duke")).alias("colleges"))
+    cands = spark.range(n).select(
+        (i + 50_000).alias("cid"), F.lit("ann lee").alias("norm"), F.lit(None).cast("date").alias("birth"), F.lit(None).cast("long").alias("slot"),
+        F.when(i == 0, "duke").otherwise("somewhere far").alias("school"), F.lit(2000).alias("first_season"), F.lit(2001).alias("last_season"))
+    got = {r["method"]: (r["n"], r["c"]) for r in L.evidence_ladder(players, cands).groupBy("method").agg(F.count("pid").alias("n"), F.min("cid").alias("c")).collect()}
+    # Odd players went to the one candidate's school; for the others thousands of equal candidates stay open.
+    assert got == {"name_school": (5000, 50_000), "ambiguous": (5000, None)}
+
+
+def test_two_paths_of_a_name_that_very_many_rows_share(spark):
+    """Ten thousand rows and stats of one name: joined rows are those of the classes, the answer that of all pairs."""
+    n = 10_000
+    school = F.concat(F.lit("School "), (F.col("id") % 3).cast("string"))
+    rows = spark.range(n).select(F.col("id").alias("row_id"), F.when(F.col("id") % 5 == 0, F.col("id")).alias("sid"), F.lit("ann lee").alias("norm"),
+                                 F.lit(2001).alias("season"), school.alias("school"))
+    stats = spark.range(n).select(F.when(F.col("id") % 7 == 0, F.col("id")).alias("sid"), F.lit("ann lee").alias("norm"), F.lit(2001).alias("season"),
+                                  school.alias("school"), (F.col("id") + 50_000).alias("stat_id"))
+    out = L.attach_by_two_paths(rows, stats, "row_id", "stat_id", "season")
+    got = {r.row_id: (r.stat_id, r.school_score) for r in out.collect()}
+    # By name the first stat row of the same school is best; by id the same school has a larger id.
+    assert len(got) == n and all(got[i] == (50_000 + i % 3, 100.0) for i in range(n))
+    lone = spark.createDataFrame([(1, 9, "x", 2001, "Duke"), (2, None, None, 2001, "Duke"), (3, None, "y", 2001, None)], "row_id long, sid long, norm string, season int, school string")
+    more = spark.createDataFrame([(9, "z", 2001, "Duke", 5), (9, "z", 2001, "Duke", 4), (8, "y", 2001, "Duke", 3)], "sid long, norm string, season int, school string, stat_id long")
+    assert [tuple(r) for r in L.attach_by_two_paths(lone, more, "row_id", "stat_id", "season").collect()] == [(1, 4, 100.0)]
+
+
 def test_roster_links_hold_per_season(spark):
     """A person in two seasons keeps both links; a roster listed twice counts once; twins are nobody's."""
     left = spark.createDataFrame([(1, 1, "ann lee"), (1, 2, "ann lee"), (2, 1, "bob ray"), (3, 1, "cat fox"), (4, 1, "dan poe"), (5, 1, "dan poe")],
