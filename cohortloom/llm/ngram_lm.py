@@ -222,27 +222,29 @@ def _merged(packs: list[tuple[int, bytes]], kinds: list[str], key: Callable) ->
     return key([np.concatenate(column) for column in zip(*parts, strict=True)])
 
 
-def _shard_tasks(packs: DataFrame, work: Callable[[int, str, int, list[tuple[int, bytes]]], Iterator[tuple]]) -> DataFrame:
-    """Run `work` once for each (level, kind, shard) with all its packs; rows as in _DONE."""
+def _shard_tasks(packs: DataFrame, work: Callable[[int, int, dict[str, list[tuple[int, bytes]]]], Iterator[tuple]]) -> DataFrame:
+    """Run `work` once for each (level, shard) with all its packs by kind; rows as in _DONE."""
     schema = pa.schema([
         ("level", pa.int32()), ("kind", pa.string()), ("shard", pa.int32()), ("n", pa.int64()),
         ("files", pa.list_(pa.string())), ("stats", pa.list_(pa.int64())), ("pack", pa.binary()),
     ])
 
     def run(part: pa.Table) -> pa.Table:
-        level, kind, shard = (part.column(c)[0].as_py() for c in ("level", "kind", "shard"))
-        got = list(zip(part.column("n").to_pylist(), part.column("data").to_pylist(), strict=True))
-        rows = list(work(level, kind, shard, got))
+        level, shard = (part.column(c)[0].as_py() for c in ("level", "shard"))
+        got: dict[str, list[tuple[int, bytes]]] = {}
+        for kind, n, data in zip(*(part.column(c).to_pylist() for c in ("kind", "n", "data")), strict=True):
+            got.setdefault(kind, []).append((n, data))
+        rows = list(work(level, shard, got))
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return packs.groupBy("level", "kind", "shard").applyInArrow(run, _DONE)
+    return packs.groupBy("level", "shard").applyInArrow(run, _DONE)
 
 
 def _word_shards(folder: str) -> Callable:
-    def work(level: int, kind: str, shard: int, packs: list) -> Iterator[tuple]:
-        keys, counts = _merged(packs, ["u8", "i8"], lambda a: (lambda k, s, _: (k, s[0]))(*_merge(a[0], a[1:])))
+    def work(level: int, shard: int, packs: dict) -> Iterator[tuple]:
+        keys, counts = _merged(packs["words"], ["u8", "i8"], lambda a: (lambda k, s, _: (k, s[0]))(*_merge(a[0], a[1:])))
         files = [write_array(folder, keys), write_array(folder, counts)]
-        yield level, kind, shard, len(keys), files, [int(counts.sum()), int((counts > 0).sum())], None
+        yield level, "words", shard, len(keys), files, [int(counts.sum()), int((counts > 0).sum())], None
 
     return work
 
@@ -309,24 +311,34 @@ def _count_grams(vocabulary: Vocabulary, order: int, shards: int) -> Callable:
 
 
 def _gram_shards(folder: str, order: int, shards: int) -> Callable:
-    """Merge n-grams of a level: arrays of keys and counts, packs of contexts and of continuations."""
+    """Merge n-grams of a level with the contexts of the level above, which are n-grams of this length too.
 
-    def work(level: int, kind: str, shard: int, packs: list) -> Iterator[tuple]:
-        if kind == "contexts":
-            keys, sums = _merged(packs, ["u8", *["i8"] * 4], lambda a: _merge(a[0], a[1:])[:2])
-            values = [part for s in sums for part in _narrow(s)]
-            yield level, kind, shard, len(keys), [write_array(folder, a) for a in (keys, *values)], [], None
-            return
-        keys, rows, counts = _unpacked_grams(level, packs)
-        files = [write_array(folder, a) for a in (keys, *_narrow(counts))]
+    One array of keys serves both: beside it the counts, and below the highest level total and numbers of
+    words after the context. Packs of contexts and of continuations go to the next lower level.
+    """
+
+    def work(level: int, shard: int, packs: dict) -> Iterator[tuple]:
+        keys, rows, counts = _unpacked_grams(level, packs["grams"]) if "grams" in packs else (
+            np.zeros(0, np.uint64), np.zeros((0, level), np.uint32), np.zeros(0, np.int64))
+        values, every = [counts], keys
+        if level < order:
+            after, sums = _merged(packs["contexts"], ["u8", *["i8"] * 4], lambda a: _merge(a[0], a[1:])[:2]) if "contexts" in packs else (
+                np.zeros(0, np.uint64), [np.zeros(0, np.int64)] * 4)
+            every = np.union1d(keys, after)
+            own, theirs = np.searchsorted(every, keys), np.searchsorted(every, after)
+            values = []
+            for at, v in [(own, counts), *[(theirs, v) for v in sums]]:
+                values.append(np.zeros(len(every), np.int64))
+                values[-1][at] = v
+        files = [write_array(folder, a) for a in (every, *[part for v in values for part in _narrow(v)])]
         of_counts = [int((counts == k).sum()) for k in (1, 2, 3, 4)]
-        yield level, kind, shard, len(keys), files, [int(counts.sum()), int((counts >= 3).sum()), *of_counts], None
+        yield level, "grams", shard, len(keys), files, [int(counts.sum()), int((counts >= 3).sum()), *of_counts], None
         if level == 1:
             return
         context = gram_key(rows[:, :-1])
         seen = [counts, *[(counts == 1), (counts == 2), (counts >= 3)]]
         context, sums, _ = _merge(context, [s.astype(np.int64) for s in seen])
-        for b in _packs(level, "contexts", _shard_of(context, shards), [context, *sums], shards):
+        for b in _packs(level - 1, "contexts", _shard_of(context, shards), [context, *sums], shards):
             yield _passed(b)
         tail = rows[:, 1:]
         key, (many,), one = _merge(gram_key(tail), [np.ones(len(tail), np.int64)])
@@ -364,8 +376,9 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 @dataclass(frozen=True)
 class Level:
-    grams: Arrays
-    contexts: Arrays | None
+    """`table` has the counts of its n-grams, and what follows them as contexts of the level above."""
+
+    table: Arrays
     discounts: tuple[float, float, float]
     total: int
     seen: tuple[int, int, int]  # n-grams with count 1, 2, 3 or more
@@ -387,14 +400,14 @@ class Model:
         for k in range(1, self.order + 1):
             level = self.levels[k]
             part = rows[:, self.order - k :]
-            count = level.grams.find(gram_key(part))[0]
+            count = level.table.find(gram_key(part))[0]
             count[(part == UNSEEN).any(axis=1)] = 0
             d = np.array([0.0, *level.discounts])[np.minimum(count, 3)]
             if k == 1:
                 total = np.full(len(rows), low.total, np.int64)
                 spare = np.full(len(rows), float(np.dot(level.discounts, level.seen)))
             else:
-                total, n1, n2, n3 = level.contexts.find(gram_key(part[:, :-1]))
+                total, n1, n2, n3 = self.levels[k - 1].table.find(gram_key(part[:, :-1]))[1:]
                 total[(part[:, :-1] == UNSEEN).any(axis=1)] = 0
                 spare = level.discounts[0] * n1 + level.discounts[1] * n2 + level.discounts[2] * n3
             known = total > 0
@@ -431,24 +444,16 @@ def fit(docs: DataFrame, folder: str, order: int = 3, text_col: str = "text", sh
         raise ValueError("more distinct words than ids")
     packs = texts.mapInArrow(_count_grams(vocabulary, order, shards), _PACK)
     levels: dict[int, Level] = {}
-    grams: dict[int, Level] = {}
     for level in range(order, 0, -1):
         done = kept(_shard_tasks(packs, _gram_shards(f"{folder}/arrays", order, shards)), f"level-{level}")
-        rows = done.where("pack is null").drop("pack").collect()  # one per shard and kind
-        own = [r for r in rows if r.kind == "grams"]
-        stats = [sum(r.stats[k] for r in own) for k in range(6)]
-        grams[level] = Level(
-            Arrays(shards, False, {r.shard: tuple(r.files) for r in own}, narrow=True), None, discounts(stats[2:]),
-            stats[0], (stats[2], stats[3], stats[1]))
-        if level < order:
-            contexts = Arrays(shards, False, {r.shard: tuple(r.files) for r in rows if r.kind == "contexts"}, narrow=True)
-            above = grams[level + 1]
-            levels[level + 1] = Level(above.grams, contexts, above.discounts, above.total, above.seen)
+        rows = done.where("pack is null").drop("pack").collect()  # one per shard
+        stats = [sum(r.stats[k] for r in rows) for k in range(6)]
+        levels[level] = Level(
+            Arrays(shards, False, {r.shard: tuple(r.files) for r in rows}, narrow=True), discounts(stats[2:]), stats[0], (stats[2], stats[3], stats[1]))
         release(spark)
-        if level + 1 <= order:  # its packs are merged and written
+        if level < order:  # the packs of the level above are merged and written
             drop_path(spark, f"{folder}/level-{level + 1}")
         packs = done.where("pack is not null").select("level", "kind", "shard", "n", F.col("pack").alias("data"))
-    levels[1] = grams[1]
     return Model(order, vocabulary, levels)
 
 
