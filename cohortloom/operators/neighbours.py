@@ -355,8 +355,9 @@ def cut_cells(
     base, depth = 4 * pivots, 0
     for level in range(min(even + 2, int(62 / np.log2(base))) if most > least else 0):
         sizes = celled.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-        large = sizes.where(F.col("_n") > (tile if level else least)).select(*on)
-        if level and large.isEmpty():
+        limit = tile if level else least
+        large = sizes.where(F.col("_n") > limit).select(*on)
+        if level and sizes.agg(F.max("_n")).first()[0] <= limit:
             break
         to_cut = celled.join(large, on, "left_semi")
         picks = top_k(to_cut, on, first, pivots, "_pivot").select(*on, F.col("vec").alias("_pv"))

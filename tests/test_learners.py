@@ -159,7 +159,9 @@ def jobs_of(spark, run):
 @pytest.mark.parametrize("learner", every_learner(), ids=lambda x: x.name)
 def test_jobs_do_not_grow_with_folds(spark, learner):
     """And every fold's grids are those of a run with that fold alone."""
-    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans count a job for every stage that they wait for
+    # Adaptive plans count a job for every stage that they wait for, broadcasts one for every table below a size.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         counts, grids = [], []
         for folds in ((3,), (3, 4, 5, 6)):
@@ -173,6 +175,7 @@ def test_jobs_do_not_grow_with_folds(spark, learner):
         assert counts[0] == counts[1]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_slot_learner_is_the_slot_model(spark):
