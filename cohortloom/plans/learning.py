@@ -24,7 +24,7 @@ from ..operators import resample as RS
 from .bindings import ALL_COHORTS, BUST_CUT, CTES, HORIZON, LAST, LEVELS_SQL, STAR_CUT
 from .cleaning import court_shots
 from .registry import query
-from .statistics import FEATURES, REPS, bands, feats, fold_rows, with_pit
+from .statistics import FEATURES, P_SQL, REPS, bands, feats, fold_rows, with_pit
 
 k = F.col
 
@@ -465,14 +465,6 @@ def _(t):
                       ((F.round(lo, 9) > 0.5) | (F.round(hi, 9) < 0.5)).alias("differs"))
 
 
-#: P(|t| > x) with m degrees of freedom, by Simpson's rule on the angle: the tail is a power of a cosine.
-_STEPS = 2000
-P_SQL = f"""least(1.0, list_sum(list_transform(range(0, {_STEPS + 1}), lambda i: (CASE WHEN i IN (0, {_STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
-    * pow(greatest(cos(th + i * (pi() / 2 - th) / {_STEPS}), 0), m - 1))) * (pi() / 2 - th)
-  / (list_sum(list_transform(range(0, {_STEPS + 1}), lambda i: (CASE WHEN i IN (0, {_STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
-    * pow(greatest(cos(i * (pi() / 2) / {_STEPS}), 0), m - 1))) * (pi() / 2)))"""
-
-
 @query(
     "sta43_recruit_tests",
     f"""SELECT horizon, scope, rho, {P_SQL} AS p_value, n FROM (SELECT *, n - 2 AS m, asin(least(abs(rho), 1)) AS th FROM (

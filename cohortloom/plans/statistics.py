@@ -475,14 +475,38 @@ def _(t):
     return s.groupBy("model", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("crps").alias("crps"), F.avg("y").alias("y"))
 
 
-@query("sta28_residual_signal")
+#: Two-sided p of a correlation in SQL, from columns m (n - 2) and th (arc sine of its size): the tail of t with m
+#: degrees of freedom is that of a power of a cosine, here by Simpson's rule.
+_STEPS = 2000
+
+
+def _cosine_power(start: str) -> str:
+    weight = f"CASE WHEN i IN (0, {_STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    at = f"{start} + i * (pi() / 2 - {start}) / {_STEPS}"
+    return f"list_sum(list_transform(range(0, {_STEPS + 1}), lambda i: ({weight}) * pow(greatest(cos({at}), 0), m - 1))) * (pi() / 2 - {start})"
+
+
+P_SQL = f"least(1.0, {_cosine_power('th')} / ({_cosine_power('0.0')}))"
+_RANK = "rank() OVER (PARTITION BY feature ORDER BY {0}) + (count(*) OVER (PARTITION BY feature, {0}) - 1) / 2"
+
+
+@query(
+    "sta28_residual_signal",
+    f"""SELECT feature, rho_y, rho_resid, {P_SQL} AS p, n FROM (SELECT *, n - 2 AS m, asin(least(abs(rho_resid), 1)) AS th FROM (
+      SELECT feature, corr(rv, ry) AS rho_y, corr(rv, rr) AS rho_resid, count(*) AS n FROM (
+        SELECT feature, {_RANK.format('v')} AS rv, {_RANK.format('y')} AS ry, {_RANK.format('resid')} AS rr FROM (
+          SELECT * FROM (SELECT cp.y, cp.y - cp.grid[10] AS resid, unnest(['f1', 'f2', 'f3', 'f4']) AS feature, unnest([f1, f2, f3, f4]) AS v FROM cp JOIN feat USING (entity))
+          WHERE v IS NOT NULL)) GROUP BY 1))""",
+    "cp feat", rnd="rho_y:6 rho_resid:6 p:5",
+)
 def _(t):
+    """Rank correlation of each feature with the outcome and with what the slot leaves of it."""
     p = t.slot_predictions(True).withColumn("resid", k("y") - G.at_level("grid", G.MEDIAN)).select("entity", "resid")
     long = feats(t).where(k("y").isNotNull()).join(p, "entity").unpivot(["entity", "y", "resid"], FEATURES, "feature", "v")
     a = AS.spearman(long, "v", "y", ["feature"]).withColumnsRenamed({"rho": "rho_y"})
     b = AS.spearman(long, "v", "resid", ["feature"]).withColumnsRenamed({"rho": "rho_resid"}).drop("n")
     out = a.join(b, "feature").withColumn("p", corr_p_value("rho_resid", k("n").cast("double")))
-    return out.orderBy(F.abs("rho_resid").desc()).select("feature", F.round("rho_y", 6).alias("rho_y"), F.round("rho_resid", 6).alias("rho_resid"), F.round("p", 6).alias("p"), "n")
+    return out.orderBy(F.abs("rho_resid").desc()).select("feature", "rho_y", "rho_resid", "p", "n")
 
 
 RANKED = """(SELECT *, rank() OVER (PARTITION BY cohort ORDER BY f2) + (count(*) OVER (PARTITION BY cohort, f2) - 1) / 2 AS rx,
