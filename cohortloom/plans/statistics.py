@@ -668,10 +668,22 @@ def _(t):
     return GR.pooled_effects(with_pit(t), "franchise", "pit")[0]
 
 
-@query("sta35_heterogeneity_test")
+#: Upper tail of chi-square in SQL, from columns q and df (at least 2), by Simpson's rule.
+CHI2_SQL = f"""greatest(0.0, 1 - q / {_STEPS} / 3 * list_sum(list_transform(range(0, {_STEPS + 1}), lambda i: (CASE WHEN i IN (0, {_STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)
+  * CASE WHEN i = 0 AND df > 2 THEN 0 ELSE exp((df / 2 - 1) * ln(greatest(i * q / {_STEPS}, 1e-300)) - i * q / {_STEPS} / 2 - df / 2 * ln(2) - lgamma(df / 2)) END)))"""
+
+
+@query(
+    "sta35_heterogeneity_test",
+    f"""SELECT groups, round(q, 6) AS q, {CHI2_SQL} AS p_value, sqrt(greatest((q - df) / c, 0)) AS tau, grand, df FROM (
+      SELECT count(*) AS groups, count(*) - 1 AS df, sum(m * m / se2) - sum(m / se2) ** 2 / sum(1 / se2) AS q, sum(1 / se2) - sum(1 / se2 ** 2) / sum(1 / se2) AS c,
+        sum(m / se2) / sum(1 / se2) AS grand FROM (
+        SELECT franchise, avg(pit) AS m, any_value(v) / count(*) AS se2 FROM cpit, (SELECT var_samp(pit) AS v FROM cpit) GROUP BY 1))""",
+    "cpit", rnd="q:6 p_value:5 tau:6 grand:6",
+)
 def _(t):
     test = GR.pooled_effects(with_pit(t), "franchise", "pit")[1]
-    return test.select("groups", *[F.round(c, 6).alias(c) for c in ("q", "p_value", "tau", "grand")], "df")
+    return test.select("groups", "q", "p_value", "tau", "grand", "df")
 
 
 def treated(t):
