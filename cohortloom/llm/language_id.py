@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from ..session import scratch
+from .common import stage, mix64, slices
 
 UNKNOWN = "und"
 
@@ -214,8 +215,9 @@ def fit(docs: DataFrame, chosen: Column, id_col: str = "doc_id", text_col: str =
     idf = np.log((1 + total) / (1 + df)) + 1
     spot = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1_000_000))
     each = min(s.per_language, max(1, s.max_rows // len(langs)))
-    share = docs.sparkSession.createDataFrame(
-        [(lang, int(1_000_000 * min(1.0, each / n)) + 1) for lang, n in many.items()], "lang string, share int")
+    spark = docs.sparkSession
+    share = spark.createDataFrame([(lang, int(1_000_000 * min(1.0, each / n)) + 1) for lang, n in many.items()], "lang string, share int")
+    share = stage(share, scratch(spark, "languages"))  # a file of known size: Spark need not shuffle the texts to meet it
     sample = rows.join(share, "lang").where(spot < F.col("share")).withColumn(
         "held", F.pmod(F.xxhash64(F.lit("held"), "id", "text"), F.lit(10)) < s.calibration_tenths
     )
