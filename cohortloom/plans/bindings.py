@@ -30,7 +30,14 @@ LEVELS_SQL = "[" + ", ".join(f"{t:.2f}" for t in G.LEVELS) + "]"
 CUTS_SQL = "[" + ", ".join(str(c) for c in CUTS) + "]"
 
 
-_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+_STAGED: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def folder_state(spark: SparkSession, folder: str) -> str:
+    """Names, lengths and times of what a folder holds: staged tables of other contents are not used again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return "|".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in files))
 
 
 class Tables:
@@ -39,6 +46,10 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def state(self) -> str:
+        return folder_state(self.spark, self.sf_dir)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -48,8 +59,11 @@ class Tables:
         return self.read(name)
 
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """The modelled table `name`, written to the shared folder on first use in this session."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        """The modelled table `name`, written to the shared folder on first use in this session.
+
+        It is written anew when the files of the data folder have changed.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.state, name)
         if key not in _STAGED:
             _STAGED[key] = cut_lineage(build())
         return _STAGED[key]

@@ -29,6 +29,7 @@ k = F.col
     rnd="num",
 )
 def _(t):
+    """Also UDF-1: scalar functions over a column are built-in expressions."""
     key, size = k("p_partkey"), k("p_size").cast("string")
     s = (
         F.when(key % 6 == 0, F.concat(F.lit("$1,"), F.lpad((key % 1000).cast("string"), 3, "0")))

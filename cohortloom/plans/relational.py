@@ -297,6 +297,7 @@ def _(t):
     rnd=" ".join(f"share_{v}" for v in TYPES),
 )
 def _(t):
+    """Also UDF-4: shares by condition are aggregates, not lambdas."""
     per = t.lineitem.join(t.part.select(k("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
     return A.value_shares(per.withColumnRenamed("l_suppkey", "id"), ["id"], "p_type", TYPES, "share_")
 
@@ -568,6 +569,7 @@ def _(t):
 
 @query("win3_rolling_peak", "SELECT entity, n, peak, peak_graded FROM otn", "otn", ints="n", rnd="peak peak_graded")
 def _(t):
+    """Also UDF-5: a rolling peak along an entity."""
     return t.otn.select("entity", "n", "peak", "peak_graded")
 
 

@@ -287,6 +287,7 @@ CTES["pdist"] = ("SELECT round(1 - list_dot_product(a.v, b.v), 9) AS d FROM aug
     ints="rank", rnd="distance",
 )
 def _(t):
+    """The k nearest rows of another table."""
     def side(df, p):
         point = F.array((k(f"{p}_acctbal") / 1000).cast("double"), k(f"{p}_nationkey").cast("double"))
         return df.select(k("s_suppkey" if p == "s" else "c_custkey").alias("id"), point.alias("vec"))

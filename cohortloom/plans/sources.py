@@ -33,6 +33,7 @@ def s(name):
 
 @query("src2_parquet_read", "SELECT p_brand, count(*) AS n FROM part WHERE p_size > 25 GROUP BY 1")
 def _(t):
+    """Also SRC-1: the path is that of a layer, source and name."""
     return t.part.where("p_size > 25").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -113,6 +114,7 @@ def draft_pages(t):
     UNION ALL SELECT p_partkey, NULL, 'none', NULL, NULL FROM part""",
 )
 def _(t):
+    """Also UDF-7: a page in, its rows out."""
     rows = PG.data_rows(PG.table_rows(draft_pages(t), tasks=TASKS), "stats")
     return rows.select(
         "page_id", PG.cell("pick_overall").alias("pick"), PG.cell("player").alias("player"), PG.cell("player__href").alias("href"),
