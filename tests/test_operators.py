@@ -691,6 +691,23 @@ def _greedy(left, right, score, least):
     return out
 
 
+def test_two_names_a_side_that_all_tie(spark, monkeypatch):
+    """Every name ties with both of the other side, ten thousand copies each: a few rounds, the pairs of one global pass."""
+    n = 10_000
+    rng = np.random.default_rng(32)
+    ids = rng.permutation(4 * n)
+    left = [(int(i), 0, ["maria lopez", "maria lopes"][j % 2]) for j, i in enumerate(ids[: 2 * n])]
+    right = [(int(i), 0, ["maria lopek", "maria loper"][j % 2]) for j, i in enumerate(ids[2 * n :])]
+    rounds = []
+    real = L._deal_ties
+    monkeypatch.setattr(L, "_deal_ties", lambda *a: rounds.append(1) or real(*a))
+    got = L.greedy_pairs(
+        spark.createDataFrame(left, "id long, block int, norm string"), spark.createDataFrame(right, "rid long, block int, norm string"),
+        ["block"], "id", "rid", 75.0).select("id", "rid").collect()
+    want = zip(sorted((i for i, _, _ in left), reverse=True), sorted((i for i, _, _ in right), reverse=True))
+    assert {tuple(r) for r in got} == set(want) and len(rounds) < 20
+
+
 def test_tied_names_are_dealt_out_in_few_rounds(spark, monkeypatch):
     """A name held by many rows, tied between two spellings on the other side, both ways round."""
     from cohortloom.functions import names as N
