@@ -453,7 +453,7 @@ def recruit_rows(t):
     "sta43_recruit_horizons",
     f"""SELECT horizon, scope, grp, n, mean_pit, lo, hi, beat, avg_slot, round(lo, 9) > 0.5 OR round(hi, 9) < 0.5 AS differs FROM (
       SELECT horizon, scope, grp, count(*) AS n, avg(pit) AS mean_pit, avg((pit > 0.5)::INT) AS beat, avg(slot) AS avg_slot FROM rh GROUP BY 1, 2, 3)
-    JOIN (SELECT horizon, scope, grp, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT horizon, scope, grp, rep, sum(w * pit) / sum(w) AS m
+    JOIN (SELECT horizon, scope, grp, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM (SELECT horizon, scope, grp, rep, sum(w * pit) / nullif(sum(w), 0) AS m
       FROM (SELECT *, {RS.weight_sql('entity', 'rep')} AS w FROM rh, range(1, {REPS + 1}) x(rep)) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) USING (horizon, scope, grp)""",
     "rh", ints="horizon", rnd="mean_pit lo hi beat avg_slot", places=7,
 )
