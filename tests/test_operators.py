@@ -745,3 +745,22 @@ def test_forest_quantiles_reach_between_and_beyond_the_cuts(spark):
     assert np.all(np.diff(row.grid) > 0) and np.allclose(row.grid[1:-1], np.quantile(y, G.LEVELS[1:-1]), atol=0.3)
     cuts = np.quantile(y, [i / 99 for i in range(100)])
     assert sum(min(abs(cuts - v)) > 1e-6 for v in row.grid) > 9
+
+
+def test_tables_large_as_rows_are_not_broadcast_for_their_small_files(spark, tmp_path, monkeypatch):
+    """One grid on every row is next to nothing in a file; as rows it is 28 MB that the driver would build."""
+    from cohortloom.plans import registry
+    from cohortloom.session import cut_lineage
+
+    monkeypatch.setattr(registry, "QUERIES", {})
+
+    def plan(t):
+        def side():
+            return cut_lineage(t.spark.range(150_000).select("id", F.array_repeat(F.lit(1.5), 19).alias("grid")))
+
+        return side().join(side().withColumnRenamed("grid", "other"), "id")
+
+    registry.query("staged_join")(plan)
+    joined = registry.QUERIES["staged_join"](spark, str(tmp_path))
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 150_000
