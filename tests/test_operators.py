@@ -764,3 +764,30 @@ def test_tables_large_as_rows_are_not_broadcast_for_their_small_files(spark, tmp
     joined = registry.QUERIES["staged_join"](spark, str(tmp_path))
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 150_000
+
+
+def test_letter_masks_bound_common_subsequences_from_above(spark):
+    from cohortloom.functions import names as N
+
+    rng = np.random.default_rng(5)
+    words = ["", "zzzzzzzz", "aaa aaa", "\u00e9t\u00e9 0123456789", *("".join(rng.choice(list("aab cdeez01\u00df"), n)) for n in rng.integers(0, 25, 60))]
+    d = spark.createDataFrame(pd.DataFrame([(x, y, N.lcs_length(x, y)) for x in words for y in words], columns=["a", "b", "lcs"]))
+    d = d.withColumns({"ma": N.letter_mask("a"), "mb": N.letter_mask("b")}).withColumn("most", N.most_common("a", "b", "ma", "mb"))
+    assert d.where("most < lcs OR most IS NULL").count() == 0
+
+
+def test_names_of_one_block_meet_in_many_tasks_and_only_where_letters_suffice(spark):
+    """One block: 600 names a side are few bytes and were one task; most pairs that share a key cannot reach 75."""
+    from cohortloom.functions import names as N
+
+    rng = np.random.default_rng(7)
+    made = ["".join(rng.choice(list("abcdefghiklmnors"), 7)) + " " + "".join(rng.choice(list("abcdefghiklmnors"), 8)) for _ in range(600)]
+    left = frame(spark, block=[1] * 600, norm=made)
+    right = frame(spark, block=[1] * 600, norm=[x[:9] + x[10:] for x in made])
+    pairs = L.name_pairs(left, right, ["block"], 75.0)
+    got = {(r.left_norm, r.right_norm) for r in pairs.collect()}
+    key = lambda x: " ".join(sorted(x.split()))
+    ones, twos = [(x, key(x)) for x in made], [(x[:9] + x[10:], key(x[:9] + x[10:])) for x in made]
+    assert got == {(x, y) for x, sx in ones for y, sy in twos if N._ratio(sx, sy) >= 75}
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and "RepartitionByExpression" in plan
