@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -247,6 +248,22 @@ def test_backtest_and_comparisons(spark):
     assert got["slot vs slot"].verdict == "no detectable difference" and got["near vs slot"].lo <= got["near vs slot"].diff <= got["near vs slot"].hi
 
 
+def test_learners_are_fitted_side_by_side(spark):
+    """Learners that wait for each other's fit: one after the other they would never meet."""
+    train, test = frames(spark)
+    met = threading.Barrier(3)
+
+    class Waiting(L.SlotLearner):
+        def predict(self, train, test):
+            met.wait(60)
+            return super().predict(train, test)
+
+    parts = [Waiting(k=20, name=n) for n in "abc"]
+    out = L.backtest([L.BlendLearner(parts[:2], [1, 1]), *parts], train, test)
+    assert {r.model: r.n for r in out.groupBy("model").agg(F.count("grid").alias("n")).collect()} == dict.fromkeys(["blend", "a", "b", "c"], 80)
+    L.ConformalLearner(L.BlendLearner(parts, [1, 1, 1])).predict(train, test)
+
+
 # ---- replicates and permutations of ranks ----
 
 
