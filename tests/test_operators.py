@@ -656,6 +656,19 @@ def test_factors_explain_maps_and_take_any_key(spark):
         assert np.allclose(shape / shape.sum(), other[r.key] @ h, atol=0.002)
 
 
+def test_style_weights_that_die_out_are_none():
+    """Against plain updates, over more than one block: no weight is left among the numbers that slow a processor down."""
+    rng = np.random.default_rng(2)
+    gram = np.eye(3)
+    top = rng.random((SP.BLOCK + 7, 3))
+    w = np.full(top.shape, 0.5)
+    for _ in range(100):
+        w *= top / np.maximum(w @ gram, 1e-12)
+    assert np.allclose(SP._mixes(top, gram, 100), w, rtol=1e-12)
+    gone = SP._mixes(np.array([[1.0, 5e-4]]), np.array([[1.0, 0.6], [0.6, 1.0]]), 100)
+    assert gone[0, 0] > 0.9 and gone[0, 1] == 0
+
+
 def test_positions_keep_rows_without_a_value(spark):
     d = spark.createDataFrame([(1, "a", 2.0), (2, "a", None), (3, None, 1.0), (4, "a", 5.0)], "id long, g string, v double")
     got = {r.id: r.position for r in RK.with_position(d, "v", "id", ["g"]).collect()}
