@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import scratch
+from ..session import scratch, size_files
 from .common import drop_path, mapped, mix64, release, stage, word_bytes, write_array
 
 
@@ -355,10 +355,10 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     for step in range(1, ROUNDS + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(small_least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small_least.select("u", F.col("m").alias("v"))).distinct()
         )
         now = stage(small, f"{folder}/stars-{step}")
@@ -386,6 +386,7 @@ def near_duplicates(
     empty result.
     """
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "near")
+    size_files(spark)
     source = docs.select(
         F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("text_key"),
         F.col(text_col).alias("text"),
@@ -412,7 +413,8 @@ def near_duplicates(
     keys = classes.select("node", F.posexplode(plan.keys(F.col("sig"))).alias("kind", "key"))
     keys = keys.withColumn("kind", plan.kind(F.col("kind")))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = stage(keys.join(shared, "key"), f"{folder}/met")
+    # Spark counts an exploded array as one value, so it takes these keys for a small table; both sides are shuffled.
+    met = stage(keys.join(shared.hint("merge"), "key"), f"{folder}/met")
     release(spark)
 
     # Tiles of a large key share some classes, so that copies hang together across tiles.
@@ -466,7 +468,7 @@ def near_duplicates(
         "root", F.coalesce("root", "node")
     )
     least = member.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    found = member.join(least, "root").select("n", "h1", "h2", "component_id")
+    found = member.join(least.hint("merge"), "root").select("n", "h1", "h2", "component_id")
     out = signed.join(found, ["n", "h1", "h2"], "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(

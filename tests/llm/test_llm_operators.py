@@ -150,6 +150,20 @@ def test_near_duplicates_repeated_rows_null_ids_and_nothing(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_do_not_broadcast_their_keys(docs, monkeypatch):
+    """Spark takes the exploded keys of classes for one value a class, so their file looks small enough to broadcast."""
+    plans = {}
+
+    def kept(df, path, stage=near_dedup.stage):
+        plans[path.rsplit("/", 1)[-1]] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, path)
+
+    monkeypatch.setattr(near_dedup, "stage", kept)
+    near_dedup.near_duplicates(docs, near_dedup.Plan(words=2))
+    for name in ("met", "stars-1"):
+        assert "SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name]
+
+
 def test_components_of_a_long_path(spark, tmp_path):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.root for r in near_dedup.components(edges, str(tmp_path / "c")).collect()}
