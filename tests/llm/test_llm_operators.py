@@ -2,8 +2,10 @@
 
 import gzip
 import math
+import os
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from brute import KneserNey, bench_words, contamination, cut, digest, near, statistics, words
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm import (
     decontaminate, language_id, license_scan, mixing, near_dedup, ngram_lm, quality_rules, queries, suffix_dedup, token_counts, warc,
 )
-from cohortloom.llm.common import bucket_of
+from cohortloom.llm.common import bucket_of, word_bytes
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 VOCAB = [a + b for a in ("th", "er", "on", "ñe", "ü", "st", "re") for b in ("the", "an", "ion", "ó", "ed", "ß", "ly")] + ["the", "of", "and"]
@@ -395,6 +397,17 @@ def test_probabilities_sum_to_one():
         assert sum(want.p((*context, w)) for w in [*want.unigrams, "unknown word"]) == pytest.approx(1)
 
 
+def test_language_model_has_one_file_a_shard_and_level(docs, texts, tmp_path):
+    """A worker has all shards mapped; open files and mappings of a process are limited."""
+    model = ngram_lm.fit(docs, str(tmp_path / "lm"), shard_bytes=2_000)
+    shards = model.vocabulary.arrays.shards
+    assert shards > 5 and len(list((tmp_path / "lm" / "arrays").iterdir())) <= 4 * shards
+    before = len(os.listdir("/proc/self/fd"))
+    ids = model.vocabulary.ids(np.array([ngram_lm.word_hash(w) for w in {w for t in texts for w in word_bytes(t)}], np.uint64))
+    model.probabilities(np.stack([ids, np.roll(ids, 1), np.roll(ids, 2)], axis=1))
+    assert len(os.listdir("/proc/self/fd")) - before <= 4 * shards
+
+
 def test_language_model_of_nothing(spark, empty, docs, tmp_path):
     model = ngram_lm.fit(empty, str(tmp_path / "lm"))
     rows = ngram_lm.score(docs, model, ["doc_id"]).collect()
